@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, sharding, token_counts, url_filter
+from . import bpe, exact_dedup, minhash, sharding, suffix_dedup, token_counts, url_filter
 
 #: The site rules of the URL query and the method's own patterns.
 SITE_RULES = [
@@ -41,10 +41,18 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_rules())
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op7_bpe, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op5_minhash, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

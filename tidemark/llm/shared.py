@@ -111,6 +111,7 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+ODD64 = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
