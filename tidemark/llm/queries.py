@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, sharding, suffix_dedup, token_counts, url_filter
+from . import bpe, decontam, exact_dedup, language_id, minhash, pii, sharding, suffix_dedup, token_counts, url_filter
 
 #: The site rules of the URL query and the method's own patterns.
 SITE_RULES = [
@@ -41,10 +42,24 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_rules())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -62,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op5_minhash, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_language_id, op4_pii, op5_minhash, op6_decontamination, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
