@@ -8,17 +8,17 @@ by one of our own only in local mode, where the setting may be absent (tests).
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Upper bound of one Arrow batch handed to Python, in rows and in bytes.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
@@ -74,9 +74,7 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def prepare_python(spark: SparkSession) -> None:
     """Bound the Arrow batches of Python stages by bytes as well as rows (a session setting), and let workers import this package."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

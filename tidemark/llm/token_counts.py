@@ -81,7 +81,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     version = tokenizer_version(tokenizer)
     cache = cache or shared.new_path(spark, "token-cache")
     folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    fresh = not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if fresh:
         spark.createDataFrame([], CACHE_SCHEMA).write.parquet(cache)
     stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
 
@@ -96,7 +97,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
-    # a digest stored twice (two writers at once) has one count: either row will do
-    known = stored().groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # In an older cache a digest may stand twice (two writers at once); either row will do.  The join meets a
+    # plain table, so that Spark can split the rows of a very frequent content.
+    known = stored().select("digest", "n_tokens")
+    if not fresh:
+        known = shared.materialise(known.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     rows = docs.select("doc_id", F.octet_length(shared.text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(normalised(), 256)).alias("digest"))
     return rows.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest"))
