@@ -18,9 +18,9 @@ RULES = ("HOT", "COLD", "BALANCED")
 POOL_RULES = ("HOT18", "COLD18", "OVERDUE18", "BALANCED18")
 
 
-def in_blocks(table: DataFrame, position: str, halo: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def in_blocks(table: DataFrame, position: str, halo: int, keys: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """Each row with ``blk`` and ``own``; the last ``halo`` rows of a block come once more, not own, with the next."""
-    size = max(block, halo)
+    size = max(block or BLOCK, halo)
     b = F.col(position).cast("long")
     here = F.expr(f"{position} div {size}")
     repeats = F.when(F.pmod(b, F.lit(size)) >= size - halo, F.array(F.struct(here.alias("blk"), F.lit(True).alias("own")), F.struct((here + 1).alias("blk"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(here.alias("blk"), F.lit(True).alias("own"))))
