@@ -79,8 +79,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    rows = docs.withColumn("_sha", F.sha2(normalised(shared.text_or_empty()), 256))
-    met = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["text_sha256"]), "left_semi")
-    order = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc_nulls_last(), "text")
-    return met.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    sha, nth = shared.free_name(docs, "_sha"), shared.free_name(docs, "_nth")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    rows = docs.withColumn(sha, F.sha2(normalised(shared.text_or_empty()), 256))
+    met = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (rows[sha] == kept["text_sha256"]), "left_semi")
+    order = Window.partitionBy("doc_id", sha).orderBy(F.length("text").desc_nulls_last(), "text")
+    return met.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
