@@ -39,7 +39,7 @@ def url_rules() -> list[url_filter.Rule]:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_rules())
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_language_id, op4_pii, op5_minhash, op6_decontamination, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_sharding)}
 
 
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SITES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in SITE_RULES)
+_BAD = " OR ".join(f"starts_with(host, '{n}.') OR contains(host, '.{n}.')" for n, _, _ in PATTERN_RULES)
+
+#: Site rules by length; the method's patterns where none fits.  The method's own columns are computed from the same rules.
+URL_SQL = f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), {_CAPITALS}) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules AS (SELECT * FROM (VALUES {_SITES}) AS v(h, p, v)),
+best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict FROM parts, rules
+         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_BAD} THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN best USING (page_id)"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+items AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b USING (g) WHERE a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)"""
+
+EXACT_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id) AS kept, sha256(t) AS text_sha256 FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, the random field, term statistics, templates, CRC-32 and hashes of bytes are beyond DuckDB's SQL: tests hold those against brute force."""
+    return {"op2_url_filters": URL_SQL, "op5_minhash": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}
