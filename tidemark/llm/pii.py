@@ -129,9 +129,9 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: floa
     pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     pairs = shared.materialise(pairs, "entity-terms")
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = pairs.select("term").distinct()
-    seen = docs.select(F.explode(F.array_distinct(F.transform(words(shared.text_or_empty()), term_of))).alias("term")).join(wanted, "term", "left_semi")
-    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # all terms are counted, with counts combined before they are moved; only then those around entities are picked
+    seen = docs.select(F.explode(F.array_distinct(F.transform(words(shared.text_or_empty()), term_of))).alias("term"))
+    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
     total = docs.count()
     information = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
@@ -146,8 +146,10 @@ def find(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int =
     risky = disclosing_terms(holders, docs, near, alpha, support)
 
     entities = F.transform(F.concat(*map(_entity_spans, KINDS)), lambda m: m["entity"])
-    here = holders.select("doc_id", "key", F.explode(F.array_distinct(entities)).alias("entity")).join(risky, "entity")
-    terms = here.groupBy("doc_id", "key").agg(F.collect_set("term").alias("terms"))
+    # an entity's terms travel as one list, so that a frequent entity makes one row a document
+    lists = risky.groupBy("entity").agg(F.collect_set("term").alias("risky"))
+    here = holders.select("doc_id", "key", F.explode(F.array_distinct(entities)).alias("entity")).join(lists, "entity")
+    terms = here.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("risky"))).alias("terms"))
     pattern = F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join("terms", "|"), F.lit(")(?!\\p{L})"))
     marked = terms.join(holders.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     marked = marked.select("doc_id", "key", _joined("term", spans_of(F.col("text"), pattern)).alias("term_spans"))
