@@ -13,8 +13,10 @@ positions in a ``length``-byte string, the one with the least rank represents it
 1. Spark sorts the positions by the pair (rank of the gram, rank of the whole stretch of
    strings that the position represents).  A unique gram proves all of these strings
    unique and ends there; a repeated pair proves all but its earliest occurrence repeated.
-2. What is left are grams with several different continuations.  Their strings are ranked
-   one by one at the full length, and all but the earliest of equal ranks are repeated.
+2. What is left are grams with several different stretches.  Each of these is moved once, with
+   its bytes, to where its gram's others are; there its strings are ranked at the full length,
+   and all but the earliest of equal ranks are repeated.  A gram with more than ``HOT``
+   stretches is not gathered: its strings are ranked where the text is and dealt by rank.
 
 Equal pairs are combined in each map task before they are moved, so a passage held by a
 third of all documents sends one row per task and not one per document.
@@ -42,6 +44,8 @@ LENGTH = 100
 GRAM = 32
 #: Positions that one map task holds at most before it combines and sends them.
 HELD = 1 << 20
+#: More stretches than this of one gram are not brought to one task.
+HOT = 4096
 NO_ID = np.iinfo(np.int64).max
 PLACE = "gram bigint, stretch bigint, doc bigint, place bigint"
 ODD = shared.ODD64
@@ -89,10 +93,16 @@ def places(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
     return row, rank[at].view(np.int64), stretch.view(np.int64), lo - bounds[row], hi - bounds[row]
 
 
-def _pack(lo: np.ndarray, hi: np.ndarray, known: np.ndarray | int) -> np.ndarray:
+def _pack(lo: np.ndarray, hi: np.ndarray, known: np.ndarray) -> np.ndarray:
     return lo << 9 | (hi - lo) << 1 | known
 
 
+def _same_as_before(key: np.ndarray) -> np.ndarray:
+    equal = np.zeros(len(key), bool)
+    equal[1:] = key[1:] == key[:-1]
+    return equal
+
+
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Of equal pairs the earliest; the others are known to repeat it and go to any task."""
     gram, stretch, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
@@ -100,23 +110,21 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     with np.errstate(over="ignore"):
         pair = shared.mix64(gram.view(np.uint64) + stretch.view(np.uint64) * ODD)
     order = order[np.argsort(pair[order], kind="stable")]
-    known = np.zeros(len(order), bool)
-    known[order[1:]] = pair[order[1:]] == pair[order[:-1]]
+    gram, stretch, doc, lo, hi = gram[order], stretch[order], doc[order], lo[order], hi[order]
+    known = _same_as_before(pair[order])
     with np.errstate(over="ignore"):
         spread = shared.mix64(doc.view(np.uint64) * ODD + lo.view(np.uint64)).view(np.int64)
     gram = np.where(known, spread, gram)
     stretch = np.where(known, spread, stretch)
-    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(stretch), pa.array(doc), pa.array(_pack(lo, hi, known.astype(np.int64)))], ["gram", "stretch", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(stretch), pa.array(doc), pa.array(_pack(lo, hi, known))], ["gram", "stretch", "doc", "place"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged."""
-    spark = docs.sparkSession
-    shared.prepare_python(spark)
+def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``doc, lo, hi, kind`` of positions with a repeated gram."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -135,42 +143,128 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     chosen = _rows(docs).mapInArrow(choose, PLACE)
     by_gram = Window.partitionBy("gram")
-    known = F.col("place").bitwiseAND(1) == 1
     ranked = chosen.select(
-        "doc", "place", known.alias("known"),
+        "gram", "doc", "place",
+        F.count(F.lit(1)).over(by_gram).alias("n"),
         (F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram)).alias("several"),
         F.row_number().over(Window.partitionBy("gram", "stretch").orderBy("doc", "place")).alias("nth"),
     )
-    lo = F.shiftright("place", 9)
-    hi = lo + F.shiftright("place", 1).bitwiseAND(255)
-    found = ranked.where(F.col("known") | (F.col("nth") > 1) | F.col("several")).select("doc", lo.alias("lo"), hi.alias("hi"), (F.col("known") | (F.col("nth") > 1)).alias("repeated"))
-    found = shared.materialise(found, "suffix-places")
-    shared.release_shuffles(spark)
+    repeated = (F.col("place").bitwiseAND(1) == 1) | (F.col("nth") > 1)
+    found = ranked.where(repeated | F.col("several")).select(
+        "doc", F.shiftright("place", 9).alias("lo"), F.shiftright("place", 1).bitwiseAND(255).cast("int").alias("more"),
+        F.when(~repeated, F.col("gram")).alias("gram"), (F.col("n") > HOT).alias("hot"),
+    )
+    return shared.materialise(found, "suffix-places")
 
-    open_ = found.where(~F.col("repeated")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
-                ranges = batch.column(2).slice(a, b - a)
-                row = np.repeat(np.arange(b - a), np.diff(ranges.offsets.to_numpy()))
-                flat = ranges.flatten()
-                lo, hi = flat.field(0).to_numpy() + bounds[row], flat.field(1).to_numpy() + bounds[row]
-                n = hi - lo + 1
-                start = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                row = np.repeat(row, n)
-                fits = start + length <= bounds[row + 1]
-                start, row = start[fits], row[fits]
-                rank = shared.span_hashes(raw, start, start + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(ids[a:b][row]), pa.array(start - bounds[row])], ["rank", "doc", "at"])
-
-    each = _rows(docs).join(open_, "doc").select("doc", "text", "open").mapInArrow(strings, "rank bigint, doc bigint, at bigint")
-    each = shared.materialise(each, "suffix-strings")
+STRING = "key bigint, doc bigint, lo bigint, n int, known boolean, body binary"
+
+
+def _moved(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, known: np.ndarray, body: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(known, pa.bool_()), pa.array(body, pa.binary())], ["key", "doc", "lo", "n", "known", "body"])
+
+
+def _combined_strings(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """As :func:`_combined`, for single strings."""
+    rank, doc, at = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((at, doc, rank))
+    rank, doc, at = rank[order], doc[order], at[order]
+    known = _same_as_before(rank)
+    with np.errstate(over="ignore"):
+        spread = shared.mix64(doc.view(np.uint64) * ODD + at.view(np.uint64))
+    return _moved(np.where(known, spread, rank).view(np.int64), doc, at, np.ones(len(at)), known, [None] * len(at))
+
+
+def _send(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
+            lists = batch.column(2).slice(a, b - a)
+            lo, more, gram, hot = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
+            fits = bounds[row] + lo + more + length <= bounds[row + 1]
+            lo, more, gram, hot, row = lo[fits], more[fits], gram[fits], hot[fits], row[fits]
+            at = bounds[row] + lo
+            own = ~hot
+            data = raw.tobytes()
+            if own.any():
+                yield _moved(gram[own], ids[a:b][row[own]], lo[own], more[own] + 1, np.zeros(own.sum(), bool), [data[x : x + m + length] for x, m in zip(at[own].tolist(), more[own].tolist())])
+            if hot.any():
+                size = more[hot] + 1
+                start = np.repeat(at[hot] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                row = np.repeat(row[hot], size)
+                held.append((shared.span_hashes(raw, start, start + length), ids[a:b][row], start - bounds[row]))
+                n += len(start)
+            if n >= HELD:
+                yield _combined_strings(held)
+                held, n = [], 0
+    if held:
+        yield _combined_strings(held)
+
+
+def _late(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """``doc, lo`` of all strings but the earliest of equal rank; all rows of a key are here."""
+    doc, lo, n = (rows.column(c).to_numpy() for c in ("doc", "lo", "n"))
+    known, body = rows.column("known").to_numpy(), rows.column("body").combine_chunks()
+    whole = np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False))
+    rank = rows.column("key").to_numpy().view(np.uint64)
+    single = np.flatnonzero(body.is_null().to_numpy(zero_copy_only=False))
+    raw = np.frombuffer(b"".join(body.take(pa.array(whole)).to_pylist()), np.uint8)
+    size = n[whole].astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + length - 1)))[:-1]
+    inside = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
+    start = np.repeat(begin, size) + inside
+    ranks = np.concatenate((rank[single], shared.span_hashes(raw, start, start + length)))
+    docs = np.concatenate((doc[single], np.repeat(doc[whole], size)))
+    at = np.concatenate((lo[single], np.repeat(lo[whole], size) + inside))
+    known = np.concatenate((known[single], np.zeros(len(start), bool)))
+    order = np.lexsort((at, docs, ranks))
+    late = np.zeros(len(order), bool)
+    late[order] = _same_as_before(ranks[order])
+    late |= known
+    return pa.RecordBatch.from_arrays([pa.array(docs[late]), pa.array(at[late])], ["doc", "lo"])
+
+
+def _receive(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Sorted by key: whole keys are taken together, and no more than needed is held."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += int(batch.column(3).to_numpy().sum())
+        if n >= HELD:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield _late(table.slice(0, cut), length)
+                held = table.slice(cut).to_batches()
+                n = int(table.slice(cut).column("n").to_numpy().sum())
+    if held:
+        yield _late(pa.Table.from_batches(held), length)
+
+
+def _strings(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """``doc, lo`` of single strings, among those of open positions, that start earlier too."""
+    open_ = found.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("lo", "more", "gram", "hot")).alias("open"))
+    sent = _rows(docs).join(open_, "doc").select("doc", "text", "open").mapInArrow(lambda x: _send(x, length), STRING)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    late = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _receive(x, length), "doc bigint, lo bigint")
+    return shared.materialise(late, "suffix-strings")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``doc, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged."""
+    if not gram < length <= gram + 250:
+        raise ValueError("length must exceed gram by 1 to 250")
+    spark = docs.sparkSession
+    shared.prepare_python(spark)
+    found = _places(docs, length, gram)
+    shared.release_shuffles(spark)
+    strings = _strings(docs, found, length)
     shared.release_shuffles(spark)
-    first = each.groupBy("rank").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "first")
-    late = each.join(first, "rank").where(F.struct("doc", "at") > F.col("first")).select("doc", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = found.where("repeated").select("doc", "lo", "hi").unionByName(late)
+    spans = found.where("gram is null").select("doc", "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select("doc", "lo", F.col("lo").alias("hi")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
 
 
