@@ -23,10 +23,8 @@ each get a row; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,21 +47,55 @@ UND = "und"
 WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed feature numbers: bias, affixes, n-grams, and the languages whose lexicons have the word."""
-    w = word[:LONGEST] if len(word) <= LONGEST else word[: LONGEST // 2] + word[-LONGEST // 2 :]
-    names = ["b"]
-    for n in (1, 2, 3, 4):
-        if len(w) > n:
-            names += ["p" + w[:n], "s" + w[-n:]]
-    framed = f"^{w}$"
-    for n in (1, 2, 3):
-        names += ["g" + framed[i : i + n] for i in range(len(framed) - n + 1)]
-    if len(w) <= 4:
-        names.append("w" + w)
-    mask = lexicon.get(w, 0)
-    names += [f"l{k}" for k in range(mask.bit_length()) if mask >> k & 1]
-    return [crc32(x.encode()) % BUCKETS for x in names]
+#: Kinds of features, which keep equal strings apart.
+GRAM, PREFIX, SUFFIX, WHOLE, LEXICAL, BIAS = range(6)
+_STEP = np.uint64(0x100000001B3)
+
+
+def _bucket(value: np.ndarray, kind: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (shared.mix64(value + np.uint64((kind * 16 + n) * 0x9E3779B1)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature numbers and the word each belongs to, for many words at once.
+
+    Every word has a bias, its 1- to 3-grams between word marks, affixes of up to 4 letters
+    shorter than itself, itself if it has 4 letters or fewer, and the languages whose lexicons have it.
+    """
+    cut = [w if len(w) <= LONGEST else w[: LONGEST // 2] + w[-LONGEST // 2 :] for w in words]
+    code = np.frombuffer("".join([f"^{w}$" for w in cut]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, cut), np.int64, len(cut))
+    end = np.cumsum(length + 2)
+    start = end - length - 2
+    owner = np.repeat(np.arange(len(cut)), length + 2)
+    last = end[owner]
+    flat, of = [np.full(len(cut), int(_bucket(np.zeros(1, np.uint64), BIAS, 0)[0]))], [np.arange(len(cut))]
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(code), np.uint64)
+        for n in (1, 2, 3, 4):
+            # hash of the n letters from each position on
+            run = run[: len(code) - n + 1] * _STEP + code[n - 1 :] + np.uint64(1)
+            if n <= 3:
+                at = np.flatnonzero(np.arange(len(run)) + n <= last[: len(run)])
+                flat.append(_bucket(run[at], GRAM, n))
+                of.append(owner[at])
+            longer = np.flatnonzero(length > n)
+            flat += [_bucket(run[start[longer] + 1], PREFIX, n), _bucket(run[end[longer] - 1 - n], SUFFIX, n)]
+            of += [longer, longer]
+            whole = np.flatnonzero(length == n)
+            flat.append(_bucket(run[start[whole] + 1], WHOLE, n))
+            of.append(whole)
+    mask = np.fromiter((lexicon.get(w, 0) for w in cut), np.int64, len(cut))
+    for k in range(int(mask.max(initial=0)).bit_length()):
+        known = np.flatnonzero(mask >> k & 1)
+        flat.append(_bucket(np.full(len(known), k, np.uint64), LEXICAL, 0))
+        of.append(known)
+    return np.concatenate(flat), np.concatenate(of)
+
+
+def summed(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(owner, weights[flat, j], n) for j in range(weights.shape[1])], 1)
 
 
 @dataclass
@@ -86,10 +118,9 @@ class Model:
         got = self.memo.get_all(words)
         if None in got:
             missing = list({w for w, v in zip(words, got) if v is None})
-            feats = [features(w, self.lexicon) for w in missing]
-            ends = np.cumsum([len(f) for f in feats])
-            sums = np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in feats])], np.concatenate(([0], ends[:-1])), axis=0)
-            rows = [r.tobytes() for r in sums.astype(np.float32)]
+            sums = summed(self.weights, *features(missing, self.lexicon), len(missing))
+            data, width = sums.astype(np.float32).tobytes(), 4 * len(self.labels)
+            rows = [data[i : i + width] for i in range(0, len(data), width)]
             fresh = dict(zip(missing, rows))
             short = [w for w in missing if len(w) <= LONGEST]
             self.memo.put(short, [fresh[w] for w in short])
@@ -184,9 +215,7 @@ def train(pieces: list[tuple[list[str], str]], seed: int = 1) -> Model:
     k = len(labels)
     vocabulary = sorted({w for s in sequences for w, _ in s})
     at = {w: i for i, w in enumerate(vocabulary)}
-    feats = [features(w, lexicon) for w in vocabulary]
-    flat, owner = np.concatenate([np.array(f) for f in feats]), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    offsets = np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
+    flat, owner = features(vocabulary, lexicon)
     words = np.array([at[w] for s in sequences for w, _ in s])
     gold = np.array([y for s in sequences for _, y in s])
     lengths = np.array([len(s) for s in sequences])
@@ -199,7 +228,7 @@ def train(pieces: list[tuple[list[str], str]], seed: int = 1) -> Model:
     seen_w, seen_m = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     one_hot = np.eye(k)[gold]
     for _ in range(ROUNDS):
-        emit = np.add.reduceat(weights[flat], offsets, axis=0)[words]
+        emit = summed(weights, flat, owner, len(vocabulary))[words]
         p, ahead = posteriors(emit, lengths, move)
         per_word = np.zeros((len(vocabulary), k))
         for j in range(k):
