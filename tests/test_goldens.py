@@ -228,3 +228,36 @@ def test_sample_ids_are_fixed(spark):
     table = cyclic(spark)
     a = merge.sample_ids(table, 5, 645)
     assert a == merge.sample_ids(table, 5, 645) and len(a) == 8 and {"00001", "00061", "00120"} <= set(a)
+
+
+def plain_stream(seed):
+    """The stream with whole numbers, one value after another."""
+    m, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & m
+        x = ((state ^ state >> 15) * (state | 1)) & m
+        x = ((x + (((x ^ x >> 7) * (x | 61)) & m)) & m) ^ x
+        yield (x ^ x >> 14) / 4294967296
+
+
+def plain_ticket(stream):
+    pool = list(range(1, 46))
+    for i in range(44, 0, -1):
+        j = int(next(stream) * (i + 1))
+        pool[i], pool[j] = pool[j], pool[i]
+    return sorted(pool[:6])
+
+
+def test_random_control_against_loop(spark):
+    rows = [(s, sorted(plain_ticket(plain_stream(1000 + s)))) for s in (0, 1, 5, 12345)]
+    frame = spark.createDataFrame(rows, "seed bigint, result array<int>")
+    got = frame.select("seed", rng.random_control()(F.col("seed"), F.col("result")).alias("c")).collect()
+    prize = {3: 30_000, 4: 300_000, 5: 10_000_000}
+    for r, (seed, result) in zip(sorted(got, key=lambda r: r["seed"]), rows):
+        ks = [len(set(plain_ticket(plain_stream(seed * 131 + i or 0x6D2B79F5))) & set(result)) for i in range(32)]
+        assert r["c"]["k"] == sum(ks) / 32 and r["c"]["hit3"] == sum(k >= 3 for k in ks) / 32 and r["c"]["payout"] == sum(prize.get(k, 0) for k in ks) / 32
+
+
+def test_fair_tickets_share_one_stream():
+    s = plain_stream(645)
+    assert rng.fair_tickets(645, 5).tolist() == [plain_ticket(s) for _ in range(5)]
