@@ -240,6 +240,26 @@ def test_near_groups_edges(spark, empty):
     assert sorted(minhash.keep_one(table).select("doc_id").toPandas()["doc_id"].fillna(-1)) == [-1, 1, 2, 3]
 
 
+def test_smallest_member_linked_to_a_later_one_only(spark):
+    """40 components of ten near copies, each beside a smaller doc_id that is like the last of them alone."""
+    r = random.Random(23)
+    table = []
+    for c in range(40):
+        word = [f"c{c}w{i}" for i in range(200)]
+        at = r.sample(range(3, 197, 4), 14)
+
+        def changed(places, name):
+            return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(word))
+
+        table.append((100 * c, changed(at[:5], f"c{c}a")))
+        table += [(100 * c + 1 + i, changed([x], f"c{c}b")) for i, x in enumerate(at[5:])]
+        table.append((100 * c + 50, " ".join(word)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_groups(spark.createDataFrame(table, "doc_id bigint, text string"), 3, 85).collect()}
+    want = brute_groups(table, 3, 85)
+    assert all(want[100 * c + 50][1] == 100 * c for c in range(40))
+    assert got == want
+
+
 def test_packed_signatures_estimate():
     r = np.random.default_rng(3)
     common, a, b = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))

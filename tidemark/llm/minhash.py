@@ -12,9 +12,9 @@
 5. In all bands, buckets that still hold several components pair their smallest member with one
    member of each other component; what is confirmed joins components.
 6. A bucket that even then spans components may hide a link between two members that are both
-   unlike its smallest one.  There, members outside the smallest one's component are compared (by
-   the packed signatures, inside the join) with all members of other components, and what
-   passes is confirmed in the same way.
+   unlike its smallest one, or between the smallest one and a member that step 5 did not pick.
+   There, members outside the smallest one's component are compared (by the packed signatures,
+   inside the join) with all members of other components, and what passes is confirmed in the same way.
 
 A link at the threshold is missed by the bands with a chance of (1 - t ** rows) ** bands,
 below 3e-7 as called here.
@@ -241,8 +241,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # buckets that still do: strays against the members of other components
     open_ = shared.materialise(_mixed(starred, roots).join(planes.withColumnRenamed("rep", "b"), "b"), "open-buckets")
     stray = open_.where("root <> head").select("bucket", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("planes").alias("px"))
-    other = open_.where("b <> a").select("bucket", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("head"), F.col("planes").alias("py"))
-    # two strays meet once; a stray meets the head's component members too
+    other = open_.select("bucket", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("head"), F.col("planes").alias("py"))
+    # two strays meet once; a stray meets the head's component members too, the smallest member included
     meet = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("head")) | (F.col("x") < F.col("y")))
     more = stray.join(other, (stray["bucket"] == other["bucket"]) & meet & (likeness("px", "py") >= least))
     more = shared.materialise(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti"), "more-candidates")
