@@ -203,6 +203,21 @@ def test_personal_data(spark, docs, rows, empty):
     assert "[card] [email]" in clean[60_004] and "bob" not in clean[60_004]
 
 
+def test_terms_are_counted_over_distinct_texts(spark):
+    """A copied context must not make its term look common."""
+    other = [(i, f"plain{'abcdefghij'[i % 10]} words{'abcdefghij'[i // 10]} without anything to hide") for i in range(100)]
+    held = [(200 + i, f"{a} zanzibarus bob.smith@corp.example.com {b}") for i, (a, b) in enumerate([("alpha", "bravo"), ("charlie", "delta"), ("echo", "foxtrot")])]
+    copies = [(300 + i, held[0][1]) for i in range(60)]
+    for extra in ([], copies):
+        table = spark.createDataFrame([*other, *held, *extra], "doc_id bigint, text string")
+        got = {r["doc_id"]: r for r in pii.find(table).collect()}
+        assert all(got[d]["n_terms"] == 1 and "term:" in got[d]["spans"] for d, _ in [*held, *extra])
+        assert all(got[d]["n_terms"] == 0 for d, _ in other)
+    # copies alone are one context, and no term is disclosed by them
+    got = pii.find(spark.createDataFrame([*other, *copies], "doc_id bigint, text string"))
+    assert got.agg(F.sum("n_terms")).first()[0] == 0
+
+
 def brute_groups(rows, words, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}

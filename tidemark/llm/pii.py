@@ -7,12 +7,13 @@ The patterns are written so that none backtracks over more than a run of its own
 characters, and no group repeats without bound, so very long texts cost linear time.
 
 The method: every distinct value found is a protected entity.  Entities and the terms
-around them (``NEAR`` words on either side of a base span) are counted over all documents,
-as are the documents that hold each such term.  A term discloses an entity as far as its
+around them (``NEAR`` words on either side of a base span) are counted over all distinct texts,
+as are the distinct texts that hold each such term.  A term discloses an entity as far as its
 pointwise mutual information with it goes; where that reaches ``ALPHA`` times the entity's
 own information content, with at least ``SUPPORT`` different contexts behind it, the
 term is removed (kind ``term``) wherever it stands in a document that holds the entity.
-Contexts that are equal word by word count once, so copies of one text disclose nothing new.
+All counts are of texts, and copies of one text count once in each of them; contexts that are
+equal word by word count once towards ``SUPPORT``, so near copies disclose nothing new.
 
 Edge cases: a null text counts as empty and has no spans (the digest is that of the empty
 string); repeated rows each get a row; texts without a match keep all terms; other columns
@@ -116,7 +117,7 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: floa
     """``entity, term`` above the threshold.  ``holders``: rows of documents with base spans."""
     window = F.col("span.s"), F.col("span.e")
     spans = F.concat(*map(_entity_spans, KINDS))
-    each = holders.select("text", F.explode(spans).alias("span"))
+    each = holders.select("key", "text", F.explode(spans).alias("span"))
     tail = lambda words: F.slice(words, F.greatest(F.size(words) - near + 1, F.lit(1)), F.lit(near))
     # 24 characters a word are room enough for the near words of most scripts; the words, not the characters, are the window
     before = F.substr("text", F.greatest(window[0] + 1 - 24 * near, F.lit(1)), F.least(window[0], F.lit(24 * near)))
@@ -124,15 +125,18 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: floa
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     context = F.concat(tail(words(before)), F.slice(words(after), F.lit(1), F.lit(near)))
     terms = F.filter(F.array_distinct(F.transform(context, term_of)), lambda t: t != "")
-    contexts = each.select(F.col("span.entity").alias("entity"), F.xxhash64(context).alias("context"), terms.alias("terms"))
-    contexts = contexts.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    pairs = shared.materialise(pairs, "entity-terms")
-    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # all terms are counted, with counts combined before they are moved; only then those around entities are picked
-    seen = docs.select(F.explode(F.array_distinct(F.transform(words(shared.text_or_empty()), term_of))).alias("term"))
-    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = docs.count()
+    contexts = each.select(F.col("span.entity").alias("entity"), "key", F.xxhash64(context).alias("context"), terms.alias("terms"))
+    contexts = contexts.groupBy("entity", "key", "context").agg(F.first("terms").alias("terms"))
+    contexts = shared.materialise(contexts, "pii-contexts")
+    pairs = contexts.select("entity", "key", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("key").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
+    pairs = shared.materialise(pairs.where(F.col("n_contexts") >= support), "entity-terms")
+    entities = contexts.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
+    # all terms of distinct texts are counted and written, with counts combined before they are moved; each text also counts under ""
+    texts = docs.select(shared.text_or_empty().alias("text")).distinct()
+    seen = texts.select(F.explode(F.array_union(F.transform(words(F.col("text")), term_of), F.array(F.lit("")))).alias("term"))
+    counts = shared.materialise(seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "term-counts")
+    found = counts.where("term = ''").first()
+    total = found["n_term"] if found else 0
     information = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return pairs.join(entities, "entity").join(counts, "term").where((information > 0) & (pmi >= alpha * information)).select("entity", "term")
