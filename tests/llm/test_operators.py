@@ -340,6 +340,24 @@ def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.removed_digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("parts", [1, 6])
+def test_repeated_bytes_of_repeated_and_null_ids(spark, monkeypatch, hot, parts):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = some(300)
+    twice, one, other = some(150) + passage, some(120) + passage[40:], passage[:250] + some(130)
+    table = [(1, twice), (1, twice), (1, twice), (2, one), (2, one), (2, other), (3, some(400))]
+    table += [(None, some(90) + passage[i:] + some(150)) for i in (0, 10, 20)] + [(None, some(500)), (None, None), (None, twice), (None, twice)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(parts)
+    digest = {x["text"]: x["h"] for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(set(table), key=lambda x: (x[0] is None, x[0] or 0, digest[x[1]]))
+    want = brute_repeats([(i, x) for i, (_, x) in enumerate(order)])
+    got = sorted(((x["doc_id"] or -1, x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.removed_digests(df).collect()))
+    assert got == sorted((d or -1, *want[order.index((d, x))]) for d, x in table)
+
+
 def test_exact_groups(spark, docs, rows, empty, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HOT", 20)
     groups = {}

@@ -21,9 +21,10 @@ positions in a ``length``-byte string, the one with the least rank represents it
 Equal pairs are combined in each map task before they are moved, so a passage held by a
 third of all documents sends one row per task and not one per document.
 
-Edge cases: a null text counts as empty; a null doc_id comes after all others; rows with
-one doc_id are taken as copies of one document (none removes bytes of another at the same
-start; if their texts differ, spans found in one are removed from all); texts shorter than
+Edge cases: a null text counts as empty; a null doc_id comes after all others; rows are
+told apart by doc_id and the text's digest, so rows with one doc_id (or none) and different
+texts are different documents in the order of their digests, and rows equal in both are
+copies of one document (none removes bytes of another at the same start); texts shorter than
 ``length`` keep all bytes unless covered; other columns are ignored; an empty table gives
 an empty result.
 """
@@ -47,7 +48,7 @@ HELD = 1 << 20
 #: More stretches than this of one gram are not brought to one task.
 HOT = 4096
 NO_ID = np.iinfo(np.int64).max
-PLACE = "gram bigint, stretch bigint, doc bigint, place bigint"
+PLACE = "gram bigint, stretch bigint, doc bigint, digest bigint, place bigint"
 ODD = shared.ODD64
 
 
@@ -103,37 +104,51 @@ def _same_as_before(key: np.ndarray) -> np.ndarray:
     return equal
 
 
+def _ordered(rank: np.ndarray, doc: np.ndarray, digest: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order by rank and place; a place that a repeated row brings again is left out."""
+    order = np.lexsort((at, digest, doc))
+    order = order[np.argsort(rank[order], kind="stable")]
+    again = _same_as_before(rank[order])
+    for x in (at, doc, digest):
+        again &= _same_as_before(x[order])
+    return order[~again]
+
+
+def _spread(doc: np.ndarray, digest: np.ndarray, at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return shared.mix64((doc.view(np.uint64) ^ digest.view(np.uint64)) * ODD + at.view(np.uint64))
+
+
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Of equal pairs the earliest; the others are known to repeat it and go to any task."""
-    gram, stretch, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((lo, doc))
+    gram, stretch, doc, digest, lo, hi = (np.concatenate(x) for x in zip(*parts))
     with np.errstate(over="ignore"):
         pair = shared.mix64(gram.view(np.uint64) + stretch.view(np.uint64) * ODD)
-    order = order[np.argsort(pair[order], kind="stable")]
-    gram, stretch, doc, lo, hi = gram[order], stretch[order], doc[order], lo[order], hi[order]
+    order = _ordered(pair, doc, digest, lo)
+    gram, stretch, doc, digest, lo, hi = gram[order], stretch[order], doc[order], digest[order], lo[order], hi[order]
     known = _same_as_before(pair[order])
-    with np.errstate(over="ignore"):
-        spread = shared.mix64(doc.view(np.uint64) * ODD + lo.view(np.uint64)).view(np.int64)
+    spread = _spread(doc, digest, lo).view(np.int64)
     gram = np.where(known, spread, gram)
     stretch = np.where(known, spread, stretch)
-    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(stretch), pa.array(doc), pa.array(_pack(lo, hi, known))], ["gram", "stretch", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(stretch), pa.array(doc), pa.array(digest), pa.array(_pack(lo, hi, known))], ["gram", "stretch", "doc", "digest", "place"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("digest"))
 
 
 def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc, lo, hi, kind`` of positions with a repeated gram."""
+    """``doc, digest, lo, more, gram, hot`` of positions with a repeated gram."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, digests = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
                 row, g, s, lo, hi = places(raw, bounds, length, gram)
                 if len(row):
-                    held.append((g, s, ids[a:b][row], lo, hi))
+                    held.append((g, s, ids[a:b][row], digests[a:b][row], lo, hi))
                     n += len(row)
                 if n >= HELD:
                     yield _combined(held)
@@ -144,41 +159,40 @@ def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
     chosen = _rows(docs).mapInArrow(choose, PLACE)
     by_gram = Window.partitionBy("gram")
     ranked = chosen.select(
-        "gram", "doc", "place",
+        "gram", "doc", "digest", "place",
         F.count(F.lit(1)).over(by_gram).alias("n"),
         (F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram)).alias("several"),
-        F.row_number().over(Window.partitionBy("gram", "stretch").orderBy("doc", "place")).alias("nth"),
+        # equal places, which repeated rows bring, share a number
+        F.rank().over(Window.partitionBy("gram", "stretch").orderBy("doc", "digest", "place")).alias("nth"),
     )
     repeated = (F.col("place").bitwiseAND(1) == 1) | (F.col("nth") > 1)
     found = ranked.where(repeated | F.col("several")).select(
-        "doc", F.shiftright("place", 9).alias("lo"), F.shiftright("place", 1).bitwiseAND(255).cast("int").alias("more"),
+        "doc", "digest", F.shiftright("place", 9).alias("lo"), F.shiftright("place", 1).bitwiseAND(255).cast("int").alias("more"),
         F.when(~repeated, F.col("gram")).alias("gram"), (F.col("n") > HOT).alias("hot"),
     )
     return shared.materialise(found, "suffix-places")
 
 
-STRING = "key bigint, doc bigint, lo bigint, n int, known boolean, body binary"
+STRING = "key bigint, doc bigint, digest bigint, lo bigint, n int, known boolean, body binary"
 
 
-def _moved(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, known: np.ndarray, body: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(known, pa.bool_()), pa.array(body, pa.binary())], ["key", "doc", "lo", "n", "known", "body"])
+def _moved(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, lo: np.ndarray, n: np.ndarray, known: np.ndarray, body: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(known, pa.bool_()), pa.array(body, pa.binary())], ["key", "doc", "digest", "lo", "n", "known", "body"])
 
 
 def _combined_strings(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """As :func:`_combined`, for single strings."""
-    rank, doc, at = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((at, doc, rank))
-    rank, doc, at = rank[order], doc[order], at[order]
+    rank, doc, digest, at = (np.concatenate(x) for x in zip(*parts))
+    order = _ordered(rank, doc, digest, at)
+    rank, doc, digest, at = rank[order], doc[order], digest[order], at[order]
     known = _same_as_before(rank)
-    with np.errstate(over="ignore"):
-        spread = shared.mix64(doc.view(np.uint64) * ODD + at.view(np.uint64))
-    return _moved(np.where(known, spread, rank).view(np.int64), doc, at, np.ones(len(at)), known, [None] * len(at))
+    return _moved(np.where(known, _spread(doc, digest, at), rank).view(np.int64), doc, digest, at, np.ones(len(at)), known, [None] * len(at))
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids, digests = batch.column(0).to_numpy(), batch.column(3).to_numpy()
         for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
             lists = batch.column(2).slice(a, b - a)
             lo, more, gram, hot = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -189,12 +203,12 @@ def _send(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             own = ~hot
             data = raw.tobytes()
             if own.any():
-                yield _moved(gram[own], ids[a:b][row[own]], lo[own], more[own] + 1, np.zeros(own.sum(), bool), [data[x : x + m + length] for x, m in zip(at[own].tolist(), more[own].tolist())])
+                yield _moved(gram[own], ids[a:b][row[own]], digests[a:b][row[own]], lo[own], more[own] + 1, np.zeros(own.sum(), bool), [data[x : x + m + length] for x, m in zip(at[own].tolist(), more[own].tolist())])
             if hot.any():
                 size = more[hot] + 1
                 start = np.repeat(at[hot] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 row = np.repeat(row[hot], size)
-                held.append((shared.span_hashes(raw, start, start + length), ids[a:b][row], start - bounds[row]))
+                held.append((shared.span_hashes(raw, start, start + length), ids[a:b][row], digests[a:b][row], start - bounds[row]))
                 n += len(start)
             if n >= HELD:
                 yield _combined_strings(held)
@@ -204,8 +218,8 @@ def _send(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _late(rows: pa.Table, length: int) -> pa.RecordBatch:
-    """``doc, lo`` of all strings but the earliest of equal rank; all rows of a key are here."""
-    doc, lo, n = (rows.column(c).to_numpy() for c in ("doc", "lo", "n"))
+    """``doc, digest, lo`` of all strings but the earliest of equal rank; all rows of a key are here."""
+    doc, digest, lo, n = (rows.column(c).to_numpy() for c in ("doc", "digest", "lo", "n"))
     known, body = rows.column("known").to_numpy(), rows.column("body").combine_chunks()
     whole = np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False))
     rank = rows.column("key").to_numpy().view(np.uint64)
@@ -217,13 +231,14 @@ def _late(rows: pa.Table, length: int) -> pa.RecordBatch:
     start = np.repeat(begin, size) + inside
     ranks = np.concatenate((rank[single], shared.span_hashes(raw, start, start + length)))
     docs = np.concatenate((doc[single], np.repeat(doc[whole], size)))
+    digests = np.concatenate((digest[single], np.repeat(digest[whole], size)))
     at = np.concatenate((lo[single], np.repeat(lo[whole], size) + inside))
     known = np.concatenate((known[single], np.zeros(len(start), bool)))
-    order = np.lexsort((at, docs, ranks))
-    late = np.zeros(len(order), bool)
+    order = _ordered(ranks, docs, digests, at)
+    late = np.zeros(len(ranks), bool)
     late[order] = _same_as_before(ranks[order])
     late |= known
-    return pa.RecordBatch.from_arrays([pa.array(docs[late]), pa.array(at[late])], ["doc", "lo"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[late]), pa.array(digests[late]), pa.array(at[late])], ["doc", "digest", "lo"])
 
 
 def _receive(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -232,7 +247,7 @@ def _receive(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     n = 0
     for batch in batches:
         held.append(batch)
-        n += int(batch.column(3).to_numpy().sum())
+        n += int(batch.column(4).to_numpy().sum())
         if n >= HELD:
             table = pa.Table.from_batches(held).combine_chunks()
             keys = table.column("key").to_numpy()
@@ -246,16 +261,16 @@ def _receive(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _strings(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """``doc, lo`` of single strings, among those of open positions, that start earlier too."""
-    open_ = found.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("lo", "more", "gram", "hot")).alias("open"))
-    sent = _rows(docs).join(open_, "doc").select("doc", "text", "open").mapInArrow(lambda x: _send(x, length), STRING)
+    """``doc, digest, lo`` of single strings, among those of open positions, that start earlier too."""
+    open_ = found.where("gram is not null").groupBy("doc", "digest").agg(F.collect_set(F.struct("lo", "more", "gram", "hot")).alias("open"))
+    sent = _rows(docs).join(open_, ["doc", "digest"]).select("doc", "text", "open", "digest").mapInArrow(lambda x: _send(x, length), STRING)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    late = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _receive(x, length), "doc bigint, lo bigint")
+    late = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _receive(x, length), "doc bigint, digest bigint, lo bigint")
     return shared.materialise(late, "suffix-strings")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged."""
+    """``doc, digest, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged."""
     if not gram < length <= gram + 250:
         raise ValueError("length must exceed gram by 1 to 250")
     spark = docs.sparkSession
@@ -264,8 +279,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared.release_shuffles(spark)
     strings = _strings(docs, found, length)
     shared.release_shuffles(spark)
-    spans = found.where("gram is null").select("doc", "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select("doc", "lo", F.col("lo").alias("hi")))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
+    spans = found.where("gram is null").select("doc", "digest", "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select("doc", "digest", "lo", F.col("lo").alias("hi")))
+    return spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
 
 
 def _merged(spans: np.ndarray, n: int) -> np.ndarray:
@@ -279,7 +294,7 @@ def _merged(spans: np.ndarray, n: int) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     spans = repeated_spans(docs, length, gram)
-    return _rows(docs).join(spans, "doc", "left").select("doc", "text", "spans")
+    return _rows(docs).join(spans, ["doc", "digest"], "left").select("doc", "text", "spans")
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, bytes, int]]:
