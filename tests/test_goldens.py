@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import math
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exact, hashing, numeric, rng, rules, stats
 from tidemark.operators import controls, draws, merge, pool18, portfolio, provenance, resample, walkforward
+from tidemark.plans import catalog
 from tidemark.sources import html, jsonl
 from tidemark.streaming import limits
 
@@ -261,3 +264,24 @@ def test_random_control_against_loop(spark):
 def test_fair_tickets_share_one_stream():
     s = plain_stream(645)
     assert rng.fair_tickets(645, 5).tolist() == [plain_ticket(s) for _ in range(5)]
+
+
+@pytest.mark.parametrize("name, module, function, full", [
+    ("fairness_mc", resample, "fairness", {"simulations": 2000}), ("sign_flip_bootstrap", resample, "paired", {"iterations": 10_000}),
+    ("pool18_audit", pool18, "audit", {"iterations": 10_000}), ("negative_controls", controls, "all_controls", {"replications": 25}),
+])
+def test_queries_run_the_whole_job(monkeypatch, name, module, function, full):
+    """Registered with as many repetitions as the reference has by default."""
+    monkeypatch.setattr(catalog, "all_draws", lambda spark, d: None)
+    monkeypatch.setattr(catalog.walkforward, "series", lambda *a: MagicMock())
+    monkeypatch.setattr(catalog, "F", MagicMock())
+    shape, seen = inspect.signature(getattr(module, function)), {}
+
+    def called(*args, **named):
+        bound = shape.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(module, function, called)
+    catalog.QUERIES[name](None, None)
+    assert {k: seen[k] for k in full} == full

@@ -519,7 +519,7 @@ def stability_halves(spark, d):
 
 @query()
 def pool18_audit(spark, d):
-    return pool18.audit(all_draws(spark, d), LOOKBACK, iterations=2000)
+    return pool18.audit(all_draws(spark, d), LOOKBACK)
 
 
 @query(DRAWS + "SELECT count(*) - 90 AS n, count(*) - 90 AS hits FROM draws")
@@ -537,13 +537,13 @@ def random_pick(spark, d):
 
 @query()
 def fairness_mc(spark, d):
-    return resample.fairness(all_draws(spark, d), 200)
+    return resample.fairness(all_draws(spark, d))
 
 
 @query()
 def sign_flip_bootstrap(spark, d):
     s = walkforward.series(all_draws(spark, d), LOOKBACK, "COLD").where("strategy <> 'COLD'")
-    return resample.paired(s.select("strategy", "t", (F.col("k") - F.col("control_k")).alias("d")), "strategy", 645, 1000)
+    return resample.paired(s.select("strategy", "t", (F.col("k") - F.col("control_k")).alias("d")), "strategy", 645)
 
 
 @query()
@@ -561,7 +561,7 @@ def mcnemar(spark, d):
 
 @query()
 def negative_controls(spark, d):
-    return controls.all_controls(all_draws(spark, d), LOOKBACK, replications=10)
+    return controls.all_controls(all_draws(spark, d), LOOKBACK)
 
 
 # ---- provenance -----------------------------------------------------------------------------------------------------
