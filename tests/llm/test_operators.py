@@ -302,6 +302,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.decontaminate(table, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_leaks_in_rows_that_share_a_doc_id_or_have_none(spark):
+    bench = spark.createDataFrame([(1, "seven quick foxes jumped over the very lazy dog today")], "item_id bigint, text string")
+    leak, clean = "see: seven quick foxes jumped over the very lazy dog today", "nothing to see here at all"
+    table = spark.createDataFrame([(None, leak), (None, clean), (None, None), (1, leak), (1, clean), (2, clean)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["contaminated"]) for r in decontam.decontaminate(table, bench).collect())
+    assert got == [(0, False), (0, False), (0, True), (1, False), (1, True), (2, False)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontam.drop_contaminated(table, bench).collect()) == [(0, ""), (0, clean), (1, clean), (2, clean)]
+
+
 def test_planted_passages_are_found(spark):
     d, b = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}

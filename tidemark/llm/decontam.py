@@ -18,7 +18,7 @@ alignment before anything is grouped.
 Edge cases: null or wordless documents are clean; null or wordless items match nothing; an
 item with fewer than ``WORDS`` tokens is one window of all its tokens, matched whole and only
 if it has ``SHORTEST`` tokens or more; repeated rows each get a row (equal texts, equal
-results; rows with one doc_id share findings); other columns are ignored; an empty table
+results; rows with one doc_id, or with none, are told apart by their texts' digests); other columns are ignored; an empty table
 on either side gives no findings.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -127,7 +127,7 @@ def windows(raw: np.ndarray, bounds: np.ndarray, words: int, openings: bool = Fa
     return total, row, at, lead, value, slot
 
 
-WINDOW = "id bigint, window bigint, at int, slots array<bigint>"
+WINDOW = "id bigint, digest bigint, window bigint, at int, slots array<bigint>"
 
 
 def _slot_lists(at: np.ndarray, lead: np.ndarray, words: int, value: np.ndarray, slot: np.ndarray) -> pa.Array:
@@ -142,7 +142,7 @@ def _slot_lists(at: np.ndarray, lead: np.ndarray, words: int, value: np.ndarray,
 
 def _window_batches(batches: Iterator[pa.RecordBatch], words: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, digests = batch.column(0), batch.column(2)
         for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
             if not len(raw):
                 continue
@@ -152,13 +152,17 @@ def _window_batches(batches: Iterator[pa.RecordBatch], words: int, bitmap: np.nd
                 near = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 h, row, at, lead = h[near], row[near], at[near], lead[near]
             if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), _slot_lists(at, lead, words, value, slot)], ["id", "window", "at", "slots"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(row)), digests.slice(a, b - a).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), _slot_lists(at, lead, words, value, slot)], ["id", "digest", "window", "at", "slots"])
+
+
+def _digest() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def window_table(docs: DataFrame, id_column: str, words: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``id, window, at, slots``; ``at`` counts tokens from somewhere that is constant for a row.
+    """``id, digest, window, at, slots``; ``digest`` is that of the row's text, ``at`` counts tokens from somewhere that is constant for a row.
 
-    With a bitmap the rows are documents and other windows are left out; without one they are items.
+    With a bitmap the rows are documents, whose ids may be null, and other windows are left out; without one they are items.
     """
     spark = docs.sparkSession
     shared.prepare_python(spark)
@@ -167,8 +171,10 @@ def window_table(docs: DataFrame, id_column: str, words: int, bitmap: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _window_batches(batches, words, sent.value)
 
-    rows = docs.where(F.col(id_column).isNotNull() & F.col("text").isNotNull())
-    return rows.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, WINDOW)
+    rows = docs.where(F.col("text").isNotNull())
+    if bitmap is None:
+        rows = rows.where(F.col(id_column).isNotNull())
+    return rows.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"), _digest().alias("digest")).mapInArrow(run, WINDOW)
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -182,7 +188,7 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
-    """``doc_id, item_id, covered, kind`` for each document and item that contaminates it."""
+    """``doc_id, digest, item_id, covered, kind`` for each document and item that contaminates it."""
     short_words = SHORTEST
     parts = []
     sizes = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -196,37 +202,46 @@ def findings(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: f
             continue
         parts.append(_matched(docs, items, w))
     if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, covered double, kind string")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, digest bigint, item_id bigint, covered double, kind string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    best = out.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.min("kind").alias("kind"))
+    best = out.groupBy("doc_id", "digest", "item_id").agg(F.max("covered").alias("covered"), F.min("kind").alias("kind"))
     return best.where(F.col("covered") >= share)
 
 
 def _matched(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
     total = items.groupBy("id").agg(F.count_distinct("at").alias("n_windows")).withColumnRenamed("id", "item_id")
-    found = window_table(docs, "doc_id", words, _bitmap(items)).select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    found = window_table(docs, "doc_id", words, _bitmap(items)).select(F.col("id").alias("doc_id"), "digest", "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     mine = items.select(F.col("id").alias("item_id"), "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.join(mine, "window").withColumn("shift", F.col("doc_at") - F.col("item_at"))
     # one row per document, item and alignment: where it holds, and its distinct slot pairs
     pairs = F.zip_with("item_slots", "doc_slots", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    runs = met.groupBy("doc_id", "digest", "item_id", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["y"]))))
     equal = ~F.exists("pairs", lambda p: p["x"] != p["y"])
-    good = runs.where(one_to_one).select("doc_id", "item_id", "ats", equal.alias("equal"))
-    each = good.select("doc_id", "item_id", F.explode("ats").alias("at"), "equal").groupBy("doc_id", "item_id", "at").agg(F.max("equal").alias("equal"))
-    covered = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("n_equal"))
+    good = runs.where(one_to_one).select("doc_id", "digest", "item_id", "ats", equal.alias("equal"))
+    each = good.select("doc_id", "digest", "item_id", F.explode("ats").alias("at"), "equal").groupBy("doc_id", "digest", "item_id", "at").agg(F.max("equal").alias("equal"))
+    covered = each.groupBy("doc_id", "digest", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("n_equal"))
     done = covered.join(total, "item_id")
-    return done.select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("covered"), F.when(F.col("n_equal") == F.col("n"), "exact").otherwise("reparameterised").alias("kind"))
+    return done.select("doc_id", "digest", "item_id", (F.col("n") / F.col("n_windows")).alias("covered"), F.when(F.col("n_equal") == F.col("n"), "exact").otherwise("reparameterised").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
     """``doc_id, contaminated, n_items, items, kind, covered`` for every row."""
     found = findings(docs, benchmark, words, share)
-    each = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.min("kind").alias("kind"), F.max("covered").alias("covered"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(each, "doc_id", "left").select(
+    each = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.min("kind").alias("kind"), F.max("covered").alias("covered"))
+    each = each.withColumnRenamed("doc_id", "d").withColumnRenamed("digest", "t")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
+    return rows.join(each, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t")), "left").select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), "kind", "covered",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, rows without a doc_id judged by their own texts."""
+    found = findings(docs, benchmark)
+    d, t = shared.free_name(docs, "_d"), shared.free_name(docs, "_t")
+    found = found.select(F.col("doc_id").alias(d), F.col("digest").alias(t)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"].cast("string")) == F.col(t)), "left_anti").select(*docs.columns)
