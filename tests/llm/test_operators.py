@@ -218,6 +218,23 @@ def test_terms_are_counted_over_distinct_texts(spark):
     assert got.agg(F.sum("n_terms")).first()[0] == 0
 
 
+def test_terms_lie_within_eight_words_however_long(spark):
+    """Words of any length lie between a term and its entity; a word's end is no word."""
+    other = [(i, f"plain{'abcdefghij'[i % 10]} words{'abcdefghij'[i // 10]} without anything to hide") for i in range(100)]
+    mail = "bob.smith@corp.example.com"
+    near, far, cut = [], [], []
+    for i, c in enumerate("abc"):
+        for size in (60, 3000):
+            k = 10 * i + size
+            long = [f"{c}{j}/" * size for j in range(6)]
+            near += [(1000 + k, " ".join(["zanzibarus", *long, c, mail])), (5000 + k, " ".join([mail, c, *long, "zanzibarus"]))]
+            far += [(10_000 + k, " ".join(["zanzibarus", *long, c, c, mail])), (15_000 + k, " ".join([mail, c, c, *long, "zanzibarus"]))]
+        cut.append((20_000 + i, "zanzibarus" * 20 + f"{c} {mail}"))
+    for rows, n in ((near, 1), (far, 0), (cut, 0)):
+        got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([*other, *rows], "doc_id bigint, text string")).collect()}
+        assert [got[d]["spans"].count("term:") for d, _ in rows] == [n] * len(rows)
+
+
 def brute_groups(rows, words, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}

@@ -115,15 +115,22 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: float, support: int) -> DataFrame:
     """``entity, term`` above the threshold.  ``holders``: rows of documents with base spans."""
-    window = F.col("span.s"), F.col("span.e")
+    begin, end = F.col("span.s"), F.col("span.e")
     spans = F.concat(*map(_entity_spans, KINDS))
     each = holders.select("key", "text", F.explode(spans).alias("span"))
     tail = lambda words: F.slice(words, F.greatest(F.size(words) - near + 1, F.lit(1)), F.lit(near))
-    # 24 characters a word are room enough for the near words of most scripts; the words, not the characters, are the window
-    before = F.substr("text", F.greatest(window[0] + 1 - 24 * near, F.lit(1)), F.least(window[0], F.lit(24 * near)))
-    after = F.substr("text", window[1] + 1, F.lit(24 * near))
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-    context = F.concat(tail(words(before)), F.slice(words(after), F.lit(1), F.lit(near)))
+    before = lambda reach: words(F.substr("text", F.greatest(begin + 1 - reach, F.lit(1)), F.least(begin, reach)))
+    after = lambda reach: words(F.substr("text", end + 1, reach))
+    # the words, not the characters, are the window: where those nearest do not hold near whole words, more are split, at last the whole text
+    reaches = [F.lit(24 * near), F.lit(768 * near), F.length("text")]
+    each = each.select("*", before(reaches[0]).alias("before"), after(reaches[0]).alias("after"))
+    for reach, wider in zip(reaches, reaches[1:]):
+        each = each.withColumns({
+            "before": F.when((F.size("before") > near) | (begin <= reach), F.col("before")).otherwise(before(wider)),
+            "after": F.when((F.size("after") > near) | (end + reach >= F.length("text")), F.col("after")).otherwise(after(wider)),
+        })
+    context = F.concat(tail(F.col("before")), F.slice("after", F.lit(1), F.lit(near)))
     terms = F.filter(F.array_distinct(F.transform(context, term_of)), lambda t: t != "")
     contexts = each.select(F.col("span.entity").alias("entity"), "key", F.xxhash64(context).alias("context"), terms.alias("terms"))
     contexts = contexts.groupBy("entity", "key", "context").agg(F.first("terms").alias("terms"))
