@@ -203,6 +203,19 @@ def test_personal_data(spark, docs, rows, empty):
     assert "[card] [email]" in clean[60_004] and "bob" not in clean[60_004]
 
 
+def test_every_letter_of_a_run_is_looked_at():
+    """What stands in the middle of a long run moves its score, by as much as its n-grams weigh."""
+    weights = np.random.default_rng(5).normal(size=(language_id.BUCKETS, 3))
+    model = language_id.Model(["a", "b", "c"], weights, np.zeros((3, 3)), {})
+    for size in (30, 400_000):
+        words = ["x" * size + middle + "x" * size for middle in ("", "q", "日本語")] + ["short", "words"]
+        got = model.word_scores(words)
+        q, x = (model.word_scores([f"xxxx{m}xxxx"]) - model.word_scores(["xxxxxxxx"]) for m in ("q", ""))
+        assert not x.any() and np.abs(got[1] - got[0] - q[0]).max() < 1e-2 + 1e-6 * size
+        assert np.abs(got[2] - got[0]).max() > 0.1
+        assert (got[3:] == model.word_scores(["short", "words"])).all()
+
+
 def test_terms_are_counted_over_distinct_texts(spark):
     """A copied context must not make its term look common."""
     other = [(i, f"plain{'abcdefghij'[i % 10]} words{'abcdefghij'[i // 10]} without anything to hide") for i in range(100)]

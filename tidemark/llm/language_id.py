@@ -40,6 +40,7 @@ BUCKETS = 1 << 15
 BLOCK = 32
 ROUNDS = 40
 MEMO = 300_000
+#: Longer words are scored anew each time instead of being remembered.
 LONGEST = 48
 #: Words kept in a language's lexicon, and how often each must occur in the sample.
 LEXICON, LEXICON_LEAST = 2000, 3
@@ -63,14 +64,13 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     Every word has a bias, its 1- to 3-grams between word marks, affixes of up to 4 letters
     shorter than itself, itself if it has 4 letters or fewer, and the languages whose lexicons have it.
     """
-    cut = [w if len(w) <= LONGEST else w[: LONGEST // 2] + w[-LONGEST // 2 :] for w in words]
-    code = np.frombuffer("".join([f"^{w}$" for w in cut]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    length = np.fromiter(map(len, cut), np.int64, len(cut))
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 2)
     start = end - length - 2
-    owner = np.repeat(np.arange(len(cut)), length + 2)
+    owner = np.repeat(np.arange(len(words)), length + 2)
     last = end[owner]
-    flat, of = [np.full(len(cut), int(_bucket(np.zeros(1, np.uint64), BIAS, 0)[0]))], [np.arange(len(cut))]
+    flat, of = [np.full(len(words), int(_bucket(np.zeros(1, np.uint64), BIAS, 0)[0]))], [np.arange(len(words))]
     with np.errstate(over="ignore"):
         run = np.zeros(len(code), np.uint64)
         for n in (1, 2, 3, 4):
@@ -86,7 +86,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
             whole = np.flatnonzero(length == n)
             flat.append(_bucket(run[start[whole] + 1], WHOLE, n))
             of.append(whole)
-    mask = np.fromiter((lexicon.get(w, 0) for w in cut), np.int64, len(cut))
+    mask = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, len(words))
     for k in range(int(mask.max(initial=0)).bit_length()):
         known = np.flatnonzero(mask >> k & 1)
         flat.append(_bucket(np.full(len(known), k, np.uint64), LEXICAL, 0))
@@ -98,6 +98,19 @@ def summed(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) ->
     return np.stack([np.bincount(owner, weights[flat, j], n) for j in range(weights.shape[1])], 1)
 
 
+def _parts(words: list[str], most: int = 500_000) -> Iterator[list[str]]:
+    """The words in order, in parts of one word at least and few letters beyond ``most``."""
+    part, letters = [], 0
+    for w in words:
+        part.append(w)
+        letters += len(w)
+        if letters >= most:
+            yield part
+            part, letters = [], 0
+    if part:
+        yield part
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -118,7 +131,7 @@ class Model:
         got = self.memo.get_all(words)
         if None in got:
             missing = list({w for w, v in zip(words, got) if v is None})
-            sums = summed(self.weights, *features(missing, self.lexicon), len(missing))
+            sums = np.concatenate([summed(self.weights, *features(part, self.lexicon), len(part)) for part in _parts(missing)])
             data, width = sums.astype(np.float32).tobytes(), 4 * len(self.labels)
             rows = [data[i : i + width] for i in range(0, len(data), width)]
             fresh = dict(zip(missing, rows))
