@@ -9,12 +9,12 @@
    positions, counted by XOR and bit counts and corrected for chance, estimates the similarity,
    and pairs below the threshold by more than ``MARGIN`` standard deviations are dropped.
 4. The rest are confirmed on their full shingle sets, and confirmed links give components.
-5. In all bands, buckets that still hold several components pair their smallest member with one
-   member of each other component; what is confirmed joins components.
-6. A bucket that even then spans components may hide a link between two members that are both
-   unlike its smallest one, or between the smallest one and a member that step 5 did not pick.
-   There, members outside the smallest one's component are compared (by the packed signatures,
-   inside the join) with all members of other components, and what passes is confirmed in the same way.
+5. Members of all buckets with one smallest member form a canopy.  Where a canopy still spans
+   components, members of different components may be alike without either being like the
+   smallest one.  There, set sizes and packed signatures pick the members that may have a
+   partner in another component; the full sets of these come together once, and are compared
+   exactly, the most a task reports being one link for each two components that it joins.
+   A large canopy is dealt in blocks, each two of which meet in a task of their own.
 
 A link at the threshold is missed by the bands with a chance of (1 - t ** rows) ** bands,
 below 3e-7 as called here.
@@ -45,6 +45,12 @@ BITS = 2
 MINIMA = 512
 MARGIN = 5.0
 FIRST_BANDS = 2
+#: Canopies are dealt over all tasks in blocks of no fewer members than this ...
+LEAST_BLOCK = 128
+#: ... and no more members, or shingles, than these.
+MOST_MEMBERS, MOST_SHINGLES = 8192, 1 << 22
+#: Pairs of signatures compared at once.
+PAIRS = 1 << 17
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
@@ -200,11 +206,148 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return shared.materialise(member.join(smallest, "bucket").select("bucket", "band", "a", F.col("rep").alias("b")), "buckets")
 
 
-def _mixed(starred: DataFrame, roots: DataFrame) -> DataFrame:
-    """``bucket, a, b, root, head`` of buckets with several components; ``head`` is that of the smallest member."""
-    placed = starred.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("head")).where("low <> high").select("bucket", "head")
-    return placed.join(mixed, "bucket").select("bucket", "a", "b", "root", "head")
+def _canopies(starred: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, rep, root, n_shingles, planes``: all members of canopies with several components, ``a`` itself included."""
+    placed = starred.select("a", F.col("b").alias("rep")).distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = shared.materialise(placed, "canopies")
+    mixed = shared.materialise(placed.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("a"), "mixed-canopies")
+    return placed.join(mixed, "a").join(classes.select("rep", "n_shingles", "planes"), "rep")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Each member once for each two blocks of its canopy that it is in: ``i <= j`` are the blocks, ``side`` its own."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("total"))
+    over_all = F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.lit(math.ceil(math.sqrt(2 * parts))))
+    sizes = shared.materialise(sizes.select("a", F.greatest(over_all, F.ceil(F.col("m") / MOST_MEMBERS), F.ceil(F.col("total") / MOST_SHINGLES)).cast("int").alias("k")), "canopy-blocks")
+    dealt = members.join(sizes, "a").withColumn("side", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other", "k")
+    return dealt.repartition(parts, "a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Starts of the groups of equal (a, i, j) in sorted rows, and the number of rows."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for c in ("a", "i", "j"):
+        v = rows.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), len(rows))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows with the starts of their groups; no group is cut, and beyond ``most`` bytes only one is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            bounds = _groups(rows)
+            if len(bounds) > 2:
+                yield rows.slice(0, int(bounds[-2])), bounds[:-1]
+                held = rows.slice(int(bounds[-2])).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, _groups(rows)
+
+
+def _fixed_lists(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
+def possible_pairs(rows: pa.Table, bounds: np.ndarray, percent: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y), x before y, of one group, different components and compatible sizes whose signatures allow a link."""
+    n, root, side = (rows.column(c).to_numpy() for c in ("n_shingles", "root", "side"))
+    planes = _fixed_lists(rows.column("planes"), MINIMA // 64 * BITS).view(np.uint64)
+    own = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    partners = end - np.arange(len(end)) - 1
+    total = np.concatenate(([0], np.cumsum(partners)))
+    chance = 2.0**-BITS
+    at = 0
+    while at < len(partners):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        size = partners[at:to]
+        x = np.repeat(np.arange(at, to), size)
+        y = x + 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = to
+        fit = (own[x] | (side[x] != side[y])) & (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        per, unequal = MINIMA // 64, np.zeros(len(x), np.int64)
+        for w in range(per):
+            differ = planes[x, w] ^ planes[y, w]
+            for p in range(1, BITS):
+                differ |= planes[x, p * per + w] ^ planes[y, p * per + w]
+            unequal += np.bitwise_count(differ)
+        alike = np.flatnonzero((1 - unequal / MINIMA - chance) / (1 - chance) >= least)
+        if len(alike):
+            yield x[alike], y[alike]
+
+
+def _open_members(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> Iterator[pa.RecordBatch]:
+    """``a, rep`` of members that may be linked to another component."""
+    for rows, bounds in _whole_groups(batches, shared.BATCH_BYTES):
+        marked = np.zeros(len(rows), bool)
+        for x, y in possible_pairs(rows, bounds, percent, least):
+            marked[x] = marked[y] = True
+        if marked.any():
+            yield rows.select(["a", "rep"]).filter(pa.array(marked)).combine_chunks().to_batches()[0]
+
+
+def _joining_links(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> Iterator[pa.RecordBatch]:
+    """``a, b``: confirmed links between the groups' members, each joining two components that no link before it did."""
+    for rows, bounds in _whole_groups(batches, 4 * shared.BATCH_BYTES):
+        n, root, rep = (rows.column(c).to_numpy() for c in ("n_shingles", "root", "rep"))
+        items = rows.column("items").combine_chunks()
+        offsets = items.offsets.to_numpy() - items.offsets[0].as_py()
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            pairs = list(possible_pairs(rows.slice(lo, hi - lo), np.array([0, hi - lo]), percent, least))
+            if not pairs:
+                continue
+            x, y = (np.concatenate(p) for p in zip(*pairs))
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            own = offsets[lo : hi + 1] - offsets[lo]
+            token = np.unique(items.slice(lo, hi - lo).flatten().to_numpy(), return_inverse=True)[1]
+            mine = np.zeros(token.max() + 1, bool)
+            label = np.unique(root[lo:hi], return_inverse=True)[1]
+            cuts = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)).tolist()
+            for c, d in zip(cuts[:-1], cuts[1:]):
+                one, others = int(x[c]), y[c:d]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                mine[token[own[one] : own[one + 1]]] = True
+                size = own[others + 1] - own[others]
+                ends = np.cumsum(size)
+                both = np.add.reduceat(mine[token[np.repeat(own[others] - ends + size, size) + np.arange(ends[-1])]].astype(np.int64), ends - size)
+                mine[token[own[one] : own[one + 1]]] = False
+                for other in others[100 * both >= percent * (n[lo + one] + n[lo + others] - both)].tolist():
+                    if label[other] != label[one]:
+                        label[label == label[other]] = label[one]
+                        found.append((lo + one, lo + other))
+        if found:
+            p, q = (rep[list(k)] for k in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+
+def links_between(docs: DataFrame, canopies: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: confirmed links that, with the components there are, give those of all pairs within a canopy."""
+    least = least_likeness(percent / 100)
+    fields = "a bigint, rep bigint"
+    members = shared.materialise(canopies, "canopy-members")
+    dealt = _blocks(members).select("a", "i", "j", "side", "rep", "root", "n_shingles", "planes")
+    open_ = shared.materialise(dealt.mapInArrow(lambda x: _open_members(x, percent, least), fields).distinct(), "open-members")
+    sets = shared.materialise(shingle_table(docs, open_.select("rep").distinct(), words), "shingle-sets")
+    met = members.join(open_, ["a", "rep"], "left_semi").join(sets, "rep")
+    dealt = _blocks(met).select("a", "i", "j", "side", "rep", "root", "n_shingles", "planes", "items")
+    links = shared.materialise(dealt.mapInArrow(lambda x: _joining_links(x, percent, least), "a bigint, b bigint").distinct(), "links")
+    for table in (members, open_, sets):
+        shared.drop_table(table)
+    return links
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -213,7 +356,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows, bands = band_shape(percent / 100)
     least = least_likeness(percent / 100)
     signed = shared.materialise(signatures(docs, words, rows, bands), "signatures")
-    classes = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    classes = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("planes").alias("planes"), F.first("n_shingles").alias("n_shingles"))
     classes = shared.materialise(classes, "classes")
     planes = classes.select("rep", "planes")
     starred = _buckets(classes)
@@ -223,32 +366,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         met = pairs.join(planes.select(F.col("rep").alias("b"), F.col("planes").alias("pb")), "b").join(planes.select(F.col("rep").alias("a"), F.col("planes").alias("pa")), "a")
         return met.where(likeness("pa", "pb") >= least).select("a", "b")
 
-    candidates = shared.materialise(likely(starred.where(f"band < {FIRST_BANDS} and a <> b").select("a", "b").distinct()), "candidates")
-    links = confirmed(docs, candidates, words, percent)
+    candidates = likely(starred.where(f"band < {FIRST_BANDS} and a <> b").select("a", "b").distinct())
+    links = confirmed(docs, shared.materialise(candidates, "candidates"), words, percent)
     roots = components(links)
     shared.release_shuffles(spark)
-
-    # buckets that span components: their smallest member and one member of each other component
-    mixed = _mixed(starred, roots)
-    one_each = mixed.where("root <> head").groupBy("bucket", "a", "root").agg(F.min("b").alias("b")).select("a", "b").distinct()
-    second = shared.materialise(likely(one_each.join(candidates, ["a", "b"], "left_anti")), "candidates")
-    candidates = candidates.unionByName(second)
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(docs, second, words, percent))
-        roots = components(links)
-    shared.release_shuffles(spark)
-
-    # buckets that still do: strays against the members of other components
-    open_ = shared.materialise(_mixed(starred, roots).join(planes.withColumnRenamed("rep", "b"), "b"), "open-buckets")
-    stray = open_.where("root <> head").select("bucket", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("planes").alias("px"))
-    other = open_.select("bucket", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("head"), F.col("planes").alias("py"))
-    # two strays meet once; a stray meets the head's component members too, the smallest member included
-    meet = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("head")) | (F.col("x") < F.col("y")))
-    more = stray.join(other, (stray["bucket"] == other["bucket"]) & meet & (likeness("px", "py") >= least))
-    more = shared.materialise(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti"), "more-candidates")
+    more = links_between(docs, _canopies(starred, roots, classes), words, percent)
     if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(docs, more, words, percent)))
-    shared.drop_table(open_)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    shared.drop_table(starred)
     shared.release_shuffles(spark)
 
     class_root = classes.select("digest", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
