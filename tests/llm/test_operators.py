@@ -92,32 +92,61 @@ def site(url):
 URLS = [None, "", "no scheme.com/en/", "http://com/x", "https://EXAMPLE.com/en/1?q#f", "http://www.example.com/en/", "http://a.www.example.com/en/z", "x://notexample.com/en/", "http://example.com/EN/", "http://e.net/es/", "http://e.net/fr", "http://e.net/fr/a", "http://net/es/", "http://example.com?x=/en/", "a://b://com/", "http://spam-farm.example.org/de/", "http://my-spam-farm.org/", "http://exämple.com/en/", "http://u@h.com:80/en/", "http://.com/"]
 
 
+BAD_URLS = ["http://m.casino-win.org/en/", "http://www.my-poker.org/x", "http://help.org/casino/", "http://help.org/casinos/", "http://casino.gamcare.org.uk/", "http://adult.org/sex-education/", "http://ads.x.org/banner", "http://x.org/banners/a.gif", "http://x.org/banners/a.gifs", "http://x.org/track/click", "http://x.org/track/clicks", "http://track.x.org/a/open/", "http://pixel.x.org/docs/", "http://metrics.x.org/docs/", "http://NotACasino.org/"]
+
+
 def test_urls(spark, monkeypatch):
-    urls = URLS + pq.read_table(f"{DATA}/pages.parquet").to_pydict()["url"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit(3))
+    urls = URLS + BAD_URLS + pq.read_table(f"{DATA}/pages.parquet").to_pydict()["url"] * 2 + ["http://long.org/" + "casino/" * 30_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit(3)).withColumn("tokens", F.lit("x"))
     rules = queries.url_rules()
+    patterns = [(r, re.compile(url_filter.regex(r.pattern))) for r in url_filter.read_rules()]
 
     def judge(url):
         host, path = site(url)
         fit = [(h + p, v) for h, p, v in queries.SITE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fit, key=lambda r: len(r[0]), default=None)
-        bad = any(host.startswith(n + ".") or f".{n}." in host for n, _, _ in queries.PATTERN_RULES)
-        return host, path, rule and rule[0], rule[1] if rule else "block" if bad else "allow"
+        found = [r for r, x in patterns if x.search(host + path)]
+        bad = {r.verdict for r in found} == {"block"}
+        return host, path, rule and rule[0], rule[1] if rule else "block" if bad else "allow", ",".join(sorted(r.name for r in found))
 
     want = {i: judge(u) for i, u in enumerate(urls)}
+    by_url = {u: want[i] for i, u in enumerate(urls)}
+    assert [u for u in BAD_URLS if by_url[u][3] == "block"] == [BAD_URLS[i] for i in (0, 1, 2, 6, 7, 9, 11, 12)]
     for most in (url_filter.BROADCAST_RULES, 0):
         monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
-        assert got == want
+        judged = url_filter.judge(pages, rules)
+        rows = judged.collect()
+        assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["patterns"]) for r in rows} == want and len(rows) == len(urls)
+        # a URL's tokens fetch few of the rules, and all that fit
+        assert sum(r["n_candidates"] for r in rows) < 0.05 * len(rows) * len(rules)
+        hits = {r["pattern"]: r["urls"] for r in url_filter.rule_hits(judged).collect()}
+        assert hits == Counter(p for w in want.values() for p in w[4].split(",") if p)
     assert url_filter.judge(pages.where("false"), rules).count() == 0
+    assert url_filter.judge(pages, []).where("verdict = 'allow' and n_candidates = 0").count() == len(urls)
 
 
 def test_url_tokens_are_whole():
-    assert url_filter.tokens("||ads.example^") == ["ads", "example"] and url_filter.tokens("foo*bar-baz") == [] or True
+    assert url_filter.tokens("||ads.example^") == ["ads", "example"] and url_filter.tokens("foo*bar-baz") == []
     assert url_filter.tokens("/banner/*/img|") == ["banner", "img"] and url_filter.tokens("track") == []
     assert re.search(url_filter.regex("||ads.example^"), "x.ads.example/a") and not re.search(url_filter.regex("||ads.example^"), "ads.examples/a")
 
 
+@pytest.mark.parametrize("pattern, yes, no", [
+    ("||ads.", "x.ads.org/", "xads.org/"), ("|ads.", "ads.org/", "x.ads.org/"), ("/a.gif|", "h.org/a.gif", "h.org/a.gifs"), ("/a^", "h.org/a", "h.org/ab"),
+    ("/a^", "h.org/a/b", "h.org/a-b"), ("/a*b/", "h.org/a/x/b/", "h.org/a/x/b"), ("-a+b-", "h.org/-a+b-", "h.org/-aab-"), ("a[b", "h.org/a[b", "h.org/ab"),
+])
+def test_url_syntax(pattern, yes, no):
+    assert re.search(url_filter.regex(pattern), yes) and not re.search(url_filter.regex(pattern), no)
+    assert set(url_filter.tokens(pattern)) <= set(re.findall("[a-z0-9]+", yes))
+
+
+def test_url_rule_lists(tmp_path):
+    (tmp_path / "list.txt").write_text("! a comment\n@forms ||{}. ^{}^\nfoo\n\nbar\n@forms\n/x^\n@@/y^\n/x^\n")
+    got = [(r.name, r.pattern, r.verdict) for r in url_filter.read_rules(tmp_path / "list.txt")]
+    assert got == [(p, p, "block") for p in ("||foo.", "^foo^", "||bar.", "^bar^", "/x^")] + [("@@/y^", "/y^", "allow")]
+    assert all(url_filter.tokens(r.pattern) for r in url_filter.read_rules()) and len(url_filter.read_rules()) > 300
+
+
 def test_language_id(spark, docs, empty):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language_id.learn(table)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, exact_dedup, language_id, minhash, pii, sharding, suffix_dedup, token_counts, url_filter
 
-#: The site rules of the URL query and the method's own patterns.
+#: The site rules of the URL query; the method's own patterns are in ``url_rules.txt``.
 SITE_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -17,13 +17,6 @@ SITE_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-PATTERN_RULES = [
-    ("spam-farm", "||spam-farm.*", "block"),
-    ("cheap-pills", "||cheap-pills.*", "block"),
-    ("free-casino", "||free-casino.*", "block"),
-    ("click-bait", "||click-bait.*", "block"),
-    ("adult", "||adult.*", "block"),
-]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +28,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_rules() -> list[url_filter.Rule]:
-    return [url_filter.site_rule(*r) for r in SITE_RULES] + [url_filter.Rule(*r) for r in PATTERN_RULES]
+    return [url_filter.site_rule(*r) for r in SITE_RULES] + url_filter.read_rules()
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_rules()).select("page_id", "host", "path", "rule", "verdict", "patterns")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +75,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SITES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in SITE_RULES)
-_BAD = " OR ".join(f"starts_with(host, '{n}.') OR contains(host, '.{n}.')" for n, _, _ in PATTERN_RULES)
+_PATTERNS = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in (r.name, url_filter.regex(r.pattern), r.verdict))) for r in url_filter.read_rules())
 
-#: Site rules by length; the method's patterns where none fits.  The method's own columns are computed from the same rules.
+#: Site rules by length; the method's patterns, each tried on each URL, where none fits.
 URL_SQL = f"""
 WITH rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), {_CAPITALS}) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 rules AS (SELECT * FROM (VALUES {_SITES}) AS v(h, p, v)),
 best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict FROM parts, rules
-         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_BAD} THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN best USING (page_id)"""
+         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+patterns AS (SELECT * FROM (VALUES {_PATTERNS}) AS x(name, re, v)),
+fits AS (SELECT page_id, string_agg(name, ',' ORDER BY name) AS names, bool_or(x.v = 'block') AND NOT bool_or(x.v = 'allow') AS bad FROM parts, patterns x
+         WHERE regexp_matches(host || path, re) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, coalesce(names, '') AS patterns
+FROM parts LEFT JOIN best USING (page_id) LEFT JOIN fits USING (page_id)"""
 
 NEAR_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -9,11 +9,13 @@ literal character or an anchor, so it is a whole token of every URL the rule fit
 Each rule is filed under the one of its tokens that is rarest in the pages' own URLs
 (counted over all of them); a URL's tokens fetch candidate rules, and regular expressions
 run on these alone.  Rules without a token are candidates for every URL.  Up to
-``BROADCAST_RULES`` rules the index is a constant of the plan and nothing is shuffled;
-beyond that, URLs' tokens are joined to the index.
+``BROADCAST_RULES`` rules the index is a constant of the plan, an array of buckets by the
+token's checksum, so that a fetch looks at one bucket whatever the number of rules, and
+nothing is shuffled; beyond that, URLs' tokens are joined to the index.
 
 Of the fitting site rules the longest wins (ties: block first, then the rule's text); a
-URL that none of them fits gets the pattern rules' verdict: block if one fits, else allow.
+URL that none of them fits gets the pattern rules' verdict: block if one fits and no
+exception does, else allow.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, no rule and the
 verdict allow; repeated rows each get a row; other columns are ignored; an empty table
@@ -22,8 +24,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+import zlib
+from dataclasses import asdict, dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,8 @@ from . import shared
 BROADCAST_RULES = 5_000
 #: Candidates for every URL are filed under this; no URL token contains a space.
 NO_TOKEN = " "
+#: The rule list that comes with the operator.
+RULES = Path(__file__).with_name("url_rules.txt")
 
 
 @dataclass(frozen=True)
@@ -49,8 +56,23 @@ def site_rule(host: str, path: str, verdict: str) -> Rule:
     return Rule(host + path, "||" + host + path, verdict, True)
 
 
+def pattern_rule(pattern: str) -> Rule:
+    return Rule(pattern, pattern[2:], "allow") if pattern.startswith("@@") else Rule(pattern, pattern, "block")
+
+
+def read_rules(path: Path | str = RULES) -> list[Rule]:
+    """Rules of a list: a pattern a line, or words that become patterns by the last ``@forms`` line; ``!`` begins a comment."""
+    patterns, forms = {}, []
+    for line in map(str.strip, Path(path).read_text().splitlines()):
+        if line.startswith("@forms"):
+            forms = line.split()[1:]
+        elif line and not line.startswith("!"):
+            patterns |= dict.fromkeys([f.format(line) for f in forms] or [line])
+    return list(map(pattern_rule, patterns))
+
+
 def regex(pattern: str) -> str:
-    """Java and Python read it alike."""
+    """Java, Python and RE2 read it alike."""
     out, body = "", pattern
     if body.startswith("||"):
         out, body = "^(?:[^/]*[.])?", body[2:]
@@ -103,31 +125,61 @@ def rarest_tokens(places: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]
     return index
 
 
+KIND = "array<struct<name:string,regex:string,verdict:string,site:boolean>>"
+
+
+def _entry(r: Rule) -> dict:
+    return {**asdict(r), "regex": regex(r.pattern)}
+
+
+def _constant(value: list, kind: str) -> Column:
+    """A constant of the plan: folded once, whatever its length."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _fetched(index: dict[str, list[Rule]]) -> Column:
+    """Candidates of a row's ``tokens`` by a table of buckets, about one token a bucket."""
+    size = 1
+    while size < 2 * len(index):
+        size *= 2
+    buckets: list[list] = [[] for _ in range(size)]
+    for token, rules in sorted(index.items()):
+        buckets[zlib.crc32(token.encode()) % size].append({"k": token, "v": list(map(_entry, rules))})
+    table = _constant(buckets, f"array<array<struct<k:string,v:{KIND}>>>")
+    bucket = lambda t: F.get(table, F.pmod(F.crc32(t), F.lit(size)).cast("int"))
+    return F.flatten(F.flatten(F.transform("tokens", lambda t: F.transform(F.filter(bucket(t), lambda e: e["k"] == t), lambda e: e["v"]))))
+
+
+def with_candidates(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (with ``place`` and ``tokens``) and the ``candidates`` that their tokens fetch."""
+    index = rarest_tokens(rows, rules)
+    always = _constant(list(map(_entry, index.pop(NO_TOKEN, []))), KIND)
+    if len(rules) <= BROADCAST_RULES:
+        return rows.withColumn("candidates", F.concat(_fetched(index), always))
+    filed = rows.sparkSession.createDataFrame([(t, *(_entry(r)[k] for k in ("name", "regex", "verdict", "site"))) for t, rs in index.items() for r in rs], "token string, name string, regex string, verdict string, site boolean")
+    each = rows.select("place", "tokens").distinct().select("place", F.explode("tokens").alias("token"))
+    fits = each.join(filed, "token").where("place rlike regex").groupBy("place").agg(F.collect_list(F.struct("name", "regex", "verdict", "site")).alias("fetched"))
+    return rows.join(fits, "place", "left").withColumn("candidates", F.concat(F.coalesce("fetched", _constant([], KIND)), always)).drop("fetched")
+
+
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``page_id, host, path, rule, verdict, patterns, n_candidates`` for every row of ``pages``."""
-    spark = pages.sparkSession
+    """``page_id, host, path, rule, verdict, patterns, n_candidates`` for every row of ``pages``; ``patterns`` are those that fit, exceptions too."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("place", F.concat("host", "path"))
-    rows = rows.withColumn("tokens", url_tokens(F.col("place")))
-    index = rarest_tokens(rows, rules)
-    struct = lambda r: F.struct(F.lit(r.name).alias("name"), F.lit(regex(r.pattern)).alias("regex"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("site"))
-    kind = "array<struct<name:string,regex:string,verdict:string,site:boolean>>"
-    if len(rules) <= BROADCAST_RULES:
-        entries = [F.struct(F.lit(t).alias("k"), F.array(*map(struct, rs)).alias("v")) for t, rs in sorted(index.items())]
-        table = F.map_from_entries(F.array(*entries)) if entries else F.expr(f"map('', cast(array() as {kind}))")
-        fetched = F.transform(F.array_append("tokens", F.lit(NO_TOKEN)), lambda t: F.coalesce(F.try_element_at(table, t), F.expr(f"cast(array() as {kind})")))
-        found = rows.withColumn("candidates", F.flatten(fetched))
-    else:
-        filed = spark.createDataFrame([(t, r.name, regex(r.pattern), r.verdict, r.site) for t, rs in index.items() for r in rs], "token string, name string, regex string, verdict string, site boolean")
-        each = rows.select("place", "tokens").distinct().select("place", F.explode(F.array_append("tokens", F.lit(NO_TOKEN))).alias("token"))
-        fits = each.join(filed, "token").where("place rlike regex").groupBy("place").agg(F.collect_list(F.struct("name", "regex", "verdict", "site")).alias("candidates"))
-        found = rows.join(fits, "place", "left").withColumn("candidates", F.coalesce("candidates", F.expr(f"cast(array() as {kind})")))
+    found = with_candidates(rows.withColumn("tokens", url_tokens(F.col("place"))), rules)
     fitting = F.filter("candidates", lambda c: F.call_function("rlike", F.col("place"), c["regex"]))
     judged = found.withColumn("n_candidates", F.size("candidates")).withColumn("fits", fitting)
     sites = F.array_sort(F.transform(F.filter("fits", lambda c: c["site"]), lambda c: F.struct((-F.length(c["name"])).alias("n"), (c["verdict"] != "block").alias("v"), c["name"].alias("name"), c["verdict"].alias("verdict"))))
-    judged = judged.withColumn("site", F.get(sites, F.lit(0))).withColumn("patterns", F.array_sort(F.transform(F.filter("fits", lambda c: ~c["site"] & (c["verdict"] == "block")), lambda c: c["name"])))
+    judged = judged.withColumn("site", F.get(sites, F.lit(0))).withColumn("patterns", F.filter("fits", lambda c: ~c["site"]))
+    blocked = F.exists("patterns", lambda c: c["verdict"] == "block") & ~F.exists("patterns", lambda c: c["verdict"] == "allow")
     return judged.select(
         "page_id", "host", "path", F.col("site.name").alias("rule"),
-        F.coalesce(F.col("site.verdict"), F.when(F.size("patterns") > 0, "block").otherwise("allow")).alias("verdict"),
-        F.array_join("patterns", ",").alias("patterns"), "n_candidates",
+        F.coalesce(F.col("site.verdict"), F.when(blocked, "block").otherwise("allow")).alias("verdict"),
+        F.array_join(F.array_sort(F.transform("patterns", lambda c: c["name"])), ",").alias("patterns"), "n_candidates",
     )
+
+
+def rule_hits(judged: DataFrame) -> DataFrame:
+    """``pattern, urls, decided``: how many URLs each pattern fits, and how many of them no site rule had decided."""
+    each = judged.where("patterns <> ''").select("rule", F.explode(F.split("patterns", ",")).alias("pattern"))
+    return each.groupBy("pattern").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.col("rule").isNull()).alias("decided"))
