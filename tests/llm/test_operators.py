@@ -352,15 +352,98 @@ def test_components(spark):
 
 
 def test_decontamination(spark, docs, empty):
-    bench = spark.createDataFrame([(1, "Alice bought 5 kg of apples for 10 dollars and then Alice ate 2 apples quickly"), (2, "tiny item here"), (3, None), (4, "Carol walks home"), (5, "")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, "Alice bought 5 kg of apples for 10 dollars and then Alice ate 2 apples quickly"), (2, "tiny item here"), (3, None), (4, "Carol walks home"), (5, ""), (6, "yes"), (7, "42"), (8, "walks home")], "item_id bigint, text string")
     bought = "Then Bob bought 7 kg of apples for 12 dollars and then {} ate 3 apples quickly"
-    table = spark.createDataFrame([(1, f"Some start. {bought.format('Bob')} End"), (2, bought.format("Carl")), (3, "x tiny item here y"), (4, None), (5, "So then Alice bought 5 kg of apples for 10 dollars and then Alice ate 2 apples quickly"), (6, "we saw that Carol walks home"), (7, "apples for ten dollars")], "doc_id bigint, text string")
+    table = spark.createDataFrame([(1, f"Some start. {bought.format('Bob')} End"), (2, bought.format("Carl")), (3, "x tiny item here y"), (4, None), (5, "So then Alice bought 5 kg of apples for 10 dollars and then Alice ate 2 apples quickly"), (6, "we saw that Carol walks home"), (7, "apples for ten dollars"), (8, "say Yes now"), (9, "exactly 43 here"), (10, "the 42, then")], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["contaminated"], list(r["items"]), r["kind"]) for r in decontam.decontaminate(table, bench).collect()}
-    assert got == {1: (True, [1], "reparameterised"), 2: (False, [], None), 3: (True, [2], "exact"), 4: (False, [], None), 5: (True, [1], "exact"), 6: (True, [4], "exact"), 7: (False, [], None)}
+    assert got == {1: (True, [1], "reparameterised"), 2: (False, [], None), 3: (True, [2], "exact"), 4: (False, [], None), 5: (True, [1], "exact"), 6: (True, [4, 8], "exact"), 7: (False, [], None), 8: (True, [6], "exact"), 9: (False, [], None), 10: (True, [7], "exact")}
     assert decontam.decontaminate(empty, bench).count() == 0
     assert decontam.decontaminate(table, bench.where("false")).where("contaminated").count() == 0
 
 
+UNITS = set(decontam.UNITS)
+
+
+def plain_tokens(text):
+    """(template, value, slot, capitalised) of each token, one character after another."""
+    out, last = [], None
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[^\W0-9_]+", text):
+        word, gap = m.group(), text[last.end() : m.start()] if last else None
+        number = word[0].isdigit()
+        after_number = bool(out) and out[-1][0] == "<number>" and len(gap) <= 1
+        unit = not number and after_number and word.lower() in UNITS
+        capital = not number and not unit and word[0].isupper()
+        name = capital and gap is not None and not set(gap) & set('.!?\n:;"|')
+        out.append(("<number>" if number else "<unit>" if unit else "<name>" if name else word.lower(), word.lower(), number or unit or name, capital))
+        last = m
+    return out
+
+
+def plain_windows(text, words, openings):
+    """hash key -> list of (place, slot values)."""
+    tokens, out = plain_tokens(text), {}
+    for i in range(len(tokens) - words + 1):
+        w = tokens[i : i + words]
+        forms = [w]
+        if w[0][0] == "<name>":
+            forms.append([(w[0][1], w[0][1], False, True), *w[1:]])
+        if openings and i == 0 and w[0][3]:
+            forms.append([("<name>", w[0][1], True, True), *w[1:]])
+        for f in forms:
+            out.setdefault(tuple(t[0] for t in f), set()).add((i, tuple(t[1] for t in f if t[2])))
+    return out
+
+
+def brute_leaks(docs, items, words=5, share=0.8):
+    out = {}
+    for d, text in docs:
+        for k, item in items:
+            n = len(plain_tokens(item or ""))
+            size = min(words, n)
+            if not n or text is None:
+                continue
+            mine, theirs = plain_windows(item, size, True), plain_windows(text, size, False)
+            runs = {}
+            for key in mine.keys() & theirs.keys():
+                for i, x in mine[key]:
+                    for j, y in theirs[key]:
+                        at, pairs = runs.setdefault(j - i, (set(), set()))
+                        at.add(i)
+                        pairs.update(zip(x, y))
+            best = {}
+            for at, pairs in runs.values():
+                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                    for i in at:
+                        best[i] = best.get(i, False) or all(x == y for x, y in pairs)
+            if best and len(best) >= share * (n - size + 1) - 1e-9 and (size == words or all(best.values())):
+                out.setdefault(d, {})[k] = "exact" if all(best.values()) else "reparameterised"
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: r.choice("the of a river walks home counts École Łódź Москва Anna Bob 5 7 12 1,000 kg km hours and then buys".split())
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 2, 3, 5, 8, 30])))) for i in range(40)] + [(90, "1 2 3 4 5 6 7 8"), (91, None)]
+
+    def changed(text):
+        new = {}
+        return " ".join(new.setdefault(w, r.choice(["9", "33", w])) if w[0].isdigit() else new.setdefault(w, r.choice(["Clara", "Дарья", w])) if w[0].isupper() else w if r.random() > 0.02 else word() for w in text.split())
+
+    docs = []
+    for i in range(300):
+        parts = [" ".join(word() for _ in range(r.randrange(0, 12)))] + [changed(r.choice(items[:-1])[1]) for _ in range(r.randrange(0, 3))] + [" ".join(word() for _ in range(r.randrange(0, 12)))]
+        docs.append((i, r.choice([" ", ". ", "; "]).join(parts)))
+    docs += [(1000, " ".join(str(x) for x in range(3000))), (1001, None), (1002, "")]
+    found = decontam.decontaminate(spark.createDataFrame(docs * 2, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert len(found) == 2 * len(docs) and sum(len(x) for x in want.values()) > 100
+    kinds = {x for v in want.values() for x in v.values()}
+    assert kinds == {"exact", "reparameterised"}
+    for row in found:
+        mine = want.get(row["doc_id"], {})
+        assert (list(row["items"]), row["kind"]) == (sorted(mine), min(mine.values(), default=None)), row["doc_id"]
+
+
 def test_leaks_in_rows_that_share_a_doc_id_or_have_none(spark):
     bench = spark.createDataFrame([(1, "seven quick foxes jumped over the very lazy dog today")], "item_id bigint, text string")
     leak, clean = "see: seven quick foxes jumped over the very lazy dog today", "nothing to see here at all"

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of lower-cased tokens in which numbers, units behind numbers and
-names (capitalised words inside a sentence) are replaced with typed placeholders; what they
+names (capitalised words inside a sentence, in Latin, Greek or Cyrillic letters) are replaced with typed placeholders; what they
 replace are the slots' values.  Windows of ``WORDS`` template tokens are hashed, and the
 documents' windows are joined to the benchmark's by hash.  A run of windows that keeps its
 distance to an item (one alignment) must map each slot value of the item to one value
@@ -12,12 +12,16 @@ A document is contaminated by an item if the remaining runs cover ``SHARE`` of i
 Before the join, windows that cannot be in the benchmark are dropped by a bitmap of fixed
 size (``BITMAP`` bits, whatever the benchmark's size; false hits are settled by the join), so
 the documents' windows themselves are never moved.  Copies of one benchmark window are
-kept, each with its item.  Matched windows are reduced to one row per document, item and
-alignment before anything is grouped.
+kept, each with its item.  A document can only be contaminated by an item if it holds one of
+the item's anchors: of n windows, 1 - ``SHARE`` may be missing, so among that many and one
+more, one must be there, and the ones that are rarest in the documents are taken.  Thus windows
+of placeholders alone, which many documents and items have, meet only inside candidate pairs.
+Matched windows are reduced to one row per document, item and alignment before anything is
+grouped.
 
 Edge cases: null or wordless documents are clean; null or wordless items match nothing; an
 item with fewer than ``WORDS`` tokens is one window of all its tokens, matched whole and only
-if it has ``SHORTEST`` tokens or more; repeated rows each get a row (equal texts, equal
+with equal slots; repeated rows each get a row (equal texts, equal
 results; rows with one doc_id, or with none, are told apart by their texts' digests); other columns are ignored; an empty table
 on either side gives no findings.
 """
@@ -28,14 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 WORDS = 5
 SHARE = 0.8
-SHORTEST = 3
 BITMAP = 1 << 24
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 #: Units that count as slots behind a number.
@@ -49,6 +52,23 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n:;\"|")] = True
 
 
+def folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in lower case, and where capitals start: A-Z and the two-byte ones of Latin, Greek and Cyrillic."""
+    capital = (raw >= 65) & (raw <= 90)
+    lower = np.where(capital, raw | 32, raw)
+    lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xD0)) if len(raw) else np.zeros(0, np.int64)
+    point = ((raw[lead].astype(np.int32) & 31) << 6) | (raw[lead + 1] & 63)
+    within = lambda a, b: (point >= a) & (point <= b)
+    # fixed values: code point ranges of capitals, and how far their small letters are
+    by_32 = (within(0xC0, 0xDE) & (point != 0xD7)) | within(0x391, 0x3A9) | within(0x410, 0x42F)
+    by_1 = ((within(0x100, 0x137) | within(0x14A, 0x177)) & (point % 2 == 0)) | ((within(0x139, 0x148) | within(0x179, 0x17E)) & (point % 2 == 1))
+    shift = np.where(by_32, 32, np.where(within(0x400, 0x40F), 80, np.where(by_1, 1, 0)))
+    lead, point = lead[shift > 0], (point + shift)[shift > 0]
+    lower[lead], lower[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 63
+    capital[lead] = True
+    return lower, capital
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     parts = [w.encode() for w in words]
     ends = np.cumsum([len(p) for p in parts])
@@ -60,7 +80,7 @@ _UNIT_HASHES = _hash_words(UNITS)
 
 def template(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hash and value hash of every token, whether it is capitalised, and each row's first token (one more at the end)."""
-    lower = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
+    lower, capitals = folded(raw)
     n = len(raw)
     digit, letter = _DIGIT[raw], _LETTER[raw]
     # a point or comma between digits belongs to the number
@@ -79,18 +99,20 @@ def template(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(bounds), np.int64)
     value = shared.span_hashes(lower, starts, ends)
     numeric = kind[starts] == 2
+    row = np.searchsorted(bounds, starts, "right")
+    follows = np.zeros(len(starts), bool)
+    follows[1:] = row[1:] == row[:-1]
     # a unit stands directly behind a number, at most a blank between
     behind = np.zeros(len(starts), bool)
-    behind[1:] = numeric[:-1] & (starts[1:] - ends[:-1] <= 1)
+    behind[1:] = follows[1:] & numeric[:-1] & (starts[1:] - ends[:-1] <= 1)
     unit = np.zeros(len(starts), bool)
     near = np.flatnonzero(behind & ~numeric)
     unit[near] = np.isin(value[near], _UNIT_HASHES)
     # a name is capitalised, and no stop or row start lies between it and the last token
     stops = np.concatenate(([0], np.cumsum(_STOP[raw])))
     same = np.zeros(len(starts), bool)
-    row = np.searchsorted(bounds, starts, "right")
-    same[1:] = (row[1:] == row[:-1]) & (stops[starts[1:]] == stops[ends[:-1]])
-    capital = (raw[starts] >= 65) & (raw[starts] <= 90) & ~unit
+    same[1:] = follows[1:] & (stops[starts[1:]] == stops[ends[:-1]])
+    capital = capitals[starts] & ~unit
     name = capital & same
     hashed = np.where(numeric, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
     return hashed, value, capital, np.searchsorted(starts, bounds)
@@ -189,18 +211,18 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 
 def findings(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
     """``doc_id, digest, item_id, covered, kind`` for each document and item that contaminates it."""
-    short_words = SHORTEST
     parts = []
     sizes = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for w in range(short_words, words + 1):
+    for w in range(1, words + 1):
         items = shared.materialise(window_table(sizes, "item_id", w), "benchmark-windows")
         if w < words:
             # whole items of exactly w tokens
             longer = window_table(sizes, "item_id", w + 1).select("id").distinct()
-            items = items.join(longer, "id", "left_anti")
+            items = shared.materialise(items.join(longer, "id", "left_anti"), "benchmark-windows")
         if items.isEmpty():
             continue
-        parts.append(_matched(docs, items, w))
+        found = _matched(docs, items, w, share)
+        parts.append(found.where("kind = 'exact'") if w < words else found)
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, digest bigint, item_id bigint, covered double, kind string")
     out = parts[0]
@@ -210,11 +232,25 @@ def findings(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: f
     return best.where(F.col("covered") >= share)
 
 
-def _matched(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
+def _anchors(items: DataFrame, found: DataFrame, share: float) -> DataFrame:
+    """``item_id, window``: windows of which a contaminated document holds one, those that documents hold least."""
+    held = found.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    places = items.join(held, "window", "left").groupBy("id", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    of_item = Window.partitionBy("id")
+    total = F.count(F.lit(1)).over(of_item)
+    missing = total - F.ceil(total * F.lit(share) - 1e-9)
+    rare = places.withColumn("nth", F.row_number().over(of_item.orderBy("n", "at"))).withColumn("most", missing + 1).where("nth <= most")
+    return items.join(rare.select("id", "at"), ["id", "at"]).select(F.col("id").alias("item_id"), "window").distinct()
+
+
+def _matched(docs: DataFrame, items: DataFrame, words: int, share: float) -> DataFrame:
     total = items.groupBy("id").agg(F.count_distinct("at").alias("n_windows")).withColumnRenamed("id", "item_id")
     found = window_table(docs, "doc_id", words, _bitmap(items)).select(F.col("id").alias("doc_id"), "digest", "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    found = shared.materialise(found, "document-windows")
+    candidates = found.select("doc_id", "digest", "window").distinct().join(_anchors(items, found, share), "window").select(F.col("doc_id").alias("d"), F.col("digest").alias("t"), "item_id").distinct()
     mine = items.select(F.col("id").alias("item_id"), "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    met = found.join(mine, "window").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    met = found.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t"))).drop("d", "t")
+    met = met.join(mine, ["item_id", "window"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     # one row per document, item and alignment: where it holds, and its distinct slot pairs
     pairs = F.zip_with("item_slots", "doc_slots", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     runs = met.groupBy("doc_id", "digest", "item_id", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
