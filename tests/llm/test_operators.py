@@ -76,6 +76,22 @@ def test_bpe(docs, rows):
     assert back == {d: x or "" for d, x in rows}
 
 
+def test_bpe_of_any_characters(spark):
+    """Both libraries' sides and what lies between them; repeated rows, clashing columns, an empty table."""
+    r = random.Random(9)
+    alphabets = ["ab AB'st\n\t \r", "a1 ²½ª٣ '", "éÉøß ñ'ſ×÷", "a\u00a0\u2003\u0085\x1c \n", "–—“”…€ a.", "日本 ж🙂 a", "<|endoftext|> <", "\ud7ff\uffff\U0010ffffa "]
+    texts = ["".join(r.choice(a if r.random() < 0.9 else r.choice(alphabets)) for _ in range(r.randrange(0, 60))) for a in alphabets for _ in range(150)] + ["é " * 100_000]
+    table = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id bigint, text string").withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(1))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = bpe.encode(table, "byte_bpe_50k.json").collect()
+    assert len(got) == 2 * len(texts) and bpe.codec("byte_bpe_50k.json").fast
+    for row in got:
+        ids = t.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(row["ids"], "<u4").tolist() == ids, texts[row["doc_id"]]
+        assert bytes(row["decoded"]).decode() == t.decode(ids, skip_special_tokens=False)
+    assert bpe.encode(table.where("false"), "byte_bpe_50k.json").count() == 0
+
+
 def test_bpe_cuts_lie_in_no_token():
     c = bpe.codec("byte_bpe_50k.json")
     inside = {(a, b) for token in c.bytes_of for a, b in zip(token, token[1:])}

@@ -7,6 +7,10 @@ or two ASCII letters.  Fragments are encoded independently (and each distinct on
 per worker while its memo lasts), and their ids are concatenated.  Decoding concatenates
 the bytes of the ids, which is what the byte-level decoder does.
 
+Fragments of characters on whose classes all regular expression engines agree (``PLAIN``)
+are encoded from the same vocabulary by the faster of the two libraries, the rest, and those
+that may hold a special token, by the one that the vocabulary file is for.
+
 Edge cases: a null text counts as empty (0 ids, the digest of nothing); repeated rows
 each get a row; a text without any cut is one fragment; columns besides ``doc_id`` and
 ``text`` are ignored; an empty table gives an empty result.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +36,8 @@ MEMO = 250_000
 LONGEST = 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+#: Printable ASCII, Latin letters and marks, general punctuation, and the three white space characters that no engine doubts.
+PLAIN = re.compile("[\\x20-\\x7e\\n\\r\\t\\u00a1-\\u024f\\u2010-\\u2027\\u20ac]*")
 #: Stands between fragments; no UTF-8 text has this byte.
 CUT = b"\xff"
 
@@ -69,6 +76,19 @@ class Codec:
         safe = (~shared.IS_SPACE)[:, None] & shared.IS_SPACE[None, :] | letter[:, None] & letter[None, :]
         self.cut = (safe & ~inside).ravel()
         self.memo = shared.TwoGenerations(MEMO)
+        self.fast = self._ranked(spec, {t["id"] for t in spec["added_tokens"]})
+        self.marks = tuple(t["content"][0] for t in spec["added_tokens"])
+
+    def _ranked(self, spec: dict, special: set[int]):
+        """The ranked form of the vocabulary, if ids are in the order of merges and nothing but the usual split comes first; else None."""
+        import tiktoken
+
+        vocabulary, before = spec["model"]["vocab"], spec["pre_tokenizer"]
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if merged != sorted(merged) or spec["normalizer"] or before["type"] != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return None
+        ranks = {self.bytes_of[i]: i for i in vocabulary.values() if i not in special}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def fragments(self, raw: np.ndarray) -> list[bytes]:
         if len(raw) < 2:
@@ -82,11 +102,17 @@ class Codec:
         missing = list({f for f, v in zip(fragments, got) if v is None})
         if not missing:
             return got
-        encoded = self.tokenizer.encode_batch_fast([f.decode() for f in missing], add_special_tokens=False)
-        fresh = {}
-        for f, e in zip(missing, encoded):
-            ids = e.ids
-            fresh[f] = (np.array(ids, "<u4").tobytes(), b"".join(map(self.bytes_of.__getitem__, ids)))
+        fresh, rest = {}, []
+        for f in missing:
+            text = f.decode()
+            if self.fast and PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+                fresh[f] = self.fast(text)
+            else:
+                rest.append((f, text))
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            fresh |= {f: e.ids for (f, _), e in zip(rest, encoded)}
+        fresh = {f: (np.array(ids, "<u4").tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))) for f, ids in fresh.items()}
         short = [f for f in missing if len(f) <= LONGEST]
         self.memo.put(short, [fresh[f] for f in short])
         return [fresh[f] if v is None else v for f, v in zip(fragments, got)]
