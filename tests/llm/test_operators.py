@@ -293,6 +293,68 @@ def test_terms_lie_within_eight_words_however_long(spark):
         assert [got[d]["spans"].count("term:") for d, _ in rows] == [n] * len(rows)
 
 
+def brute_terms(rows, near=8, alpha=0.8, support=3):
+    """Per row its term spans, by loops over distinct texts."""
+    import regex
+
+    texts = {x or "" for _, x in rows}
+    of_word = lambda w: (m := regex.match(r"^[^\p{L}]*([\p{L}]{4,})[^\p{L}]*$", w.lower())) and m[1]
+    split = lambda t: re.findall("[^\x20\x09-\x0d]+", t)
+    value = {"email": str.lower, "ip": str, "card": lambda v: re.sub("[ -]", "", v), "phone": lambda v: re.sub("[^0-9]", "", v)}
+    holds, contexts, entity_texts, entities = {}, {}, {}, {}
+    n_term = Counter(t for x in texts for t in {of_word(w) for w in split(x)} if t)
+    for x in texts:
+        for kind, a, b in (s.split(":") for s in base(x)[1]):
+            entity = (kind, value[kind](x[int(a) : int(b)]))
+            window = tuple(split(x[: int(a)])[-near:] + split(x[int(b) :])[:near])
+            entities.setdefault(x, set()).add(entity)
+            entity_texts.setdefault(entity, set()).add(x)
+            for t in {of_word(w) for w in window} - {None}:
+                holds.setdefault((entity, t), set()).add(x)
+                contexts.setdefault((entity, t), set()).add(window)
+    risky = {}
+    for (entity, t), where in holds.items():
+        information = -np.log2(len(entity_texts[entity]) / len(texts))
+        pmi = np.log2(len(where) * len(texts) / (len(entity_texts[entity]) * n_term[t]))
+        if len(contexts[entity, t]) >= support and information > 0 and pmi >= alpha * information:
+            risky.setdefault(entity, set()).add(t)
+    out = []
+    for d, x in rows:
+        mine = set().union(*(risky.get(e, set()) for e in entities.get(x or "", ())))
+        out.append((d, [f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}{4,}", x or "") if m.group().lower() in mine]))
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    r = random.Random(17)
+    words = [f"{a}{b}{c}" for a in ("plain", "Gloss", "éclat", "tiny-") for b in ("alpha", "beta", "gamma") for c in ("", "ing", "ed,")] + ["a", "of", "77"]
+    values = ["bob.smith@corp.example.com", "10.1.2.3", "4539 5787 6362 1486", "+1 (988) 555-2485"]
+    near = {v: [f"secret{'abcd'[i]}word", f"(hidden{'abcd'[i]})"] for i, v in enumerate(values)}
+    rows = []
+    for i in range(400):
+        text = [r.choice(words) for _ in range(r.randrange(5, 40))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            v = r.choice(values)
+            at = r.randrange(len(text))
+            text[at:at] = [v, *r.sample([*near[v], r.choice(words)], 2)]
+        rows.append((i % 350, " ".join(text)))
+    rows += rows[:50] + [(None, None), (None, rows[3][1]), (7, "")]
+    got = Counter((x["doc_id"], x["spans"]) for x in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = Counter((d, ",".join(base(x)[1] + terms)) for (d, x), (_, terms) in zip(rows, brute_terms(rows)))
+    assert got == want and sum(len(t) for _, t in brute_terms(rows)) > 50
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Twenty thousand spans in a text, and rows that share a doc_id."""
+    many = "é 10.1.2.3 x " * 20_000
+    rows = [(1, many), (1, "mail a@b.c now"), (2, "call +1 (988) 555-2485 or 4539 5787 6362 1486"), (2, None), (None, "nothing")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(x["doc_id"], x["n_ip"], x["n_email"], x["n_phone"], x["n_card"], x["base_sha256"]) for x in pii.find(table).collect()}
+    assert got == {(d, n[1], n[0], n[3], n[2], n[4]) for d, x in rows for n in [base(x)[0]]}
+    clean = sorted((x["doc_id"] or 0, x["text"]) for x in pii.generalise(table).collect())
+    assert clean == sorted([(0, "nothing"), (1, "é [ip] x " * 20_000), (1, "mail [email] now"), (2, "call [phone] or [card]"), (2, "")])
+
+
 def brute_groups(rows, words, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}

@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
 ALPHA = 0.8
 SUPPORT = 3
+#: Elements of an array, or characters of a text, that are gone through together.
+RUN, PIECE = 256, 1024
 #: Stands for a separator between characters that belong to one match; native ones become ``#`` first, which no pattern takes.
 JOIN = "\ue000"
 
@@ -42,6 +44,18 @@ IP = "(?=[0-9])(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = f"(?=[0-9])(?<![0-9{JOIN}])[0-9][0-9{JOIN}]++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 WORD = "[^\\x20\\x09-\\x0D]+"
+LETTERS = "\\p{L}{4,}"
+
+
+def running(values: Column, merge, zero: Column) -> Column:
+    """For each value, all before it merged: in runs of ``RUN``, so that no array grows element by element beyond that."""
+    runs = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(values) - 1, F.lit(RUN)).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))).otherwise(F.array(F.array().cast("array<int>")))
+    grow = lambda xs, start: F.aggregate(
+        xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"],
+    )
+    totals = F.transform(runs, lambda r: F.aggregate(r, zero, merge))
+    return F.flatten(F.zip_with(runs, grow(totals, zero), grow))
 
 
 def spans_of(text: Column, pattern: str | Column) -> Column:
@@ -49,18 +63,21 @@ def spans_of(text: Column, pattern: str | Column) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.call_function("split", text, pattern, F.lit(-1)), F.length)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + F.length(m))
+    ends = F.zip_with(steps, running(steps, lambda a, x: a + x, F.lit(0)), lambda x, before: before + x)
     empty = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
-    fold = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("v"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, fold).otherwise(empty)
+    return F.when(F.size(found) > 0, F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("v")))).otherwise(empty)
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` characters, for :func:`cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` on (0-based, both within the text), without a walk from the text's beginning."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((start + length) / PIECE).cast("int")
+    return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, length)
 
 
 def _digits(value: Column) -> Column:
@@ -107,28 +124,31 @@ def term_of(word: Column) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, text, email, ip, card, phone``; ``key`` tells texts with one doc_id apart."""
+    """``doc_id, key, email, ip, card, phone, text``: ``key`` tells texts with one doc_id apart, ``text`` is null where there is no span."""
     text = shared.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumn("key", F.xxhash64("text")).select("doc_id", "key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    spans = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    any_ = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
+    return spans.select("doc_id", F.xxhash64("text").alias("key"), *KINDS, F.when(any_, F.col("text")).alias("text"))
 
 
 def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: float, support: int) -> DataFrame:
     """``entity, term`` above the threshold.  ``holders``: rows of documents with base spans."""
     begin, end = F.col("span.s"), F.col("span.e")
     spans = F.concat(*map(_entity_spans, KINDS))
-    each = holders.select("key", "text", F.explode(spans).alias("span"))
+    size = F.col("length")
+    each = holders.select("key", F.length("text").alias("length"), pieces_of(F.col("text")).alias("pieces"), spans.alias("spans")).select("key", "length", "pieces", F.explode("spans").alias("span"))
     tail = lambda words: F.slice(words, F.greatest(F.size(words) - near + 1, F.lit(1)), F.lit(near))
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-    before = lambda reach: words(F.substr("text", F.greatest(begin + 1 - reach, F.lit(1)), F.least(begin, reach)))
-    after = lambda reach: words(F.substr("text", end + 1, reach))
+    before = lambda reach: words(cut(F.col("pieces"), F.greatest(begin - reach, F.lit(0)), F.least(begin, reach)))
+    after = lambda reach: words(cut(F.col("pieces"), end, F.least(reach, size - end)))
     # the words, not the characters, are the window: where those nearest do not hold near whole words, more are split, at last the whole text
-    reaches = [F.lit(24 * near), F.lit(768 * near), F.length("text")]
+    reaches = [F.lit(24 * near), F.lit(768 * near), size]
     each = each.select("*", before(reaches[0]).alias("before"), after(reaches[0]).alias("after"))
     for reach, wider in zip(reaches, reaches[1:]):
         each = each.withColumns({
             "before": F.when((F.size("before") > near) | (begin <= reach), F.col("before")).otherwise(before(wider)),
-            "after": F.when((F.size("after") > near) | (end + reach >= F.length("text")), F.col("after")).otherwise(after(wider)),
+            "after": F.when((F.size("after") > near) | (end + reach >= size), F.col("after")).otherwise(after(wider)),
         })
     context = F.concat(tail(F.col("before")), F.slice("after", F.lit(1), F.lit(near)))
     terms = F.filter(F.array_distinct(F.transform(context, term_of)), lambda t: t != "")
@@ -150,10 +170,9 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, near: int, alpha: floa
 
 
 def find(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms`` for every row."""
-    found = find_base(docs)
-    has_any = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    holders = shared.materialise(found.where(has_any), "pii-holders")
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, key`` for every row."""
+    found = shared.materialise(find_base(docs), "pii-spans")
+    holders = found.where("text is not null")
     risky = disclosing_terms(holders, docs, near, alpha, support)
 
     entities = F.transform(F.concat(*map(_entity_spans, KINDS)), lambda m: m["entity"])
@@ -161,9 +180,10 @@ def find(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int =
     lists = risky.groupBy("entity").agg(F.collect_set("term").alias("risky"))
     here = holders.select("doc_id", "key", F.explode(F.array_distinct(entities)).alias("entity")).join(lists, "entity")
     terms = here.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("risky"))).alias("terms"))
-    pattern = F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join("terms", "|"), F.lit(")(?!\\p{L})"))
     marked = terms.join(holders.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    marked = marked.select("doc_id", "key", _joined("term", spans_of(F.col("text"), pattern)).alias("term_spans"))
+    # the text's own words that are among the terms, so that each word is looked up in these few
+    marked = marked.withColumn("words", spans_of(F.col("text"), LETTERS)).withColumn("terms", F.array_intersect(F.transform("words", lambda m: F.lower(m["v"])), "terms"))
+    marked = marked.select("doc_id", "key", _joined("term", F.filter("words", lambda m: F.array_contains("terms", F.lower(m["v"])))).alias("term_spans"))
     marked = shared.materialise(marked, "pii-terms")
 
     base = F.concat(*[_joined(k, F.col(k)) for k in KINDS])
@@ -171,7 +191,7 @@ def find(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int =
     right = marked.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "term_spans")
     out = rows.join(right, rows["doc_id"].eqNullSafe(right["d"]) & (rows["key"] == right["k"]), "left")
     term_spans = F.coalesce("term_spans", F.expr("cast(array() as array<string>)"))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", term_spans), ",").alias("spans"), F.size(term_spans).cast("long").alias("n_terms"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", term_spans), ",").alias("spans"), F.size(term_spans).cast("long").alias("n_terms"), "key")
 
 
 def generalise(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
@@ -179,17 +199,16 @@ def generalise(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support:
 
     Overlapping spans are cut from the left: the first to start stands, the rest of a later one is removed.
     """
-    spans = find(docs, near, alpha, support).select("doc_id", "spans").where("spans <> ''").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", shared.text_or_empty().alias("text")).join(spans.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    text = shared.text_or_empty()
+    spans = find(docs, near, alpha, support).where("spans <> ''").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans").dropDuplicates(["d", "k"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     parts = F.transform(F.split("spans", ","), lambda x: F.split(x, ":"))
     ordered = F.array_sort(F.transform(parts, lambda p: F.struct(F.get(p, F.lit(1)).cast("int").alias("s"), F.get(p, F.lit(2)).cast("int").alias("e"), F.get(p, F.lit(0)).alias("k"))))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when((x["k"] == "term") | (x["s"] < acc["at"]), "").otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done).alias("text"))
+    rows = rows.withColumn("ordered", ordered).withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces_of(F.col("text"))))
+    ends = F.transform("ordered", lambda x: x["e"])
+    done = F.zip_with("ordered", running(ends, lambda a, x: F.greatest(a, x), F.lit(0)), lambda x, at: F.concat(
+        F.when(x["s"] > at, cut(F.col("pieces"), at, x["s"] - at)).otherwise(""),
+        F.when((x["k"] == "term") | (x["s"] < at), "").otherwise(F.concat(F.lit("["), x["k"], F.lit("]"))),
+    ))
+    last = F.array_max(ends)
+    return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(done, ""), cut(F.col("pieces"), last, F.length("text") - last))).alias("text"))

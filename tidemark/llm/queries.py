@@ -41,7 +41,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
