@@ -557,9 +557,15 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+def all_hot(monkeypatch):
+    for name, value in (("SAMPLE", 1), ("LEAST_HOT", 1), ("MOST_HOT", 1 << 40)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+
+
+@pytest.mark.parametrize("hot", [False, True])
 def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    if hot:
+        all_hot(monkeypatch)
     passage = "".join(R.choice("abc ") for _ in range(180))
     more = [(50_000 + i, "".join(R.choice("xyz é") for _ in range(R.randrange(0, 60))) + passage[R.randrange(0, 30) :] + "q" * R.randrange(0, 150)) for i in range(40)]
     more += [(60_000, "ab" * 500), (60_001, "ab" * 300), (60_002, "e" * 99), (60_003, "e" * 100), (60_004, "e" * 101)]
@@ -569,10 +575,31 @@ def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.removed_digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("length, gram", [(100, 32), (60, 16), (95, 32), (200, 64)])
+def test_rounds_at_other_offsets(spark, length, gram):
+    r = random.Random(length)
+    passage = "".join(r.choice("ab cd") for _ in range(3 * length))
+    table = [(i, "".join(r.choice("xyz") for _ in range(r.randrange(0, 40))) + passage[(a := r.randrange(0, 2 * length)) : a + r.randrange(length // 2, 2 * length)] + "q" * r.randrange(0, 30)) for i in range(80)]
+    table.append((2**63 - 1, passage))
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.removed_digests(spark.createDataFrame(table, "doc_id bigint, text string"), length, gram).collect()}
+    assert got == brute_repeats(table, length)
+
+
+def test_one_gram_in_many_places(spark):
+    """A gram with hundreds of different surroundings, some of them repeated."""
+    r = random.Random(2)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    gram, sides = some(40), [(some(90), some(90)) for _ in range(60)]
+    table = [(i, r.choice(sides)[0][r.randrange(0, 40) :] + gram + r.choice(sides)[1][: r.randrange(40, 90)]) for i in range(400)]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.removed_digests(spark.createDataFrame(table, "doc_id bigint, text string").repartition(6)).collect()}
+    assert got == brute_repeats(table)
+
+
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("parts", [1, 6])
 def test_repeated_bytes_of_repeated_and_null_ids(spark, monkeypatch, hot, parts):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    if hot:
+        all_hot(monkeypatch)
     r = random.Random(5)
     some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage = some(300)

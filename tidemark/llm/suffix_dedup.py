@@ -5,21 +5,26 @@ Prefix doubling sorts positions by pairs of ranks at growing offsets until a ran
 unique or the prefix passes the threshold.  Doing so for every byte would move a row per
 byte in each round, several times the allowed disk, so the first rounds run where the
 text is: the rank of a position's first byte is doubled to those of 2, 4, ... ``GRAM``
-bytes inside the block (ranks are 64-bit hashes, which need no common order).  Of the
-positions in a ``length``-byte string, the one with the least rank represents it
-(equal strings choose alike, wherever they stand), which leaves about two positions in
-``length - GRAM`` bytes for the distributed rounds:
+bytes inside the block.  Only equality of ranks is needed, so a rank is a name: a hash of
+what it ranks.  Of the positions in a ``length``-byte string, the one with the least rank
+represents it (equal strings choose alike, wherever they stand), which leaves about two
+positions in ``length - GRAM`` bytes for the distributed rounds:
 
 1. Spark sorts the positions by the pair (rank of the gram, rank of the whole stretch of
    strings that the position represents).  A unique gram proves all of these strings
    unique and ends there; a repeated pair proves all but its earliest occurrence repeated.
-2. What is left are grams with several different stretches.  Each of these is moved once, with
-   its bytes, to where its gram's others are; there its strings are ranked at the full length,
-   and all but the earliest of equal ranks are repeated.  A gram with more than ``HOT``
-   stretches is not gathered: its strings are ranked where the text is and dealt by rank.
+2. What is left are grams with several different stretches.  Their ranks are doubled to
+   both sides: pairs (rank at the position, rank ``GRAM`` bytes on) and (rank ``GRAM`` bytes
+   before, rank at the position).  A string holds one of the two windows, or both; where a
+   pair is unique, the strings that hold it are unique and end there.
+3. Strings that remain are ranked at the full length, by the pair of their ranks at twice
+   ``GRAM`` bytes from either end; all but the earliest of equal ranks are repeated.
 
 Equal pairs are combined in each map task before they are moved, so a passage held by a
-third of all documents sends one row per task and not one per document.
+third of all documents sends one row per task and not one per document.  Names that decide
+about removal have 128 bits.  Grams that a sample of the texts shows to be in over a
+``MOST_HOT``-th of all positions (so there are fewer than that many) are dealt by their
+stretches and go on to the second round.
 
 Edge cases: a null text counts as empty; a null doc_id comes after all others; rows are
 told apart by doc_id and the text's digest, so rows with one doc_id (or none) and different
@@ -45,10 +50,10 @@ LENGTH = 100
 GRAM = 32
 #: Positions that one map task holds at most before it combines and sends them.
 HELD = 1 << 20
-#: More stretches than this of one gram are not brought to one task.
-HOT = 4096
-NO_ID = np.iinfo(np.int64).max
-PLACE = "gram bigint, stretch bigint, doc bigint, digest bigint, place bigint"
+#: One text in so many is looked at for hot grams; of its positions, hot ones have at least LEAST_HOT and a MOST_HOT-th.
+SAMPLE, LEAST_HOT, MOST_HOT = 64, 512, 1000
+ID = "nil boolean, doc bigint, digest bigint"
+OWNER = ["nil", "doc", "digest"]
 ODD = shared.ODD64
 
 
@@ -73,10 +78,10 @@ def least_in_window(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def places(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each chosen position: row, gram rank, stretch rank, first and last string it represents (from the row's start)."""
+    """For each chosen position: row, gram rank, stretch rank, first string it represents (from the row's start), how many more, and how far it is from the first."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none, none
+        return (none,) * 6
     rank = gram_ranks(raw, gram)
     key = (rank >> np.uint64(30) << np.uint64(30)) | np.arange(len(rank), dtype=np.uint64)
     chosen = (least_in_window(key, length - gram + 1) & np.uint64((1 << 30) - 1)).astype(np.int64)
@@ -85,202 +90,206 @@ def places(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
     inside = starts + length <= bounds[row + 1]
     starts, row, chosen = starts[inside], row[inside], chosen[inside]
     if not len(starts):
-        return none, none, none, none, none
+        return (none,) * 6
     new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]))))
     lo, hi = starts[new], np.concatenate((starts[new[1:] - 1], starts[-1:]))
     at, row = chosen[new], row[new]
     with np.errstate(over="ignore"):
         stretch = shared.mix64(shared.span_hashes(raw, lo, hi + length) + (at - lo).astype(np.uint64) * ODD + ((hi - lo).astype(np.uint64) << np.uint64(40)))
-    return row, rank[at].view(np.int64), stretch.view(np.int64), lo - bounds[row], hi - bounds[row]
+    return row, rank[at].view(np.int64), stretch.view(np.int64), lo - bounds[row], hi - lo, at - lo
 
 
-def _pack(lo: np.ndarray, hi: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return lo << 9 | (hi - lo) << 1 | known
+def _owners(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in OWNER)
 
 
-def _same_as_before(key: np.ndarray) -> np.ndarray:
-    equal = np.zeros(len(key), bool)
-    equal[1:] = key[1:] == key[:-1]
-    return equal
+def _named(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
 
-def _ordered(rank: np.ndarray, doc: np.ndarray, digest: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The order by rank and place; a place that a repeated row brings again is left out."""
-    order = np.lexsort((at, digest, doc))
-    order = order[np.argsort(rank[order], kind="stable")]
-    again = _same_as_before(rank[order])
-    for x in (at, doc, digest):
-        again &= _same_as_before(x[order])
-    return order[~again]
+def _earliest_first(keys: tuple[np.ndarray, np.ndarray], owner: tuple[np.ndarray, ...], lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys and place, without places that a repeated row brings again, and which of these repeat the key before."""
+    order = np.lexsort((lo, *reversed(owner), *reversed(keys)))
+    same = lambda *columns: np.logical_and.reduce([np.concatenate(([False], c[order][1:] == c[order][:-1])) for c in columns])
+    known = same(*keys)
+    once = ~(known & same(*owner, lo))
+    return order[once], known[once]
 
 
-def _spread(doc: np.ndarray, digest: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _spread(known: np.ndarray, key: np.ndarray, owner: tuple[np.ndarray, ...], lo: np.ndarray) -> np.ndarray:
+    """Keys, but those of rows already known to repeat another go anywhere."""
     with np.errstate(over="ignore"):
-        return shared.mix64((doc.view(np.uint64) ^ digest.view(np.uint64)) * ODD + at.view(np.uint64))
+        anywhere = shared.mix64((owner[1].view(np.uint64) ^ owner[2].view(np.uint64)) * ODD + lo.view(np.uint64))
+    return np.where(known, anywhere.view(np.int64), key)
 
 
-def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Of equal pairs the earliest; the others are known to repeat it and go to any task."""
-    gram, stretch, doc, digest, lo, hi = (np.concatenate(x) for x in zip(*parts))
-    with np.errstate(over="ignore"):
-        pair = shared.mix64(gram.view(np.uint64) + stretch.view(np.uint64) * ODD)
-    order = _ordered(pair, doc, digest, lo)
-    gram, stretch, doc, digest, lo, hi = gram[order], stretch[order], doc[order], digest[order], lo[order], hi[order]
-    known = _same_as_before(pair[order])
-    spread = _spread(doc, digest, lo).view(np.int64)
-    gram = np.where(known, spread, gram)
-    stretch = np.where(known, spread, stretch)
-    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(stretch), pa.array(doc), pa.array(digest), pa.array(_pack(lo, hi, known))], ["gram", "stretch", "doc", "digest", "place"])
+def _rows(docs: DataFrame) -> DataFrame:
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(doc.isNull().alias("nil"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("digest"))
+CHOSEN = f"gram bigint, stretch bigint, {ID}, lo bigint, shape int"
 
 
-def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc, digest, lo, more, gram, hot`` of positions with a repeated gram."""
+def _combined(parts: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> pa.RecordBatch:
+    """Of equal pairs the earliest; the others are known to repeat it.  ``shape`` packs distance, number of more strings, hot and known."""
+    gram, stretch, nil, doc, digest, lo, more, off = (np.concatenate(x) for x in zip(*parts))
+    order, known = _earliest_first((gram, stretch), (nil, doc, digest), lo)
+    gram, stretch, nil, doc, digest, lo, more, off = (x[order] for x in (gram, stretch, nil, doc, digest, lo, more, off))
+    is_hot = np.isin(gram, hot)
+    with np.errstate(over="ignore"):
+        dealt = shared.mix64(gram.view(np.uint64) ^ (stretch.view(np.uint64) * ODD)).view(np.int64)
+    key = _spread(known, np.where(is_hot, dealt, gram), (nil, doc, digest), lo)
+    shape = (off << 10 | more << 2 | is_hot << 1 | known).astype(np.int32)
+    return _named(CHOSEN, key, _spread(known, stretch, (nil, doc, digest), lo), nil, doc, digest, lo, shape)
+
 
+def _chosen(rows: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, digests = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
-                row, g, s, lo, hi = places(raw, bounds, length, gram)
+            owner = _owners(batch)
+            for a, b, raw, bounds in shared.text_blocks(batch.column("text")):
+                row, g, s, lo, more, off = places(raw, bounds, length, gram)
                 if len(row):
-                    held.append((g, s, ids[a:b][row], digests[a:b][row], lo, hi))
+                    held.append((g, s, *(x[a:b][row] for x in owner), lo, more, off))
                     n += len(row)
                 if n >= HELD:
-                    yield _combined(held)
+                    yield _combined(held, hot)
                     held, n = [], 0
         if held:
-            yield _combined(held)
+            yield _combined(held, hot)
+
+    return rows.mapInArrow(choose, CHOSEN)
+
 
-    chosen = _rows(docs).mapInArrow(choose, PLACE)
+def _hot_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Fewer than MOST_HOT of them."""
+    some = _rows(docs).where(F.pmod("digest", F.lit(SAMPLE)) == 0)
+    counts = shared.materialise(_chosen(some, length, gram, np.zeros(0, np.int64)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["gram"] for r in counts.where(F.col("n") > max(LEAST_HOT, total // MOST_HOT)).select("gram").collect()]
+    shared.drop_table(counts)
+    return np.array(hot, np.int64)
+
+
+def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``nil, doc, digest, lo, more, off, open`` of positions with a repeated gram; those not open are repeated as a whole."""
     by_gram = Window.partitionBy("gram")
-    ranked = chosen.select(
-        "gram", "doc", "digest", "place",
-        F.count(F.lit(1)).over(by_gram).alias("n"),
+    flag = lambda n: F.col("shape").bitwiseAND(n) > 0
+    ranked = _chosen(_rows(docs), length, gram, _hot_grams(docs, length, gram)).select(
+        *OWNER, "lo", "shape",
         (F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram)).alias("several"),
         # equal places, which repeated rows bring, share a number
-        F.rank().over(Window.partitionBy("gram", "stretch").orderBy("doc", "digest", "place")).alias("nth"),
-    )
-    repeated = (F.col("place").bitwiseAND(1) == 1) | (F.col("nth") > 1)
-    found = ranked.where(repeated | F.col("several")).select(
-        "doc", "digest", F.shiftright("place", 9).alias("lo"), F.shiftright("place", 1).bitwiseAND(255).cast("int").alias("more"),
-        F.when(~repeated, F.col("gram")).alias("gram"), (F.col("n") > HOT).alias("hot"),
+        F.rank().over(Window.partitionBy("gram", "stretch").orderBy(*OWNER, "lo")).alias("nth"),
     )
+    repeated = flag(1) | (F.col("nth") > 1)
+    found = ranked.where(repeated | F.col("several") | flag(2)).select(*OWNER, "lo", F.shiftright("shape", 2).bitwiseAND(255).alias("more"), F.shiftright("shape", 10).alias("off"), (~repeated).alias("open"))
     return shared.materialise(found, "suffix-places")
 
 
-STRING = "key bigint, doc bigint, digest bigint, lo bigint, n int, known boolean, body binary"
+def _with_lists(docs: DataFrame, listed: DataFrame, *fields: str) -> DataFrame:
+    """The texts that have rows in ``listed``, with these as a list."""
+    lists = listed.groupBy(*OWNER).agg(F.collect_set(F.struct(*fields)).alias("listed"))
+    return _rows(docs).join(lists, OWNER).select(*OWNER, "text", "listed")
+
+
+def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """For blocks of texts: bytes, owner of each list entry, start of its text and the entry's fields."""
+    for batch in batches:
+        owner = _owners(batch)
+        for a, b, raw, bounds in shared.text_blocks(batch.column("text")):
+            lists = batch.column("listed").slice(a, b - a)
+            fields = [lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)]
+            row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
+            yield raw, tuple(x[a:b][row] for x in owner), bounds[row], *fields
+
+
+BEFORE, BEHIND = 1, 2
+PAIRS = f"first bigint, second bigint, {ID}, lo bigint, more int, off int, side int"
+
 
+def _doubled(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
+    """``nil, doc, digest, lo, more, off, sides`` of open positions with a repeated pair of ranks on some side."""
 
-def _moved(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, lo: np.ndarray, n: np.ndarray, known: np.ndarray, body: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(known, pa.bool_()), pa.array(body, pa.binary())], ["key", "doc", "digest", "lo", "n", "known", "body"])
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw, owner, begin, lo, more, off in _listed(batches, 3):
+            rank, at = gram_ranks(raw, gram).view(np.int64), begin + lo + off
+            for side, has, x in ((BEFORE, off >= gram, at - gram), (BEHIND, off - more <= length - 2 * gram, at)):
+                if has.any():
+                    x = x[has]
+                    yield _named(PAIRS, rank[x], rank[x + gram], *(o[has] for o in owner), lo[has], more[has].astype(np.int32), off[has].astype(np.int32), np.full(len(x), side, np.int32))
+
+    ranked = shared.materialise(_with_lists(docs, found.where("open"), "lo", "more", "off").mapInArrow(pairs, PAIRS), "suffix-pairs")
+    # counted and written first, so that Spark can split the join of a frequent pair
+    twice = shared.materialise(ranked.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "second"), "repeated-pairs")
+    alive = ranked.join(twice, ["first", "second"], "left_semi").groupBy(*OWNER, "lo", "more", "off").agg(F.bit_or("side").alias("sides"))
+    alive = shared.materialise(alive, "suffix-open")
+    shared.drop_table(ranked)
+    shared.drop_table(twice)
+    return alive
+
+
+STRINGS = f"first bigint, second bigint, {ID}, lo bigint, known boolean"
 
 
 def _combined_strings(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """As :func:`_combined`, for single strings."""
-    rank, doc, digest, at = (np.concatenate(x) for x in zip(*parts))
-    order = _ordered(rank, doc, digest, at)
-    rank, doc, digest, at = rank[order], doc[order], digest[order], at[order]
-    known = _same_as_before(rank)
-    return _moved(np.where(known, _spread(doc, digest, at), rank).view(np.int64), doc, digest, at, np.ones(len(at)), known, [None] * len(at))
+    first, second, nil, doc, digest, lo = (np.concatenate(x) for x in zip(*parts))
+    order, known = _earliest_first((first, second), (nil, doc, digest), lo)
+    first, second, nil, doc, digest, lo = (x[order] for x in (first, second, nil, doc, digest, lo))
+    return _named(STRINGS, *(_spread(known, k, (nil, doc, digest), lo) for k in (first, second)), nil, doc, digest, lo, known)
 
 
-def _send(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for batch in batches:
-        ids, digests = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-        for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
-            lists = batch.column(2).slice(a, b - a)
-            lo, more, gram, hot = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
-            fits = bounds[row] + lo + more + length <= bounds[row + 1]
-            lo, more, gram, hot, row = lo[fits], more[fits], gram[fits], hot[fits], row[fits]
-            at = bounds[row] + lo
-            own = ~hot
-            data = raw.tobytes()
-            if own.any():
-                yield _moved(gram[own], ids[a:b][row[own]], digests[a:b][row[own]], lo[own], more[own] + 1, np.zeros(own.sum(), bool), [data[x : x + m + length] for x, m in zip(at[own].tolist(), more[own].tolist())])
-            if hot.any():
-                size = more[hot] + 1
-                start = np.repeat(at[hot] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                row = np.repeat(row[hot], size)
-                held.append((shared.span_hashes(raw, start, start + length), ids[a:b][row], digests[a:b][row], start - bounds[row]))
-                n += len(start)
+def _strings(docs: DataFrame, alive: DataFrame, length: int, gram: int) -> DataFrame:
+    """``nil, doc, digest, lo`` of single strings, among those still open, that start earlier too."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for raw, owner, begin, lo, more, off, sides in _listed(batches, 4):
+            size = more + 1
+            each = np.repeat(np.arange(len(lo)), size)
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            away = off[each] - nth
+            needed = np.where(away >= gram, BEFORE, 0) | np.where(away <= length - 2 * gram, BEHIND, 0)
+            fits = needed & ~sides[each] == 0
+            each, start = each[fits], (begin + lo)[each[fits]] + nth[fits]
+            if not len(start):
+                continue
+            rank = gram_ranks(raw, gram)
+            with np.errstate(over="ignore"):
+                twice = shared.mix64(rank[: len(rank) - gram] * ODD + rank[gram:])
+                pair = shared.mix64(twice[start] * ODD + twice[start + length - 2 * gram])
+            whole = shared.span_hashes(raw, start, start + length)
+            held.append((pair.view(np.int64), whole.view(np.int64), *(o[each] for o in owner), start - begin[each]))
+            n += len(start)
             if n >= HELD:
                 yield _combined_strings(held)
                 held, n = [], 0
-    if held:
-        yield _combined_strings(held)
-
-
-def _late(rows: pa.Table, length: int) -> pa.RecordBatch:
-    """``doc, digest, lo`` of all strings but the earliest of equal rank; all rows of a key are here."""
-    doc, digest, lo, n = (rows.column(c).to_numpy() for c in ("doc", "digest", "lo", "n"))
-    known, body = rows.column("known").to_numpy(), rows.column("body").combine_chunks()
-    whole = np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False))
-    rank = rows.column("key").to_numpy().view(np.uint64)
-    single = np.flatnonzero(body.is_null().to_numpy(zero_copy_only=False))
-    raw = np.frombuffer(b"".join(body.take(pa.array(whole)).to_pylist()), np.uint8)
-    size = n[whole].astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(size + length - 1)))[:-1]
-    inside = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
-    start = np.repeat(begin, size) + inside
-    ranks = np.concatenate((rank[single], shared.span_hashes(raw, start, start + length)))
-    docs = np.concatenate((doc[single], np.repeat(doc[whole], size)))
-    digests = np.concatenate((digest[single], np.repeat(digest[whole], size)))
-    at = np.concatenate((lo[single], np.repeat(lo[whole], size) + inside))
-    known = np.concatenate((known[single], np.zeros(len(start), bool)))
-    order = _ordered(ranks, docs, digests, at)
-    late = np.zeros(len(ranks), bool)
-    late[order] = _same_as_before(ranks[order])
-    late |= known
-    return pa.RecordBatch.from_arrays([pa.array(docs[late]), pa.array(digests[late]), pa.array(at[late])], ["doc", "digest", "lo"])
-
-
-def _receive(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by key: whole keys are taken together, and no more than needed is held."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += int(batch.column(4).to_numpy().sum())
-        if n >= HELD:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield _late(table.slice(0, cut), length)
-                held = table.slice(cut).to_batches()
-                n = int(table.slice(cut).column("n").to_numpy().sum())
-    if held:
-        yield _late(pa.Table.from_batches(held), length)
-
-
-def _strings(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """``doc, digest, lo`` of single strings, among those of open positions, that start earlier too."""
-    open_ = found.where("gram is not null").groupBy("doc", "digest").agg(F.collect_set(F.struct("lo", "more", "gram", "hot")).alias("open"))
-    sent = _rows(docs).join(open_, ["doc", "digest"]).select("doc", "text", "open", "digest").mapInArrow(lambda x: _send(x, length), STRING)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    late = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _receive(x, length), "doc bigint, digest bigint, lo bigint")
+        if held:
+            yield _combined_strings(held)
+
+    sent = _with_lists(docs, alive, "lo", "more", "off", "sides").mapInArrow(send, STRINGS)
+    nth = F.rank().over(Window.partitionBy("first", "second").orderBy(*OWNER, "lo"))
+    late = sent.select(*OWNER, "lo", "known", nth.alias("nth")).where("known or nth > 1").select(*OWNER, "lo")
     return shared.materialise(late, "suffix-strings")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc, digest, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged."""
-    if not gram < length <= gram + 250:
-        raise ValueError("length must exceed gram by 1 to 250")
+    """``nil, doc, digest, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged; ``nil`` marks a null doc_id."""
+    if gram & (gram - 1) or not 3 * gram - 1 <= length <= gram + 250:
+        raise ValueError("gram must be a power of two, and length from 3 * gram - 1 to gram + 250")
     spark = docs.sparkSession
     shared.prepare_python(spark)
     found = _places(docs, length, gram)
     shared.release_shuffles(spark)
-    strings = _strings(docs, found, length)
+    alive = _doubled(docs, found, length, gram)
+    shared.release_shuffles(spark)
+    strings = _strings(docs, alive, length, gram)
+    shared.drop_table(alive)
     shared.release_shuffles(spark)
-    spans = found.where("gram is null").select("doc", "digest", "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select("doc", "digest", "lo", F.col("lo").alias("hi")))
-    return spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
+    spans = found.where("not open").select(*OWNER, "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select(*OWNER, "lo", F.col("lo").alias("hi")))
+    return spans.groupBy(*OWNER).agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
 
 
 def _merged(spans: np.ndarray, n: int) -> np.ndarray:
@@ -294,7 +303,7 @@ def _merged(spans: np.ndarray, n: int) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     spans = repeated_spans(docs, length, gram)
-    return _rows(docs).join(spans, ["doc", "digest"], "left").select("doc", "text", "spans")
+    return _rows(docs).join(spans, OWNER, "left").select(F.when(~F.col("nil"), F.col("doc")).alias("doc"), "text", "spans")
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, bytes, int]]:
@@ -302,7 +311,6 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, bytes, int
     texts = batch.column(1).cast(pa.large_binary())
     for doc, text, spans in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
         raw = text.as_py() or b""
-        doc = None if doc == NO_ID else doc
         if not spans.is_valid:
             yield doc, raw, raw, 0
             continue
