@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng, rules
-from ..session import importable
+from ..session import importable, settled
 from . import walkforward
 
 EXPECTED = 0.8
@@ -32,8 +32,8 @@ def fair_draws(spark: SparkSession, seeds: list[int], draws: int) -> DataFrame:
 
 def iid_pass_rates(spark: SparkSession, draws: int = 260, lookback: int = 90, replications: int = 25, seed: int = 645) -> DataFrame:
     """Control A: share of fair data sets in which a rule passes all three gates; all replications in one plan."""
-    table = fair_draws(spark, [seed * 1_000_003 + r for r in range(replications)], draws).persist()
-    scores = walkforward.series(table, lookback, "RANDOM", ("rep",)).persist()
+    table = fair_draws(spark, [seed * 1_000_003 + r for r in range(replications)], draws)
+    scores = settled(walkforward.series(table, lookback, "RANDOM", ("rep",)), "controls")
     rows = walkforward.summary(scores, lookback, draws - lookback, ["rep"], "RANDOM")
     return rows.where("strategy <> 'RANDOM'").groupBy("strategy").agg((F.count_if(F.col("gates_passed") == 3) / replications).alias("pass_rate"))
 
@@ -71,7 +71,7 @@ def label_permutation(table: DataFrame, lookback: int = 90, seed: int = 645) ->
     spark = table.sparkSession
     n = max(0, table.count() - lookback)
     order = spark.createDataFrame(pd.DataFrame({"t": np.arange(n) + lookback, "other_t": rng.permutation(n, seed) + lookback}), "t bigint, other_t bigint")
-    own = walkforward.picks(table, lookback).join(order, "t").join(table.select("t", "result"), "t")
+    own = walkforward.picks(table, lookback).join(order, "t")
     met = own.join(table.select(F.col("t").alias("other_t"), F.col("result").alias("other")), "other_t")
     each = F.array(*[F.struct(F.lit(r).alias("strategy"), rules.matches(F.col(r), F.col("result")).alias("k"), rules.matches(F.col(r), F.col("other")).alias("permuted")) for r in walkforward.RULES])
     rows = met.select(F.explode(each).alias("x")).select("x.*").groupBy("strategy").agg((F.avg("k") - EXPECTED).alias("true_edge"), (F.avg("permuted") - EXPECTED).alias("permuted_edge"))
@@ -80,7 +80,7 @@ def label_permutation(table: DataFrame, lookback: int = 90, seed: int = 645) ->
 
 def future_leak(table: DataFrame, lookback: int = 90) -> DataFrame:
     """Control F: a ticket that is the result itself, against the honest HOT ticket."""
-    met = walkforward.picks(table, lookback, ("HOT",)).join(table.select("t", "result"), "t")
+    met = walkforward.picks(table, lookback, ("HOT",))
     sums = met.agg(F.count(F.lit(1)).alias("trials"), (F.avg(rules.matches(F.col("HOT"), F.col("result"))) - EXPECTED).alias("safe_edge"), F.avg(rules.matches(F.col("result"), F.col("result"))).alias("leaked_mean"), F.avg((rules.matches(F.col("result"), F.col("result")) == 6).cast("int")).alias("leaked_jackpot_rate"))
     leaked = F.col("leaked_mean") - EXPECTED
     return sums.withColumn("leaked_edge", leaked).withColumn("leak_detected", (F.col("leaked_mean") >= 5) & (leaked > F.col("safe_edge") + 1))
@@ -89,6 +89,7 @@ def future_leak(table: DataFrame, lookback: int = 90) -> DataFrame:
 def all_controls(table: DataFrame, lookback: int = 90, seed: int = 645, replications: int = 25) -> DataFrame:
     """``control, value, threshold, passed``: five rows; too few draws give ``insufficient``."""
     spark = table.sparkSession
+    table = settled(table, "draws")
     if table.count() <= lookback:
         return spark.createDataFrame([(c, None, None, None, True) for c in "ABCEF"], "control string, value double, threshold double, passed boolean, insufficient boolean")
     row = lambda name, df, value, threshold, passed: df.select(F.lit(name).alias("control"), value.cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"), passed.alias("passed"), F.lit(False).alias("insufficient"))

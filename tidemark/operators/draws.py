@@ -11,7 +11,8 @@ from ..functions import rules
 def from_orders(orders: DataFrame) -> DataFrame:
     """Draws derived from orders by a fixed hash: ``date, key, result`` (see the survey's expression)."""
     key = "((o_orderkey + 1L) * (n * 7919L + 104729L) + o_custkey * n * 31L) % 1000003L"
-    result = f"array_sort(transform(slice(array_sort(transform(sequence(1, 45), n -> named_struct('k', {key}, 'n', n))), 1, 6), x -> x.n))"
+    # key and number in one whole number each, which sorts without a comparator
+    result = f"sort_array(transform(slice(sort_array(transform(sequence(1, 45), n -> {key} * 64 + n)), 1, 6), x -> cast(pmod(x, 64) as int)))"
     return orders.select(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("key"), F.expr(result).alias("result"))
 
 
@@ -41,18 +42,19 @@ def numbers(spark) -> DataFrame:
 def frequency(table: DataFrame) -> DataFrame:
     """``num, count, expected, delta_pct, gap`` for all 45 numbers; ``gap`` is rows since last seen, or all rows.
 
-    One pass: counts, last positions and the number of rows are combined before they are moved.
+    One pass: counts and last positions are combined before they are moved, and as each row
+    has six numbers, the number of rows and the last position follow from these 45 rows.
     """
-    spark = table.sparkSession
     ranked = table.select("t", F.explode("result").alias("num")).groupBy("num").agg(F.count(F.lit(1)).alias("count"), F.max("t").alias("last"))
-    total = table.agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("top"))
-    dense = numbers(spark).join(F.broadcast(ranked), "num", "left").join(F.broadcast(total), how="cross")  # 45 rows by one row
-    count = F.coalesce("count", F.lit(0))
-    expected = F.col("n") * rules.PICKS / float(rules.POOL)
+    dense = numbers(table.sparkSession).join(F.broadcast(ranked), "num", "left")  # 45 rows
+    count, everything = F.coalesce("count", F.lit(0)), Window.partitionBy(F.lit(1))
+    dense = dense.select("num", count.cast("long").alias("count"), "last", F.expr(f"sum(count) over (partition by 1) div {rules.PICKS}").alias("n"), F.max("last").over(everything).alias("top"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    expected = n * rules.PICKS / float(rules.POOL)
     return dense.select(
-        "num", count.cast("long").alias("count"), expected.alias("expected"),
-        F.when(F.col("n") == 0, 0.0).otherwise((count - expected) / expected * 100).alias("delta_pct"),
-        F.coalesce(F.col("top") - F.col("last"), F.col("n")).cast("long").alias("gap"),
+        "num", "count", expected.alias("expected"),
+        F.when(n == 0, 0.0).otherwise((F.col("count") - expected) / expected * 100).alias("delta_pct"),
+        F.coalesce(F.col("top") - F.col("last"), n).cast("long").alias("gap"),
     )
 
 

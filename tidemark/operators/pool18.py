@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, rng, rules
+from ..session import settled
 from . import resample
 from .walkforward import POOL_RULES, holm, picks
 
@@ -27,7 +28,7 @@ def _payout(k):
 
 def observations(table: DataFrame, lookback: int = 90, seed: int | None = 645) -> DataFrame:
     """LONG: ``t, date, rule, k, hit6``; with a seed also RANDOM18."""
-    wide = picks(table, lookback, POOL_RULES, POOL).join(table.select("t", "date", "result"), "t")
+    wide = picks(table, lookback, POOL_RULES, POOL, carry=("date",))
     names = list(POOL_RULES)
     if seed is not None:
         wide = wide.withColumn("RANDOM18", rng.pool_pick(seed, POOL)(F.col("t")))
@@ -83,7 +84,7 @@ def null_calibration(n: int) -> dict:
 
 def audit(table: DataFrame, lookback: int = 90, seed: int = 645, alpha: float = 0.05, iterations: int = 10_000) -> DataFrame:
     """One row a rule: exact tail and interval, Holm over the four history rules, paired tests, halves and a verdict."""
-    seen = observations(table, lookback, seed).persist()
+    seen = settled(observations(table, lookback, seed), "pool18")
     trials = max(0, table.count() - lookback)
     counts = rule_counts(seen)
     exact = counts.withColumn("p_value", numeric.exact_tail(F.col("n"), F.col("hit6"), P0)).withColumn("ci", numeric.interval(F.col("n"), F.col("hit6"), alpha))

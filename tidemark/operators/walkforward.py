@@ -1,17 +1,24 @@
 """Leak-safe walk-forward tests of selection rules.
 
 History of a target row t is the ``lookback`` rows before it.  The table is cut into
-blocks of consecutive rows; a block also gets the last ``lookback`` rows of the one before.
-One shuffle by block puts all that a target needs in one place: the grid of 45 numbers is
-made after it, and every later window, ranking and collection keeps that partitioning.
+blocks of consecutive rows; a block also gets the last ``lookback`` rows of the one before,
+so one shuffle by block, one row a draw, puts all that a target needs in one place.  There
+the counts of all 45 numbers are differences of running sums, and the rules rank them row
+by row, over Arrow batches of a sorted block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rng, rules, stats
+from ..session import importable, settled
 
 BLOCK = 2048
 RULES = ("HOT", "COLD", "BALANCED")
@@ -29,51 +36,102 @@ def in_blocks(table: DataFrame, position: str, halo: int, keys: tuple[str, ...]
     return out.repartition(parts, *keys, "blk")
 
 
+def _histories(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], lookback: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Own rows with a full history, and for these the counts and gaps of all numbers (``rows x 45``).
+
+    Batches come sorted by keys, block and t; the last ``lookback`` rows are carried from one to the next.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        fresh = 0 if held is None else len(held)
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        held = rows.slice(max(0, len(rows) - lookback))
+        new = np.zeros(len(rows), bool)
+        if len(rows):
+            new[0] = True
+        for c in (*keys, "blk"):
+            v = rows.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            if b <= fresh:
+                continue
+            part = rows.slice(a, b - a).combine_chunks().to_batches()[0]
+            drawn = part.column("result").flatten().to_numpy().reshape(-1, rules.PICKS)
+            hit = np.zeros((b - a, rules.POOL), np.int32)
+            hit[np.arange(b - a)[:, None], drawn - 1] = 1
+            upto = np.concatenate((np.zeros((1, rules.POOL), np.int32), np.cumsum(hit, 0, dtype=np.int32)))
+            last = np.maximum.accumulate(np.where(hit, np.arange(b - a)[:, None], -lookback - 1), 0)
+            own = part.column("own").to_numpy(zero_copy_only=False) & (part.column("t").to_numpy() >= lookback)
+            own[: max(0, fresh - a)] = False
+            i = np.flatnonzero(own)
+            if len(i):
+                count = upto[i] - upto[np.maximum(i - lookback, 0)]
+                gap = np.minimum((i - 1)[:, None] - last[i - 1], lookback)
+                yield part.take(pa.array(i)), count, gap
+
+
+def _in_order(table: DataFrame, lookback: int, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    importable(table.sparkSession)
+    return in_blocks(table.select(*keys, "t", "result", *carry), "t", lookback, keys).sortWithinPartitions(*keys, "blk", "t")
+
+
+def _schema(table: DataFrame, keys: tuple[str, ...], *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*(table.schema[k] for k in keys), *(T.StructField(n, t) for n, t in more)])
+
+
 def rolling(table: DataFrame, lookback: int = 90, keys: tuple[str, ...] = ()) -> DataFrame:
     """``blk, t, num, count, gap`` of every target with a full history (and ``keys``)."""
-    cells = in_blocks(table, "t", lookback, keys).select(*keys, "blk", "own", "t", "result", F.explode(F.sequence(F.lit(1), F.lit(rules.POOL))).alias("num"))
-    hit = F.array_contains("result", F.col("num"))
-    before = Window.partitionBy(*keys, "blk", "num").orderBy("t").rowsBetween(-lookback, -1)
-    counted = cells.select(*keys, "blk", "own", "t", "num", F.sum(hit.cast("int")).over(before).alias("count"), F.max(F.when(hit, F.col("t"))).over(before).alias("last"))
-    own = counted.where(F.col("own") & (F.col("t") >= lookback))
-    return own.select(*keys, "blk", "t", "num", F.coalesce("count", F.lit(0)).cast("int").alias("count"), F.coalesce(F.col("t") - 1 - F.col("last"), F.lit(lookback)).cast("int").alias("gap"))
-
-
-def _least(cells: Column, key, k: int) -> Column:
-    """The numbers of the ``k`` least keys; a key is a whole number with the number itself in its last two digits."""
-    ranked = F.array_sort(F.transform(cells, lambda c: key(c) * 100 + c["num"]))
-    return F.array_sort(F.transform(F.slice(ranked, 1, k), lambda x: F.pmod(x, F.lit(100)).cast("int")))
-
-
-def pick(cells: Column, rule: str, lookback: int, k: int) -> Column:
-    hot = lambda c: F.lit(lookback) - c["count"]
-    cold = lambda c: c["count"] * (lookback + 1) + (F.lit(lookback) - c["gap"])
-    overdue = lambda c: F.lit(lookback) - c["gap"]
-    # |deltaPercent| orders as |45 count - 6 lookback|, in whole numbers
-    balanced = lambda c: F.abs(c["count"] * rules.POOL - rules.PICKS * lookback)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, count, gap in _histories(batches, keys, lookback):
+            each = pa.array(np.repeat(np.arange(len(rows)), rules.POOL))
+            num = np.tile(np.arange(1, rules.POOL + 1, dtype=np.int32), len(rows))
+            cells = [rows.column(c).take(each) for c in (*keys, "blk", "t")]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(num), pa.array(count.ravel().astype(np.int32)), pa.array(gap.ravel().astype(np.int32))], [*keys, "blk", "t", "num", "count", "gap"])
+
+    fields = [("blk", T.LongType()), ("t", T.LongType()), ("num", T.IntegerType()), ("count", T.IntegerType()), ("gap", T.IntegerType())]
+    return _in_order(table, lookback, keys).mapInArrow(run, _schema(table, keys, *fields))
+
+
+def _least(key: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of the ``k`` least keys of each row, the smaller number first among equals."""
+    ranked = key.astype(np.int64) * 64 + np.arange(key.shape[1])
+    return np.sort(np.partition(ranked, k - 1, 1)[:, :k] % 64, 1)
+
+
+def pick(count: np.ndarray, gap: np.ndarray, rule: str, lookback: int, k: int) -> np.ndarray:
+    """Each row's numbers by a rule, ascending."""
     if rule.startswith("HOT"):
-        return _least(cells, hot, k)
+        return _least(lookback - count, k) + 1
     if rule.startswith("COLD"):
-        return _least(cells, cold, k)
+        return _least(count * (lookback + 1) + lookback - gap, k) + 1
     if rule.startswith("OVERDUE"):
-        return _least(cells, overdue, k)
-    bands = [_least(F.filter(cells, _band(band)), balanced, k // 3) for band in range(3)]
-    return F.array_sort(F.concat(*bands))
+        return _least(lookback - gap, k) + 1
+    # |deltaPercent| orders as |45 count - 6 lookback|, in whole numbers; three bands of fifteen numbers
+    even = np.abs(count * rules.POOL - rules.PICKS * lookback)
+    return np.concatenate([_least(even[:, a : a + 15], k // 3) + a + 1 for a in (0, 15, 30)], 1)
 
 
-def _band(band: int):
-    return lambda c: c["num"].between(15 * band + 1, 15 * band + 15)
+def picks(table: DataFrame, lookback: int = 90, names: tuple[str, ...] = RULES, k: int = rules.PICKS, keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """``t, result``, the columns of ``carry`` and an ``array<int>`` for each rule."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, count, gap in _histories(batches, keys, lookback):
+            lists = []
+            for name in names:
+                numbers = pick(count, gap, name, lookback, k).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * numbers.shape[1]), pa.array(numbers.ravel())))
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in (*keys, "t", "result", *carry)] + lists, [*keys, "t", "result", *carry, *names])
 
-def picks(table: DataFrame, lookback: int = 90, names: tuple[str, ...] = RULES, k: int = rules.PICKS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``t`` and an ``array<int>`` for each rule."""
-    cells = rolling(table, lookback, keys).groupBy(*keys, "blk", "t").agg(F.collect_list(F.struct("num", "count", "gap")).alias("cells"))
-    return cells.select(*keys, "t", *[pick(F.col("cells"), n, lookback, k).alias(n) for n in names])
+    fields = [("t", T.LongType()), ("result", T.ArrayType(T.IntegerType())), *((c, table.schema[c].dataType) for c in carry), *((n, T.ArrayType(T.IntegerType())) for n in names)]
+    return _in_order(table, lookback, keys, carry).mapInArrow(run, _schema(table, keys, *fields))
 
 
 def series(table: DataFrame, lookback: int = 90, control: str = "RANDOM", keys: tuple[str, ...] = ()) -> DataFrame:
     """LONG: ``t, date, strategy, k, hit3, payout, control_k, control_payout``; null payouts count 0."""
-    wide = picks(table, lookback, keys=keys).join(table.select(*keys, "t", "id", "date", "result"), [*keys, "t"])
+    wide = picks(table, lookback, keys=keys, carry=("id", "date"))
 
     def scored(name: str) -> Column:
         k = rules.matches(F.col(name), F.col("result"))
@@ -171,10 +229,10 @@ def select_candidate(validation: DataFrame, alpha: float) -> DataFrame:
 
 def report_rows(table: DataFrame, lookback: int = 90, alpha: float = 0.05, family: int | None = None, look: int = 1, control: str = "RANDOM") -> DataFrame:
     """One row a phase and strategy, with Holm-adjusted p within each phase."""
-    n = table.count()
-    trials = max(0, n - lookback)
+    table = settled(table, "draws")
+    trials = max(0, table.count() - lookback)
     spent = stats.spent_alpha_py(look, alpha)
-    scores = with_phases(series(table, lookback, control), trials, lookback).persist()  # read by every sum below
+    scores = settled(with_phases(series(table, lookback, control), trials, lookback), "scores")  # read by every sum below
     rows = summary(scores, lookback, trials, ["phase"], control, alpha)
     own = holm(rows.where(F.col("strategy") != control), ["phase"], family or (len(RULES) - (control in RULES)), ["strategy"])
     both = own.unionByName(rows.where(F.col("strategy") == control).withColumn("adjusted_p", F.lit(None).cast("double")))

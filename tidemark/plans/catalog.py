@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exact, hashing, numeric, rng, rules, stats
 from ..operators import controls, draws, merge, pool18, portfolio, provenance, resample, walkforward
 from ..sources import html, jsonl
+from ..session import settled
 from ..streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,8 +205,7 @@ def walkforward_scores(spark, d):
 
 @query(SERIES + "SELECT count(*) AS trials, round(avg(k), 9) AS mean_matches, round(avg(k) - 0.8, 9) AS edge FROM series WHERE strategy = 'HOT'")
 def walkforward_edge_hot(spark, d):
-    table_ = all_draws(spark, d)
-    met = walkforward.picks(table_, LOOKBACK, ("HOT",)).join(table_.select("t", "result"), "t")
+    met = walkforward.picks(all_draws(spark, d), LOOKBACK, ("HOT",))
     k = rules.matches(F.col("HOT"), F.col("result"))
     return met.agg(F.count(F.lit(1)).alias("trials"), F.round(F.avg(k), 9).alias("mean_matches"), F.round(F.avg(k) - 0.8, 9).alias("edge"))
 
@@ -231,18 +231,16 @@ def phase_summary(spark, d):
 
 @query(PHASED.replace("CASE WHEN i < a THEN 'DEVELOPMENT' WHEN i < b THEN 'VALIDATION' ELSE 'TEST' END", "'ALL'") + f"SELECT strategy, {_SUMMARY_SQL} FROM tested")
 def backtest_summary(spark, d):
-    table_ = all_draws(spark, d)
-    trials = table_.count() - LOOKBACK
-    scores = walkforward.series(table_, LOOKBACK, "COLD").withColumn("all", F.lit("ALL")).persist()
+    trials = table(spark, d, "orders").count() - LOOKBACK
+    scores = settled(walkforward.series(all_draws(spark, d), LOOKBACK, "COLD").withColumn("all", F.lit("ALL")), "scores")
     return _summary(walkforward.summary(scores, LOOKBACK, trials, ["all"], "COLD"))
 
 
 @query(PHASED + "SELECT phase, strategy, CAST(lag AS BIGINT) AS lag, round(hac, 6) AS hac, round(naive_se, 6) AS naive_se FROM sums JOIN hac USING (phase, strategy)")
 def hac_se(spark, d):
-    table_ = all_draws(spark, d)
-    trials = table_.count() - LOOKBACK
-    scores = walkforward.with_phases(walkforward.series(table_, LOOKBACK, "COLD"), trials, LOOKBACK)
-    diff = scores.select("phase", "strategy", "t", (F.col("k") - F.col("control_k")).alias("d")).persist()
+    trials = table(spark, d, "orders").count() - LOOKBACK
+    scores = walkforward.with_phases(walkforward.series(all_draws(spark, d), LOOKBACK, "COLD"), trials, LOOKBACK)
+    diff = settled(scores.select("phase", "strategy", "t", (F.col("k") - F.col("control_k")).alias("d")), "differences")
     first = diff.groupBy("phase").agg(F.min("t").alias("first"))
     placed = diff.join(F.broadcast(first), "phase").withColumn("i", F.col("t") - F.col("first"))  # three rows
     h = walkforward.hac(placed, ["phase", "strategy"], LOOKBACK, trials)
@@ -268,7 +266,7 @@ def temporal_report(spark, d):
 
 @query()
 def strategy_reliability(spark, d):
-    return walkforward.reliability(walkforward.report_rows(all_draws(spark, d), LOOKBACK).persist(), 0.05)
+    return walkforward.reliability(settled(walkforward.report_rows(all_draws(spark, d), LOOKBACK), "report"), 0.05)
 
 
 @query()
@@ -512,8 +510,7 @@ def contingency(spark, d):
 
 @query(_SEEN + "SELECT rule, t - 90 < (SELECT (count(*) - 90) // 2 FROM draws) AS early, count(*) AS n, count(*) FILTER (k = 6) AS hit6, round(avg(k), 9) AS mean_k FROM seen GROUP BY 1, 2")
 def stability_halves(spark, d):
-    table_ = all_draws(spark, d)
-    h = pool18.halves(pool18.observations(table_, LOOKBACK, None), LOOKBACK, table_.count() - LOOKBACK)
+    h = pool18.halves(pool18.observations(all_draws(spark, d), LOOKBACK, None), LOOKBACK, table(spark, d, "orders").count() - LOOKBACK)
     return h.withColumn("mean_k", F.round("mean_k", 9))
 
 
