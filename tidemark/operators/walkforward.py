@@ -227,6 +227,11 @@ def select_candidate(validation: DataFrame, alpha: float) -> DataFrame:
     return fit.orderBy("adjusted_p", F.desc("edge"), "strategy").limit(1)
 
 
+def control_first(rows: DataFrame, control: str = "RANDOM") -> DataFrame:
+    """Rows of one phase with their place in a table that has the control on top."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("phase").orderBy(F.col("strategy") != control, "strategy"))).orderBy("nth")
+
+
 def report_rows(table: DataFrame, lookback: int = 90, alpha: float = 0.05, family: int | None = None, look: int = 1, control: str = "RANDOM") -> DataFrame:
     """One row a phase and strategy, with Holm-adjusted p within each phase."""
     table = settled(table, "draws")

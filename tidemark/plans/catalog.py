@@ -73,14 +73,39 @@ picks AS (
          list_sort(list(num) FILTER (overdue <= 18)) AS OVERDUE18, list_sort(list(num) FILTER (balanced <= 6)) AS BALANCED18
   FROM ranked GROUP BY t)"""
 _PAY = "CASE k WHEN 3 THEN 30000 WHEN 4 THEN 300000 WHEN 5 THEN 10000000 ELSE 0 END"
-SERIES = RANKED + f""",
-series AS (
+_M = "4294967295::UBIGINT"
+
+
+def sql_swaps(seed: str, first: str = "0") -> str:
+    """The swaps of one seeded shuffle of 45 numbers, last first, as ``i * 64 + j``; ``first`` values of the stream are skipped."""
+    state = f"list_transform(range(1, 45), lambda c: ({seed} + (c + {first})::UBIGINT * 1831565813) & {_M})"
+    once = f"list_transform({state}, lambda s: (xor(s, s >> 15) * (s | 1)) & {_M})"
+    twice = f"list_transform({once}, lambda x: xor((x + ((xor(x, x >> 7) * (x | 61)) & {_M})) & {_M}, x))"
+    return f"list_reverse(list_transform({twice}, lambda x, k: ((45 - k) * 64 + ((xor(x, x >> 14) * (46 - k)::UBIGINT) >> 32)::BIGINT)))"
+
+
+def sql_ticket(swaps: str, size: int = 6) -> str:
+    """Where the first ``size`` places of the shuffle come from: each is followed back through the swaps."""
+    return f"list_sort(list_transform(range(0, {size}), lambda p: 1 + list_reduce(list_prepend(p, {swaps}), lambda a, x: CASE WHEN a = x // 64 THEN x % 64 WHEN a = x % 64 THEN x // 64 ELSE a END)))"
+
+
+_RULE_SERIES = f"""
   SELECT t, strategy, k, CAST(k >= 3 AS INT) AS hit3, {_PAY} AS payout FROM (
     SELECT d.t, 'HOT' AS strategy, len(list_intersect(HOT, result)) AS k FROM draws d JOIN picks USING (t)
     UNION ALL SELECT d.t, 'COLD', len(list_intersect(COLD, result)) FROM draws d JOIN picks USING (t)
-    UNION ALL SELECT d.t, 'BALANCED', len(list_intersect(BALANCED, result)) FROM draws d JOIN picks USING (t))),
+    UNION ALL SELECT d.t, 'BALANCED', len(list_intersect(BALANCED, result)) FROM draws d JOIN picks USING (t))"""
+_PAIRED = """,
 paired AS (SELECT s.*, c.k AS ck, c.payout AS cp, s.t - 90 AS i FROM series s JOIN series c ON c.t = s.t AND c.strategy = 'COLD')"""
-PHASED = SERIES + """,
+SERIES = RANKED + f""",
+series AS ({_RULE_SERIES})""" + _PAIRED
+#: The mean of 32 seeded tickets a draw as one more strategy, and as control.
+RANDOM = RANKED + f""",
+swapped AS (SELECT t, result, {sql_swaps("w")} AS swaps FROM (SELECT t, result, ((t + 1) * 131 + unnest(range(0, 32)))::UBIGINT AS w FROM draws WHERE t >= 90)),
+control AS (SELECT t, CAST(avg(k) AS DOUBLE) AS k, CAST(avg(CAST(k >= 3 AS INT)) AS DOUBLE) AS hit3, CAST(avg({_PAY}) AS DOUBLE) AS payout
+            FROM (SELECT t, len(list_intersect({sql_ticket("swaps")}, result)) AS k FROM swapped) GROUP BY t),
+series AS ({_RULE_SERIES}
+  UNION ALL SELECT t, 'RANDOM', k, hit3, payout FROM control)""" + _PAIRED.replace("'COLD'", "'RANDOM'")
+_PHASES = """,
 size AS (SELECT count(*) - 90 AS n FROM draws),
 cuts AS (SELECT n, greatest(1, n // 2) AS a, least(greatest(greatest(1, n // 2) + 1, n * 3 // 4), n - 1) AS b FROM size),
 phased AS (SELECT p.*, CASE WHEN i < a THEN 'DEVELOPMENT' WHEN i < b THEN 'VALIDATION' ELSE 'TEST' END AS phase FROM paired p, cuts),
@@ -108,6 +133,8 @@ tested AS (
 stepped AS (SELECT *, least(1, p_value * (2 - row_number() OVER (PARTITION BY phase ORDER BY p_value, strategy) + 1)) AS step,
                    row_number() OVER (PARTITION BY phase ORDER BY p_value, strategy) AS r FROM tested WHERE strategy <> 'COLD'),
 adjusted AS (SELECT *, max(step) OVER (PARTITION BY phase ORDER BY r ROWS UNBOUNDED PRECEDING) AS adjusted_p FROM stepped)"""
+PHASED = SERIES + _PHASES
+RANDOM_PHASED = RANDOM + _PHASES.replace("'COLD'", "'RANDOM'").replace("p_value * (2 - row_number()", "p_value * (3 - row_number()")
 
 
 # ---- frequency and search -------------------------------------------------------------------------------------------
@@ -258,22 +285,6 @@ def select_candidate(spark, d):
     return walkforward.select_candidate(rows, 0.5).select("strategy", F.round("edge", 6).alias("edge"), F.round("adjusted_p", 5).alias("adjusted_p"))
 
 
-@query()
-def temporal_report(spark, d):
-    """Rules against the seeded random control."""
-    return walkforward.report_rows(all_draws(spark, d), LOOKBACK)
-
-
-@query()
-def strategy_reliability(spark, d):
-    return walkforward.reliability(settled(walkforward.report_rows(all_draws(spark, d), LOOKBACK), "report"), 0.05)
-
-
-@query()
-def ablation(spark, d):
-    return walkforward.ablation(walkforward.report_rows(all_draws(spark, d), LOOKBACK), 0.05)
-
-
 # ---- ingest ---------------------------------------------------------------------------------------------------------
 
 _SIDES = DRAWS + """,
@@ -413,11 +424,6 @@ def portfolio_plan(spark, d):
     return portfolio.portfolio(spark, 30).select("ticket_id", text("ticket").alias("ticket"))
 
 
-@query()
-def portfolio_mc(spark, d):
-    return portfolio.simulations(spark, [10, 20, 30])
-
-
 # ---- exact tables ---------------------------------------------------------------------------------------------------
 
 _FACT = "WITH f AS (SELECT CAST(n AS BIGINT) AS n, CASE WHEN n = 0 THEN 1 ELSE product(x) END AS v FROM (SELECT unnest(range(0, 46)) AS n), LATERAL (SELECT unnest(range(1, greatest(n, 1) + 1)) AS x) GROUP BY n), c AS (SELECT a.n, b.n AS k, CAST(round(a.v / (b.v * d.v)) AS BIGINT) AS v FROM f a, f b, f d WHERE d.n = a.n - b.n)"
@@ -527,11 +533,6 @@ def leak_check(spark, d):
 # ---- seeded resampling ----------------------------------------------------------------------------------------------
 
 
-@query()
-def random_pick(spark, d):
-    return spark.range(0, 1000).select(F.col("id").alias("seed"), text(rng.random_pick(F.col("id"))).alias("ticket"))
-
-
 @query()
 def fairness_mc(spark, d):
     return resample.fairness(all_draws(spark, d))
@@ -543,19 +544,6 @@ def sign_flip_bootstrap(spark, d):
     return resample.paired(s.select("strategy", "t", (F.col("k") - F.col("control_k")).alias("d")), "strategy", 645)
 
 
-@query()
-def clopper_pearson(spark, d):
-    counts = spark.createDataFrame([(n, x) for n in (10, 100, 1471) for x in (0, 1, 4, n // 2, n)], "n bigint, x bigint")
-    ci = numeric.interval(F.col("n"), F.col("x"))
-    return counts.withColumn("ci", ci).select("n", "x", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
-
-
-@query()
-def mcnemar(spark, d):
-    pairs = spark.createDataFrame([(b, c) for b in range(8) for c in range(8)], "b bigint, c bigint")
-    return pairs.withColumn("p", F.round(numeric.mcnemar_p(F.col("b"), F.col("c")), 12))
-
-
 @query()
 def negative_controls(spark, d):
     return controls.all_controls(all_draws(spark, d), LOOKBACK)
@@ -647,9 +635,3 @@ def freshness(spark, d):
     now = F.broadcast(e.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("now")))
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return e.join(now, how="cross").select("event_id", rules.freshness(ms, F.col("now")).alias("freshness"), rules.should_refresh(ms, F.col("now")).alias("refresh"))  # one row on the right
-
-
-@query()
-def rate_limit(spark, d):
-    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return limits.limited(e, 3_600_000 * 24, 2)
