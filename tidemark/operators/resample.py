@@ -7,12 +7,13 @@ of one sequential loop.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import rng, rules
 from ..session import importable
@@ -26,8 +27,21 @@ def _ranges(spark: SparkSession, n: int, part: int = PART) -> DataFrame:
     return spark.range(0, parts, 1, max(1, parts)).select((F.col("id") * part).alias("first"), F.least((F.col("id") + 1) * part, F.lit(n)).alias("last"))
 
 
+def null_distribution(spark: SparkSession, draws: int, statistic: Callable[[np.ndarray], float], simulations: int = 2000, seed: int = 645) -> DataFrame:
+    """``sim, value``: any statistic of simulated fair data sets, each an array of ``draws`` sorted tickets."""
+    importable(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, last in zip(batch["first"], batch["last"]):
+                for sim in range(first, last):
+                    yield pd.DataFrame({"sim": [sim], "value": [float(statistic(rng.fair_tickets(seed, draws, sim * draws)))]})
+
+    return _ranges(spark, simulations, 25).mapInPandas(run, "sim bigint, value double")
+
+
 def null_chi_square(spark: SparkSession, draws: int, simulations: int = 2000, seed: int = 645) -> DataFrame:
-    """``sim, chi_square`` of simulated fair data sets of ``draws`` draws each."""
+    """``sim, chi_square`` of simulated fair data sets; of a data set no more than a part is held."""
     importable(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,6 +58,16 @@ def null_chi_square(spark: SparkSession, draws: int, simulations: int = 2000, se
     return _ranges(spark, simulations, 25).mapInPandas(run, "sim bigint, chi_square double")
 
 
+@udtf(returnType="t bigint, result array<int>")
+class FairDraws:
+    """``fair_draws(n, seed)``: tickets of one stream, a part at a time."""
+
+    def eval(self, n: int, seed: int):
+        for a in range(0, n, 20_000):
+            for i, ticket in enumerate(rng.fair_tickets(seed, min(20_000, n - a), a).tolist()):
+                yield a + i, ticket
+
+
 def fairness(table: DataFrame, simulations: int = 2000, seed: int = 645) -> DataFrame:
     """Observed chi-square and its simulated p, each count one more than found."""
     from .draws import chi_square, frequency

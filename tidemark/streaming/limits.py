@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import merge
-from ..session import importable
+from ..operators import merge, provenance
+from ..session import importable, settled
 
 DECISION = "user_id bigint, ts timestamp, allowed boolean, retry_after_ms bigint"
 
@@ -23,28 +23,48 @@ def decide(held: list[int], now: int, window_ms: int, most: int) -> tuple[bool,
     return True, [*held, now], 0
 
 
+class Limiter(StatefulProcessor):
+    """State of a user is the recorded times in the window; it goes once a window has passed without an event."""
+
+    def __init__(self, window_ms: int, most: int):
+        self.window_ms, self.most = window_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "times array<bigint>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        out = []
+        for ts in pd.concat(list(rows))["ts"].sort_values():
+            ok, held, wait = decide(held, ts.value // 1_000_000, self.window_ms, self.most)
+            out.append((key[0], ts, ok, wait))
+        self.held.update((held,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.window_ms)
+        yield pd.DataFrame(out, columns=["user_id", "ts", "allowed", "retry_after_ms"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        yield pd.DataFrame(columns=["user_id", "ts", "allowed", "retry_after_ms"])
+
+    def close(self) -> None:
+        pass
+
+
 def limited(events: DataFrame, window_ms: int = 10_000, most: int = 5) -> DataFrame:
     """Decisions in time order for each ``user_id``: state is the few recorded times in the window.
 
-    For a stream, state lives in the state store; for a table each user's events come sorted and
+    For a stream, state lives in the state store (RocksDB's, a setting of the session) and is dropped by a timer; for a table each user's events come sorted and
     are folded in batches, so a user's memory is the window and not the history.
     """
     spark = events.sparkSession
     importable(spark)
     rows = events.select("user_id", "ts")
     if events.isStreaming:
-
-        def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            held = list(state.get[0]) if state.exists else []
-            frame = pd.concat(list(batches)).sort_values("ts")
-            out = []
-            for ts in frame["ts"]:
-                ok, held, wait = decide(held, ts.value // 1_000_000, window_ms, most)
-                out.append((key[0], ts, ok, wait))
-            state.update((held,))
-            yield pd.DataFrame(out, columns=["user_id", "ts", "allowed", "retry_after_ms"])
-
-        return rows.groupBy("user_id").applyInPandasWithState(step, DECISION, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        return rows.groupBy("user_id").transformWithStateInPandas(Limiter(window_ms, most), DECISION, "append", "processingTime")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, held = None, []
@@ -69,7 +89,8 @@ def sync_batch(load: Callable[[], DataFrame], publish: Callable[[DataFrame], Non
 
     def run(batch: DataFrame, batch_id: int) -> None:
         existing = load()
-        incoming = batch.select("date", "id", "result").withColumn("ordinal", F.monotonically_increasing_id())
+        # written once, since the ordinals must be the same each time they are read
+        incoming = settled(batch.select("date", "id", "result").withColumn("ordinal", F.monotonically_increasing_id()), "batch")
         actions = merge.classified(existing, incoming)
         counts = merge.counters(actions).first()
         if counts["conflicts"]:
@@ -96,3 +117,13 @@ def since(source: DataFrame, cursor: str | None) -> DataFrame:
 def last_events(events: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def append_ledger(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """A stream of ledger lines (``line, value``), appended as they come; none is rewritten."""
+    return lines.select("line", "value").writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def ledger_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State of every entry, folded from all lines appended so far."""
+    return provenance.fold(provenance.parse_ledger(spark.read.schema("line bigint, value string").json(folder)))
