@@ -13,18 +13,20 @@ positions in ``length - GRAM`` bytes for the distributed rounds:
 1. Spark sorts the positions by the pair (rank of the gram, rank of the whole stretch of
    strings that the position represents).  A unique gram proves all of these strings
    unique and ends there; a repeated pair proves all but its earliest occurrence repeated.
-2. What is left are grams with several different stretches.  Their ranks are doubled to
-   both sides: pairs (rank at the position, rank ``GRAM`` bytes on) and (rank ``GRAM`` bytes
-   before, rank at the position).  A string holds one of the two windows, or both; where a
-   pair is unique, the strings that hold it are unique and end there.
-3. Strings that remain are ranked at the full length, by the pair of their ranks at twice
-   ``GRAM`` bytes from either end; all but the earliest of equal ranks are repeated.
+2. What is left are grams with several different stretches.  They are cut into pieces of
+   ``SIZES`` strings, the same distances from the position everywhere, and ranked by what all
+   strings of a piece share, which grows by that: a piece of n strings shares ``length`` - n + 1
+   bytes, whose rank is the pair of the ranks at twice ``GRAM`` bytes from either end.  Again
+   Spark sorts pairs (rank of what is shared, rank of the whole piece); unique ones end,
+   repeated pairs are settled, and the rest is cut anew, until a piece is one string and both
+   ranks are those of its ``length`` bytes: all but the earliest of equal ones are repeated.
 
 Equal pairs are combined in each map task before they are moved, so a passage held by a
-third of all documents sends one row per task and not one per document.  Names that decide
-about removal have 128 bits.  Grams that a sample of the texts shows to be in over a
+third of all documents sends one row per task and not one per document.  Two names of 64
+bits decide about removal.  Grams that a sample of the texts shows to be in over a
 ``MOST_HOT``-th of all positions (so there are fewer than that many) are dealt by their
-stretches and go on to the second round.
+stretches and go on to the second round; later rounds count with partial sums, and join what
+they counted so that Spark can split a frequent rank.
 
 Edge cases: a null text counts as empty; a null doc_id comes after all others; rows are
 told apart by doc_id and the text's digest, so rows with one doc_id (or none) and different
@@ -55,6 +57,8 @@ SAMPLE, LEAST_HOT, MOST_HOT = 64, 512, 1000
 ID = "nil boolean, doc bigint, digest bigint"
 OWNER = ["nil", "doc", "digest"]
 ODD = shared.ODD64
+#: Strings of a piece in the rounds after the first.
+SIZES = (16, 4, 1)
 
 
 def gram_ranks(raw: np.ndarray, size: int) -> np.ndarray:
@@ -141,7 +145,13 @@ def _combined(parts: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> pa.Record
         dealt = shared.mix64(gram.view(np.uint64) ^ (stretch.view(np.uint64) * ODD)).view(np.int64)
     key = _spread(known, np.where(is_hot, dealt, gram), (nil, doc, digest), lo)
     shape = (off << 10 | more << 2 | is_hot << 1 | known).astype(np.int32)
-    return _named(CHOSEN, key, _spread(known, stretch, (nil, doc, digest), lo), nil, doc, digest, lo, shape)
+    return _by_owner(CHOSEN, key, _spread(known, stretch, (nil, doc, digest), lo), nil, doc, digest, lo, shape)
+
+
+def _by_owner(schema: str, first: np.ndarray, second: np.ndarray, nil: np.ndarray, doc: np.ndarray, digest: np.ndarray, lo: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """In the order of the texts, in which rows compress well."""
+    order = np.lexsort((lo, digest, doc, nil))
+    return _named(schema, *(x[order] for x in (first, second, nil, doc, digest, lo, *more)))
 
 
 def _chosen(rows: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
@@ -205,90 +215,86 @@ def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
             yield raw, tuple(x[a:b][row] for x in owner), bounds[row], *fields
 
 
-BEFORE, BEHIND = 1, 2
-PAIRS = f"first bigint, second bigint, {ID}, lo bigint, more int, off int, side int"
-
-
-def _doubled(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
-    """``nil, doc, digest, lo, more, off, sides`` of open positions with a repeated pair of ranks on some side."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw, owner, begin, lo, more, off in _listed(batches, 3):
-            rank, at = gram_ranks(raw, gram).view(np.int64), begin + lo + off
-            for side, has, x in ((BEFORE, off >= gram, at - gram), (BEHIND, off - more <= length - 2 * gram, at)):
-                if has.any():
-                    x = x[has]
-                    yield _named(PAIRS, rank[x], rank[x + gram], *(o[has] for o in owner), lo[has], more[has].astype(np.int32), off[has].astype(np.int32), np.full(len(x), side, np.int32))
-
-    ranked = shared.materialise(_with_lists(docs, found.where("open"), "lo", "more", "off").mapInArrow(pairs, PAIRS), "suffix-pairs")
-    # counted and written first, so that Spark can split the join of a frequent pair
-    twice = shared.materialise(ranked.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "second"), "repeated-pairs")
-    alive = ranked.join(twice, ["first", "second"], "left_semi").groupBy(*OWNER, "lo", "more", "off").agg(F.bit_or("side").alias("sides"))
-    alive = shared.materialise(alive, "suffix-open")
-    shared.drop_table(ranked)
-    shared.drop_table(twice)
-    return alive
+PIECES = f"first bigint, second bigint, {ID}, lo bigint, more int, off int, known boolean"
 
 
-STRINGS = f"first bigint, second bigint, {ID}, lo bigint, known boolean"
+def _combined_pieces(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """As :func:`_combined`, for pieces."""
+    first, second, nil, doc, digest, lo, more, off = (np.concatenate(x) for x in zip(*parts))
+    order, known = _earliest_first((first, second), (nil, doc, digest), lo)
+    return _by_owner(PIECES, *(x[order] for x in (first, second, nil, doc, digest, lo)), more[order].astype(np.int32), off[order].astype(np.int32), known)
 
 
-def _combined_strings(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """As :func:`_combined`, for single strings."""
-    first, second, nil, doc, digest, lo = (np.concatenate(x) for x in zip(*parts))
-    order, known = _earliest_first((first, second), (nil, doc, digest), lo)
-    first, second, nil, doc, digest, lo = (x[order] for x in (first, second, nil, doc, digest, lo))
-    return _named(STRINGS, *(_spread(known, k, (nil, doc, digest), lo) for k in (first, second)), nil, doc, digest, lo, known)
+def _pieces(lo: np.ndarray, more: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Entry, first string, number of more strings, distance of each piece and least distance of its place in the cut: cuts are where the distance is a multiple of ``size``."""
+    nearest, farthest = (off - more) // size, off // size
+    n = farthest - nearest + 1
+    each = np.repeat(np.arange(len(lo)), n)
+    block = np.repeat(farthest, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    far, near = np.minimum(off[each], block * size + size - 1), np.maximum((off - more)[each], block * size)
+    return each, lo[each] + off[each] - far, far - near, far, block * size
 
 
-def _strings(docs: DataFrame, alive: DataFrame, length: int, gram: int) -> DataFrame:
-    """``nil, doc, digest, lo`` of single strings, among those still open, that start earlier too."""
+def _ranked(docs: DataFrame, open_: DataFrame, length: int, gram: int, size: int) -> DataFrame:
+    """The open stretches or pieces, cut anew, with both ranks."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for raw, owner, begin, lo, more, off, sides in _listed(batches, 4):
-            size = more + 1
-            each = np.repeat(np.arange(len(lo)), size)
-            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            away = off[each] - nth
-            needed = np.where(away >= gram, BEFORE, 0) | np.where(away <= length - 2 * gram, BEHIND, 0)
-            fits = needed & ~sides[each] == 0
-            each, start = each[fits], (begin + lo)[each[fits]] + nth[fits]
-            if not len(start):
-                continue
-            rank = gram_ranks(raw, gram)
+        for raw, owner, begin, lo, more, off in _listed(batches, 3):
+            each, lo, more, off, least = _pieces(lo, more, off, size)
+            start, rank = begin[each] + lo, gram_ranks(raw, gram)
+            # what all strings of a whole piece share, also where this one has fewer strings
+            core = start + off - least
             with np.errstate(over="ignore"):
                 twice = shared.mix64(rank[: len(rank) - gram] * ODD + rank[gram:])
-                pair = shared.mix64(twice[start] * ODD + twice[start + length - 2 * gram])
-            whole = shared.span_hashes(raw, start, start + length)
-            held.append((pair.view(np.int64), whole.view(np.int64), *(o[each] for o in owner), start - begin[each]))
-            n += len(start)
+                shared_part = shared.mix64(twice[core] * ODD + twice[core + length - size + 1 - 2 * gram])
+                whole = shared.mix64(shared.span_hashes(raw, start, start + more + length) + off.astype(np.uint64) * ODD)
+            held.append((shared_part.view(np.int64), whole.view(np.int64), *(o[each] for o in owner), lo, more, off))
+            n += len(lo)
             if n >= HELD:
-                yield _combined_strings(held)
+                yield _combined_pieces(held)
                 held, n = [], 0
         if held:
-            yield _combined_strings(held)
+            yield _combined_pieces(held)
+
+    return shared.materialise(_with_lists(docs, open_, "lo", "more", "off").mapInArrow(send, PIECES), "suffix-pieces")
 
-    sent = _with_lists(docs, alive, "lo", "more", "off", "sides").mapInArrow(send, STRINGS)
-    nth = F.rank().over(Window.partitionBy("first", "second").orderBy(*OWNER, "lo"))
-    late = sent.select(*OWNER, "lo", "known", nth.alias("nth")).where("known or nth > 1").select(*OWNER, "lo")
-    return shared.materialise(late, "suffix-strings")
+
+def _settled(ranked: DataFrame) -> DataFrame:
+    """``nil, doc, digest, lo, more, off, open`` of pieces whose shared part is repeated; those not open are repeated as a whole."""
+    pairs = ranked.where("not known").groupBy("first", "second").agg(F.min(F.struct(*OWNER, "lo")).alias("earliest"), F.count(F.lit(1)).alias("n"))
+    pairs = shared.materialise(pairs, "suffix-ranks")
+    several = F.count(F.lit(1)) > 1
+    firsts = shared.materialise(pairs.groupBy("first").agg(F.sum("n").alias("total"), several.alias("several")).where("total > 1").select("first", "several"), "suffix-repeated")
+    again = shared.materialise(pairs.join(firsts, "first").select("first", "second", "earliest", "several"), "suffix-again")
+    met = ranked.where("not known").join(again, ["first", "second"])
+    met = met.withColumn("open", F.struct(*OWNER, "lo") == F.col("earliest")).where("several or not open")
+    columns = [*OWNER, "lo", "more", "off", "open"]
+    out = met.select(*columns).unionByName(ranked.where("known").withColumn("open", F.lit(False)).select(*columns))
+    out = shared.materialise(out, "suffix-settled")
+    for table in (pairs, firsts, again):
+        shared.drop_table(table)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``nil, doc, digest, spans``: for each document with repeated strings, the byte spans ``[lo, hi)`` they cover, unmerged; ``nil`` marks a null doc_id."""
-    if gram & (gram - 1) or not 3 * gram - 1 <= length <= gram + 250:
-        raise ValueError("gram must be a power of two, and length from 3 * gram - 1 to gram + 250")
+    if gram & (gram - 1) or not 2 * gram + SIZES[0] <= length <= gram + 250:
+        raise ValueError(f"gram must be a power of two, and length from 2 * gram + {SIZES[0]} to gram + 250")
     spark = docs.sparkSession
     shared.prepare_python(spark)
-    found = _places(docs, length, gram)
-    shared.release_shuffles(spark)
-    alive = _doubled(docs, found, length, gram)
-    shared.release_shuffles(spark)
-    strings = _strings(docs, alive, length, gram)
-    shared.drop_table(alive)
+    rounds = [_places(docs, length, gram)]
     shared.release_shuffles(spark)
-    spans = found.where("not open").select(*OWNER, "lo", (F.col("lo") + F.col("more")).alias("hi")).unionByName(strings.select(*OWNER, "lo", F.col("lo").alias("hi")))
+    for size in SIZES:
+        ranked = _ranked(docs, rounds[-1].where("open"), length, gram, size)
+        shared.release_shuffles(spark)
+        rounds.append(_settled(ranked))
+        shared.drop_table(ranked)
+        shared.release_shuffles(spark)
+    spans = None
+    for found in rounds:
+        own = found.where("not open").select(*OWNER, "lo", (F.col("lo") + F.col("more")).alias("hi"))
+        spans = own if spans is None else spans.unionByName(own)
     return spans.groupBy(*OWNER).agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
 
 
