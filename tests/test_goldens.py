@@ -213,13 +213,36 @@ def test_stream_sync_keeps_the_old_snapshot_on_conflict(spark, tmp_path):
     assert state["t"].count() == 2
 
 
+BALLS = '<span class="bong_tron">03</span><span class="bong_tron small">45</span>'
+
+
 def test_html_rows(spark):
-    page = '<div class="doso_output_nd"><table><tbody><tr><td>05/02/2024</td><td><a href="?id=00123">#</a></td><td><span class="bong_tron">03</span><span class="bong_tron small">45</span></td></tr></tbody></table></div>'
-    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
-    row = html.history_rows(pages).first()
-    assert (row["id"], row["date"], list(row["result"])) == ("00123", "2024-02-05", [3, 45])
+    row_of = lambda i: f'<tr> <td>05/02/2024</td> <td><a href="/x?id={i}&nocatche=1">{i}</a></td> <td>{BALLS}</td> </tr>'
+    page = f'<div class="doso_output_nd"><table><tbody>{row_of("00123")}<tr><td>06/02/2024</td></tr>{row_of("00122")}</tbody></table></div>'
+    make = lambda text: spark.createDataFrame([(1, text)], "page_id int, html string")
+    rows = sorted(html.history_rows(make(page)).collect())
+    assert [(r["id"], r["date"], list(r["result"])) for r in rows] == [("00122", "2024-02-05", [3, 45]), ("00123", "2024-02-05", [3, 45])]
     with pytest.raises(Exception, match="no result table"):
-        html.history_rows(spark.createDataFrame([(1, "<p>")], "page_id int, html string")).collect()
+        html.history_rows(make("<p>")).collect()
+    empty = '<div class="doso_output_nd"><tbody></tbody></div>'
+    with pytest.raises(Exception, match="table is empty"):
+        html.history_rows(make(empty)).collect()
+    assert html.history_rows(make(empty), trust_empty=True).count() == 0
+
+
+def test_html_detail(spark):
+    page = f'<b>#999</b> color: #123456 Kỳ quay thưởng <b>#00123</b> ngày <b>05/02/2024</b> <div class="day_so_ket_qua_v2">{BALLS}</div>'
+    make = lambda text: spark.createDataFrame([(1, text)], "page_id int, html string")
+    row = html.official_draw(make(page), "00123").first()
+    assert (row["id"], row["date"], list(row["result"])) == ("00123", "2024-02-05", [3, 45])
+    assert html.official_draw(make(page), "00124").count() == 0
+    for broken, why in ((page.replace("#00123", "#123"), "no heading"), (page.replace("_v2", "_v1"), "no numbers")):
+        with pytest.raises(Exception, match=why):
+            html.detail(make(broken)).collect()
+    key = make("Game645CompareWebPart.ServerSideDrawResult(RenderInfo, 'abc-1', x)").select(html.history_key(F.col("html")).alias("k")).first()["k"]
+    assert key == "abc-1"
+    with pytest.raises(Exception, match="no paging key"):
+        make("x").select(html.history_key(F.col("html"))).collect()
 
 
 def test_small_rules(spark):
@@ -227,6 +250,25 @@ def test_small_rules(spark):
     assert tuple(row) == ("01000", "100", None, 7, "01: 02 11")
 
 
+def test_an_invalid_ticket_or_result_is_an_error(spark):
+    good, bad = F.array(*map(F.lit, range(1, 7))), F.array(*map(F.lit, (1, 1, 2, 3, 4, 5)))
+    row = spark.range(1).select(rules.evaluated(good, good).alias("e")).first()["e"]
+    assert (row["matches"], row["tier"], row["payout"], list(row["matched"])) == (6, "JACKPOT", None, [1, 2, 3, 4, 5, 6])
+    for pair in ((bad, good), (good, bad)):
+        with pytest.raises(Exception, match="no valid ticket"):
+            spark.range(1).select(rules.evaluated(*pair)).collect()
+
+
+def test_wide_gaps_come_in_pieces(spark):
+    table = spark.createDataFrame([("00001",), ("200001",), ("200003",)], "id string")
+    assert merge.missing_ids(table).count() == 199_999 + 1
+
+
+def test_portfolios_over_thirty_are_not_compared(spark):
+    rows = spark.range(5000).select(F.col("id").alias("ticket_id"), F.array(*map(F.lit, range(1, 7))).alias("ticket"))
+    assert tuple(portfolio.is_valid(rows).first()) == (5000, None, False)
+
+
 def test_sample_ids_are_fixed(spark):
     table = cyclic(spark)
     a = merge.sample_ids(table, 5, 645)

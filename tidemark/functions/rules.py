@@ -60,6 +60,14 @@ def is_valid_result(result: Column, count: int = PICKS, highest: int = POOL) ->
     return F.coalesce((F.size(result) == count) & F.forall(result, lambda x: x.between(1, highest)) & (F.size(F.array_distinct(result)) == count), F.lit(False))
 
 
+def evaluated(ticket: Column, result: Column) -> Column:
+    """``struct<matches, matched, tier, payout>``; six distinct numbers in 1 .. 45 on both sides, or an error."""
+    ok = is_valid_result(ticket) & is_valid_result(result)
+    checked = F.when(ok, ticket).otherwise(F.raise_error(F.concat(F.lit("no valid ticket or result: "), F.coalesce(F.to_json(F.struct(ticket.alias("ticket"), result.alias("result"))), F.lit("")))).cast("array<int>"))
+    k = matches(checked, result)
+    return F.struct(k.alias("matches"), matched_numbers(checked, result).alias("matched"), tier(k).alias("tier"), payout(k).alias("payout"))
+
+
 def next_id(draw_id: Column) -> Column:
     """One more, at least as wide; null if it is no number."""
     number = F.when(draw_id.rlike("^[0-9]+$"), draw_id.try_cast("bigint") + 1)

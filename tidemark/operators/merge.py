@@ -109,7 +109,9 @@ def missing_ids(table: DataFrame, width: int = 5) -> DataFrame:
     edges = low.groupBy("range").agg(F.min("n").alias("first")).withColumn("next_first", F.lead("first").over(Window.orderBy("range")))  # one row for 65,536 ids
     gaps = low.withColumn("next", nxt).join(edges, "range")
     gaps = gaps.withColumn("next", F.coalesce("next", "next_first")).where(F.col("next") > F.col("n") + 1)
-    each = gaps.select(F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("missing"))
+    # wide gaps are cut first, so that no row holds more than a range's ids
+    parts = gaps.select(F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1, F.lit(size).cast("long"))).alias("a"), "next")
+    each = parts.select(F.explode(F.sequence("a", F.least(F.col("a") + size, F.col("next")) - 1)).alias("missing"))
     text = F.col("missing").cast("string")
     return each.select(F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")).alias("id"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import rng, rules
 
 ORDER = 5
+#: Tickets of a portfolio.
+MOST = 30
 
 
 def plane_blocks() -> np.ndarray:
@@ -51,9 +53,11 @@ def pairs_of(tickets: DataFrame) -> DataFrame:
 
 
 def is_valid(tickets: DataFrame) -> DataFrame:
+    """``n, most_shared, valid``; more than 30 tickets are no portfolio and are not compared."""
     each = tickets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(rules.is_valid_result(F.col("ticket"))), F.lit(False)).alias("tickets_ok"))
-    worst = pairs_of(tickets).agg(F.coalesce(F.max("shared"), F.lit(0)).alias("most_shared"))
-    return each.join(F.broadcast(worst), how="cross").select("n", "most_shared", (F.col("n").between(1, 30) & F.col("tickets_ok") & (F.col("most_shared") <= 1)).alias("valid"))
+    worst = pairs_of(tickets.limit(MOST)).agg(F.coalesce(F.max("shared"), F.lit(0)).alias("most"))
+    out = each.join(F.broadcast(worst), how="cross").withColumn("most_shared", F.when(F.col("n") <= MOST, F.col("most")))  # one row each
+    return out.select("n", "most_shared", (F.col("n").between(1, MOST) & F.col("tickets_ok") & F.coalesce(F.col("most_shared") <= 1, F.lit(False))).alias("valid"))
 
 
 def covered_pairs(tickets: DataFrame) -> DataFrame:

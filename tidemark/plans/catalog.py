@@ -391,8 +391,8 @@ SELECT t, CAST(k AS INT) AS k, CASE k WHEN 6 THEN 'JACKPOT' WHEN 5 THEN 'FIRST'
 CASE WHEN k = 6 THEN NULL ELSE {_PAY} END AS payout, array_to_string(list_filter([3, 11, 19, 27, 35, 43], lambda x: list_contains(result, x)), ',') AS matched FROM e""")
 def evaluate_ticket(spark, d):
     ticket = F.array(*map(F.lit, (3, 11, 19, 27, 35, 43)))
-    k = rules.matches(ticket, F.col("result"))
-    return all_draws(spark, d).select("t", k.alias("k"), rules.tier(k).alias("tier"), rules.payout(k).cast("int").alias("payout"), text(rules.matched_numbers(ticket, F.col("result"))).alias("matched"))
+    e = all_draws(spark, d).select("t", rules.evaluated(ticket, F.col("result")).alias("e"))
+    return e.select("t", F.col("e.matches").alias("k"), "e.tier", F.col("e.payout").cast("int").alias("payout"), text("e.matched").alias("matched"))
 
 
 @query(_TICKETS + "SELECT count(DISTINCT (x, y)) AS covered_pairs FROM (SELECT i, unnest(ticket) AS x, ticket FROM tickets), LATERAL (SELECT unnest(ticket) AS y) WHERE x < y")

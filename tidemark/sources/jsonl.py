@@ -98,10 +98,10 @@ def save_json(spark: SparkSession, value: dict, path: str, overwrite: bool = Tru
     out = fs.create(side, True)
     out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(side, target):
-        raise OSError(f"could not rename to {path}")
+    # a rename that replaces its target: no moment without a file
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(side, target, options)
 
 
 def load_json(spark: SparkSession, path: str) -> dict | None:
