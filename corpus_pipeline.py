@@ -1,7 +1,8 @@
 """Five stages from raw documents to token ids, each one operator of ``tidemark.llm``.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
-DataFrame.  All but the last return the columns of ``docs``.
+DataFrame.  All but the last return the columns of ``docs``, whatever others it brings along;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,20 +22,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal without white space the longest stays, then the smallest doc_id; null and empty texts are one group, and a null doc_id comes last."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8 or more; the smallest doc_id of a group stays."""
+    """Shingles of five words, similarity 0.8 or more; the smallest doc_id of a group stays, once.  Texts without words are linked with nothing; rows without a doc_id stay."""
     return minhash.keep_one(docs, words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged by their own texts, those without a doc_id or with a shared one too; null and empty texts are clean."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row; a null text counts as empty."""
     return bpe.encode_digests(docs, TOKENIZER)
 
 
