@@ -160,8 +160,8 @@ def with_phases(scores: DataFrame, trials: int, lookback: int) -> DataFrame:
 def hac(differences: DataFrame, keys: list[str], lookback: int, most: int) -> DataFrame:
     """``keys, n, mean, naive_se, hac, lag, se`` of ``d`` over consecutive ``i``: Bartlett weights, lags up to floor(cbrt n).
 
-    ``most`` bounds the rows of one key, and so the lags looked at.  Products at each lag come
-    from one window over blocks with a halo, and are summed before they are moved.
+    ``most`` bounds the rows of one key, and so the lags looked at.  Products at all lags are
+    columns of one window over blocks with a halo, and are summed before they are moved.
     """
     far = 1
     while (far + 1) ** 3 <= most:
@@ -171,10 +171,10 @@ def hac(differences: DataFrame, keys: list[str], lookback: int, most: int) -> Da
     moments = moments.withColumn("lag", stats.hac_lag(F.col("n"), lookback))
     centred = differences.join(F.broadcast(moments.select(*keys, "mean")), keys).select(*keys, "i", (F.col("d") - F.col("mean")).alias("c"))  # a row for each key
     blocks = in_blocks(centred, "i", far, tuple(keys))
-    near = Window.partitionBy(*keys, "blk").orderBy("i").rowsBetween(-far, 0)
-    products = blocks.select(*keys, "own", F.reverse(F.collect_list("c").over(near)).alias("c")).where("own")
-    each = products.select(*keys, F.posexplode(F.transform("c", lambda x: x * F.get(F.col("c"), F.lit(0)))).alias("lag_k", "product"))
-    gamma = each.groupBy(*keys, "lag_k").agg(F.sum("product").alias("g"))
+    before = Window.partitionBy(*keys, "blk").orderBy("i")
+    products = blocks.select(*keys, "own", (F.col("c") * F.col("c")).alias("g0"), *[(F.col("c") * F.lag("c", k).over(before)).alias(f"g{k}") for k in range(1, far + 1)]).where("own")
+    sums = products.groupBy(*keys).agg(*[F.coalesce(F.sum(f"g{k}"), F.lit(0.0)).alias(f"g{k}") for k in range(far + 1)])
+    gamma = sums.select(*keys, F.posexplode(F.array(*[f"g{k}" for k in range(far + 1)])).alias("lag_k", "g"))
     weighted = gamma.join(F.broadcast(moments.select(*keys, "n", "lag")), keys).where(F.col("lag_k") <= F.least("lag", F.col("n") - 1))
     weight = F.when(F.col("lag_k") == 0, 1.0).otherwise(2 * (1 - F.col("lag_k") / (F.least("lag", F.col("n") - 1) + 1)))
     long_run = weighted.groupBy(*keys).agg(F.sum(weight * F.col("g") / F.col("n")).alias("long_run"))
