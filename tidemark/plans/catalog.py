@@ -395,9 +395,12 @@ def evaluate_ticket(spark, d):
     return e.select("t", F.col("e.matches").alias("k"), "e.tier", F.col("e.payout").cast("int").alias("payout"), text("e.matched").alias("matched"))
 
 
-@query(_TICKETS + "SELECT count(DISTINCT (x, y)) AS covered_pairs FROM (SELECT i, unnest(ticket) AS x, ticket FROM tickets), LATERAL (SELECT unnest(ticket) AS y) WHERE x < y")
+@query(DRAWS + "SELECT i >= 10 AS later, count(DISTINCT (x, y)) AS covered_pairs FROM (SELECT t AS i, unnest(result) AS x, result AS ticket FROM draws), LATERAL (SELECT unnest(ticket) AS y) WHERE x < y GROUP BY 1")
 def ticket_pairs_covered(spark, d):
-    return portfolio.covered_pairs(_tickets(spark, d))
+    """All derived tickets: the first ten as one portfolio, and the rest."""
+    rows = all_draws(spark, d).select(F.col("t").alias("ticket_id"), F.col("result").alias("ticket"))
+    one = lambda later: portfolio.covered_pairs(rows.where((F.col("ticket_id") >= 10) == later)).select(F.lit(later).alias("later"), "covered_pairs")
+    return one(False).unionByName(one(True))
 
 
 @query(_TICKETS + "SELECT (SELECT count(*) FROM tickets) AS n, CAST(max(s) AS INT) AS most_shared, max(s) <= 1 AS valid FROM (SELECT len(list_intersect(a.ticket, b.ticket)) AS s FROM tickets a JOIN tickets b ON a.i < b.i)")
