@@ -16,43 +16,75 @@ from ..session import importable
 from . import rules
 
 STEP = np.uint32(0x6D2B79F5)
+#: Values of a stream until it begins anew, whatever the seed.
+PERIOD = 1 << 32
+#: Tickets made together, so that their states stay in a core's cache.
+CHUNK = 16_384
 
 
-def _mixed(state: np.ndarray) -> np.ndarray:
+def _bits(state: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (state ^ (state >> np.uint32(15))) * (state | np.uint32(1))
         x = (x + (x ^ (x >> np.uint32(7))) * (x | np.uint32(61))) ^ x
-    return (x ^ (x >> np.uint32(14))).astype(np.float64) / 4294967296.0
+    return x ^ (x >> np.uint32(14))
 
 
-def stream(seed: int, n: int, skip: int = 0) -> np.ndarray:
-    """Values ``skip`` .. ``skip + n - 1`` of one seed's stream: the state is the seed plus a multiple of the step."""
+def _mixed(state: np.ndarray) -> np.ndarray:
+    return _bits(state) / 4294967296.0
+
+
+def states(seed: int, n: int, skip: int = 0, stride: int = 1) -> np.ndarray:
+    """The states after ``skip``, ``skip + stride`` .. values: the seed plus a multiple of the step, modulo the period."""
+    at = np.arange(n, dtype=np.uint64) * np.uint64(stride % PERIOD) + np.uint64(skip % PERIOD)
     with np.errstate(over="ignore"):
-        return _mixed(np.uint32(seed & 0xFFFFFFFF) + STEP * np.arange(skip + 1, skip + n + 1, dtype=np.uint32))
+        return np.uint32(int(seed) & 0xFFFFFFFF) + STEP * at.astype(np.uint32)
+
+
+def stream(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """Values ``skip`` .. ``skip + n - 1`` of one seed's stream; it begins anew after ``PERIOD`` values."""
+    return _mixed(states(seed, n, skip + 1))
+
 
+def unit_seeds(seed: int, units: int, per: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Where each of ``units`` repetitions of ``per`` values starts (those from ``first`` on, up to ``last``).
 
-def shuffled(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One shuffle of ``values`` a seed (``len(seeds) x len(values)``), from the last place down."""
-    n = len(values)
-    pool = np.tile(values, (len(seeds), 1))
-    rows = np.arange(len(seeds))
-    state = seeds.astype(np.uint32)
-    for i in range(n - 1, 0, -1):
-        with np.errstate(over="ignore"):
-            state = state + STEP
-        j = (_mixed(state) * (i + 1)).astype(np.int64)
-        picked = pool[rows, j]
-        pool[rows, j] = pool[:, i]
-        pool[:, i] = picked
-    return pool
+    While all of them fit one period they follow each other in the seed's stream, as in one
+    loop.  Beyond it the stream would only repeat itself, so repetition k has its own seed,
+    ``combine_seed(seed, k)``.
+    """
+    last = units if last is None else last
+    if units * per <= PERIOD:
+        return states(seed, last - first, first * per, per)
+    return combine_seed(seed, np.arange(first, last))
 
 
 ALL = np.arange(1, rules.POOL + 1, dtype=np.int32)
 
 
+def places(state: np.ndarray, picks: int, size: int = rules.POOL) -> np.ndarray:
+    """Which of ``size`` numbers (from 0) a shuffle puts in the first ``picks`` places: ``picks x len(state)``, in the order of places.
+
+    The shuffle swaps the last place with a drawn one, then the one before, and so on.  Each of the
+    first places is followed back through the swaps: before the swap of places i and j, what is now
+    at j was at i.  Swaps among the first places alone do not change which numbers these are and are
+    left out, so the order of places is not that of the shuffle.
+    """
+    out = np.repeat(np.arange(picks, dtype=np.uint8)[:, None], len(state), 1)
+    for a in range(0, len(state), CHUNK):
+        s, at = state[a : a + CHUNK], out[:, a : a + CHUNK]
+        for i in range(picks, size):
+            with np.errstate(over="ignore"):
+                x = _bits(s + STEP * np.uint32(size - i))
+            # floor(x / 2^32 * (i + 1)), in halves of 16 bits
+            m = np.uint32(i + 1)
+            j = (((x >> np.uint32(16)) * m + (((x & np.uint32(0xFFFF)) * m) >> np.uint32(16))) >> np.uint32(16)).astype(np.uint8)
+            at += (at == j) * (np.uint8(i) - j)
+    return out
+
+
 def tickets(seeds: np.ndarray, picks: int = rules.PICKS) -> np.ndarray:
     """Sorted tickets, one a seed."""
-    return np.sort(shuffled(ALL, seeds)[:, :picks], axis=1)
+    return np.sort(places(seeds.astype(np.uint32), picks).T + np.uint8(1), axis=1).astype(np.int32)
 
 
 def ticket_seeds(seeds: np.ndarray) -> np.ndarray:
@@ -64,15 +96,16 @@ def ticket_seeds(seeds: np.ndarray) -> np.ndarray:
 def fair_tickets(seed: int, n: int, skip: int = 0) -> np.ndarray:
     """``n`` tickets in a row from one stream, after ``skip`` earlier ones; each takes 44 values."""
     per = rules.POOL - 1
-    u = stream(seed, n * per, skip * per).reshape(n, per)
-    pool = np.tile(ALL, (n, 1))
-    rows = np.arange(n)
-    for k, i in enumerate(range(rules.POOL - 1, 0, -1)):
-        j = (u[:, k] * (i + 1)).astype(np.int64)
-        picked = pool[rows, j]
-        pool[rows, j] = pool[:, i]
-        pool[:, i] = picked
-    return np.sort(pool[:, : rules.PICKS], axis=1)
+    return tickets(states(seed, n, skip * per, per))
+
+
+def fair_counts(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """How often each number is among ``n`` such tickets."""
+    per, counts = rules.POOL - 1, np.zeros(rules.POOL, np.int64)
+    for a in range(0, n, 8 * CHUNK):
+        m = min(8 * CHUNK, n - a)
+        counts += np.bincount(places(states(seed, m, (skip + a) * per, per), rules.PICKS).ravel(), minlength=rules.POOL)
+    return counts
 
 
 def combine_seed(seed: int, salt: np.ndarray) -> np.ndarray:
@@ -84,7 +117,7 @@ def combine_seed(seed: int, salt: np.ndarray) -> np.ndarray:
 
 
 def permutation(n: int, seed: int) -> np.ndarray:
-    """A seeded permutation of 0 .. n-1 from one stream (sequential by nature; one array of n numbers)."""
+    """A seeded permutation of 0 .. n-1 by swaps in one loop; ``operators.permutation`` gives the same one as a table."""
     u = stream(seed, max(n - 1, 0))
     out = np.arange(n)
     for k, i in enumerate(range(n - 1, 0, -1)):
@@ -127,7 +160,7 @@ def oracle_pool(seed: int, size: int = 18) -> "callable":
         out = []
         for s, r in zip(seeds, result):
             rest = np.setdiff1d(ALL, np.asarray(r))
-            out.append(np.sort(np.concatenate((np.asarray(r, np.int32), shuffled(rest, np.array([s]))[0, : size - len(r)]))))
+            out.append(np.sort(np.concatenate((np.asarray(r, np.int32), rest[places(np.array([s], np.uint32), size - len(r), len(rest))[:, 0]]))))
         return pd.Series(out)
 
     return pick

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng, rules
 from ..session import importable, settled
-from . import walkforward
+from . import permutation, walkforward
 
 EXPECTED = 0.8
 
@@ -39,10 +39,8 @@ def iid_pass_rates(spark: SparkSession, draws: int = 260, lookback: int = 90, re
 
 
 def shuffled_draws(table: DataFrame, seed: int = 645) -> DataFrame:
-    """Control B's input: results and ids at permuted positions.  The permutation is one sequential stream of n numbers."""
-    spark = table.sparkSession
-    n = table.count()
-    order = spark.createDataFrame(pd.DataFrame({"new_t": np.arange(n), "t": rng.permutation(n, seed)}), "new_t bigint, t bigint")
+    """Control B's input: results and ids at permuted positions."""
+    order = permutation.table(table.sparkSession, table.count(), seed).select(F.col("new").alias("new_t"), F.col("old").alias("t"))
     return table.join(order, "t").select(F.col("new_t").alias("t"), "id", "date", "result")
 
 
@@ -68,9 +66,7 @@ def random_baseline(table: DataFrame, lookback: int = 90) -> DataFrame:
 
 def label_permutation(table: DataFrame, lookback: int = 90, seed: int = 645) -> DataFrame:
     """Control E: tickets against permuted draws."""
-    spark = table.sparkSession
-    n = max(0, table.count() - lookback)
-    order = spark.createDataFrame(pd.DataFrame({"t": np.arange(n) + lookback, "other_t": rng.permutation(n, seed) + lookback}), "t bigint, other_t bigint")
+    order = permutation.table(table.sparkSession, max(0, table.count() - lookback), seed).select((F.col("new") + lookback).alias("t"), (F.col("old") + lookback).alias("other_t"))
     own = walkforward.picks(table, lookback).join(order, "t")
     met = own.join(table.select(F.col("t").alias("other_t"), F.col("result").alias("other")), "other_t")
     each = F.array(*[F.struct(F.lit(r).alias("strategy"), rules.matches(F.col(r), F.col("result")).alias("k"), rules.matches(F.col(r), F.col("other")).alias("permuted")) for r in walkforward.RULES])

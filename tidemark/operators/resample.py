@@ -1,8 +1,10 @@
 """Seeded resampling: null distributions, sign flips, bootstraps.
 
-One seed is one stream.  Its values are a function of the counter, so a task can start
-anywhere in it: iterations are dealt to tasks by ranges, and the result is the same as that
-of one sequential loop.
+One seed is one stream, and its values are a function of the counter, so a task can start
+anywhere in it.  Work is dealt as (repetitions x block of rows): a task draws what its
+repetitions need for its block and hands on sums, which are added up.  The result is that of one
+sequential loop, as far as one period of the stream reaches; beyond it each repetition has a
+seed of its own (``rng.unit_seeds``).
 """
 
 from __future__ import annotations
@@ -11,18 +13,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions import rng, rules
-from ..session import importable
+from ..session import importable, settled
 
-#: Iterations of one task, and numbers drawn together.
-PART, CHUNK = 500, 2_000_000
+#: Values that one task draws, and draws of one block of a simulation.
+WORK, DRAWS = 1 << 28, 1 << 20
+#: Differences of one block; numbers drawn together.
+BLOCK, CHUNK = 1 << 18, 1 << 19
+#: Up to so many blocks each draws all bootstrap places of its repetitions and keeps its own; beyond, places are sent to their blocks.
+REDRAWN = 16
+#: Repetitions whose places are sent together.
+TOGETHER = 32
 
 
-def _ranges(spark: SparkSession, n: int, part: int = PART) -> DataFrame:
+def _ranges(spark: SparkSession, n: int, part: int) -> DataFrame:
     parts = -(-n // part)
     return spark.range(0, parts, 1, max(1, parts)).select((F.col("id") * part).alias("first"), F.least((F.col("id") + 1) * part, F.lit(n)).alias("last"))
 
@@ -30,32 +39,54 @@ def _ranges(spark: SparkSession, n: int, part: int = PART) -> DataFrame:
 def null_distribution(spark: SparkSession, draws: int, statistic: Callable[[np.ndarray], float], simulations: int = 2000, seed: int = 645) -> DataFrame:
     """``sim, value``: any statistic of simulated fair data sets, each an array of ``draws`` sorted tickets."""
     importable(spark)
+    per = draws * (rules.POOL - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, last in zip(batch["first"], batch["last"]):
-                for sim in range(first, last):
-                    yield pd.DataFrame({"sim": [sim], "value": [float(statistic(rng.fair_tickets(seed, draws, sim * draws)))]})
+                for sim, start in enumerate(rng.unit_seeds(seed, simulations, per, first, last), first):
+                    yield pd.DataFrame({"sim": [sim], "value": [float(statistic(rng.fair_tickets(start, draws)))]})
 
     return _ranges(spark, simulations, 25).mapInPandas(run, "sim bigint, value double")
 
 
-def null_chi_square(spark: SparkSession, draws: int, simulations: int = 2000, seed: int = 645) -> DataFrame:
-    """``sim, chi_square`` of simulated fair data sets; of a data set no more than a part is held."""
+NUMBERS = [f"n{i}" for i in range(1, rules.POOL + 1)]
+
+
+def null_counts(spark: SparkSession, draws: int, simulations: int = 2000, seed: int = 645) -> DataFrame:
+    """``sim, n1 .. n45``: how often each number is drawn in each simulated data set."""
     importable(spark)
+    per = rules.POOL - 1
+    blocks = max(1, -(-draws // DRAWS))
+    sims = max(1, WORK // (per * max(1, min(draws, DRAWS))))
+    parts = -(-simulations // sims)
+    dealt = spark.range(0, parts * blocks, 1, max(1, parts * blocks)).select((F.expr(f"id div {blocks}") * sims).alias("first"), (F.col("id") % blocks * DRAWS).alias("a"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expected = draws * rules.PICKS / rules.POOL
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in zip(batch["first"], batch["last"]):
-                for sim in range(first, last):
-                    counts = np.zeros(rules.POOL + 1, np.int64)
-                    for a in range(0, draws, 20_000):
-                        m = min(20_000, draws - a)
-                        counts += np.bincount(rng.fair_tickets(seed, m, sim * draws + a).ravel(), minlength=rules.POOL + 1)
-                    yield pd.DataFrame({"sim": [sim], "chi_square": [float(((counts[1:] - expected) ** 2 / expected).sum()) if draws else 0.0]})
+            for first, a in zip(*(c.to_pylist() for c in batch.columns)):
+                last, m = min(first + sims, simulations), min(DRAWS, draws - a)
+                counts = np.array([rng.fair_counts(start, m, a) for start in rng.unit_seeds(seed, simulations, draws * per, first, last)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), *map(pa.array, counts.T)], ["sim", *NUMBERS])
+
+    partial = dealt.mapInArrow(run, "sim bigint, " + ", ".join(f"{n} bigint" for n in NUMBERS))
+    return partial.groupBy("sim").agg(*[F.sum(n).alias(n) for n in NUMBERS])
+
+
+def _squares() -> Column:
+    out = F.lit(0).cast("long")
+    for n in NUMBERS:
+        out = out + F.col(n) * F.col(n)
+    return out
 
-    return _ranges(spark, simulations, 25).mapInPandas(run, "sim bigint, chi_square double")
+
+def null_chi_square(spark: SparkSession, draws: int, simulations: int = 2000, seed: int = 645) -> DataFrame:
+    """``sim, chi_square, squares`` of simulated fair data sets; with ``draws`` fixed, chi-square grows with the sum of squared counts."""
+    expected = draws * rules.PICKS / rules.POOL
+    statistic = F.lit(0.0)
+    for n in NUMBERS:
+        statistic = statistic + (F.col(n) - expected) * (F.col(n) - expected) / F.lit(expected or 1.0)
+    return null_counts(spark, draws, simulations, seed).select("sim", statistic.alias("chi_square"), _squares().alias("squares"))
 
 
 @udtf(returnType="t bigint, result array<int>")
@@ -69,35 +100,53 @@ class FairDraws:
 
 
 def fairness(table: DataFrame, simulations: int = 2000, seed: int = 645) -> DataFrame:
-    """Observed chi-square and its simulated p, each count one more than found."""
+    """Observed chi-square and its simulated p, each count one more than found.  Whole numbers are compared."""
     from .draws import chi_square, frequency
 
     spark = table.sparkSession
-    n = table.count()
-    seen = chi_square(frequency(table))
-    null = null_chi_square(spark, n, simulations, seed)
-    met = null.join(F.broadcast(seen.withColumnRenamed("chi_square", "observed")), how="cross")  # one row on the right
-    return met.groupBy("observed").agg(((F.count_if(F.col("chi_square") >= F.col("observed")) + 1) / (simulations + 1)).alias("p_value"), F.count(F.lit(1)).alias("simulations"))
+    seen = frequency(table)
+    facts = seen.agg(F.sum(F.col("count") * F.col("count")).cast("long").alias("own"), (F.sum("count") / rules.PICKS).cast("long").alias("draws")).first()  # one row
+    null = null_chi_square(spark, facts["draws"], simulations, seed)
+    p = null.agg(((F.count_if(F.col("squares") >= facts["own"]) + 1) / (simulations + 1)).alias("p_value"), F.count(F.lit(1)).alias("simulations"))
+    return chi_square(seen).select(F.col("chi_square").alias("observed")).join(F.broadcast(p), how="cross")  # one row on either side
+
+
+def flipped_sums(d: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of ``d`` with signs drawn from each start on."""
+    out = np.empty(len(starts))
+    step, own = max(1, CHUNK // max(len(d), 1)), rng.states(0, len(d), 1)
+    for a in range(0, len(starts), step):
+        with np.errstate(over="ignore"):
+            low = rng._bits(starts[a : a + step, None] + own) < np.uint32(1 << 31)
+        out[a : a + step] = d.sum() - 2.0 * (low @ d)
+    return out
+
+
+def drawn_places(n: int, starts: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Bootstrap places of values ``first`` .. ``last - 1`` of each start."""
+    own = rng.states(0, (n if last is None else last) - first, first + 1)
+    with np.errstate(over="ignore"):
+        u = rng._mixed(starts[:, None] + own)
+    return np.minimum((u * n).astype(np.int64), n - 1)
+
+
+def drawn_sums(d: np.ndarray, n: int, offset: int, starts: np.ndarray) -> np.ndarray:
+    """The sum over a bootstrap of ``n`` places of those that lie in the block ``d`` at ``offset``."""
+    out = np.zeros(len(starts))
+    whole = offset == 0 and len(d) == n
+    for k in range(len(starts)):
+        for a in range(0, n, CHUNK):
+            at = drawn_places(n, starts[k : k + 1], a, min(n, a + CHUNK))[0] - offset
+            out[k] += d[at].sum() if whole else d[at[(at >= 0) & (at < len(d))]].sum()
+    return out
 
 
-def sign_flip_sums(deltas: np.ndarray, seed: int, first: int, last: int) -> np.ndarray:
-    n, out = len(deltas), []
-    step = max(1, CHUNK // max(n, 1))
-    for a in range(first, last, step):
-        b = min(last, a + step)
-        u = rng.stream(seed, (b - a) * n, a * n).reshape(b - a, n)
-        out.append(np.where(u < 0.5, -1.0, 1.0) @ deltas)
-    return np.concatenate(out) if out else np.zeros(0)
+def sign_flip_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
+    return flipped_sums(deltas, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))
 
 
-def bootstrap_sums(deltas: np.ndarray, seed: int, first: int, last: int) -> np.ndarray:
-    n, out = len(deltas), []
-    step = max(1, CHUNK // max(n, 1))
-    for a in range(first, last, step):
-        b = min(last, a + step)
-        u = rng.stream(seed, (b - a) * n, a * n).reshape(b - a, n)
-        out.append(deltas[np.minimum((u * n).astype(np.int64), n - 1)].sum(1))
-    return np.concatenate(out) if out else np.zeros(0)
+def bootstrap_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
+    return drawn_sums(deltas, len(deltas), 0, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))
 
 
 def bounds(iterations: int) -> tuple[int, int]:
@@ -121,25 +170,49 @@ def bootstrap(deltas: np.ndarray, seed: int, iterations: int = 10_000) -> tuple[
     return float(means[low]), float(means[high])
 
 
-def paired(deltas: DataFrame, key: str, seed: int, iterations: int = 10_000) -> DataFrame:
-    """Sign-flip test and bootstrap interval of ``d`` (ordered by ``t``) for each value of ``key``.
+def in_series(deltas: DataFrame, key: str) -> DataFrame:
+    """Blocks of at most ``BLOCK`` differences in the order of ``t`` (distinct in a key): ``key, blk, offset, n, total, d``."""
+    blocks = deltas.groupBy(key, F.expr(f"t div {BLOCK}").alias("blk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: x["d"].cast("double")).alias("d"))
+    sizes = blocks.select(key, "blk", F.size("d").cast("long").alias("m"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    # a row a block: a key's blocks are numbered by running sums
+    before = Window.partitionBy(key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    each = Window.partitionBy(key)
+    placed = sizes.select(key, "blk", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"), F.sum("m").over(each).alias("n"), F.sum("s").over(each).alias("total"))
+    return blocks.join(placed, [key, "blk"]).select(key, "blk", "offset", "n", "total", "d")
 
-    A key's differences are one small number a draw; each of a fixed number of tasks a key takes
-    a range of iterations, so a key's work is spread and only sums of iterations are gathered.
-    """
-    spark = deltas.sparkSession
-    importable(spark)
-    parts = deltas.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // PART) - 1))).alias("part"))
 
-    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.sort_values("t")["d"].to_numpy(np.float64)
-        first = int(group[1]) * PART
-        last = min(first + PART, iterations)
-        n = max(1, len(d))
-        return pd.DataFrame({key: group[0], "mean_delta": d.sum() / n, "flip": sign_flip_sums(d, seed, first, last) / n, "boot": bootstrap_sums(d, seed, first, last) / n})
+def _dealt(rows: DataFrame, values: Column, iterations: int, least: int = 1) -> DataFrame:
+    """Each row once for every range of repetitions (``first, last``), a range of ``WORK`` values, which ``values`` says how many a repetition draws."""
+    span = F.greatest(F.lit(least), F.least(F.lit(iterations), F.floor(F.lit(WORK) / values))).cast("long")
+    out = rows.withColumn("span", span).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"), F.col("span"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.withColumn("last", F.least(F.col("first") + F.col("span"), F.lit(iterations))).drop("span").repartition(4 * parts)
 
+
+def paired(deltas: DataFrame, key: str, seed: int, iterations: int = 10_000) -> DataFrame:
+    """Sign-flip test and bootstrap interval of ``d`` (in the order of ``t``) for each value of ``key``."""
+    spark = deltas.sparkSession
+    importable(spark)
     kind = dict(deltas.dtypes)[key]
-    means = parts.groupBy(key, "part").applyInPandas(run, f"{key} {kind}, mean_delta double, flip double, boot double")
+    series = settled(in_series(deltas, key), "series")
+    near, far = series.where(F.col("n") <= REDRAWN * BLOCK), series.where(F.col("n") > REDRAWN * BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, offset, n, d, first, last in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:3]), batch.column(3), *(c.to_pylist() for c in batch.columns[4:])):
+                starts, own = rng.unit_seeds(seed, iterations, n, first, last), d.values.to_numpy()
+                with np.errstate(over="ignore"):
+                    flip = flipped_sums(own, starts + rng.STEP * np.uint32(offset % rng.PERIOD))
+                boot = drawn_sums(own, n, offset, starts) if n <= REDRAWN * BLOCK else np.zeros(len(starts))
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(starts), batch.column(0).type), pa.array(np.arange(first, last)), pa.array(flip), pa.array(boot)], [key, "iteration", "flip", "boot"])
+
+    sums = f"{key} {kind}, iteration bigint, flip double, boot double"
+    parts = _dealt(near, F.size("d") + F.col("n"), iterations).unionByName(_dealt(far, F.size("d"), iterations))
+    done = parts.select(key, "offset", "n", "d", "first", "last").mapInArrow(run, sums)
+    if not far.isEmpty():
+        done = done.unionByName(_sent(far, key, kind, seed, iterations))
+    means = done.groupBy(key, "iteration").agg(F.sum("flip").alias("flip"), F.sum("boot").alias("boot")).join(series.groupBy(key).agg(F.first("n").alias("n"), F.first("total").alias("total")), key)
+    means = means.select(key, (F.col("total") / F.col("n")).alias("mean_delta"), (F.col("flip") / F.col("n")).alias("flip"), (F.col("boot") / F.col("n")).alias("boot"))
     low, high = bounds(iterations)
     sorted_flip, sorted_boot = F.sort_array(F.collect_list("flip")), F.sort_array(F.collect_list("boot"))  # as many as iterations
     return means.groupBy(key).agg(
@@ -147,3 +220,41 @@ def paired(deltas: DataFrame, key: str, seed: int, iterations: int = 10_000) ->
         F.least(F.lit(1.0), F.count_if(F.abs("flip") >= F.abs("mean_delta")) / F.lit(float(iterations))).alias("flip_p"),
         F.get(sorted_boot, F.lit(low)).alias("boot_low"), F.get(sorted_boot, F.lit(high)).alias("boot_high"),
     )
+
+
+def _sent(series: DataFrame, key: str, kind: str, seed: int, iterations: int) -> DataFrame:
+    """Bootstrap sums of long series: each block of a repetition's values is drawn once, and its places go to the blocks they point to.
+
+    Blocks hold ``BLOCK`` differences here, except that a key's t may leave gaps; places are found by the blocks' offsets,
+    of which a task has those of one key.
+    """
+    bases = series.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("offset", "blk"))).alias("blocks"))  # a number a block
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n, offset, m, blocks, first, last in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
+                begins, names = np.array([b["offset"] for b in blocks]), np.array([b["blk"] for b in blocks])
+                for it, start in enumerate(rng.unit_seeds(seed, iterations, n, first, last), first):
+                    at = np.sort(drawn_places(n, np.array([start], np.uint32), offset, offset + m)[0])
+                    of = np.searchsorted(begins, at, "right") - 1
+                    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(at))
+                    cuts = np.concatenate(([0], ends[:-1]))
+                    held = [(at[a:b] - begins[of[a]]).astype("<u4").tobytes() for a, b in zip(cuts, ends)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(held), batch.column(0).type), pa.array(names[of[cuts]]), pa.array([it] * len(held), pa.int64()), pa.array(held, pa.binary())], [key, "blk", "iteration", "places"])
+
+    drawn = _dealt(series.select(key, "n", "offset", F.size("d").alias("m")).join(bases, [key, "n"]), F.col("m"), iterations)
+    places = drawn.select(key, "n", "offset", "m", "blocks", "first", "last").mapInArrow(draw, f"{key} {kind}, blk bigint, iteration bigint, places binary")
+    places = places.withColumn("chunk", F.expr(f"iteration div {TOGETHER}"))
+    blocks = series.select(key, "blk", "d").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((iterations - 1) // TOGETHER).cast("long"))))
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums: dict[int, float] = {}
+        if right.num_rows:
+            d = right.column("d").combine_chunks().values.to_numpy()
+            for it, held in zip(left.column("iteration").to_pylist(), left.column("places")):
+                sums[it] = sums.get(it, 0.0) + float(d[np.frombuffer(held.as_py(), "<u4")].sum())
+        name = (left if left.num_rows else right).column(key)[0]
+        return pa.table({key: pa.array([name.as_py()] * len(sums), left.column(key).type), "iteration": pa.array(list(sums), pa.int64()), "flip": pa.array([0.0] * len(sums)), "boot": pa.array(list(sums.values()), pa.float64())})
+
+    met = places.groupBy(key, "blk", "chunk").cogroup(blocks.groupBy(key, "blk", "chunk"))
+    return met.applyInArrow(add, f"{key} {kind}, iteration bigint, flip double, boot double")
