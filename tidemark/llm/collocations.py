@@ -7,12 +7,14 @@ the threshold, whatever part of the corpus they were counted in.  It is counted
 ``SHARDS`` steps, which are one full cycle, so its count is exact; it may itself reach the
 threshold long before.  The scan ends when every active phrase has completed its cycle.
 
-When a phrase reached the threshold is looked up in a table of one byte a slot (the step, by a
-64-bit hash of language and words).  Its size follows the number of words and is bounded by
-``MOST_SLOTS``, and a step once entered stays.  A phrase that shares a slot with another may be
-counted from an earlier step on, or in vain, but always for one full cycle, so collisions cost
-time only; beyond the bound more phrases are counted in vain.  Inside a task occurrences are
-gathered by their 64-bit hash, across tasks by the phrase itself.
+While they are counted, phrases go by a key: 53 bits of a hash of language and words, the step
+after which counting began, and the number of words.  When a phrase reached the
+threshold is looked up in a table of one byte a slot (the step).  Its size follows the number of
+words and is bounded by ``MOST_SLOTS``, and a step once entered stays.  A phrase that shares a
+slot with another may be counted from an earlier step on, or in vain, but always for one full
+cycle, so collisions cost time only; beyond the bound more phrases are counted in vain.  When all
+cycles are complete, one more scan puts the words to the frequent hashes and confirms their
+counts by the words themselves, so equal hashes cannot change a result.
 
 ``score`` is the lowest, over the cuts of a phrase in two, of 1000 * a * n / (l * r), in decimals
 of 38 digits: exact up to counts of 10^12 words.  A phrase is dropped if a phrase one word longer
@@ -34,15 +36,18 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SHARDS = 4
+SHARDS = 3
 LONGEST = 5
 SUPPORT = 100
 TOP = 2000
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 27
-#: Distinct phrases that a task gathers before it hands them on.
-GATHER = 400_000
+#: Distinct phrases that a task gathers before it hands them on: by hash, and by words.
+GATHER, GATHER_NAMES = 1_000_000, 200_000
 SALTS = 64
-COUNTS = "lang string, k int, phrase string, hash bigint, c bigint"
+#: A key's lowest bits: three for the number of words, eight for the step after which counting began.
+LENGTH_BITS, CODE_BITS = 3, 11
+COUNTS = "key bigint, c bigint"
+NAMES = "lang string, k int, phrase string, c bigint"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -83,11 +88,6 @@ class Words:
             low, self.start, self.end = out, to, to + size
         self.low = low
 
-    def phrases(self, first: np.ndarray, k: int) -> pa.Array:
-        start, size = self.start[first], self.end[first + k - 1] - self.start[first]
-        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(self.low[_runs(start, size)])])
-
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``start[0] .. start[0] + size[0] - 1, start[1] ..``; all sizes are positive."""
@@ -99,99 +99,136 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+def phrase_hashes(words: Words, lang: np.ndarray, seeds: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each length the hash of the phrase that starts at each word."""
+    with np.errstate(over="ignore"):
+        h = shared.mix64(words.hash ^ seeds[lang])
+        g = h
+        for k in range(1, longest + 1):
+            if k > 1:
+                g = shared.mix64(g[:-1] * shared.ODD64 + h[k - 1 :] + np.uint64(k))
+            yield g
+            if len(g) < 2:
+                return
+
+
+def _slots(g: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[((g >> np.uint64(CODE_BITS)) & np.uint64(len(table) - 1)).astype(np.int64)]
+
+
+def _keys(g: np.ndarray, begun: np.ndarray | int, k: int) -> np.ndarray:
+    return g >> np.uint64(CODE_BITS) << np.uint64(CODE_BITS) | np.asarray(begun, np.uint64) << np.uint64(LENGTH_BITS) | np.uint64(k)
+
+
 class Gathered:
-    """Distinct phrases of one task with their counts."""
+    """Distinct keys of one task with their counts."""
 
     def __init__(self):
-        self.parts: list[tuple] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, lang: np.ndarray, k: int, hashes: np.ndarray, counts: np.ndarray, phrases: pa.Array) -> None:
-        self.parts.append((lang, np.full(len(hashes), k, np.int32), hashes, counts, phrases))
-        self.size += len(hashes)
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
 
     def merge(self) -> None:
-        lang, k, hashes, counts, phrases = (pa.concat_arrays(x) if i == 4 else np.concatenate(x) for i, x in enumerate(zip(*self.parts)))
-        _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.bincount(group, counts, len(first)).astype(np.int64)
-        self.parts = [(lang[first], k[first], hashes[first], total, phrases.take(pa.array(first)))]
-        self.size = len(first)
-
-    def batches(self, langs: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        self.merge()
-        lang, k, hashes, counts, phrases = self.parts[0]
-        names = pa.array(langs)
-        for a in range(0, self.size, rows):
-            s = slice(a, a + rows)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[s])), pa.array(k[s]), phrases[s].cast(pa.string()), pa.array(hashes[s].view(np.int64)), pa.array(counts[s])], ["lang", "k", "phrase", "hash", "c"])
-        self.parts, self.size = [], 0
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
+        found, group = np.unique(keys, return_inverse=True)
+        self.parts = [(found, np.bincount(group, counts, len(found)).astype(np.int64))]
+        self.size = len(found)
+
+    def batches(self, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.merge()
+            keys, counts = self.parts[0]
+            for a in range(0, self.size, rows):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + rows].view(np.int64)), pa.array(counts[a : a + rows])], ["key", "c"])
+            self.parts, self.size = [], 0
 
 
 def count_block(words: Words, lang: np.ndarray, seeds: np.ndarray, steps: np.ndarray | None, step: int, shards: int, longest: int, gathered: Gathered) -> None:
     """Adds the occurrences of phrases that are active in this step.  ``lang``: number of each word's language, ``seeds``: hash of each language."""
-    with np.errstate(over="ignore"):
-        h = shared.mix64(words.hash ^ seeds[lang])
-    g, before = h, None
-    for k in range(1, longest + 1):
-        if k > 1:
-            before = g
-            with np.errstate(over="ignore"):
-                g = shared.mix64(g[:-1] * shared.ODD64 + h[k - 1 :] + np.uint64(k)) if len(g) else g
-        if not len(g):
-            return
+    before = None
+    for k, g in enumerate(phrase_hashes(words, lang, seeds, longest), 1):
         if k == 1:
-            at = np.arange(words.size) if step <= shards else np.zeros(0, np.int64)
-        elif steps is None:
-            return
-        else:
-            reached = steps[(before & np.uint64(len(steps) - 1)).astype(np.int64)]
+            if step <= shards:
+                gathered.add(_keys(g, 0, k))
+        elif steps is not None:
+            reached = _slots(before, steps).astype(np.int32)
             begun = np.maximum(reached[:-1], reached[1:])
-            at = np.flatnonzero((reached[:-1] > 0) & (reached[1:] > 0) & (begun < step) & (step <= begun.astype(np.int64) + shards) & (words.left[: len(g)] >= k))
-        if len(at):
-            hashes, first, counts = np.unique(g[at], return_index=True, return_counts=True)
-            gathered.add(lang[at[first]].astype(np.int32), k, hashes, counts, words.phrases(at[first], k))
+            at = np.flatnonzero((reached[:-1] > 0) & (reached[1:] > 0) & (begun < step) & (step <= begun + shards) & (words.left[: len(g)] >= k))
+            if len(at):
+                gathered.add(_keys(g[at], begun[at], k))
+        before = g
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, np.ndarray, list[str]]]:
+    """Words of ``lang, text`` rows with the number of each word's language, the languages' hashes and their names so far."""
+    langs, known, seeds = [], {}, np.zeros(0, np.uint64)
+    for batch in batches:
+        of_row = batch.column(0).to_pylist()
+        for x in sorted(set(of_row) - known.keys()):
+            known[x] = len(langs)
+            langs.append(x)
+            seeds = np.append(seeds, np.frombuffer(hashlib.md5(x.encode()).digest()[:8], np.uint64))
+        numbers = np.array([known[x] for x in of_row], np.int32)
+        for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
+            if len(raw):
+                words = Words(raw, bounds)
+                if words.size:
+                    yield words, numbers[a:b][words.row], seeds, langs
 
 
 def scan(texts: DataFrame, step: int, steps: np.ndarray | None, shards: int, longest: int) -> DataFrame:
-    """``lang, k, phrase, hash, c``: active phrases in one shard; ``k = 0`` counts all words of a language."""
+    """``key, c``: active phrases in one shard."""
     spark = texts.sparkSession
     shared.prepare_python(spark)
     sent = spark.sparkContext.broadcast(steps)  # MOST_SLOTS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, known, totals, gathered = [], {}, {}, Gathered()
-        seeds = np.zeros(0, np.uint64)
-        for batch in batches:
-            of_row = batch.column(0).to_pylist()
-            for x in set(of_row) - known.keys():
-                known[x] = len(langs)
-                langs.append(x)
-                seeds = np.append(seeds, np.frombuffer(hashlib.md5(x.encode()).digest()[:8], np.uint64))
-            numbers = np.array([known[x] for x in of_row], np.int64)
-            for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
-                if not len(raw):
-                    continue
-                words = Words(raw, bounds)
-                if not words.size:
-                    continue
-                lang = numbers[a:b][words.row]
-                if step <= shards:
-                    for i, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
-                        totals[i] = totals.get(i, 0) + n
-                count_block(words, lang, seeds, sent.value, step, shards, longest, gathered)
-                if gathered.size > GATHER:
-                    gathered.merge()
-                    if gathered.size > GATHER // 2:
-                        yield from gathered.batches(langs)
-        yield from gathered.batches(langs)
-        found = [(langs[i], n) for i, n in totals.items() if n]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([0] * len(found), pa.int32()), pa.array([""] * len(found)), pa.array([0] * len(found), pa.int64()), pa.array([n for _, n in found], pa.int64())], ["lang", "k", "phrase", "hash", "c"])
-
-    counted = texts.select("lang", "text").mapInArrow(run, COUNTS)
-    return counted.groupBy("lang", "k", "phrase").agg(F.first("hash").alias("hash"), F.sum("c").alias("c"))
+        gathered = Gathered()
+        for words, lang, seeds, _ in _blocks(batches):
+            count_block(words, lang, seeds, sent.value, step, shards, longest, gathered)
+            if gathered.size > GATHER:
+                gathered.merge()
+                if gathered.size > GATHER // 2:
+                    yield from gathered.batches()
+        yield from gathered.batches()
+
+    return texts.select("lang", "text").mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def named(texts: DataFrame, frequent_slots: np.ndarray, longest: int) -> DataFrame:
+    """``lang, k, phrase, f``: phrases by their words, where they and their subphrases are in slots of frequent ones; ``k = 0`` counts all words."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(frequent_slots)  # MOST_SLOTS bytes at most
+
+    def batch(counts: dict) -> pa.RecordBatch:
+        lang, k, phrase = zip(*counts)
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array([p.decode() for p in phrase]), pa.array(list(counts.values()), pa.int64())], ["lang", "k", "phrase", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int, bytes], int] = {}
+        for words, lang, seeds, langs in _blocks(batches):
+            for i, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
+                counts[langs[i], 0, b""] = counts.get((langs[i], 0, b""), 0) + n
+            alive = np.ones(words.size, bool)
+            low = words.low.tobytes()
+            for k, g in enumerate(phrase_hashes(words, lang, seeds, longest), 1):
+                alive = (alive if k == 1 else alive[:-1] & alive[1:]) & (_slots(g, sent.value) > 0) & (words.left[: len(g)] >= k)
+                at = np.flatnonzero(alive)
+                _, first, n = np.unique(g[at], return_index=True, return_counts=True)
+                at = at[first]
+                for x, s, e, c in zip(lang[at].tolist(), words.start[at].tolist(), words.end[at + k - 1].tolist(), n.tolist()):
+                    key = (langs[x], k, low[s:e])
+                    counts[key] = counts.get(key, 0) + c
+            if len(counts) > GATHER_NAMES:
+                yield batch(counts)
+                counts = {}
+        if counts:
+            yield batch(counts)
+
+    return texts.select("lang", "text").mapInArrow(run, NAMES).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -208,26 +245,35 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, sh
     path = shared.new_path(spark, "phrase-shards")
     text.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     texts = spark.read.schema(text.schema).parquet(path)
-    counted: list[DataFrame] = []
-    steps, step, last = None, 0, 0
+    counted: dict[int, DataFrame] = {}
+    steps, ends, step, last, size = None, None, 0, 0, LEAST_SLOTS
+    k, begun = F.col("key").bitwiseAND((1 << LENGTH_BITS) - 1), F.shiftright("key", LENGTH_BITS).bitwiseAND((1 << CODE_BITS - LENGTH_BITS) - 1)
     while step < shards or step < last + shards:
         step += 1
-        counted.append(shared.materialise(scan(texts.where(F.col("shard") == (step - 1) % shards), step, steps, shards, longest), f"phrases-{step}"))
-        if steps is None:
-            words = counted[0].where("k = 0").agg(F.sum("c")).first()[0] or 0
+        counted[step] = shared.materialise(scan(texts.where(F.col("shard") == (step - 1) % shards), step, steps, shards, longest), f"phrases-{step}")
+        if step == 1:
+            words = counted[1].agg(F.sum("c")).first()[0] or 0
             size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (words * shards // 16).bit_length()))
-        # a phrase's steps lie within one cycle, so what it had before this step is among these tables
-        window = _union([t.where((F.col("k") > 0) & (F.col("k") < longest)).withColumn("now", F.lit(s == step)) for s, t in enumerate(counted, 1) if s > step - shards])
-        sums = window.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"), F.sum(F.when(~F.col("now"), F.col("c")).otherwise(0)).alias("before"), F.first("hash").alias("hash"))
-        new = sums.where((F.col("f") >= support) & (F.col("before") < support)).select(F.col("hash").bitwiseAND(size - 1).cast("int").alias("slot")).distinct()
-        slots = new.toArrow().column(0).to_numpy()  # distinct slots: at most as many as the table has
-        if len(slots):
-            steps = np.zeros(size, np.uint8) if steps is None else steps.copy()
-            steps[slots[steps[slots] == 0]] = step
+            steps, ends = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        # a phrase's steps lie within one cycle: what it had before this step is in the last tables, and what had its cycle is left out
+        window = _union([t.where(begun >= step - shards).withColumn("now", F.lit(s == step)) for s, t in counted.items()])
+        sums = window.groupBy("key").agg(F.sum("c").alias("f"), F.sum(F.when(~F.col("now"), F.col("c")).otherwise(0)).alias("before"))
+        full = shared.materialise(sums.where(F.col("f") >= support), "phrases-reached")
+        # distinct slots: at most as many as the tables have
+        slots = lambda rows: rows.select(F.shiftright("key", CODE_BITS).bitwiseAND(size - 1).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()  # noqa: E731, B023
+        new = slots(full.where((F.col("before") < support) & (k < longest)))
+        if len(new):
+            steps = steps.copy()
+            steps[new[steps[new] == 0]] = step
             last = step
-    every = _union(counted)
-    found = every.where("k > 0").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
-    return shared.materialise(found, "frequent-phrases"), every.where("k = 0").groupBy("lang").agg(F.sum("c").alias("n"))
+        ends[slots(full.where(begun == step - shards))] = 1
+        shared.drop_table(full)
+        if step >= shards:
+            shared.drop_table(counted.pop(step - shards + 1))
+    every = shared.materialise(named(texts, ends, longest).where((F.col("k") == 0) | (F.col("f") >= support)), "frequent-phrases")
+    for t in (*counted.values(), texts):
+        shared.drop_table(t)
+    return every.where("k > 0"), every.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
