@@ -42,7 +42,7 @@ SUPPORT = 100
 TOP = 2000
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 27
 #: Distinct phrases that a task gathers before it hands them on: by hash, and by words.
-GATHER, GATHER_NAMES = 1_000_000, 200_000
+GATHER, GATHER_NAMES = 1_000_000, 500_000
 SALTS = 64
 #: A key's lowest bits: three for the number of words, eight for the step after which counting began.
 LENGTH_BITS, CODE_BITS = 3, 11
