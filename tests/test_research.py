@@ -150,24 +150,6 @@ def test_ledger_as_a_stream(spark, tmp_path):
         assert [r["status"] for r in limits.ledger_state(spark, ledger).collect()] == [status]
 
 
-def test_limiter_as_a_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    seconds = [0, 1, 2, 3, 4, 5, 9, 10, 11]
-    rows = [{"user_id": 1, "ts": f"2024-01-01T00:00:{s:02d}"} for s in seconds]
-    (source / "a.json").write_text("\n".join(map(json.dumps, rows[:6])))
-    out = []
-    for n in (6, 9):
-        stream = spark.readStream.schema("user_id bigint, ts timestamp").json(str(source))
-        q = limits.limited(stream, 10_000, 5).writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(processingTime="200 milliseconds").start()
-        until = time.time() + 60
-        while len(out) < n and time.time() < until and q.isActive:
-            time.sleep(0.2)
-        q.stop()
-        (source / "b.json").write_text("\n".join(map(json.dumps, rows[6:])))
-    assert [r["allowed"] for r in sorted(out, key=lambda r: r["ts"])] == [True] * 5 + [False, False, True, True]
-
-
 def test_broken_files_are_not_half_believed(spark):
     good = {"protocolHash": "p", "protocolVersion": "v", "recordedAt": "2026-01-01T00:00:00Z", "source": "lock"}
     read = lambda values, problem, kind: registry.parsed(spark.createDataFrame([(json.dumps(v),) for v in values], "value string"), problem, kind).collect()

@@ -112,13 +112,13 @@ def fairness(table: DataFrame, simulations: int = 2000, seed: int = 645) -> Data
 
 
 def flipped_sums(d: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of ``d`` with signs drawn from each start on."""
-    out = np.empty(len(starts))
-    step, own = max(1, CHUNK // max(len(d), 1)), rng.states(0, len(d), 1)
+    """The sums of the rows of ``d`` with signs drawn from each start on (``starts x rows``; all rows share the signs)."""
+    out = np.empty((len(starts), len(d)))
+    step, own = max(1, CHUNK // max(d.shape[1], 1)), rng.states(0, d.shape[1], 1)
     for a in range(0, len(starts), step):
         with np.errstate(over="ignore"):
             low = rng._bits(starts[a : a + step, None] + own) < np.uint32(1 << 31)
-        out[a : a + step] = d.sum() - 2.0 * (low @ d)
+        out[a : a + step] = d.sum(1) - 2.0 * (low @ d.T)
     return out
 
 
@@ -131,22 +131,25 @@ def drawn_places(n: int, starts: np.ndarray, first: int = 0, last: int | None =
 
 
 def drawn_sums(d: np.ndarray, n: int, offset: int, starts: np.ndarray) -> np.ndarray:
-    """The sum over a bootstrap of ``n`` places of those that lie in the block ``d`` at ``offset``."""
-    out = np.zeros(len(starts))
-    whole = offset == 0 and len(d) == n
+    """The sums over a bootstrap of ``n`` places of those that lie in the block at ``offset``, for each row of ``d`` (``starts x rows``)."""
+    out = np.zeros((len(starts), len(d)))
+    whole = offset == 0 and d.shape[1] == n
     for k in range(len(starts)):
         for a in range(0, n, CHUNK):
             at = drawn_places(n, starts[k : k + 1], a, min(n, a + CHUNK))[0] - offset
-            out[k] += d[at].sum() if whole else d[at[(at >= 0) & (at < len(d))]].sum()
+            if not whole:
+                at = at[(at >= 0) & (at < d.shape[1])]
+            # how often each place is drawn, and these numbers times the rows
+            out[k] += d @ np.bincount(at, minlength=d.shape[1])
     return out
 
 
 def sign_flip_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
-    return flipped_sums(deltas, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))
+    return flipped_sums(deltas[None], rng.unit_seeds(seed, iterations or last, len(deltas), first, last))[:, 0]
 
 
 def bootstrap_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
-    return drawn_sums(deltas, len(deltas), 0, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))
+    return drawn_sums(deltas[None], len(deltas), 0, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))[:, 0]
 
 
 def bounds(iterations: int) -> tuple[int, int]:
@@ -195,22 +198,25 @@ def paired(deltas: DataFrame, key: str, seed: int, iterations: int = 10_000) ->
     importable(spark)
     kind = dict(deltas.dtypes)[key]
     series = settled(in_series(deltas, key), "series")
-    near, far = series.where(F.col("n") <= REDRAWN * BLOCK), series.where(F.col("n") > REDRAWN * BLOCK)
+    # keys with series alike draw the same values; they are drawn once
+    alike = series.groupBy("n", "offset", F.size("d").alias("m")).agg(F.collect_list(F.struct(F.col(key).alias("key"), "d")).alias("rows"))  # as many as keys
+    near, far = alike.where(F.col("n") <= REDRAWN * BLOCK), alike.where(F.col("n") > REDRAWN * BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, offset, n, d, first, last in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:3]), batch.column(3), *(c.to_pylist() for c in batch.columns[4:])):
-                starts, own = rng.unit_seeds(seed, iterations, n, first, last), d.values.to_numpy()
+            for offset, n, rows, first, last in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), *(c.to_pylist() for c in batch.columns[3:])):
+                starts, keys = rng.unit_seeds(seed, iterations, n, first, last), rows.values.field("key")
+                own = rows.values.field("d").flatten().to_numpy().reshape(len(keys), -1)
                 with np.errstate(over="ignore"):
                     flip = flipped_sums(own, starts + rng.STEP * np.uint32(offset % rng.PERIOD))
-                boot = drawn_sums(own, n, offset, starts) if n <= REDRAWN * BLOCK else np.zeros(len(starts))
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(starts), batch.column(0).type), pa.array(np.arange(first, last)), pa.array(flip), pa.array(boot)], [key, "iteration", "flip", "boot"])
+                boot = drawn_sums(own, n, offset, starts) if n <= REDRAWN * BLOCK else np.zeros(flip.shape)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.tile(np.arange(len(keys)), len(starts)))), pa.array(np.repeat(np.arange(first, last), len(keys))), pa.array(flip.ravel()), pa.array(boot.ravel())], [key, "iteration", "flip", "boot"])
 
     sums = f"{key} {kind}, iteration bigint, flip double, boot double"
-    parts = _dealt(near, F.size("d") + F.col("n"), iterations).unionByName(_dealt(far, F.size("d"), iterations))
-    done = parts.select(key, "offset", "n", "d", "first", "last").mapInArrow(run, sums)
+    parts = _dealt(near, F.col("m") + F.col("n"), iterations).unionByName(_dealt(far, F.col("m"), iterations))
+    done = parts.select("offset", "n", "rows", "first", "last").mapInArrow(run, sums)
     if not far.isEmpty():
-        done = done.unionByName(_sent(far, key, kind, seed, iterations))
+        done = done.unionByName(_sent(series.where(F.col("n") > REDRAWN * BLOCK), key, kind, seed, iterations))
     means = done.groupBy(key, "iteration").agg(F.sum("flip").alias("flip"), F.sum("boot").alias("boot")).join(series.groupBy(key).agg(F.first("n").alias("n"), F.first("total").alias("total")), key)
     means = means.select(key, (F.col("total") / F.col("n")).alias("mean_delta"), (F.col("flip") / F.col("n")).alias("flip"), (F.col("boot") / F.col("n")).alias("boot"))
     low, high = bounds(iterations)

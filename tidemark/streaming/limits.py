@@ -1,4 +1,4 @@
-"""Structured Streaming forms: the sliding-window limiter and the validated sync."""
+"""Structured Streaming forms: the sliding-window limiter, the validated sync and the ledger."""
 
 from __future__ import annotations
 
@@ -24,7 +24,13 @@ def decide(held: list[int], now: int, window_ms: int, most: int) -> tuple[bool,
 
 
 class Limiter(StatefulProcessor):
-    """State of a user is the recorded times in the window; it goes once a window has passed without an event."""
+    """Decides a user's requests in the order of their own times, whatever batches they came in.
+
+    Requests wait in the state until the watermark has passed them, so that none before them
+    can come any more; an event-time timer then decides them in order.  The recorded times go
+    once a window has passed behind the last of them.  One timer is set at a time, for whichever
+    comes first.
+    """
 
     def __init__(self, window_ms: int, most: int):
         self.window_ms, self.most = window_ms, most
@@ -32,39 +38,70 @@ class Limiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "times array<bigint>")
+        self.waiting = handle.getListState("waiting", "at bigint")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wait_until(self, at: int) -> None:
+        if self.due.exists():
+            if self.due.get()[0] == at:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.due.update((at,))
+        self.handle.registerTimer(at)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = [t.value // 1000 for b in rows for t in b["ts"]]
+        self.waiting.appendList([(t,) for t in fresh])
+        # requests of one millisecond are decided together, when the watermark is past it
+        first = min(fresh) // 1000 + 1
+        if not self.due.exists() or first < self.due.get()[0] or not self._others(len(fresh)):
+            self._wait_until(first)
+        yield pd.DataFrame(columns=["user_id", "ts", "allowed", "retry_after_ms"])
+
+    def _others(self, fresh: int) -> bool:
+        """Whether requests were waiting already, and the timer is theirs."""
+        return sum(1 for _ in self.waiting.get()) > fresh
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(r[0] for r in self.waiting.get())
+        ready, rest = [t for t in waiting if t // 1000 < now], [t for t in waiting if t // 1000 >= now]
         held = list(self.held.get()[0]) if self.held.exists() else []
         out = []
-        for ts in pd.concat(list(rows))["ts"].sort_values():
-            ok, held, wait = decide(held, ts.value // 1_000_000, self.window_ms, self.most)
-            out.append((key[0], ts, ok, wait))
-        self.held.update((held,))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.window_ms)
+        for t in ready:
+            ok, held, wait = decide(held, t // 1000, self.window_ms, self.most)
+            out.append((key[0], pd.Timestamp(t, unit="us"), ok, wait))
+        self.due.clear()
+        self.waiting.clear()
+        if rest:
+            self.waiting.appendList([(t,) for t in rest])
+            self.held.update((held,))
+            self._wait_until(rest[0] // 1000 + 1)
+        elif held and held[-1] + self.window_ms > now:
+            self.held.update((held,))
+            self._wait_until(held[-1] + self.window_ms)
+        else:
+            self.held.clear()
         yield pd.DataFrame(out, columns=["user_id", "ts", "allowed", "retry_after_ms"])
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.held.clear()
-        yield pd.DataFrame(columns=["user_id", "ts", "allowed", "retry_after_ms"])
-
     def close(self) -> None:
         pass
 
 
-def limited(events: DataFrame, window_ms: int = 10_000, most: int = 5) -> DataFrame:
+def limited(events: DataFrame, window_ms: int = 10_000, most: int = 5, late: str = "1 minute") -> DataFrame:
     """Decisions in time order for each ``user_id``: state is the few recorded times in the window.
 
-    For a stream, state lives in the state store (RocksDB's, a setting of the session) and is dropped by a timer; for a table each user's events come sorted and
-    are folded in batches, so a user's memory is the window and not the history.
+    A stream gives a table's decisions for any split of its events into batches, as long as no event comes more
+    than ``late`` behind the newest one; later ones are dropped by the watermark, as the decisions after them are out.
+    State lives in the state store (RocksDB's, a setting of the session).  For a table each user's events come sorted
+    and are folded in batches, so a user's memory is the window and not the history.
     """
     spark = events.sparkSession
     importable(spark)
     rows = events.select("user_id", "ts")
     if events.isStreaming:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        return rows.groupBy("user_id").transformWithStateInPandas(Limiter(window_ms, most), DECISION, "append", "processingTime")
+        return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Limiter(window_ms, most), DECISION, "append", "eventTime")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, held = None, []
