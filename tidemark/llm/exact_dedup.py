@@ -63,14 +63,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     best = (
         decided.where(F.col("hot") & (F.col("rank") == 1))
         .groupBy("digest", "text_sha256")
-        .agg(F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("negative"))).alias("best"), F.sum("group_size").alias("all_size"))
+        .agg(F.min_by(F.struct("n_points", "doc_id"), F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"), F.sum("group_size").alias("all_size"))
         .select("digest", "text_sha256", "best", "all_size")
     )
     joined = decided.join(F.broadcast(best), ["digest", "text_sha256"], "left")  # as many rows as hot groups
-    wins = F.col("best").isNull() | ((F.col("best.n_points") == F.col("n_points")) & F.col("doc_id").eqNullSafe(-F.col("best.negative")))
+    wins = F.col("best").isNull() | ((F.col("best.n_points") == F.col("n_points")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     return joined.select(
         "doc_id",
-        F.when(F.col("best").isNull(), F.col("keep_id")).otherwise(-F.col("best.negative")).alias("keep_id"),
+        F.when(F.col("best").isNull(), F.col("keep_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("all_size", "group_size").cast("long").alias("group_size"),
         ((F.col("rank") == 1) & wins).alias("kept"),
         "text_sha256",
