@@ -6,7 +6,9 @@ of a pattern, and the lengths of matches and of the pieces between them give the
 The patterns are written so that none backtracks over more than a run of its own
 characters, and no group repeats without bound, so very long texts cost linear time.
 
-The method: every distinct value found is a protected entity.  Entities and the terms
+The method: every distinct value found is a protected entity, and so is the part of it that
+others share (``PARTS``): a mail's domain, the network of an address, a card's issuer, the
+exchange of a phone number.  Entities and the terms
 around them (``NEAR`` words on either side of a base span) are counted over all distinct texts,
 as are the distinct texts that hold each such term.  A term discloses an entity as far as its
 pointwise mutual information with it goes; where that reaches ``ALPHA`` times the entity's
@@ -29,6 +31,8 @@ from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
+#: What stands for the recurring part of a value of each kind.
+PARTS = {"email": "domain", "ip": "network", "card": "issuer", "phone": "exchange"}
 ALPHA = 0.8
 SUPPORT = 3
 #: Elements of an array, or characters of a text, that are gone through together.
@@ -114,8 +118,18 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda m: F.concat_ws(":", F.lit(kind), m["s"].cast("string"), m["e"].cast("string")))
 
 
+def _part(kind: str, value: Column) -> Column:
+    """The domain; the first two of four numbers; the first six digits; all but the last four."""
+    return {
+        "email": lambda: F.substring_index(value, "@", -1), "ip": lambda: F.substring_index(value, ".", 2),
+        "card": lambda: F.substring(value, 1, 6), "phone": lambda: F.substr(value, F.lit(1), F.length(value) - 4),
+    }[kind]()
+
+
 def _entity_spans(kind: str) -> Column:
-    return F.transform(kind, lambda m: F.struct(F.concat(F.lit(kind + ":"), m["v"]).alias("entity"), m["s"].alias("s"), m["e"].alias("e")))
+    """Each span twice: as the value itself, and as its recurring part."""
+    entity = lambda m, name, value: F.struct(F.concat(F.lit(name + ":"), value).alias("entity"), m["s"].alias("s"), m["e"].alias("e"))
+    return F.flatten(F.transform(kind, lambda m: F.array(entity(m, kind, m["v"]), entity(m, PARTS[kind], _part(kind, m["v"])))))
 
 
 def term_of(word: Column) -> Column:
