@@ -100,7 +100,7 @@ best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, lengt
          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 patterns AS (SELECT * FROM (VALUES {_PATTERNS}) AS x(name, re, v)),
 fits AS (SELECT page_id, string_agg(name, ',' ORDER BY name) AS names, bool_or(x.v = 'block') AND NOT bool_or(x.v = 'allow') AS bad FROM parts, patterns x
-         WHERE regexp_matches(host || path, re) GROUP BY page_id)
+         WHERE regexp_matches(translate(host || path, {_CAPITALS}), re) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, coalesce(names, '') AS patterns
 FROM parts LEFT JOIN best USING (page_id) LEFT JOIN fits USING (page_id)"""
 

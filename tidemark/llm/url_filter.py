@@ -71,22 +71,25 @@ def read_rules(path: Path | str = RULES) -> list[Rule]:
     return list(map(pattern_rule, patterns))
 
 
-def regex(pattern: str) -> str:
-    """Java, Python and RE2 read it alike."""
-    out, body = "", pattern
+def regex(pattern: str, end_of_text: str = "\\z", folded: bool = True) -> str:
+    """For a place whose A-Z are lower-cased (if ``folded``); Java and RE2 read it alike, Python (until 3.13) with ``\\Z`` as the end of text.
+
+    ``$`` is none of these: Java lets it stand before a last line break.
+    """
+    out, body = "", pattern.translate(_LOWER) if folded else pattern
     if body.startswith("||"):
         out, body = "^(?:[^/]*[.])?", body[2:]
     elif body.startswith("|"):
         out, body = "^", body[1:]
     end = body.endswith("|")
     for c in body[: -1 if end else None]:
-        out += {"*": "[\\s\\S]*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or (c if re.match("[A-Za-z0-9]", c) else f"[{c}]" if c not in "^\\[]" else "\\" + c)
-    return out + ("$" if end else "")
+        out += {"*": "[\\s\\S]*", "^": f"(?:[^A-Za-z0-9_.%-]|{end_of_text})"}.get(c) or (c if re.match("[A-Za-z0-9]", c) else f"[{c}]" if c not in "^\\[]" else "\\" + c)
+    return out + (end_of_text if end else "")
 
 
 def tokens(pattern: str) -> list[str]:
     """Whole tokens of every URL that the pattern fits, lower-cased."""
-    body = pattern.lower()
+    body = pattern.translate(_LOWER)
     start, end = body.startswith("|"), body.endswith("|") and len(body) > 1
     body = body.lstrip("|")[: -1 if end else None]
     found = []
@@ -99,6 +102,14 @@ def tokens(pattern: str) -> list[str]:
     return found
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowered(place: Column) -> Column:
+    """A-Z lower-cased and nothing else, so that no letter becomes two."""
+    return F.translate(place, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     rest = F.regexp_extract(url, "^[\\s\\S]*?://([^/?#]*)", 1)
@@ -110,7 +121,7 @@ def path_of(url: Column) -> Column:
 
 
 def url_tokens(place: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(place), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(lowered(place), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def rarest_tokens(places: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
@@ -128,8 +139,13 @@ def rarest_tokens(places: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]
 KIND = "array<struct<name:string,regex:string,verdict:string,site:boolean>>"
 
 
+def _seen_by(site: Column, place: Column) -> Column:
+    """Site rules look at paths as they are, patterns at lower-cased ones."""
+    return F.when(site, place).otherwise(lowered(place))
+
+
 def _entry(r: Rule) -> dict:
-    return {**asdict(r), "regex": regex(r.pattern)}
+    return {**asdict(r), "regex": regex(r.pattern, folded=not r.site)}
 
 
 def _constant(value: list, kind: str) -> Column:
@@ -158,7 +174,7 @@ def with_candidates(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         return rows.withColumn("candidates", F.concat(_fetched(index), always))
     filed = rows.sparkSession.createDataFrame([(t, *(_entry(r)[k] for k in ("name", "regex", "verdict", "site"))) for t, rs in index.items() for r in rs], "token string, name string, regex string, verdict string, site boolean")
     each = rows.select("place", "tokens").distinct().select("place", F.explode("tokens").alias("token"))
-    fits = each.join(filed, "token").where("place rlike regex").groupBy("place").agg(F.collect_list(F.struct("name", "regex", "verdict", "site")).alias("fetched"))
+    fits = each.join(filed, "token").where(F.call_function("rlike", _seen_by(F.col("site"), F.col("place")), F.col("regex"))).groupBy("place").agg(F.collect_list(F.struct("name", "regex", "verdict", "site")).alias("fetched"))
     return rows.join(fits, "place", "left").withColumn("candidates", F.concat(F.coalesce("fetched", _constant([], KIND)), always)).drop("fetched")
 
 
@@ -167,7 +183,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("place", F.concat("host", "path"))
     found = with_candidates(rows.withColumn("tokens", url_tokens(F.col("place"))), rules)
-    fitting = F.filter("candidates", lambda c: F.call_function("rlike", F.col("place"), c["regex"]))
+    fitting = F.filter("candidates", lambda c: F.call_function("rlike", _seen_by(c["site"], F.col("place")), c["regex"]))
     judged = found.withColumn("n_candidates", F.size("candidates")).withColumn("fits", fitting)
     sites = F.array_sort(F.transform(F.filter("fits", lambda c: c["site"]), lambda c: F.struct((-F.length(c["name"])).alias("n"), (c["verdict"] != "block").alias("v"), c["name"].alias("name"), c["verdict"].alias("verdict"))))
     judged = judged.withColumn("site", F.get(sites, F.lit(0))).withColumn("patterns", F.filter("fits", lambda c: ~c["site"]))
