@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng, rules
+from ..session import importable
 
 
 def _same(a: str, b: str) -> Column:
@@ -77,10 +83,51 @@ def sample_ids(table: DataFrame, extra: int, seed: int) -> list[str]:
     return sorted(r["id"] for r in placed.where(F.col("t").isin(fixed + taken)).select("id").collect())
 
 
-def cross_check(local: DataFrame, detail: DataFrame, mirror: DataFrame | None, sample: list[str]) -> DataFrame:
-    """``id, fetch_error, mismatches`` for each sampled id; ``detail`` has ``id, date, result, error``."""
+def looked_up(ids: DataFrame, adapter: str, options: dict | None = None, batch: int = 50) -> DataFrame:
+    """``id, value, error``: raw details of each id (``id``), fetched on the executors.
+
+    ``adapter`` is the import path (``module:Class``) of a class made with the options, whose ``fetch_details(ids)`` gives
+    a raw row or an exception for each id of a batch.  What it raises itself counts for each id of the batch; nothing
+    ends the job, so that one bad page does not hide the others.
+    """
+    importable(ids.sparkSession)
+    module, _, name = adapter.partition(":")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = getattr(importlib.import_module(module), name)(options or {})
+        for b in batches:
+            for a in range(0, len(b), batch):
+                some = b["id"].iloc[a : a + batch].tolist()
+                try:
+                    got = dict(source.fetch_details(some))
+                except Exception as e:  # the adapter's own failure, told for each id
+                    got = dict.fromkeys(some, e)
+                missing = LookupError("no detail")
+                out = [(i, got.get(i, missing)) for i in some]
+                text = lambda x: f"{type(x).__name__}: {x}"
+                yield pd.DataFrame([(i, None if isinstance(x, Exception) else x if isinstance(x, str) else json.dumps(x), text(x) if isinstance(x, Exception) else None) for i, x in out], columns=["id", "value", "error"])
+
+    return ids.select("id").mapInPandas(run, "id string, value string, error string")
+
+
+def checked_details(raw: DataFrame, normalise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``id, date, result, error`` of raw details ``id, value, error``: a detail that is no valid row, or of another id, is an error, not a mismatch.
+
+    ``normalise`` may first change ``value`` (columns ``id, value, error`` in and out), for sources whose rows have another form.
+    """
+    from ..sources import jsonl
+
+    raw = normalise(raw) if normalise else raw
+    fields = jsonl.validated(raw.select(F.struct("id", "error", F.col("value").isNull().alias("none")).alias("line"), "value"))
+    problem = F.when(F.col("line.none"), "no detail").when(F.col("reason").isNotNull(), F.concat(F.lit("detail is not valid: "), "reason")).when(F.col("id") != F.col("line.id"), "detail is of another id")
+    error = F.coalesce(F.col("line.error"), problem)
+    return fields.select(F.col("line.id").alias("id"), F.when(error.isNull(), F.col("date")).alias("date"), F.when(error.isNull(), F.col("result")).alias("result"), error.alias("error"))
+
+
+def cross_check(local: DataFrame, detail: DataFrame, mirror: DataFrame | None, sample: DataFrame | list[str]) -> DataFrame:
+    """``id, fetch_error, error, mismatches`` for each sampled id; ``detail`` has ``id, date, result, error``."""
     spark = local.sparkSession
-    ids = spark.createDataFrame([(i,) for i in sample], "id string")
+    ids = sample.select("id") if isinstance(sample, DataFrame) else spark.createDataFrame([(i,) for i in sample], "id string")
     side = lambda df, name, *more: df.select("id", F.struct("date", "result").alias(name), *more)
     rows = ids.join(side(local, "l"), "id", "left").join(side(detail, "d", "error"), "id", "left")
     rows = rows.join(side(mirror, "m"), "id", "left") if mirror is not None else rows.withColumn("m", F.lit(None).cast("struct<date:date,result:array<int>>"))
@@ -89,7 +136,7 @@ def cross_check(local: DataFrame, detail: DataFrame, mirror: DataFrame | None, s
         F.when(F.col("l").isNotNull() & ~failed & ~_same("l", "d"), "detail differs"),
         F.when(F.col("l").isNotNull() & F.col("m").isNotNull() & ~_same("l", "m"), "mirror differs"),
     ), lambda x: x.isNotNull())
-    return rows.select("id", failed.alias("fetch_error"), wrong.alias("mismatches"))
+    return rows.select("id", failed.alias("fetch_error"), F.when(failed, F.coalesce("error", F.lit("no detail"))).alias("error"), wrong.alias("mismatches"))
 
 
 def cross_check_status(checks: DataFrame) -> DataFrame:

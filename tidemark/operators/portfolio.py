@@ -45,19 +45,41 @@ def portfolio(spark: SparkSession, n: int, seed: int = 645) -> DataFrame:
     return spark.createDataFrame(list(enumerate(planned_tickets(n, seed))), "ticket_id int, ticket array<int>")
 
 
-def pairs_of(tickets: DataFrame) -> DataFrame:
-    """Every two tickets with the size of their intersection; a portfolio has 30 tickets at most."""
-    a = tickets.select(F.col("ticket_id").alias("i"), F.col("ticket").alias("a"))
-    b = tickets.select(F.col("ticket_id").alias("j"), F.col("ticket").alias("b"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", rules.matches(F.col("a"), F.col("b")).alias("shared"))
+def shared_pairs(tickets: DataFrame) -> DataFrame:
+    """``portfolio, i, j, shared`` of every two tickets of a portfolio (``portfolio, ticket_id, ticket``) that share two numbers or more.
+
+    Two tickets share a pair of numbers exactly when both are filed under it; tickets that share m numbers meet
+    under m (m - 1) / 2 pairs.  A portfolio holds ``MOST`` tickets at most, so no pair's list is longer.
+    """
+    number = lambda y: F.filter("ticket", lambda x: x > y)
+    pair = F.flatten(F.transform("ticket", lambda x: F.transform(number(x), lambda y: x * 100 + y)))
+    filed = tickets.select("portfolio", "ticket_id", F.explode(pair).alias("pair")).groupBy("portfolio", "pair").agg(F.sort_array(F.collect_list("ticket_id")).alias("ids")).where(F.size("ids") > 1)
+    after = lambda i, k: F.transform(F.slice("ids", k + 2, F.size("ids")), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    each = filed.select("portfolio", F.explode(F.flatten(F.transform("ids", after))).alias("p"))
+    met = each.groupBy("portfolio", "p").agg(F.count(F.lit(1)).alias("n"))
+    return met.select("portfolio", "p.i", "p.j", ((F.lit(1) + F.sqrt(F.lit(1) + 8 * F.col("n"))) / 2).cast("int").alias("shared"))
+
+
+def validity(tickets: DataFrame) -> DataFrame:
+    """``portfolio, n, most_shared, valid`` for each portfolio of ``portfolio, ticket_id, ticket``.
+
+    Valid are 1 to ``MOST`` tickets of six distinct numbers of which no two share more than one.  More than ``MOST``
+    tickets are no portfolio and are not compared (``most_shared`` is null), so a portfolio that holds a third of all
+    tickets is only counted.
+    """
+    sizes = tickets.groupBy("portfolio").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(rules.is_valid_result(F.col("ticket"))), F.lit(False)).alias("tickets_ok"))
+    small = tickets.join(sizes.where(F.col("n") <= MOST).select("portfolio"), "portfolio", "left_semi")
+    two = shared_pairs(small).groupBy("portfolio").agg(F.max("shared").alias("two"))
+    number = small.select("portfolio", F.explode("ticket").alias("x")).groupBy("portfolio", "x").count().groupBy("portfolio").agg((F.max("count") > 1).cast("int").alias("one"))
+    met = sizes.join(two, "portfolio", "left").join(number, "portfolio", "left")
+    most = F.when(F.col("n") <= MOST, F.coalesce("two", "one", F.lit(0)))
+    return met.select("portfolio", "n", most.alias("most_shared"), (F.col("n").between(1, MOST) & F.col("tickets_ok") & F.coalesce(most <= 1, F.lit(False))).alias("valid"))
 
 
 def is_valid(tickets: DataFrame) -> DataFrame:
-    """``n, most_shared, valid``; more than 30 tickets are no portfolio and are not compared."""
-    each = tickets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(rules.is_valid_result(F.col("ticket"))), F.lit(False)).alias("tickets_ok"))
-    worst = pairs_of(tickets.limit(MOST)).agg(F.coalesce(F.max("shared"), F.lit(0)).alias("most"))
-    out = each.join(F.broadcast(worst), how="cross").withColumn("most_shared", F.when(F.col("n") <= MOST, F.col("most")))  # one row each
-    return out.select("n", "most_shared", (F.col("n").between(1, MOST) & F.col("tickets_ok") & F.coalesce(F.col("most_shared") <= 1, F.lit(False))).alias("valid"))
+    """``n, most_shared, valid`` of one portfolio; none is not valid."""
+    found = validity(tickets.withColumn("portfolio", F.lit(0))).select("n", "most_shared", "valid")
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("most_shared").alias("most_shared"), F.coalesce(F.bool_or("valid"), F.lit(False)).alias("valid"))
 
 
 def covered_pairs(tickets: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def freq_all(spark, d):
 
 @query(DRAWS + _90D + _FREQ.format(src="recent"))
 def freq_window_90d(spark, d):
-    return _rounded(draws.frequency(draws.last_days(all_draws(spark, d), "90D")))
+    return _rounded(draws.frequency(draws.last_days(settled(all_draws(spark, d), "draws"), "90D")))
 
 
 @query(DRAWS + f"SELECT round(sum((count - expected) * (count - expected) / expected), 4) AS chi_square FROM ({_FREQ.format(src='draws')})")
@@ -299,7 +299,7 @@ actions AS (SELECT ordinal, id, CASE WHEN added THEN 'added' WHEN NOT fit THEN '
 
 
 def _sides(spark, d):
-    table_ = all_draws(spark, d)
+    table_ = settled(all_draws(spark, d), "draws")
     existing = table_.where("t % 17 <> 0").select("date", "id", "result")
     altered = F.when(F.col("t") % 13 == 0, F.transform("result", lambda x: x % 45 + 1)).otherwise(F.col("result"))
     incoming = table_.select(F.col("t").alias("ordinal"), "id", "date", altered.alias("result")).unionByName(table_.where("t % 34 = 0").select((F.col("t") + 1000000000).alias("ordinal"), "id", "date", "result"))
@@ -323,13 +323,13 @@ def merge_conflicts(spark, d):
 
 @query(DRAWS + "SELECT true AS compared, count(*) FILTER (t % 17 <> 0 AND t % 19 = 0) AS only_local, count(*) FILTER (t % 17 = 0 AND t % 19 <> 0) AS only_mirror, count(*) FILTER (t % 17 <> 0 AND t % 19 <> 0) AS both FROM draws")
 def id_set_compare(spark, d):
-    table_ = all_draws(spark, d)
+    table_ = settled(all_draws(spark, d), "draws")
     return merge.compare_ids(table_.where("t % 17 <> 0"), table_.where("t % 19 <> 0"))
 
 
 @query(DRAWS + "SELECT id FROM draws WHERE t % 17 = 0 AND t > (SELECT min(t) FROM draws WHERE t % 17 <> 0) AND t < (SELECT max(t) FROM draws WHERE t % 17 <> 0)")
 def continuity_gaps(spark, d):
-    return merge.missing_ids(all_draws(spark, d).where("t % 17 <> 0"), 8)
+    return merge.missing_ids(settled(all_draws(spark, d).where("t % 17 <> 0").select("id"), "ids"), 8)
 
 
 @query(DRAWS + ", k AS (SELECT CAST(id AS BIGINT) AS n FROM draws WHERE t % 17 <> 0) SELECT min(n) AS first, max(n) AS last, max(n) - min(n) + 1 AS expected, count(DISTINCT n) AS present, max(n) - min(n) + 1 - count(DISTINCT n) AS n_missing, 0 AS n_duplicates, max(n) - min(n) + 1 = count(DISTINCT n) AS continuous FROM k")
@@ -348,7 +348,7 @@ def order_check(spark, d):
     t = F.col("t")
     moved = F.when(t % 1000 == 500, t + 1).when(t % 1000 == 501, t - 1).otherwise(t)
     rows = all_draws(spark, d).select(moved.alias("t"), F.when((t % 700 == 3) & (t > 3), "00000001").otherwise(F.col("id")).alias("id"), "date")
-    return merge.dataset_issues(rows, "2999-01-01")
+    return merge.dataset_issues(settled(rows, "draws"), "2999-01-01")
 
 
 @query(DRAWS + """SELECT id, date, '{"date":"' || CAST(date AS VARCHAR) || '","id":"' || id || '","result":[' || array_to_string(result, ',') || ']}' AS line FROM draws""")
@@ -379,13 +379,6 @@ def html_extract(spark, d):
 
 # ---- tickets and portfolios -----------------------------------------------------------------------------------------
 
-_TICKETS = DRAWS + ", tickets AS (SELECT t AS i, result AS ticket FROM draws WHERE t < 10)"
-
-
-def _tickets(spark, d):
-    return all_draws(spark, d).where("t < 10").select(F.col("t").alias("ticket_id"), F.col("result").alias("ticket"))
-
-
 @query(DRAWS + f""", e AS (SELECT t, len(list_intersect([3, 11, 19, 27, 35, 43], result)) AS k, result FROM draws)
 SELECT t, CAST(k AS INT) AS k, CASE k WHEN 6 THEN 'JACKPOT' WHEN 5 THEN 'FIRST' WHEN 4 THEN 'SECOND' WHEN 3 THEN 'THIRD' ELSE 'NONE' END AS tier,
 CASE WHEN k = 6 THEN NULL ELSE {_PAY} END AS payout, array_to_string(list_filter([3, 11, 19, 27, 35, 43], lambda x: list_contains(result, x)), ',') AS matched FROM e""")
@@ -403,9 +396,12 @@ def ticket_pairs_covered(spark, d):
     return one(False).unionByName(one(True))
 
 
-@query(_TICKETS + "SELECT (SELECT count(*) FROM tickets) AS n, CAST(max(s) AS INT) AS most_shared, max(s) <= 1 AS valid FROM (SELECT len(list_intersect(a.ticket, b.ticket)) AS s FROM tickets a JOIN tickets b ON a.i < b.i)")
+@query(DRAWS + """, tickets AS (SELECT t // 30 AS portfolio, t AS i, result AS ticket FROM draws), sizes AS (SELECT portfolio, count(*) AS n FROM tickets GROUP BY 1),
+shared AS (SELECT a.portfolio, max(len(list_intersect(a.ticket, b.ticket))) AS s FROM tickets a JOIN tickets b ON a.portfolio = b.portfolio AND a.i < b.i GROUP BY 1)
+SELECT portfolio, n, CAST(coalesce(s, 0) AS INT) AS most_shared, coalesce(s, 0) <= 1 AS valid FROM sizes LEFT JOIN shared USING (portfolio)""")
 def portfolio_valid(spark, d):
-    return portfolio.is_valid(_tickets(spark, d))
+    """All derived tickets, thirty to a portfolio."""
+    return portfolio.validity(all_draws(spark, d).select(F.expr("t div 30").alias("portfolio"), F.col("t").alias("ticket_id"), F.col("result").alias("ticket")))
 
 
 def _literal(n: int) -> str:

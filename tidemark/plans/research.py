@@ -289,7 +289,7 @@ def _checked(spark, d):
     t = F.col("t")
     detail = rows.where("t % 11 <> 0").select("id", "date", F.when(t % 3 == 0, other).otherwise(F.col("result")).alias("result"), F.when(t % 5 == 0, "timeout").alias("error"))
     mirror = rows.where("t % 2 = 0").select("id", "date", F.when(t % 7 == 0, other).otherwise(F.col("result")).alias("result"))
-    return merge.cross_check(rows.select("id", "date", "result"), detail, mirror, [r["id"] for r in rows.select("id").collect()])
+    return merge.cross_check(rows.select("id", "date", "result"), detail, mirror, rows.select("id"))
 
 
 @query(_SAMPLE + " SELECT id, fetch_error, array_to_string(m, ',') AS mismatches FROM c")
@@ -302,16 +302,27 @@ def cross_check_status(spark, d):
     return merge.cross_check_status(_checked(spark, d))
 
 
+@query()
+def cross_check_sample(spark, d):
+    """First, last, middle and five seeded draws of all, each looked up in raw form: checked, and compared with what is held."""
+    rows = settled(all_draws(spark, d).select("t", "id", "date", "result"), "draws")
+    t = F.col("t")
+    good = hashing.draw_json(F.col("date").cast("string"), F.col("id"), F.col("result"))
+    raw = F.when(t % 3 == 0, hashing.draw_json(F.col("date").cast("string"), F.col("id"), F.slice("result", 1, 5))).when(t % 5 != 0, good)
+    details = merge.checked_details(rows.select("id", raw.alias("value"), F.when(t % 5 == 0, "timeout").alias("error")))
+    return merge.cross_check(rows, details, None, merge.sample_ids(rows, 5, 645)).select("id", "fetch_error", "error", F.array_join("mismatches", ",").alias("mismatches"))
+
+
 # ---- predictions ----------------------------------------------------------------------------------------------------
 
 _ENTRIES = DRAWS + """, e AS (SELECT id AS draw_id, CASE t % 3 WHEN 0 THEN 'HOT' WHEN 1 THEN 'COLD' ELSE 'BALANCED' END AS strategy_id, lpad(CAST(t * 7919 % 100003 AS VARCHAR), 6, '0') AS frozen_at, [3, 11, 19, 27, 35, 43] AS prediction,
-CASE WHEN t % 4 = 0 THEN [1, 2, 3, 4, 5, 6] END AS result, CASE WHEN t % 4 = 0 THEN 1 END AS matches, CASE WHEN t % 4 = 0 THEN 'NONE' END AS tier FROM draws WHERE t < 1000)"""
+CASE WHEN t % 4 = 0 THEN [1, 2, 3, 4, 5, 6] END AS result, CASE WHEN t % 4 = 0 THEN 1 END AS matches, CASE WHEN t % 4 = 0 THEN 'NONE' END AS tier FROM draws)"""
 
 
 def _entries(spark, d):
     t = F.col("t")
     old = t % 4 == 0
-    return all_draws(spark, d).where(t < 1000).select(
+    return all_draws(spark, d).select(
         F.col("id").alias("draw_id"), F.when(t % 3 == 0, "HOT").when(t % 3 == 1, "COLD").otherwise("BALANCED").alias("strategy_id"), F.lpad((t * 7919 % 100003).cast("string"), 6, "0").alias("frozen_at"),
         F.array(*map(F.lit, (3, 11, 19, 27, 35, 43))).alias("prediction"), F.when(old, F.array(*map(F.lit, range(1, 7)))).alias("result"), F.when(old, 1).alias("matches"), F.when(old, "NONE").alias("tier"),
     )
@@ -336,9 +347,9 @@ def prospective_entries(spark, d):
     return prospective.summary_entries(_entries(spark, d))
 
 
-@query(_ENTRIES + " SELECT id AS draw_id, s AS strategy_id FROM (SELECT id, unnest(['HOT', 'COLD', 'BALANCED']) AS s FROM draws WHERE t < 1500) WHERE (id, s) NOT IN (SELECT draw_id, strategy_id FROM e)")
+@query(_ENTRIES + " SELECT id AS draw_id, s AS strategy_id FROM (SELECT id, unnest(['HOT', 'COLD', 'BALANCED']) AS s FROM draws) WHERE (id, s) NOT IN (SELECT draw_id, strategy_id FROM e)")
 def prospective_unfrozen(spark, d):
-    c = all_draws(spark, d).where("t < 1500").select(F.col("id").alias("draw_id"), F.explode(F.array(*map(F.lit, walkforward.RULES))).alias("strategy_id"))
+    c = all_draws(spark, d).select(F.col("id").alias("draw_id"), F.explode(F.array(*map(F.lit, walkforward.RULES))).alias("strategy_id"))
     return prospective.unfrozen(c, _entries(spark, d))
 
 

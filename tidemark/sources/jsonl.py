@@ -20,11 +20,15 @@ def canonical_newlines(text: Column) -> Column:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line, value`` of non-blank lines; Spark splits at CR LF and LF.
 
-    ``line`` orders the lines of one file; files are numbered by name.
+    ``line`` numbers the lines of one file from 0.  A large file is read in splits by several tasks: lines are
+    counted a split, running sums of these counts say where each split begins, and inside a split, whose lines
+    are read one after the other, numbers just go on.  No line is moved for its number.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("value"))
-    order = Window.partitionBy("file").orderBy("block", "n")
-    return lines.withColumn("line", F.row_number().over(order) - 1).where("value <> ''").select("file", "line", "value")
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    starts = splits.select("file", "block", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.where("value <> ''").join(starts, ["file", "block"]).select("file", (F.col("n") + F.col("shift")).alias("line"), "value")
 
 
 def validated(lines: DataFrame) -> DataFrame:
