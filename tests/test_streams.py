@@ -147,3 +147,47 @@ def test_rows_that_move_while_they_are_read():
         parts = reader.partitions({"id": "00003", "pages": 0}, end)
         got = sorted(int(r[1]) for p in parts for r in reader.read(p))
         assert got == list(range(4, int(end["id"]) + 1))
+
+
+# ---- ledger ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ledger_state_after_each_batch(spark, tmp_path, seed):
+    """Lines of few entries in any order and split: full lines that come again, scores before, behind and without one, broken lines."""
+    import os
+
+    from tidemark.operators import provenance
+    from tidemark.streaming import ledger
+
+    r = random.Random(seed)
+    entry = {"drawId": "1", "frozenAt": "2026-01-01T00:00:00Z", "protocolHash": "p", "datasetHashAtFreeze": "d", "strategyId": "HOT", "prediction": [1, 2, 3, 4, 5, 6], "result": None, "matches": None, "tier": None}
+    lines = []
+    for n in range(120):
+        e = f"e{r.randrange(9)}"
+        kind = r.choice(["FROZEN", "SCORED", "SCORED", "LEGACY", "OTHER", "{"])
+        if kind == "FROZEN":
+            value = {**entry, "kind": kind, "entryId": e}
+        elif kind == "SCORED":
+            value = {"kind": kind, "entryId": e, "drawId": "1", "strategyId": "HOT", "result": [1, 2, 3, 4, 5, n % 39 + 6], "matches": n % 7, "tier": "NONE"}
+        elif kind == "LEGACY":
+            scored = r.random() < 0.3
+            value = {**entry, "drawId": e, "result": [7, 8, 9, 10, 11, 12] if scored else None, "matches": 0 if scored else None, "tier": "NONE" if scored else None}
+        else:
+            value = {"kind": kind}
+        lines.append((n, "{" if kind == "{" else json.dumps(value)))
+    arrived = sorted(lines, key=lambda x: x[0] + r.randrange(40)) if seed == 1 else r.sample(lines, len(lines))
+    source, table = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    key = lambda row: (row["entry_id"], row["first_line"], row["base_line"], row["result"], row["matches"], row["tier"], row["status"])
+    for i in range(4):
+        part = arrived[: (i + 1) * 30]
+        (source / f"{i}.json").write_text("\n".join(json.dumps({"line": n, "value": v}) for n, v in part[i * 30 :]))
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+        stream = spark.readStream.schema("line bigint, value string").json(str(source))
+        ledger.keep_state(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+        want = provenance.fold(provenance.parse_ledger(spark.createDataFrame(part, "line bigint, value string")))
+        got = ledger.state(spark, table)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    ledger.compacted(spark, table, str(tmp_path / "other"))
+    assert sorted(map(key, ledger.state(spark, str(tmp_path / "other")).collect())) == sorted(map(key, got.collect()))
