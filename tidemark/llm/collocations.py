@@ -12,9 +12,13 @@ after which counting began, and the number of words.  When a phrase reached the
 threshold is looked up in a table of one byte a slot (the step).  Its size follows the number of
 words and is bounded by ``MOST_SLOTS``, and a step once entered stays.  A phrase that shares a
 slot with another may be counted from an earlier step on, or in vain, but always for one full
-cycle, so collisions cost time only; beyond the bound more phrases are counted in vain.  When all
-cycles are complete, one more scan puts the words to the frequent hashes and confirms their
-counts by the words themselves, so equal hashes cannot change a result.
+cycle, so collisions cost time only; beyond the bound more phrases are counted in vain.
+
+When all cycles are complete, words are put to the frequent keys: growing parts of the corpus are
+looked through for those that have none yet, so that few occurrences of each are handed on.  At
+last the phrases of the result and their parts are counted once more by their words, in one scan,
+and these counts are the ones returned.  Two phrases of one key could thus only change which
+phrases are chosen (about one in 10^16 pairs of phrases has one key).
 
 ``score`` is the lowest, over the cuts of a phrase in two, of 1000 * a * n / (l * r), in decimals
 of 38 digits: exact up to counts of 10^12 words.  A phrase is dropped if a phrase one word longer
@@ -47,7 +51,12 @@ SALTS = 64
 #: A key's lowest bits: three for the number of words, eight for the step after which counting began.
 LENGTH_BITS, CODE_BITS = 3, 11
 COUNTS = "key bigint, c bigint"
-NAMES = "lang string, k int, phrase string, c bigint"
+NAMES = "lang string, k int, phrase string, key bigint, c bigint"
+#: Parts of the corpus, of ``PARTS[-1]``, that are looked through for words.
+PARTS = (0, 1, 2, 4, 8, 16)
+
+#: Of a cut, in whole numbers.
+SCORE = "(cast(a as decimal(20, 0)) * 1000 * cast(n as decimal(14, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -128,8 +137,11 @@ class Gathered:
         self.size = 0
 
     def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
+        self.put(*np.unique(keys, return_counts=True))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
 
     def merge(self) -> None:
         keys, counts = (np.concatenate(x) for x in zip(*self.parts))
@@ -153,6 +165,8 @@ def count_block(words: Words, lang: np.ndarray, seeds: np.ndarray, steps: np.nda
         if k == 1:
             if step <= shards:
                 gathered.add(_keys(g, 0, k))
+                used = np.bincount(lang, minlength=len(seeds))
+                gathered.put(_keys(seeds[used > 0], 0, 0), used[used > 0])  # all words of a language
         elif steps is not None:
             reached = _slots(before, steps).astype(np.int32)
             begun = np.maximum(reached[:-1], reached[1:])
@@ -162,6 +176,21 @@ def count_block(words: Words, lang: np.ndarray, seeds: np.ndarray, steps: np.nda
         before = g
 
 
+def _seed(lang: str) -> int:
+    return int.from_bytes(hashlib.md5(lang.encode()).digest()[:8], "little")
+
+
+def _slot_values(rows: DataFrame, size: int) -> np.ndarray:
+    """Distinct slots of rows' keys: at most as many as a table has."""
+    return rows.select(F.shiftright("key", CODE_BITS).bitwiseAND(size - 1).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+
+
+def _marked(slots: np.ndarray, size: int) -> np.ndarray:
+    table = np.zeros(size, np.uint8)
+    table[slots] = 1
+    return table
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, np.ndarray, list[str]]]:
     """Words of ``lang, text`` rows with the number of each word's language, the languages' hashes and their names so far."""
     langs, known, seeds = [], {}, np.zeros(0, np.uint64)
@@ -170,7 +199,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarr
         for x in sorted(set(of_row) - known.keys()):
             known[x] = len(langs)
             langs.append(x)
-            seeds = np.append(seeds, np.frombuffer(hashlib.md5(x.encode()).digest()[:8], np.uint64))
+            seeds = np.append(seeds, np.uint64(_seed(x)))
         numbers = np.array([known[x] for x in of_row], np.int32)
         for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
             if len(raw):
@@ -198,29 +227,28 @@ def scan(texts: DataFrame, step: int, steps: np.ndarray | None, shards: int, lon
     return texts.select("lang", "text").mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def named(texts: DataFrame, frequent_slots: np.ndarray, longest: int) -> DataFrame:
-    """``lang, k, phrase, f``: phrases by their words, where they and their subphrases are in slots of frequent ones; ``k = 0`` counts all words."""
+def named(texts: DataFrame, slots: np.ndarray, longest: int) -> DataFrame:
+    """``lang, k, phrase, key, f`` of phrases in certain slots (``key`` without its step); ``k = 0`` counts all words."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_slots)  # MOST_SLOTS bytes at most
+    shared.prepare_python(spark)
+    sent = spark.sparkContext.broadcast(slots)  # MOST_SLOTS bytes at most
 
     def batch(counts: dict) -> pa.RecordBatch:
-        lang, k, phrase = zip(*counts)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array([p.decode() for p in phrase]), pa.array(list(counts.values()), pa.int64())], ["lang", "k", "phrase", "c"])
+        lang, k, phrase, key = zip(*counts)
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array([p.decode() for p in phrase]), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["lang", "k", "phrase", "key", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int, bytes], int] = {}
+        counts: dict[tuple[str, int, bytes, int], int] = {}
         for words, lang, seeds, langs in _blocks(batches):
             for i, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
-                counts[langs[i], 0, b""] = counts.get((langs[i], 0, b""), 0) + n
-            alive = np.ones(words.size, bool)
+                counts[langs[i], 0, b"", 0] = counts.get((langs[i], 0, b"", 0), 0) + n
             low = words.low.tobytes()
             for k, g in enumerate(phrase_hashes(words, lang, seeds, longest), 1):
-                alive = (alive if k == 1 else alive[:-1] & alive[1:]) & (_slots(g, sent.value) > 0) & (words.left[: len(g)] >= k)
-                at = np.flatnonzero(alive)
-                _, first, n = np.unique(g[at], return_index=True, return_counts=True)
+                at = np.flatnonzero((_slots(g, sent.value) > 0) & (words.left[: len(g)] >= k))
+                keys, first, n = np.unique(_keys(g[at], 0, k), return_index=True, return_counts=True)
                 at = at[first]
-                for x, s, e, c in zip(lang[at].tolist(), words.start[at].tolist(), words.end[at + k - 1].tolist(), n.tolist()):
-                    key = (langs[x], k, low[s:e])
+                for x, s, e, key, c in zip(lang[at].tolist(), words.start[at].tolist(), words.end[at + k - 1].tolist(), keys.tolist(), n.tolist()):
+                    key = (langs[x], k, low[s:e], key)
                     counts[key] = counts.get(key, 0) + c
             if len(counts) > GATHER_NAMES:
                 yield batch(counts)
@@ -228,7 +256,18 @@ def named(texts: DataFrame, frequent_slots: np.ndarray, longest: int) -> DataFra
         if counts:
             yield batch(counts)
 
-    return texts.select("lang", "text").mapInArrow(run, NAMES).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+    return texts.select("lang", "text").mapInArrow(run, NAMES).groupBy("lang", "k", "phrase", "key").agg(F.sum("c").alias("f"))
+
+
+def language_keys(langs: DataFrame) -> DataFrame:
+    """``lang, key``: what the words of a language are counted under."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seeds = np.array([_seed(x) for x in b.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_keys(seeds, 0, 0).view(np.int64))], ["lang", "key"])
+
+    return langs.mapInArrow(run, "lang string, key bigint")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -238,42 +277,59 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """``lang, k, phrase, f`` of phrases with ``f >= support``, and ``lang, n``."""
-    spark = docs.sparkSession
-    text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), shared.text_or_empty().alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    path = shared.new_path(spark, "phrase-shards")
-    text.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    texts = spark.read.schema(text.schema).parquet(path)
+class Corpus:
+    """The texts in shards, with the tables that go when the result is there."""
+
+    def __init__(self, docs: DataFrame, shards: int):
+        spark = docs.sparkSession
+        rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), shared.text_or_empty().alias("text"), F.monotonically_increasing_id().alias("n"))
+        rows = rows.select("lang", "text", F.expr(f"(n div {shards}) % {PARTS[-1]}").cast("int").alias("part"), (F.col("n") % shards).cast("int").alias("shard"))
+        path = shared.new_path(spark, "phrase-shards")
+        rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+        self.texts, self.size = spark.read.schema(rows.schema).parquet(path), LEAST_SLOTS
+
+
+def frequent(corpus: Corpus, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """``lang, k, phrase, key, f`` of phrases with ``f >= support``, and ``lang, n``."""
+    texts = corpus.texts
     counted: dict[int, DataFrame] = {}
-    steps, ends, step, last, size = None, None, 0, 0, LEAST_SLOTS
+    done: list[DataFrame] = []
+    steps, step, last = None, 0, 0
     k, begun = F.col("key").bitwiseAND((1 << LENGTH_BITS) - 1), F.shiftright("key", LENGTH_BITS).bitwiseAND((1 << CODE_BITS - LENGTH_BITS) - 1)
     while step < shards or step < last + shards:
         step += 1
         counted[step] = shared.materialise(scan(texts.where(F.col("shard") == (step - 1) % shards), step, steps, shards, longest), f"phrases-{step}")
         if step == 1:
-            words = counted[1].agg(F.sum("c")).first()[0] or 0
-            size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (words * shards // 16).bit_length()))
-            steps, ends = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+            words = counted[1].where(k == 0).agg(F.sum("c")).first()[0] or 0
+            corpus.size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (words * shards // 16).bit_length()))
+            steps = np.zeros(corpus.size, np.uint8)
         # a phrase's steps lie within one cycle: what it had before this step is in the last tables, and what had its cycle is left out
         window = _union([t.where(begun >= step - shards).withColumn("now", F.lit(s == step)) for s, t in counted.items()])
         sums = window.groupBy("key").agg(F.sum("c").alias("f"), F.sum(F.when(~F.col("now"), F.col("c")).otherwise(0)).alias("before"))
-        full = shared.materialise(sums.where(F.col("f") >= support), "phrases-reached")
-        # distinct slots: at most as many as the tables have
-        slots = lambda rows: rows.select(F.shiftright("key", CODE_BITS).bitwiseAND(size - 1).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()  # noqa: E731, B023
-        new = slots(full.where((F.col("before") < support) & (k < longest)))
+        full = shared.materialise(sums.where((F.col("f") >= support) | (k == 0)), "phrases-reached")
+        new = _slot_values(full.where((F.col("f") >= support) & (F.col("before") < support) & (k > 0) & (k < longest)), corpus.size)
         if len(new):
             steps = steps.copy()
             steps[new[steps[new] == 0]] = step
             last = step
-        ends[slots(full.where(begun == step - shards))] = 1
-        shared.drop_table(full)
+        # keys of complete cycles, without their step
+        done.append(full.where(begun == step - shards).select(F.col("key").bitwiseAND(~((1 << CODE_BITS) - (1 << LENGTH_BITS))).alias("key"), "f"))
         if step >= shards:
             shared.drop_table(counted.pop(step - shards + 1))
-    every = shared.materialise(named(texts, ends, longest).where((F.col("k") == 0) | (F.col("f") >= support)), "frequent-phrases")
-    for t in (*counted.values(), texts):
+    for t in counted.values():
         shared.drop_table(t)
-    return every.where("k > 0"), every.where("k = 0").select("lang", F.col("f").alias("n"))
+    keys = shared.materialise(_union(done), "frequent-keys")
+    totals = language_keys(texts.select("lang").distinct()).join(keys.where(k == 0), "key").select("lang", F.col("f").alias("n"))
+    found, wanted = [], keys.where(k > 0)
+    for a, b in zip(PARTS, PARTS[1:]):
+        names = named(texts.where((F.col("part") >= a) & (F.col("part") < b)), _marked(_slot_values(wanted, corpus.size), corpus.size), longest)
+        # a word for each key, the first where two share one
+        names = names.where("k > 0").groupBy("key").agg(F.min(F.struct("lang", "k", "phrase")).alias("p"))
+        found.append(shared.materialise(names.join(wanted, "key").select("p.*", "key", "f"), f"phrase-names-{b}"))
+        wanted = shared.materialise(wanted.join(found[-1].select("key"), "key", "left_anti"), "phrases-unnamed")
+        if wanted.isEmpty():
+            break
+    return _union(found), shared.materialise(totals, "phrase-words")
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
@@ -281,21 +337,36 @@ def _part(first: Column | int, size: Column | int) -> Column:
     return F.array_join(F.slice("words", column(first), column(size)), " ")
 
 
-def mine(docs: DataFrame, top: int = TOP, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
-    found, totals = frequent(docs, support, longest, shards)
+def best(found: DataFrame, totals: DataFrame, top: int) -> DataFrame:
+    """The ``top`` phrases of each language, with the ``cut`` that counts."""
     longer = found.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     cuts = longer.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select("lang", "phrase", "a", "cut", _part(1, F.col("cut")).alias("left"), _part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
     counts = lambda part, name: found.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
     cuts = cuts.join(counts("left", "l"), ["lang", "left"]).join(counts("right", "r"), ["lang", "right"]).join(totals, "lang")
-    score = F.expr("(cast(a as decimal(20, 0)) * 1000 * cast(n as decimal(14, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
-    best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best"))
+    lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "cut", "left", "right", "l", "r")).alias("best"))
     inside = longer.where("k > 2").select("lang", F.explode(F.array(_part(1, F.col("k") - 1), _part(2, F.col("k") - 1))).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = best.join(inside, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer") < F.col("a"), F.lit(True)))
-    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
-    # the best of each part of a language, then the best of these: no task has a language's phrases
+    kept = lowest.join(inside, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer") < F.col("a"), F.lit(True)))
+    return ranked(kept.select("lang", "phrase", "a", "n", "best.*"), top)
+
+
+def ranked(rows: DataFrame, top: int) -> DataFrame:
+    """The best of each part of a language, then the best of these: no task has a language's phrases."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= top)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).drop("salt", "nth")
+
+
+def mine(docs: DataFrame, top: int = TOP, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
+    """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
+    corpus = Corpus(docs, shards)
+    found, totals = frequent(corpus, support, longest, shards)
+    chosen = shared.materialise(best(found, totals, top).select("lang", "phrase", "left", "right", "n"), "phrases-chosen")
+    # the phrases of the result and their parts, counted by their words
+    parts = chosen.select("lang", F.explode(F.array("phrase", "left", "right")).alias("phrase")).distinct()
+    keys = found.join(parts, ["lang", "phrase"], "left_semi").select("key")
+    exact = shared.materialise(named(corpus.texts, _marked(_slot_values(keys, corpus.size), corpus.size), longest).where("k > 0").join(parts, ["lang", "phrase"], "left_semi"), "phrase-counts")
+    shared.drop_table(corpus.texts)
+    counts = lambda part, name: exact.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
+    rows = chosen.join(counts("phrase", "a"), ["lang", "phrase"]).join(counts("left", "l"), ["lang", "left"]).join(counts("right", "r"), ["lang", "right"])
+    return ranked(rows.withColumn("score", F.expr(SCORE)), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
