@@ -191,3 +191,43 @@ def test_ledger_state_after_each_batch(spark, tmp_path, seed):
         assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     ledger.compacted(spark, table, str(tmp_path / "other"))
     assert sorted(map(key, ledger.state(spark, str(tmp_path / "other")).collect())) == sorted(map(key, got.collect()))
+
+
+# ---- mirror ----------------------------------------------------------------------------------------------------------
+
+
+def test_a_mirror_makes_a_batch_for_each_version(spark, tmp_path):
+    from tidemark.sources import jsonl, mirror
+
+    spark.dataSource.register(mirror.MirrorLines)
+    text, out = tmp_path / "mirror.jsonl", str(tmp_path / "out")
+    put_rows = lambda n: text.write_text("\n".join(json.dumps(draw(i)) for i in range(1, n + 1)) + "\n")
+    options = {"adapter": "tidemark.sources.mirror:FileMirror", "path": str(text)}
+
+    def run():
+        q = spark.readStream.format("mirror_lines").options(**options).load().writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = spark.read.schema(mirror.LINES).json(out)
+        return sorted(rows.distinct().groupBy("version").count().select("count").toPandas()["count"].tolist())
+
+    put_rows(120)
+    assert run() == [120]
+    # unchanged is not empty, and makes no batch
+    assert run() == [120]
+    put_rows(121)
+    assert run() == [120, 121]
+    text.write_text("<html>moved</html>\n" * 500)
+    with pytest.raises(Exception, match="has 0 rows, fewer than 100"):
+        run()
+    put_rows(99)
+    with pytest.raises(Exception, match="has 99 rows"):
+        run()
+    rows = spark.read.format("mirror_lines").options(**options)
+    with pytest.raises(Exception, match="has 99 rows"):
+        rows.load().collect()
+    put_rows(130)
+    assert run() == [120, 121, 130]
+    put_rows(100)
+    found = jsonl.validated(rows.load().select("line", "value"))
+    assert found.where("reason is null").count() == 100
+    assert rows.option("known", mirror.FileMirror(options).version()).load().count() == 0
