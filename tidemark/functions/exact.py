@@ -73,9 +73,9 @@ def at_least_one(tickets: Column) -> Column:
     return 1 - F.pow(F.lit(1 - 1 / TOTAL), tickets)
 
 
-def frontier(spark: SparkSession, budgets: list[int], most: int = 30) -> DataFrame:
-    """For each budget: the largest affordable pool and the same money in separate tickets."""
-    wanted = spark.createDataFrame([(b,) for b in budgets], "budget bigint")
+def frontier(spark: SparkSession, budgets: list[int] | DataFrame, most: int = 30) -> DataFrame:
+    """For each budget (numbers, or a column ``budget``): the largest affordable pool and the same money in separate tickets."""
+    wanted = budgets.select("budget") if isinstance(budgets, DataFrame) else spark.createDataFrame([(b,) for b in budgets], "budget bigint")
     table = bao(spark)
     best = wanted.join(F.broadcast(table), F.col("cost") <= F.col("budget")).groupBy("budget").agg(F.max(F.struct("pool", "tickets", "cost", "jackpot_probability")).alias("b"))  # 40 rows broadcast
     single = _at_least(spark)
@@ -98,12 +98,13 @@ def portfolio_odds(tickets: Column) -> Column:
     return F.struct((tickets * rules.TICKET_PRICE).cast("long").alias("cost"), (tickets * p[4]).alias("p_at_least_4"), (tickets * p[5]).alias("p_at_least_5"), (tickets * p[6]).alias("p_jackpot"))
 
 
-def exact_benchmark(spark: SparkSession, counts: list[int]) -> DataFrame:
+def exact_benchmark(spark: SparkSession, counts: list[int] | DataFrame) -> DataFrame:
     """Disjoint-event tickets against as many independent ones, with lifts, for four or more matches."""
     p = _at_least()[4]
     n = F.col("tickets")
     planned, random = n * p, 1 - F.pow(F.lit(1 - p), n)
-    return spark.createDataFrame([(c,) for c in counts], "tickets bigint").select(n, planned.alias("planned"), random.alias("random"), (planned - random).alias("absolute_lift"), ((planned - random) / random).alias("relative_lift"))
+    rows = counts.select("tickets") if isinstance(counts, DataFrame) else spark.createDataFrame([(c,) for c in counts], "tickets bigint")
+    return rows.select(n, planned.alias("planned"), random.alias("random"), (planned - random).alias("absolute_lift"), ((planned - random) / random).alias("relative_lift"))
 
 
 def profit_ledger(losses: Column, payout: Column, price: int = rules.TICKET_PRICE, target: int = 20_000) -> Column:

@@ -89,3 +89,13 @@ def mcnemar_p(b: Column, c: Column, least: int = 6) -> Column:
         return pd.Series([mcnemar(int(x), int(y), least) for x, y in zip(b, c)], dtype="float64")
 
     return p(b, c)
+
+
+def quantile(n: Column, p: float, q: Column) -> Column:
+    importable()
+
+    @F.pandas_udf("bigint")
+    def least(n: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([binomial_quantile(int(a), p, float(b)) for a, b in zip(n, q)])
+
+    return least(n, q)

@@ -82,6 +82,12 @@ def null_calibration(n: int) -> dict:
     return {"n": n, "expected_hits": n * P0, "p_zero": numeric.binomial_pmf(n, 0, P0), "low": numeric.binomial_quantile(n, P0, 0.025), "high": numeric.binomial_quantile(n, P0, 0.975), "underpowered": n * P0 < 5}
 
 
+def calibrated(rows: DataFrame) -> DataFrame:
+    """``rows`` (``n``: draws) with what chance alone gives: ``expected_hits, p_zero, low, high, underpowered``."""
+    n = F.col("n")
+    return rows.select("*", (n * P0).alias("expected_hits"), F.pow(F.lit(1 - P0), n).alias("p_zero"), numeric.quantile(n, P0, F.lit(0.025)).alias("low"), numeric.quantile(n, P0, F.lit(0.975)).alias("high"), (n * P0 < 5).alias("underpowered"))
+
+
 def audit(table: DataFrame, lookback: int = 90, seed: int = 645, alpha: float = 0.05, iterations: int = 10_000) -> DataFrame:
     """One row a rule: exact tail and interval, Holm over the four history rules, paired tests, halves and a verdict."""
     seen = settled(observations(table, lookback, seed), "pool18")

@@ -418,9 +418,14 @@ def portfolio_scores(spark, d):
     return portfolio.scores(all_draws(spark, d), portfolio.planned_tickets(10)).withColumn("cost", F.col("cost").cast("int"))
 
 
-@query()
+@query(DRAWS + f", p AS (SELECT * FROM (VALUES {_literal(30)}) AS v(i, ticket)) SELECT i AS ticket_id, array_to_string(ticket, ',') AS ticket, count(*) FILTER (len(list_intersect(ticket, result)) >= 3) AS draws_met FROM p, draws GROUP BY 1, 2")
 def portfolio_plan(spark, d):
-    return portfolio.portfolio(spark, 30).select("ticket_id", text("ticket").alias("ticket"))
+    """The planned tickets, with the derived draws that each meets in three numbers or more."""
+    plan = portfolio.planned_tickets(30)
+    hit = [F.count_if(rules.matches(F.array(*map(F.lit, t)), F.col("result")) >= 3).alias(f"t{i}") for i, t in enumerate(plan)]
+    met = all_draws(spark, d).agg(*hit)  # one row: every draw is looked at once
+    each = met.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ticket_id"), F.col(f"t{i}").alias("draws_met")) for i in range(30)])).alias("x")).select("x.*")
+    return portfolio.portfolio(spark, 30).select("ticket_id", text("ticket").alias("ticket")).join(each, "ticket_id")
 
 
 # ---- exact tables ---------------------------------------------------------------------------------------------------
@@ -428,73 +433,120 @@ def portfolio_plan(spark, d):
 _FACT = "WITH f AS (SELECT CAST(n AS BIGINT) AS n, CASE WHEN n = 0 THEN 1 ELSE product(x) END AS v FROM (SELECT unnest(range(0, 46)) AS n), LATERAL (SELECT unnest(range(1, greatest(n, 1) + 1)) AS x) GROUP BY n), c AS (SELECT a.n, b.n AS k, CAST(round(a.v / (b.v * d.v)) AS BIGINT) AS v FROM f a, f b, f d WHERE d.n = a.n - b.n)"
 
 
-@query(_FACT + " SELECT CAST(a.k AS INT) AS matches, a.v * b.v AS combinations, round(a.v * b.v / 8145060.0, 12) AS probability, CASE a.k WHEN 6 THEN NULL WHEN 5 THEN 10000000 WHEN 4 THEN 300000 WHEN 3 THEN 30000 ELSE 0 END AS payout FROM c a JOIN c b ON b.n = 39 AND b.k = 6 - a.k WHERE a.n = 6")
+_DRAWN = DRAWS + ", " + _FACT[5:]
+_TICKET = (3, 11, 19, 27, 35, 43)
+
+
+def _observed(spark, d, k, name: str) -> DataFrame:
+    """Derived draws by a number that each has."""
+    return all_draws(spark, d).groupBy(k.cast("int").alias(name)).agg(F.count(F.lit(1)).alias("observed"))
+
+
+def _with_observed(rows: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+    return rows.join(F.broadcast(seen), name, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))  # seven rows
+
+
+_MET = f"(SELECT len(list_intersect({list(_TICKET)}, result)) AS k, count(*) AS c FROM draws GROUP BY 1)"
+_IN18 = "(SELECT len(list_filter(result, lambda x: x <= 18)) AS k, count(*) AS c FROM draws GROUP BY 1)"
+
+
+@query(_DRAWN + f" SELECT CAST(a.k AS INT) AS matches, a.v * b.v AS combinations, round(a.v * b.v / 8145060.0, 12) AS probability, CASE a.k WHEN 6 THEN NULL WHEN 5 THEN 10000000 WHEN 4 THEN 300000 WHEN 3 THEN 30000 ELSE 0 END AS payout, coalesce(o.c, 0) AS observed FROM c a JOIN c b ON b.n = 39 AND b.k = 6 - a.k LEFT JOIN {_MET} o ON o.k = a.k WHERE a.n = 6")
 def exact_outcomes(spark, d):
-    return exact.outcomes(spark).withColumn("probability", F.round("probability", 12)).withColumn("payout", F.col("payout").cast("int"))
+    """Chances of one ticket, and how many derived draws it met so."""
+    rows = exact.outcomes(spark).withColumn("probability", F.round("probability", 12)).withColumn("payout", F.col("payout").cast("int"))
+    return _with_observed(rows, _observed(spark, d, rules.matches(F.array(*map(F.lit, _TICKET)), F.col("result")), "matches"), "matches")
+
+
+def _in_18():
+    return F.size(F.filter("result", lambda x: x <= 18))
 
 
-@query(_FACT + " SELECT CAST(a.k AS INT) AS matches, round(a.v * b.v / 8145060.0, 12) AS probability FROM c a JOIN c b ON b.n = 27 AND b.k = 6 - a.k WHERE a.n = 18 AND a.k <= 6")
+@query(_DRAWN + f" SELECT CAST(a.k AS INT) AS matches, round(a.v * b.v / 8145060.0, 12) AS probability, coalesce(o.c, 0) AS observed FROM c a JOIN c b ON b.n = 27 AND b.k = 6 - a.k LEFT JOIN {_IN18} o ON o.k = a.k WHERE a.n = 18 AND a.k <= 6")
 def hypergeometric18(spark, d):
-    return exact.hypergeometric(spark, 18).withColumn("probability", F.round("probability", 12))
+    """Chances of the pool 1 .. 18, and how many derived draws had so many of its numbers."""
+    return _with_observed(exact.hypergeometric(spark, 18).withColumn("probability", F.round("probability", 12)), _observed(spark, d, _in_18(), "matches"), "matches")
 
 
-_TIERS = _FACT + ", tiers AS (SELECT m, j, coalesce(x.v, 0) * coalesce(y.v, 0) AS tickets FROM (SELECT unnest(range(0, 7)) AS m), (SELECT unnest(range(0, 7)) AS j) LEFT JOIN c x ON x.n = m AND x.k = j LEFT JOIN c y ON y.n = 18 - m AND y.k = 6 - j)"
+_TIERS = _DRAWN + f", o AS {_IN18}, tiers AS (SELECT m, j, coalesce(x.v, 0) * coalesce(y.v, 0) AS tickets FROM (SELECT unnest(range(0, 7)) AS m), (SELECT unnest(range(0, 7)) AS j) LEFT JOIN c x ON x.n = m AND x.k = j LEFT JOIN c y ON y.n = 18 - m AND y.k = 6 - j)"
 
 
-@query(_TIERS + " SELECT CAST(m AS INT) AS m, CAST(j AS INT) AS j, tickets FROM tiers")
+@query(_TIERS + " SELECT CAST(m AS INT) AS m, CAST(j AS INT) AS j, tickets, tickets * coalesce(c, 0) AS tickets_drawn FROM tiers LEFT JOIN o ON o.k = m")
 def tier_counts(spark, d):
-    return exact.tier_counts(spark)
+    """Tickets of the pool 1 .. 18 by matches, for one draw and for all derived draws."""
+    rows = _with_observed(exact.tier_counts(spark), _observed(spark, d, _in_18(), "m"), "m")
+    return rows.select("m", "j", "tickets", (F.col("tickets") * F.col("observed")).alias("tickets_drawn"))
 
 
-@query(_TIERS + " SELECT CAST(m AS INT) AS m, CAST(sum(tickets * CASE j WHEN 3 THEN 30000 WHEN 4 THEN 300000 WHEN 5 THEN 10000000 ELSE 0 END) AS BIGINT) AS fixed_payout, CAST(sum(CASE WHEN j = 6 THEN tickets ELSE 0 END) AS BIGINT) AS jackpot_tickets FROM tiers GROUP BY m")
+@query(_TIERS + " SELECT CAST(m AS INT) AS m, CAST(sum(tickets * CASE j WHEN 3 THEN 30000 WHEN 4 THEN 300000 WHEN 5 THEN 10000000 ELSE 0 END) AS BIGINT) AS fixed_payout, CAST(sum(CASE WHEN j = 6 THEN tickets ELSE 0 END) AS BIGINT) AS jackpot_tickets, coalesce(any_value(c), 0) AS observed FROM tiers LEFT JOIN o ON o.k = m GROUP BY m")
 def pool_payouts(spark, d):
-    return exact.pool_payouts(spark)
+    """Prizes of the pool 1 .. 18 by drawn numbers in it, and how many derived draws had so many."""
+    return _with_observed(exact.pool_payouts(spark), _observed(spark, d, _in_18(), "m"), "m")
 
 
-@query(_FACT + " SELECT CAST(n AS INT) AS pool, v AS tickets, v * 10000 AS cost, round(v / 8145060.0, 12) AS jackpot_probability FROM c WHERE k = 6 AND n >= 6")
+@query(_DRAWN + " SELECT CAST(n AS INT) AS pool, v AS tickets, v * 10000 AS cost, round(v / 8145060.0, 12) AS jackpot_probability, (SELECT count(*) FROM draws WHERE list_max(result) <= n) AS observed FROM c WHERE k = 6 AND n >= 6")
 def bao_table(spark, d):
-    return exact.bao(spark).withColumn("jackpot_probability", F.round("jackpot_probability", 12))
+    """Pools of the first numbers, with the derived draws that lie in each."""
+    seen = all_draws(spark, d).groupBy(F.array_max("result").alias("top")).agg(F.count(F.lit(1)).alias("c"))
+    rows = exact.bao(spark).withColumn("jackpot_probability", F.round("jackpot_probability", 12))
+    met = rows.join(F.broadcast(seen), F.col("top") <= F.col("pool"), "left")  # at most 45 rows on either side
+    return met.groupBy("pool", "tickets", "cost", "jackpot_probability").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("observed"))
 
 
-_BUDGETS = [100_000, 300_000, 840_000, 2_100_000, 9_240_000, 185_640_000]
 _P4, _P5 = 11115 + 234 + 1, 234 + 1
+_BUDGET = "(CAST(floor(o_totalprice / 5000) AS BIGINT) + 1) * 100000"
 
 
-@query(_FACT + f" SELECT budget, CAST(max(n) AS INT) AS pool, max(v) AS pool_tickets, max(v) * 10000 AS pool_cost, round(max(v) / 8145060.0, 12) AS jackpot_probability, least(budget // 10000, 30) AS tickets, budget // 10000 > 30 AS capped, round(least(budget // 10000, 30) * {_P4} / 8145060.0, 10) AS p_at_least_4 FROM (SELECT CAST(unnest({_BUDGETS}) AS BIGINT) AS budget) JOIN c ON k = 6 AND n >= 6 AND v * 10000 <= budget GROUP BY budget")
+@query(_FACT + f" SELECT budget, orders, CAST(max(n) AS INT) AS pool, max(v) AS pool_tickets, max(v) * 10000 AS pool_cost, round(max(v) / 8145060.0, 12) AS jackpot_probability, least(budget // 10000, 30) AS tickets, budget // 10000 > 30 AS capped, round(least(budget // 10000, 30) * {_P4} / 8145060.0, 10) AS p_at_least_4 FROM (SELECT {_BUDGET} AS budget, count(*) AS orders FROM orders GROUP BY 1) JOIN c ON k = 6 AND n >= 6 AND v * 10000 <= budget GROUP BY budget, orders")
 def bao_frontier(spark, d):
-    f = exact.frontier(spark, _BUDGETS)
-    return f.select("budget", "pool", "pool_tickets", "pool_cost", F.round("jackpot_probability", 12).alias("jackpot_probability"), "tickets", "capped", F.round("p_at_least_4", 10).alias("p_at_least_4"))
+    """What the budgets of all orders would buy."""
+    budgets = table(spark, d, "orders").groupBy(((F.floor(F.col("o_totalprice") / 5000) + 1) * 100_000).alias("budget")).agg(F.count(F.lit(1)).alias("orders"))
+    f = exact.frontier(spark, budgets.select("budget")).join(budgets, "budget")
+    return f.select("budget", "orders", "pool", "pool_tickets", "pool_cost", F.round("jackpot_probability", 12).alias("jackpot_probability"), "tickets", "capped", F.round("p_at_least_4", 10).alias("p_at_least_4"))
 
 
-@query(f"SELECT CAST(n AS BIGINT) AS tickets, round(n * {_P4} / 8145060.0, 10) AS planned, round(1 - pow(1 - {_P4} / 8145060.0, n), 10) AS random, round(n * {_P4} / 8145060.0 - (1 - pow(1 - {_P4} / 8145060.0, n)), 10) AS absolute_lift FROM (SELECT unnest([1, 5, 10, 20, 30]) AS n)")
+#: Customers' numbers of orders serve as numbers of tickets, of losses and of trials.
+_BOUGHT = "(SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1)"
+
+
+def bought(spark, d) -> DataFrame:
+    status = lambda x: F.count_if(F.col("o_orderstatus") == x)
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), status("F").alias("f"), status("O").alias("o"))
+
+
+@query(f"SELECT n AS tickets, count(*) AS customers, round(n * {_P4} / 8145060.0, 10) AS planned, round(1 - pow(1 - {_P4} / 8145060.0, n), 10) AS random, round(n * {_P4} / 8145060.0 - (1 - pow(1 - {_P4} / 8145060.0, n)), 10) AS absolute_lift FROM {_BOUGHT} GROUP BY n")
 def exact_benchmark(spark, d):
-    e = exact.exact_benchmark(spark, [1, 5, 10, 20, 30])
-    return e.select("tickets", *[F.round(c, 10).alias(c) for c in ("planned", "random", "absolute_lift")])
+    counts = bought(spark, d).groupBy(F.col("n").alias("tickets")).agg(F.count(F.lit(1)).alias("customers"))
+    e = exact.exact_benchmark(spark, counts.select("tickets")).join(counts, "tickets")
+    return e.select("tickets", "customers", *[F.round(c, 10).alias(c) for c in ("planned", "random", "absolute_lift")])
 
 
-@query(f"SELECT n AS tickets, n * 10000 AS cost, round(n * {_P4} / 8145060.0, 10) AS p4, round(n * {_P5} / 8145060.0, 10) AS p5, round(n / 8145060.0, 12) AS p6 FROM (SELECT unnest(range(1, 31)) AS n)")
+@query(f"SELECT o_custkey, least(n, 30) AS tickets, least(n, 30) * 10000 AS cost, round(least(n, 30) * {_P4} / 8145060.0, 10) AS p4, round(least(n, 30) * {_P5} / 8145060.0, 10) AS p5, round(least(n, 30) / 8145060.0, 12) AS p6 FROM {_BOUGHT}")
 def portfolio_odds(spark, d):
-    o = spark.range(1, 31).select(F.col("id").alias("tickets"), exact.portfolio_odds(F.col("id")).alias("o"))
-    return o.select("tickets", F.col("o.cost").alias("cost"), F.round("o.p_at_least_4", 10).alias("p4"), F.round("o.p_at_least_5", 10).alias("p5"), F.round("o.p_jackpot", 12).alias("p6"))
+    """Odds of a planned portfolio for each customer, of as many tickets as orders, thirty at most as every portfolio."""
+    n = F.least(F.col("n"), F.lit(portfolio.MOST).cast("long"))
+    o = bought(spark, d).select("o_custkey", n.alias("tickets"), exact.portfolio_odds(n).alias("o"))
+    return o.select("o_custkey", "tickets", F.col("o.cost").alias("cost"), F.round("o.p_at_least_4", 10).alias("p4"), F.round("o.p_at_least_5", 10).alias("p5"), F.round("o.p_jackpot", 12).alias("p6"))
 
 
-@query("SELECT n AS losses, (n + 1) * 10000 AS cost, 300000 - (n + 1) * 10000 AS net, (n + 1) * 10000 + 20000 AS required FROM (SELECT unnest(range(0, 50)) AS n)")
+@query(f"SELECT o_custkey, n AS losses, (n + 1) * 10000 AS cost, 300000 - (n + 1) * 10000 AS net, (n + 1) * 10000 + 20000 AS required FROM {_BOUGHT}")
 def profit_ledger(spark, d):
-    p = spark.range(50).select(F.col("id").alias("losses"), exact.profit_ledger(F.col("id"), F.lit(300000)).alias("p"))
-    return p.select("losses", "p.cost", "p.net", "p.required")
+    p = bought(spark, d).select("o_custkey", F.col("n").alias("losses"), exact.profit_ledger(F.col("n"), F.lit(300000)).alias("p"))
+    return p.select("o_custkey", "losses", "p.cost", "p.net", "p.required")
 
 
 _SPENT = "0.05 * ln(1 + (exp(1) - 1) * {})"
 
 
-@query(f"SELECT k AS look, round(CASE WHEN k = 1 THEN 0.05 ELSE {_SPENT.format('1.0')} - {_SPENT.format('(k - 1) / CAST(k AS DOUBLE)')} END, 12) AS alpha FROM (SELECT unnest(range(1, 21)) AS k)")
+@query(f"SELECT user_id, k AS look, round(CASE WHEN k = 1 THEN 0.05 ELSE {_SPENT.format('1.0')} - {_SPENT.format('(k - 1) / CAST(k AS DOUBLE)')} END, 12) AS alpha FROM (SELECT user_id, count(*) AS k FROM events GROUP BY 1)")
 def alpha_spend(spark, d):
-    return spark.range(1, 21).select(F.col("id").alias("look"), F.round(stats.spent_alpha(F.col("id").cast("double")), 12).alias("alpha"))
+    """Alpha left for the next look of each user, who has looked as often as there are events."""
+    looks = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("look"))
+    return looks.select("user_id", "look", F.round(stats.spent_alpha(F.col("look").cast("double")), 12).alias("alpha"))
 
 
-@query("SELECT i, round(greatest(0, least(1, 1 - 0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - ((((1.061405429 * q - 1.453152027) * q + 1.421413741) * q - 0.284496736) * q + 0.254829592) * q * exp(-z * z / 2))))), 9) AS p_value FROM (SELECT i, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS q FROM (SELECT i, i / 10.0 AS z FROM (SELECT unnest(range(-50, 51)) AS i)))")
+@query("SELECT event_id, round(greatest(0, least(1, 1 - 0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - ((((1.061405429 * q - 1.453152027) * q + 1.421413741) * q - 0.284496736) * q + 0.254829592) * q * exp(-z * z / 2))))), 9) AS p_value FROM (SELECT event_id, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS q FROM (SELECT event_id, (value - 50) / 20 AS z FROM events))")
 def p_value(spark, d):
-    return spark.range(-50, 51).select(F.col("id").alias("i"), F.round(stats.one_sided_p(F.col("id") / 10), 9).alias("p_value"))
+    return table(spark, d, "events").select("event_id", F.round(stats.one_sided_p((F.col("value") - 50) / 20), 9).alias("p_value"))
 
 
 # ---- pool of 18 -----------------------------------------------------------------------------------------------------
@@ -613,13 +665,17 @@ c AS (SELECT line, content, lag(CASE WHEN line % 5 = 0 THEN sha256(content || '|
 SELECT line, prev IS NOT DISTINCT FROM before AS link_ok, sha256(content || '|' || coalesce(prev, 'GENESIS')) = h AS hash_ok FROM c"""
 
 
-@query(_CHAIN)
-def chain_verify(spark, d):
+def chain_rows(spark, d) -> DataFrame:
+    """Events as a chain that starts anew at every fifth line."""
     e = table(spark, d, "events")
     n, content = F.col("event_id"), F.col("event_id").cast("string")
     restart = n % 5 == 0
-    rows = e.select(n.alias("line"), F.when(n % 11 == 0, "LEGACY").otherwise("FROZEN").alias("format"), content.alias("content"), F.when(~restart, F.sha2(F.concat(F.lit("h"), (n - 1).cast("string")), 256)).alias("previousEntryHash"), F.when(restart, F.sha2(F.concat(content, F.lit("|GENESIS")), 256)).otherwise(F.sha2(F.concat(F.lit("h"), content), 256)).alias("entryHash"))
-    return provenance.verify_chain(rows)
+    return e.select(n.alias("line"), F.when(n % 11 == 0, "LEGACY").otherwise("FROZEN").alias("format"), content.alias("content"), F.when(~restart, F.sha2(F.concat(F.lit("h"), (n - 1).cast("string")), 256)).alias("previousEntryHash"), F.when(restart, F.sha2(F.concat(content, F.lit("|GENESIS")), 256)).otherwise(F.sha2(F.concat(F.lit("h"), content), 256)).alias("entryHash"))
+
+
+@query(_CHAIN)
+def chain_verify(spark, d):
+    return provenance.verify_chain(chain_rows(spark, d))
 
 
 @query("SELECT max_by(sha256('h' || event_id), event_id) AS last_hash FROM events WHERE event_id % 11 <> 0")

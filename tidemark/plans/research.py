@@ -10,7 +10,7 @@ from ..session import settled
 from ..sources import jsonl, paged
 from ..sources.shapes import json_value
 from ..streaming import limits
-from .catalog import _FACT, _M, _PAY, _SUMMARY_SQL, DRAWS, LOOKBACK, RANDOM_PHASED, RANKED, _literal, all_draws, query, sql_swaps, sql_ticket, table, text
+from .catalog import _BOUGHT, _CHAIN, _FACT, _M, _PAY, _SUMMARY_SQL, DRAWS, LOOKBACK, RANDOM_PHASED, RANKED, _literal, all_draws, bought, chain_rows, query, sql_swaps, sql_ticket, table, text
 
 # ---- rules against the random control -------------------------------------------------------------------------------
 
@@ -86,9 +86,10 @@ def experiment_artifacts(spark, d):
 # ---- seeded streams and exact tails ---------------------------------------------------------------------------------
 
 
-@query(f"SELECT seed, array_to_string({sql_ticket('swaps')}, ',') AS ticket FROM (SELECT seed, {sql_swaps('w')} AS swaps FROM (SELECT range AS seed, (CASE WHEN range = 0 THEN 1831565813 ELSE range END)::UBIGINT AS w FROM range(0, 1000)))")
+@query(f"SELECT seed, array_to_string({sql_ticket('swaps')}, ',') AS ticket FROM (SELECT seed, {sql_swaps('w')} AS swaps FROM (SELECT o_orderkey AS seed, (CASE WHEN o_orderkey = 0 THEN 1831565813 ELSE o_orderkey END)::UBIGINT AS w FROM orders))")
 def random_pick(spark, d):
-    return spark.range(0, 1000).select(F.col("id").alias("seed"), text(rng.random_pick(F.col("id"))).alias("ticket"))
+    """A ticket for each order, seeded by its key."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"), text(rng.random_pick(F.col("o_orderkey"))).alias("ticket"))
 
 
 _H1 = f"((xor(xor(645, 2654435769)::UBIGINT, t::UBIGINT) * 2246822507) & {_M})"
@@ -106,50 +107,57 @@ def _plans() -> str:
     return " UNION ALL ".join(f"SELECT {n} AS n, ticket FROM (VALUES {_literal(n)}) AS v(i, ticket)" for n in (10, 20, 30))
 
 
-@query(f"""WITH plans AS ({_plans()}),
+@query(DRAWS + f""", plans AS ({_plans()}),
+met AS (SELECT n, t, max(len(list_intersect(ticket, result))) AS k FROM plans, draws GROUP BY 1, 2), held AS (SELECT n, avg(k) AS observed FROM met GROUP BY 1),
 slots AS (SELECT n, i, sim, (sim * (n + 1) + i) * 44 AS skip FROM (SELECT unnest([10, 20, 30]) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS i), (SELECT unnest(range(0, 3000)) AS sim)),
 tickets AS (SELECT n, sim, i, {sql_ticket('swaps')} AS ticket FROM (SELECT n, sim, i, {sql_swaps('645::UBIGINT', 'skip')} AS swaps FROM slots)),
 drawn AS (SELECT n, sim, ticket AS result FROM tickets WHERE i = 0),
 random AS (SELECT n, sim, max(len(list_intersect(ticket, result))) AS k FROM tickets JOIN drawn USING (n, sim) WHERE i > 0 GROUP BY 1, 2),
 planned AS (SELECT n, sim, max(len(list_intersect(ticket, result))) AS k FROM plans JOIN drawn USING (n) GROUP BY 1, 2)
 SELECT CAST(n AS BIGINT) AS tickets, count(*) AS simulations, round(avg(p.k), 9) AS planned_mean_best, round(avg(r.k), 9) AS random_mean_best, round(avg(CAST(p.k >= 4 AS INT)), 9) AS planned_rate_4, round(avg(CAST(r.k >= 4 AS INT)), 9) AS random_rate_4,
-       round(avg(CAST(p.k >= 5 AS INT)), 9) AS planned_rate_5, round(avg(CAST(r.k >= 5 AS INT)), 9) AS random_rate_5 FROM planned p JOIN random r USING (n, sim) GROUP BY n""")
+       round(avg(CAST(p.k >= 5 AS INT)), 9) AS planned_rate_5, round(avg(CAST(r.k >= 5 AS INT)), 9) AS random_rate_5, round(any_value(observed), 9) AS observed_mean_best FROM planned p JOIN random r USING (n, sim) JOIN held USING (n) GROUP BY n""")
 def portfolio_mc(spark, d):
-    s = portfolio.simulations(spark, [10, 20, 30])
-    return s.select("tickets", "simulations", *[F.round(c, 9).alias(c) for c in ("planned_mean_best", "random_mean_best", "planned_rate_4", "random_rate_4", "planned_rate_5", "random_rate_5")])
+    """Planned against random tickets on simulated draws, and the planned ones on all derived draws."""
+    sizes = (10, 20, 30)
+    rows = settled(all_draws(spark, d).select("t", "result"), "draws")
+    seen = [portfolio.best_match(rows, portfolio.planned_tickets(n)).agg(F.avg("best").alias("b")).select(F.lit(n).cast("long").alias("tickets"), F.round("b", 9).alias("observed_mean_best")) for n in sizes]
+    s = portfolio.simulations(spark, list(sizes)).join(seen[0].unionByName(seen[1]).unionByName(seen[2]), "tickets")
+    return s.select("tickets", "observed_mean_best", "simulations", *[F.round(c, 9).alias(c) for c in ("planned_mean_best", "random_mean_best", "planned_rate_4", "random_rate_4", "planned_rate_5", "random_rate_5")])
 
 
-@query("SELECT b, c, CASE WHEN b + c < 6 THEN NULL ELSE round(least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1)) / pow(2, b + c)) FROM range(0, 9) x(k) WHERE k <= least(b, c))), 9) END AS p FROM (SELECT range AS b FROM range(0, 8)), (SELECT range AS c FROM range(0, 8))")
+@query(f"SELECT o_custkey, f AS b, o AS c, CASE WHEN f + o < 6 THEN NULL ELSE round(least(1, 2 * (SELECT sum(exp(lgamma(f + o + 1) - lgamma(k + 1) - lgamma(f + o - k + 1)) / pow(2, f + o)) FROM range(0, 200) x(k) WHERE k <= least(f, o))), 9) END AS p FROM {_BOUGHT}")
 def mcnemar(spark, d):
-    pairs = spark.createDataFrame([(b, c) for b in range(8) for c in range(8)], "b bigint, c bigint")
-    return pairs.withColumn("p", F.round(numeric.mcnemar_p(F.col("b"), F.col("c")), 9))
+    """Orders of each customer in one of two states against the other."""
+    return bought(spark, d).select("o_custkey", F.col("f").alias("b"), F.col("o").alias("c"), F.round(numeric.mcnemar_p(F.col("f"), F.col("o")), 9).alias("p"))
 
 
 _PMF = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p}))"
 
 
-@query(f"""WITH RECURSIVE given AS (SELECT n, unnest([0, 1, 4, n // 2, n]) AS x, unnest(range(0, 5)) AS place FROM (SELECT unnest([10, 100, 1471]) AS n)),
+@query(f"""WITH RECURSIVE given AS (SELECT DISTINCT n, f AS x, 0 AS place FROM {_BOUGHT}),
 halved AS (SELECT n, x, place, 0 AS step, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lb, 0.0::DOUBLE AS ha, 1.0::DOUBLE AS hb FROM given
   UNION ALL SELECT n, x, place, step + 1, CASE WHEN l THEN (la + lb) / 2 ELSE la END, CASE WHEN l THEN lb ELSE (la + lb) / 2 END, CASE WHEN h THEN (ha + hb) / 2 ELSE ha END, CASE WHEN h THEN hb ELSE (ha + hb) / 2 END FROM (
-    SELECT *, (SELECT coalesce(sum({_PMF.format(p='((la + lb) / 2)')}), 0) FROM range(0, 1472) r(k) WHERE k >= x AND k <= n) < 0.025 AS l,
-              (SELECT coalesce(sum({_PMF.format(p='((ha + hb) / 2)')}), 0) FROM range(0, 1472) r(k) WHERE k <= x AND k <= n) > 0.025 AS h FROM halved WHERE step < 40))
+    SELECT *, (SELECT coalesce(sum({_PMF.format(p='((la + lb) / 2)')}), 0) FROM range(0, 200) r(k) WHERE k >= x AND k <= n) < 0.025 AS l,
+              (SELECT coalesce(sum({_PMF.format(p='((ha + hb) / 2)')}), 0) FROM range(0, 200) r(k) WHERE k <= x AND k <= n) > 0.025 AS h FROM halved WHERE step < 40))
 SELECT n, x, round(CASE WHEN x = 0 THEN 0 ELSE (la + lb) / 2 END, 9) AS low, round(CASE WHEN x = n THEN 1 ELSE (ha + hb) / 2 END, 9) AS high FROM halved WHERE step = 40""")
 def clopper_pearson(spark, d):
-    counts = spark.createDataFrame([(n, x) for n in (10, 100, 1471) for x in (0, 1, 4, n // 2, n)], "n bigint, x bigint")
+    """Intervals for every share of one state among as many orders as some customer has."""
+    counts = bought(spark, d).select("n", F.col("f").alias("x")).distinct()
     ci = numeric.interval(F.col("n"), F.col("x"))
     return counts.withColumn("ci", ci).select("n", "x", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
 
 
-@query(f"WITH c AS (SELECT n, q, k, sum({_PMF.format(p='0.3')}) OVER (PARTITION BY n, q ORDER BY k) AS cdf FROM (SELECT unnest([1, 10, 200]) AS n), (SELECT unnest([0.025, 0.5, 0.975]) AS q), LATERAL (SELECT unnest(range(0, n + 1)) AS k)) SELECT CAST(n AS BIGINT) AS n, CAST(q AS DOUBLE) AS q, min(k) AS quantile FROM c WHERE cdf >= q GROUP BY 1, 2")
+@query(f"WITH c AS (SELECT n, q, k, sum({_PMF.format(p='0.3')}) OVER (PARTITION BY n, q ORDER BY k) AS cdf FROM (SELECT DISTINCT n FROM {_BOUGHT}), (SELECT unnest([0.025, 0.5, 0.975]) AS q), LATERAL (SELECT unnest(range(0, n + 1)) AS k)) SELECT CAST(n AS BIGINT) AS n, CAST(q AS DOUBLE) AS q, min(k) AS quantile FROM c WHERE cdf >= q GROUP BY 1, 2")
 def binomial_quantile(spark, d):
-    rows = [(n, q, numeric.binomial_quantile(n, 0.3, q)) for n in (1, 10, 200) for q in (0.025, 0.5, 0.975)]
-    return spark.createDataFrame(rows, "n bigint, q double, quantile bigint")
+    sizes = bought(spark, d).select("n").distinct().select("n", F.explode(F.array(*map(F.lit, (0.025, 0.5, 0.975)))).alias("q"))
+    return sizes.select("n", "q", numeric.quantile(F.col("n"), 0.3, F.col("q")).alias("quantile"))
 
 
-@query(f"WITH k AS (SELECT CAST({pool18.P0!r} AS DOUBLE) AS p, unnest([100, 1471, 14910]) AS n) SELECT CAST(n AS BIGINT) AS n, round(n * p, 9) AS expected_hits, round(pow(1 - p, n), 9) AS p_zero, n * p < 5 AS underpowered FROM k")
+@query(DRAWS + f", k AS (SELECT year(date) AS year, CAST({pool18.P0!r} AS DOUBLE) AS p, count(*) AS n FROM draws GROUP BY 1) SELECT CAST(year AS INT) AS year, n, round(n * p, 9) AS expected_hits, round(pow(1 - p, n), 9) AS p_zero, n * p < 5 AS underpowered FROM k")
 def null_calibration(spark, d):
-    rows = [pool18.null_calibration(n) for n in (100, 1471, 14910)]
-    return spark.createDataFrame([(r["n"], round(r["expected_hits"], 9), round(r["p_zero"], 9), r["underpowered"]) for r in rows], "n bigint, expected_hits double, p_zero double, underpowered boolean")
+    """What chance alone gives in the draws of each year."""
+    years = all_draws(spark, d).groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return pool18.calibrated(years).select("year", "n", F.round("expected_hits", 9).alias("expected_hits"), F.round("p_zero", 9).alias("p_zero"), "underpowered")
 
 
 _CONTROL = RANKED + f", s AS (SELECT t, result, {sql_swaps('w')} AS swaps FROM (SELECT t, result, ((t + 1) * 131 + unnest(range(0, 32)))::UBIGINT AS w FROM draws WHERE t >= 90)), c AS (SELECT t, CAST(avg(len(list_intersect({sql_ticket('swaps')}, result))) AS DOUBLE) AS k FROM s GROUP BY t)"
@@ -380,13 +388,10 @@ def ledger_problems(spark, d):
     return prospective.ledger_problems(lines)
 
 
-@query("SELECT count(*) AS chained, count(*) FILTER (event_id % 13 = 0) AS violations, count(*) FILTER (event_id % 13 = 0) = 0 AS verified FROM events WHERE event_id % 11 <> 0")
+@query(_CHAIN.replace("SELECT line, prev", "SELECT count(*) AS chained, count(*) FILTER (NOT (link_ok AND hash_ok)) AS violations, count(*) FILTER (NOT (link_ok AND hash_ok)) = 0 AS verified FROM (SELECT line, prev") + ")")
 def chain_health(spark, d):
-    """A chain of its own for each line, some of whose hashes are not their content's."""
-    n = F.col("event_id")
-    content = n.cast("string")
-    verified = table(spark, d, "events").where(n % 11 != 0).select(n.alias("line"), F.lit(True).alias("link_ok"), (hashing.chain_hash(content, F.lit(None).cast("string")) == F.sha2(F.concat(F.when(n % 13 == 0, "x").otherwise(content), F.lit("|GENESIS")), 256)).alias("hash_ok"))
-    return provenance.chain_health(verified)
+    """Sound and broken lines of the chain of all events."""
+    return provenance.chain_health(provenance.verify_chain(chain_rows(spark, d)))
 
 
 # ---- registry -------------------------------------------------------------------------------------------------------
@@ -479,6 +484,8 @@ def replay_portfolios(spark, d):
     return replay.portfolios(all_draws(spark, d).where("t = 1000")).select("tickets", "best", "payout", "cost", "covered_pairs")
 
 
-@query(_FACT + " SELECT 18 AS size, a.v AS tickets, a.v * 10000 AS cost, round(a.v / 8145060.0, 12) AS p_jackpot, round((SELECT sum(x.v * y.v * CASE x.k WHEN 3 THEN 30000 WHEN 4 THEN 300000 ELSE 10000000 END) / 8145060.0 FROM c x JOIN c y ON y.n = 39 AND y.k = 6 - x.k WHERE x.n = 6 AND x.k BETWEEN 3 AND 5), 9) AS single_ev FROM c a WHERE a.n = 18 AND a.k = 6")
+@query(DRAWS + ", " + _FACT[5:] + " SELECT 18 AS size, (SELECT count(*) FROM draws WHERE list_max(result) <= 18) AS hits, a.v AS tickets, a.v * 10000 AS cost, round(a.v / 8145060.0, 12) AS p_jackpot, round((SELECT sum(x.v * y.v * CASE x.k WHEN 3 THEN 30000 WHEN 4 THEN 300000 ELSE 10000000 END) / 8145060.0 FROM c x JOIN c y ON y.n = 39 AND y.k = 6 - x.k WHERE x.n = 6 AND x.k BETWEEN 3 AND 5), 9) AS single_ev FROM c a WHERE a.n = 18 AND a.k = 6")
 def pool_math(spark, d):
-    return replay.pool_math(spark).select("size", "tickets", "cost", F.round("p_jackpot", 12).alias("p_jackpot"), F.round("single_ev", 9).alias("single_ev"))
+    """Constants of the pool 1 .. 18, and the derived draws that lie in it."""
+    hits = all_draws(spark, d).agg(F.count_if(F.array_max("result") <= 18).alias("hits"))
+    return replay.pool_math(spark).join(F.broadcast(hits), how="cross").select("size", "hits", "tickets", "cost", F.round("p_jackpot", 12).alias("p_jackpot"), F.round("single_ev", 9).alias("single_ev"))
