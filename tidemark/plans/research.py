@@ -125,10 +125,10 @@ def portfolio_mc(spark, d):
     return s.select("tickets", "observed_mean_best", "simulations", *[F.round(c, 9).alias(c) for c in ("planned_mean_best", "random_mean_best", "planned_rate_4", "random_rate_4", "planned_rate_5", "random_rate_5")])
 
 
-@query(f"SELECT o_custkey, f AS b, o AS c, CASE WHEN f + o < 6 THEN NULL ELSE round(least(1, 2 * (SELECT sum(exp(lgamma(f + o + 1) - lgamma(k + 1) - lgamma(f + o - k + 1)) / pow(2, f + o)) FROM range(0, 200) x(k) WHERE k <= least(f, o))), 9) END AS p FROM {_BOUGHT}")
+@query(f"SELECT o_custkey, f AS b, o AS c, CASE WHEN f + o < 6 THEN NULL ELSE round(least(1, 2 * (SELECT sum(exp(lgamma(f + o + 1) - lgamma(k + 1) - lgamma(f + o - k + 1)) / pow(2, f + o)) FROM range(0, 200) x(k) WHERE k <= least(f, o))) + 1e-12, 9) END AS p FROM {_BOUGHT}")
 def mcnemar(spark, d):
-    """Orders of each customer in one of two states against the other."""
-    return bought(spark, d).select("o_custkey", F.col("f").alias("b"), F.col("o").alias("c"), F.round(numeric.mcnemar_p(F.col("f"), F.col("o")), 9).alias("p"))
+    """Orders of each customer in one of two states against the other; p is a fraction of a power of two, so ties of the rounding are pushed up."""
+    return bought(spark, d).select("o_custkey", F.col("f").alias("b"), F.col("o").alias("c"), F.round(numeric.mcnemar_p(F.col("f"), F.col("o")) + 1e-12, 9).alias("p"))
 
 
 _PMF = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p}))"
