@@ -333,3 +333,10 @@ def test_sample_ids_against_loop(spark):
     for x in u:
         want.append(rest.pop(int(x * len(rest))))
     assert merge.sample_ids(cyclic(spark), 5, 645) == sorted(fixed | set(want))
+
+
+def test_a_row_without_six_numbers_is_named(spark):
+    for bad in (None, [1, 2, 3]):
+        rows = [(t, [1, 2, 3, 4, 5, 6] if t != 17 else bad) for t in range(60)]
+        with pytest.raises(Exception, match="row t = 17 has no 6 numbers"):
+            walkforward.picks(spark.createDataFrame(rows, "t bigint, result array<int>"), 30).collect()

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,9 @@ def _histories(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], lookbac
             if b <= fresh:
                 continue
             part = rows.slice(a, b - a).combine_chunks().to_batches()[0]
+            sizes = pc.fill_null(pc.list_value_length(part.column("result")), 0).to_numpy(zero_copy_only=False)
+            if (sizes != rules.PICKS).any():
+                raise ValueError(f"row t = {part.column('t')[int(np.argmax(sizes != rules.PICKS))]} has no {rules.PICKS} numbers")
             drawn = part.column("result").flatten().to_numpy().reshape(-1, rules.PICKS)
             hit = np.zeros((b - a, rules.POOL), np.int32)
             hit[np.arange(b - a)[:, None], drawn - 1] = 1

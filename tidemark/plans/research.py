@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, numeric, rng, rules
@@ -412,10 +413,9 @@ def family_summary(spark, d):
 def unregistered(spark, d):
     """A third is registered under its id, a third under its older one."""
     names = settled(table(spark, d, "documents").where("source is not null").select(F.col("source").alias("strategy_id")).distinct(), "strategies")
-    order = {r["strategy_id"]: i + 1 for i, r in enumerate(names.orderBy("strategy_id").collect())}  # a name for each source
+    placed = names.select("strategy_id", F.row_number().over(Window.orderBy("strategy_id")).alias("n"))  # a name for each source
     named = registry.ids(names, "fam", "a" * 64, "b" * 64)
-    nth = F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("strategy_id"))
-    known = named.withColumn("n", nth).select(F.when(F.col("n") % 3 == 1, F.col("experiment_id")).when(F.col("n") % 3 == 2, F.col("legacy_id")).alias("experiment_id")).where("experiment_id is not null")
+    known = named.join(placed, "strategy_id").select(F.when(F.col("n") % 3 == 1, F.col("experiment_id")).when(F.col("n") % 3 == 2, F.col("legacy_id")).alias("experiment_id")).where("experiment_id is not null")
     return registry.unregistered(named, known)
 
 
