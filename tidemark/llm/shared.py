@@ -63,6 +63,8 @@ def drop_table(df: DataFrame | None) -> None:
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        while "=" in folder.getName():  # a partition's folder
+            folder = folder.getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
