@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -33,5 +36,12 @@ def test_stages(spark):
     items = [" ".join(re.findall(r"\w+", r["text"].lower())) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     leaks = {d for d, x in third.items() if any(f" {q} " in f" {' '.join(re.findall(chr(92) + 'w+', x.lower()))} " for q in items)}
     assert set(fourth) == set(third) - leaks
-    assert {r["doc_id"] for r in seen["bpe"].select("doc_id").collect()} == set(fourth)
-    assert seen["bpe"].where(F.col("n_tokens") > 0).count() >= len([x for x in fourth.values() if x])
+    t = Tokenizer.from_file(public_tokenizers.path(pipeline.TOKENIZER))
+
+    def encoded(text):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+        return len(ids), digest(np.array(ids, "<u4").tobytes()), digest(t.decode(ids, skip_special_tokens=False).encode())
+
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in seen["bpe"].collect()}
+    assert got == {d: encoded(x) for d, x in fourth.items()}
