@@ -9,8 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import merge, portfolio
-from tidemark.sources import jsonl
+from tidemark.functions import hashing
+from tidemark.operators import checks, merge, portfolio, provenance
+from tidemark.sources import jsonl, paged
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -113,3 +114,68 @@ def test_line_numbers_of_files_read_in_splits(spark, tmp_path, split):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in files.items() if v}
+
+
+def test_live_check_and_a_source_that_fails(spark):
+    ids = [f"{n:05d}" for n in range(1, 21)]
+    local = spark.createDataFrame([(i, DAY, [1, 2, 3, 4, 5, 6]) for i in ids], "id string, date date, result array<int>")
+    details = lambda error, date=DAY: lambda sample: sample.select("id", F.lit(date).alias("date"), F.array(*map(F.lit, range(1, 7))).alias("result"), F.lit(error).cast("string").alias("error"))
+    seen = []
+
+    def two_more(latest):
+        seen.append(latest)
+        return spark.createDataFrame([("00021",), ("00022",)], "id string")
+
+    def failing(error):
+        def crawl(latest):
+            raise error
+
+        return crawl
+
+    row = lambda *a: tuple(checks.verify_live(*a).first())
+    assert row(local, two_more, details(None)) == (2, 8, 0, 0, "PASS", 0) and seen == ["00020"]
+    # details that cannot be fetched are counted, and are no mismatch
+    assert row(local, two_more, details("too slow")) == (2, 8, 0, 8, "PASS", 0)
+    assert row(local, two_more, details(None, DAY + datetime.timedelta(1))) == (2, 8, 8, 0, "FAIL", 1)
+    assert row(local, lambda latest: None, details(None)) == (None, 8, 0, 0, "PASS", 0)
+    assert row(local, lambda latest: local.where("false"), details(None)) == (0, 8, 0, 0, "FAIL", 1)
+    assert row(local.where("false"), lambda latest: None, details(None)) == (None, 0, 0, 0, "PASS", 0)
+    for error, outcome in ((ConnectionRefusedError("no"), ("NOT EXECUTED", 2)), (TimeoutError(), ("NOT EXECUTED", 2)), (ValueError("a page's text has TimeoutError: in it"), ("FAIL", 1)), (KeyError("id"), ("FAIL", 1))):
+        assert row(local, failing(error), details(None))[4:] == outcome
+    # a task's own error, and an anchor that no page has
+    for error, outcome in (("ConnectionError", ("NOT EXECUTED", 2)), ("ValueError", ("FAIL", 1))):
+        broken = lambda sample, e=error: sample.mapInPandas(raiser(e), "id string, date date, result array<int>, error string")
+        assert row(local, two_more, broken)[4:] == outcome
+    pages = local.select(F.lit(0).alias("page"), F.format_string("%05d", F.col("id").cast("int") + 50).alias("id"), F.col("date").cast("string").alias("date"), "result")
+    assert row(local, lambda latest: paged.crawl(pages, latest, True), details(None))[4:] == ("FAIL", 1)
+
+
+def raiser(name):
+    import builtins
+
+    def run(batches):
+        for _ in batches:
+            raise getattr(builtins, name)("in a task")
+            yield
+
+    return run
+
+
+def test_findings_of_registry_files_and_ledger(spark):
+    own = "experiment_id string, protocol_hash string, dataset_hash string, protocol_version string"
+    registry = spark.createDataFrame([("a", "p", "d", "1"), ("b", "old", "d", "1"), ("c", "p", "d", "1"), ("e", "p", "d", "1")], own)
+    files = spark.createDataFrame([
+        ("a.json", "x", "a", "p", "d", "1"), ("b.json", "x", "b", "p", "d", "1"), ("b.json", "x", "b", "p", "d", "1"), ("c.json", "x", "c", "p", "d", "1"), ("c2.json", "y", "c", "p", "f", "1"), ("z.json", "{", None, None, None, None),
+    ], "file string, content string, " + own)
+    good = hashing.sha256("one|GENESIS")
+    ledger = spark.createDataFrame([(1, "FROZEN", "one", None, good), (2, "LEGACY", "old", None, None), (3, None, "?", None, None), (4, "SCORED", "two", good, "0"), (5, "SCORED", "three", "1", None)], "line long, format string, content string, previousEntryHash string, entryHash string")
+    exceptions = spark.createDataFrame([(1, "ARTIFACT_NAME", "c", "c2.json", "known"), (2, "ARTIFACT_NAME", "c", "c2.json", "late"), (3, "CHAIN_HASH", None, "4", "no"), (4, "DATASET_HASH_MISMATCH", "c", "d g", "another")], "line long, kind string, experiment_id string, detail string, justification string")
+    found = provenance.audit(registry, registry.where("protocol_hash = 'p'"), files, ledger, exceptions)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([
+        ("OPEN", "UNRECOGNISED_PROTOCOL_HASH", "b", "old", None), ("OPEN", "PROTOCOL_HASH_MISMATCH", "b", "old p", None), ("OPEN", "DATASET_HASH_MISMATCH", "c", "d f", None),
+        ("OPEN", "ARTIFACT_COLLISION", "c", "2", None), ("EXPLAINED", "ARTIFACT_NAME", "c", "c2.json", "known"), ("OPEN", "ARTIFACT_MALFORMED", "z.json", "file is no artifact", None),
+        ("FATAL", "LEDGER_LINE", None, "3", None), ("FATAL", "CHAIN_HASH", None, "4", None), ("FATAL", "CHAIN_LINK", None, "5", None), ("FATAL", "CHAIN_HASH", None, "5", None),
+    ], key=repr)
+    assert tuple(provenance.audit_status(found).first()) == (4, 5, 1, False)
+    nothing = provenance.audit(registry.where("false"), registry, files.where("false"), ledger.where("line < 3"), exceptions)
+    assert tuple(provenance.audit_status(nothing).first()) == (0, 0, 0, True)

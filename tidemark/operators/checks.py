@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, rules
+from ..session import settled
 from ..sources import jsonl
-from . import merge
+from . import draws, merge
 
 CHECK = "check string, ok boolean, detail string"
 #: Limits of a refresh request.
 MOST_BYTES, MOST_RECORDS = 2 * 1024 * 1024, 3000
+#: Errors by which a source could not be reached; a task's error is known by its text only.
+UNREACHED = ("ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "ConnectionAbortedError", "BrokenPipeError", "TimeoutError", "gaierror", "URLError")
+LIVE = "new_rows bigint, sample_size bigint, failures bigint, fetch_errors bigint, outcome string, exit_code int"
 
 
 def before(table: DataFrame, date: str) -> DataFrame:
@@ -147,6 +152,38 @@ def sync(existing: DataFrame, incoming: DataFrame | None, allow_gaps: bool = Fal
     return new, summary
 
 
+def unreachable(error: Exception) -> bool:
+    """Whether a source could not be reached at all; what it sent and what could not be read is another matter."""
+    names = {c.__name__ for c in type(error).__mro__}
+    last = [x.split(":")[0].rsplit(".", 1)[-1].strip() for x in str(error).splitlines() if x[:1].strip()]
+    return bool(names.intersection(UNREACHED)) or any(x in UNREACHED for x in last)
+
+
+def verify_live(local: DataFrame, crawl: Callable[[str | None], DataFrame | None], lookup: Callable[[DataFrame], DataFrame], extra: int = 5, seed: int = 645) -> DataFrame:
+    """One row ``new_rows, sample_size, failures, fetch_errors, outcome, exit_code``: ``local`` against its source; nothing of ``local`` is written.
+
+    ``crawl(latest_id)`` gives the rows above an id, or None where nothing has changed; ``lookup(ids)`` gives details
+    ``id, date, result, error`` of sampled ids.  FAIL (1) for a sampled row that differs, for a change without a row and
+    for an error of the source's contents; NOT EXECUTED (2) where the source could not be reached; else PASS (0), also
+    where single details could not be looked up, which are counted.  An empty ``local`` has no sample.
+    """
+    spark = local.sparkSession
+    try:
+        fetched = crawl(draws.latest_id(local).first()[0])
+        fetched = fetched if fetched is None else settled(fetched, "live-rows")
+        ids = merge.sample_ids(local, extra, seed)
+        sample = spark.createDataFrame([(i,) for i in ids], "id string")
+        details = settled(lookup(sample).select("id", "date", "result", "error"), "live-details")
+    except Exception as e:  # the source's own failure is the finding
+        reached = not unreachable(e)
+        return spark.createDataFrame([(None, None, None, None, "FAIL" if reached else "NOT EXECUTED", 1 if reached else 2)], LIVE)
+    checked = merge.cross_check_status(merge.cross_check(local, details, None, ids))
+    new = fetched.agg(F.count(F.lit(1)).alias("new_rows")) if fetched is not None else spark.range(1).select(F.lit(None).cast("long").alias("new_rows"))
+    bad = F.coalesce(F.col("new_rows") == 0, F.lit(False)) | (F.col("status") == "FAIL")
+    out = checked.join(F.broadcast(new), how="cross")  # one row each
+    return out.select("new_rows", "sample_size", "failures", "fetch_errors", F.when(bad, "FAIL").otherwise("PASS").alias("outcome"), bad.cast("int").alias("exit_code"))
+
+
 def digest_of(table: DataFrame) -> str:
     """SHA-256 of the canonical lines of ``t, date, id, result``."""
     return hashing.dataset_hash(table.select("t", hashing.draw_json(F.col("date").cast("string"), F.col("id"), F.col("result")).alias("line")))

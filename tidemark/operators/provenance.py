@@ -124,6 +124,32 @@ def triage(violations: DataFrame, exceptions: DataFrame) -> DataFrame:
     return violations.join(first, keys, "left").withColumn("explained", F.col("justification").isNotNull())
 
 
+def audit(registry: DataFrame, recognised: DataFrame, files: DataFrame, ledger: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """``severity, kind, experiment_id, detail, justification``: all findings in registry, artifact files and ledger.
+
+    ``files`` has ``file, content, experiment_id, protocol_hash, dataset_hash, protocol_version``; one without an id is no
+    artifact.  ``ledger`` has ``line, format, content, previousEntryHash, entryHash``; a line without a format is none.
+    Faults of the ledger are FATAL and no exception explains them.  Other findings are OPEN, or EXPLAINED where an
+    exception has the same kind, id and detail.  A registry row without an artifact is no finding.
+    """
+    from . import checks
+
+    read = files.where("experiment_id is not null")
+    stated = read.select("experiment_id", "protocol_hash", "dataset_hash", "protocol_version").distinct()
+    malformed = files.where("experiment_id is null").select(F.lit("ARTIFACT_MALFORMED").alias("kind"), F.col("file").alias("experiment_id"), F.lit("file is no artifact").alias("detail"))
+    found = checks.union([unrecognised(registry, recognised), inconsistent(registry, stated), collisions(read), malformed])
+    judged = triage(found, exceptions).select(F.when(F.col("explained"), "EXPLAINED").otherwise("OPEN").alias("severity"), "kind", "experiment_id", "detail", "justification")
+    fault = lambda rows, kind: rows.select(F.lit("FATAL").alias("severity"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("experiment_id"), F.col("line").cast("string").alias("detail"), F.lit(None).cast("string").alias("justification"))
+    chain = verify_chain(ledger)
+    # a claimed hash that is absent is a fault, not unknown
+    return checks.union([judged, fault(ledger.where("format is null"), "LEDGER_LINE"), fault(chain.where("not coalesce(link_ok, false)"), "CHAIN_LINK"), fault(chain.where("not coalesce(hash_ok, false)"), "CHAIN_HASH")])
+
+
+def audit_status(findings: DataFrame) -> DataFrame:
+    n = lambda x: F.count_if(F.col("severity") == x)
+    return findings.agg(n("FATAL").alias("fatal"), n("OPEN").alias("unexplained"), n("EXPLAINED").alias("acknowledged"), (n("FATAL") + n("OPEN") == 0).alias("ok"))
+
+
 def family_counts(registry: DataFrame) -> DataFrame:
     """``family_id, experiments, hypotheses, looks, holm_family``: looks are distinct data sets, one at least."""
     hypothesis = F.coalesce(F.nullif(F.trim("hypothesis_id"), F.lit("")), F.col("strategy_id"))

@@ -322,6 +322,34 @@ def cross_check_sample(spark, d):
     return merge.cross_check(rows, details, None, merge.sample_ids(rows, 5, 645)).select("id", "fetch_error", "error", F.array_join("mismatches", ",").alias("mismatches"))
 
 
+_LOCAL = DRAWS + ", n AS (SELECT count(*) AS n, count(*) - count(*) // 100 - 1 AS held FROM draws)"
+
+
+@query(_LOCAL + """ SELECT 'as held' AS source, n - held AS new_rows, 8::BIGINT AS sample_size, 0::BIGINT AS failures, 1::BIGINT AS fetch_errors, 'PASS' AS outcome, 0 AS exit_code FROM n
+UNION ALL SELECT 'latest differs', n - held, 8, 1, 0, 'FAIL', 1 FROM n UNION ALL SELECT 'no change', NULL, 8, 0, 0, 'PASS', 0 FROM n UNION ALL SELECT 'change without rows', 0, 8, 0, 0, 'FAIL', 1 FROM n""")
+def verify_live(spark, d):
+    """All draws but the newest hundredth are held; pages of eight are crawled down to the latest of these, and sampled draws looked up in raw form."""
+    rows = settled(all_draws(spark, d).select("t", "id", "date", "result"), "draws")
+    n = rows.count()
+    held = n - n // 100 - 1
+    local = rows.where(F.col("t") < held)
+    pages = rows.select(F.expr(f"({n - 1} - t) div {paged.PAGE_SIZE}").cast("int").alias("page"), "id", F.col("date").cast("string").alias("date"), "result")
+    new = lambda latest: paged.crawl(pages, latest, True)
+    last = F.col("t") == held - 1
+
+    def looked_up(error, result):
+        raw = rows.select("id", hashing.draw_json(F.col("date").cast("string"), F.col("id"), result).alias("value"), error.cast("string").alias("error"))
+        return lambda ids: merge.checked_details(raw.join(F.broadcast(ids), "id"))  # the sample: eight ids at most
+
+    none, as_is = F.lit(None), F.col("result")
+    other = F.when(last, F.array_sort(F.transform("result", lambda x: x % 45 + 1))).otherwise(as_is)
+    cases = {
+        "as held": (new, looked_up(F.when(F.col("t") == 0, "timeout"), as_is)), "latest differs": (new, looked_up(none, other)),
+        "no change": (lambda latest: None, looked_up(none, as_is)), "change without rows": (lambda latest: pages.where("false"), looked_up(none, as_is)),
+    }
+    return checks.union([checks.verify_live(local, crawl, lookup).select(F.lit(case).alias("source"), "*") for case, (crawl, lookup) in cases.items()])
+
+
 # ---- predictions ----------------------------------------------------------------------------------------------------
 
 _ENTRIES = DRAWS + """, e AS (SELECT id AS draw_id, CASE t % 3 WHEN 0 THEN 'HOT' WHEN 1 THEN 'COLD' ELSE 'BALANCED' END AS strategy_id, lpad(CAST(t * 7919 % 100003 AS VARCHAR), 6, '0') AS frozen_at, [3, 11, 19, 27, 35, 43] AS prediction,
@@ -395,6 +423,51 @@ def chain_health(spark, d):
     return provenance.chain_health(provenance.verify_chain(chain_rows(spark, d)))
 
 
+_AUDIT = "WITH chain AS (SELECT * FROM (" + _CHAIN.replace("CASE WHEN event_id % 11", "CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 11") + """)),
+r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS e, 'a' || doc_id % 5 AS p, 'b' || doc_id % 2 AS s FROM documents),
+f AS (SELECT doc_id, CASE WHEN doc_id % 41 <> 0 THEN e END AS e, CASE WHEN doc_id % 50 = 0 THEN 'x/other.json' ELSE 'x/' || e || '.json' END AS file, 'c' AS content FROM r
+      UNION ALL SELECT doc_id, CASE WHEN doc_id % 41 <> 0 THEN e END, 'y/' || e || '.json', CASE WHEN doc_id % 2 = 0 THEN 'c' ELSE 'd' END FROM r WHERE doc_id % 13 = 0),
+v AS (SELECT 'UNRECOGNISED_PROTOCOL_HASH' AS kind, e AS experiment_id, p AS detail, doc_id FROM r WHERE doc_id % 5 = 4
+      UNION ALL SELECT 'PROTOCOL_HASH_MISMATCH', e, p || ' a' || doc_id % 3, doc_id FROM r WHERE doc_id % 41 <> 0 AND doc_id % 5 <> doc_id % 3
+      UNION ALL SELECT 'DATASET_HASH_MISMATCH', e, s || ' b' || doc_id % 7, doc_id FROM r WHERE doc_id % 41 <> 0 AND doc_id % 2 <> doc_id % 7
+      UNION ALL SELECT 'ARTIFACT_COLLISION', e, CAST(count(DISTINCT content) AS VARCHAR), 1 FROM f WHERE e IS NOT NULL GROUP BY e HAVING count(DISTINCT content) > 1
+      UNION ALL SELECT 'ARTIFACT_NAME', e, file, doc_id FROM f WHERE e IS NOT NULL AND file = 'x/other.json'
+      UNION ALL SELECT 'ARTIFACT_MALFORMED', file, 'file is no artifact', 1 FROM f WHERE e IS NULL),
+findings AS (
+  SELECT CASE WHEN x THEN 'EXPLAINED' ELSE 'OPEN' END AS severity, kind, experiment_id, detail, CASE WHEN x THEN 'why ' || experiment_id END AS justification
+  FROM (SELECT *, doc_id % 4 = 0 AND kind IN ('PROTOCOL_HASH_MISMATCH', 'ARTIFACT_NAME') AS x FROM v)
+  UNION ALL SELECT 'FATAL', 'LEDGER_LINE', NULL, CAST(event_id AS VARCHAR), NULL FROM events WHERE event_id % 97 = 0
+  UNION ALL SELECT 'FATAL', 'CHAIN_LINK', NULL, CAST(line AS VARCHAR), NULL FROM chain WHERE NOT link_ok
+  UNION ALL SELECT 'FATAL', 'CHAIN_HASH', NULL, CAST(line AS VARCHAR), NULL FROM chain WHERE NOT hash_ok)"""
+
+
+def _findings(spark, d):
+    n = F.col("doc_id")
+    tag = lambda p, m: F.concat(F.lit(p), (n % m).cast("string"))
+    e = n.cast("string")
+    docs = table(spark, d, "documents").select("doc_id")
+    records = docs.select(e.alias("experiment_id"), tag("a", 5).alias("protocol_hash"), tag("b", 2).alias("dataset_hash"), F.lit("1").alias("protocol_version"))
+    recognised = records.select("protocol_hash").where("protocol_hash <> 'a4'")
+    file = lambda name, content: (name.alias("file"), content.alias("content"), F.when(n % 41 != 0, e).alias("experiment_id"), tag("a", 3).alias("protocol_hash"), tag("b", 7).alias("dataset_hash"), F.lit("1").alias("protocol_version"))
+    files = docs.select(*file(F.when(n % 50 == 0, "x/other.json").otherwise(F.concat(F.lit("x/"), e, F.lit(".json"))), F.lit("c")))
+    files = files.unionByName(docs.where(n % 13 == 0).select(*file(F.concat(F.lit("y/"), e, F.lit(".json")), F.when(n % 2 == 0, "c").otherwise("d"))))
+    why = lambda kind, detail: docs.where(n % 4 == 0).select(n.alias("line"), F.lit(kind).alias("kind"), e.alias("experiment_id"), detail.alias("detail"), F.concat(F.lit("why "), e).alias("justification"))
+    exceptions = why("PROTOCOL_HASH_MISMATCH", F.concat_ws(" ", tag("a", 5), tag("a", 3))).unionByName(why("ARTIFACT_NAME", F.lit("x/other.json")))
+    ledger = chain_rows(spark, d).withColumn("format", F.when(F.col("line") % 97 != 0, F.col("format")))
+    return provenance.audit(records, recognised, files, ledger, exceptions)
+
+
+@query(_AUDIT + " SELECT * FROM findings")
+def provenance_report(spark, d):
+    """Registry, artifact files, exceptions and ledger in one list of findings."""
+    return _findings(spark, d)
+
+
+@query(_AUDIT + " SELECT count(*) FILTER (severity = 'FATAL') AS fatal, count(*) FILTER (severity = 'OPEN') AS unexplained, count(*) FILTER (severity = 'EXPLAINED') AS acknowledged, count(*) FILTER (severity <> 'EXPLAINED') = 0 AS ok FROM findings")
+def provenance_status(spark, d):
+    return provenance.audit_status(_findings(spark, d))
+
+
 # ---- registry -------------------------------------------------------------------------------------------------------
 
 
