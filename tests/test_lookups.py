@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import hashing
+from tidemark.functions import hashing, rng
 from tidemark.operators import checks, merge, portfolio, provenance
 from tidemark.sources import jsonl, paged
 
@@ -179,3 +179,31 @@ def test_findings_of_registry_files_and_ledger(spark):
     assert tuple(provenance.audit_status(found).first()) == (4, 5, 1, False)
     nothing = provenance.audit(registry.where("false"), registry, files.where("false"), ledger.where("line < 3"), exceptions)
     assert tuple(provenance.audit_status(nothing).first()) == (0, 0, 0, True)
+
+
+def test_newlines_reports_and_unseeded_tickets(spark, tmp_path):
+    texts = spark.createDataFrame([("a\r\nb\nc\r\n",), ("\r",), ("",), (None,)], "x string")
+    assert [r[0] for r in texts.select(jsonl.canonical_newlines(F.col("x"))).collect()] == ["a\nb\nc\n", "\r", "", None]
+    assert jsonl.latest_report(spark, str(tmp_path), "-audit.json") is None
+    for name in ("2024-02-01-audit.json", "2024-10-01-audit.json", "2024-12-01-other.json", "2023-12-31-audit.json"):
+        (tmp_path / name).write_text("no JSON")
+    assert jsonl.latest_report(spark, str(tmp_path), "-audit.json").endswith("/2024-10-01-audit.json")
+    picks = [r["p"] for r in spark.range(400).select(rng.quick_pick(F.col("id")).alias("p")).collect()]
+    assert all(p == sorted(set(p)) and len(p) == 6 and 1 <= p[0] and p[-1] <= 45 for p in picks)
+    assert len(set(map(tuple, picks))) > 390 and len({n for p in picks for n in p}) == 45
+
+
+def test_readiness_of_what_is_missing_and_what_is_there(spark):
+    row = "line long, id string, date date, result array<int>, reason string"
+    good, bad, none = (spark.createDataFrame(x, row) for x in ([(0, "1", DAY, [1], None)], [(0, "1", DAY, [1], None), (1, "2", DAY, [1], "why")], []))
+    described = {"schemaVersion": 2, "recordCount": 1, "sha256": "a" * 64, "firstId": "1", "lastId": "1", "firstDate": "2024-01-01", "lastDate": "2024-01-01", "continuous": True, "missing": 0}
+    assert jsonl.is_manifest(described)
+    answers = lambda *a: {r["check"]: (r["ok"], r["detail"]) for r in checks.readiness(spark, *a).collect()}
+    fine = answers(good, described, "a" * 64, None, {})
+    assert fine["dataset"] == (True, "1 rows") and fine["manifest"] == (True, "digest fits") and fine["requiredArtifact"] == (True, "present") and not fine["protocolLock"][0]
+    assert answers(good, described, "b" * 64, None, None)["manifest"] == (False, "digest differs")
+    assert answers(bad, described, "a" * 64, None, 7) | {"protocolLock": 0} == {"dataset": (False, "1 bad rows"), "manifest": (False, "no valid data set to compare"), "requiredArtifact": (False, "no JSON object"), "protocolLock": 0}
+    assert answers(none, described, "a" * 64, None, None)["dataset"] == (False, "0 rows")
+    lost = answers(None, None, None, None, None)
+    assert {k: v[1] for k, v in lost.items() if k != "protocolLock"} == {"dataset": "not readable", "manifest": "not readable", "requiredArtifact": "not readable"} and not any(ok for ok, _ in lost.values())
+    assert answers(good, {"sha256": 1}, "a" * 64, None, None)["manifest"] == (False, "wrong shape")

@@ -13,7 +13,6 @@ from ..session import settled
 from ..sources import jsonl
 from . import draws, merge
 
-CHECK = "check string, ok boolean, detail string"
 #: Limits of a refresh request.
 MOST_BYTES, MOST_RECORDS = 2 * 1024 * 1024, 3000
 #: Errors by which a source could not be reached; a task's error is known by its text only.
@@ -86,18 +85,21 @@ def readiness(spark: SparkSession, rows: DataFrame | None, manifest: dict | None
     """``check, ok, detail`` of the data set (``rows`` as validated), manifest, protocol lock and required artifact; None stands for what could not be read."""
     from .registry import lock_problem
 
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad")).first() if rows is not None else None
-    whole = bool(found and found["n"] and not found["bad"])
-    dataset = "not readable" if not found else f"{found['bad']} bad rows" if found["bad"] else f"{found['n']} rows"
+    counts = (F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
+    counted = rows.agg(*counts) if rows is not None else spark.range(1).select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("bad"))
+    n, bad = F.col("n"), F.col("bad")
+    whole = F.coalesce((n > 0) & (bad == 0), F.lit(False))
     described = jsonl.is_manifest(manifest)
-    fits = whole and described and manifest["sha256"] == digest
+    fits = whole & F.lit(bool(described and manifest["sha256"] == digest))
+    compared = F.when(~whole, "no valid data set to compare").when(fits, "digest fits").otherwise("digest differs")
     problem = lock_problem(lock)
-    return spark.createDataFrame([
-        ("dataset", whole, dataset),
-        ("manifest", bool(fits), "not readable" if manifest is None else "wrong shape" if not described else "no valid data set to compare" if not whole else "digest fits" if fits else "digest differs"),
-        ("protocolLock", problem is None, problem or f"version {lock['protocolVersion']}"),
-        ("requiredArtifact", isinstance(artifact, (dict, list)), "present" if isinstance(artifact, (dict, list)) else "not readable" if artifact is None else "no JSON object"),
-    ], CHECK)
+    row = lambda name, ok, detail: F.struct(F.lit(name).alias("check"), ok.alias("ok"), detail.alias("detail"))
+    return counted.select(F.explode(F.array(
+        row("dataset", whole, F.when(n.isNull(), "not readable").when(bad > 0, F.concat(bad.cast("string"), F.lit(" bad rows"))).otherwise(F.concat(n.cast("string"), F.lit(" rows")))),
+        row("manifest", fits, F.lit("not readable") if manifest is None else compared if described else F.lit("wrong shape")),
+        row("protocolLock", F.lit(problem is None), F.lit(problem or f"version {lock['protocolVersion']}")),
+        row("requiredArtifact", F.lit(isinstance(artifact, (dict, list))), F.lit("present" if isinstance(artifact, (dict, list)) else "not readable" if artifact is None else "no JSON object")),
+    )).alias("c")).select("c.*")
 
 
 def refresh_state(status: Column, added: Column, conflicts: Column) -> Column:
