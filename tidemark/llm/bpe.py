@@ -128,6 +128,9 @@ def codec(name: str) -> Codec:
     return Codec(name)
 
 
+shared.keeps(codec.cache_clear)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     shared.prepare_python(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -39,7 +39,8 @@ PIECE = 80
 BUCKETS = 1 << 15
 BLOCK = 32
 ROUNDS = 40
-MEMO = 300_000
+#: Words remembered by a worker, twice at most; a worker stays for later stages, and so does most of what it once took.
+MEMO = 100_000
 #: Longer words are scored anew each time instead of being remembered.
 LONGEST = 48
 #: Words kept in a language's lexicon, and how often each must occur in the sample.
@@ -98,7 +99,7 @@ def summed(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) ->
     return np.stack([np.bincount(owner, weights[flat, j], n) for j in range(weights.shape[1])], 1)
 
 
-def _parts(words: list[str], most: int = 500_000) -> Iterator[list[str]]:
+def _parts(words: list[str], most: int = 100_000) -> Iterator[list[str]]:
     """The words in order, in parts of one word at least and few letters beyond ``most``."""
     part, letters = [], 0
     for w in words:
@@ -274,7 +275,9 @@ def sampled_pieces(labelled: DataFrame, sample: int = SAMPLE, piece: int = PIECE
     reach = 16 * piece
     text = F.col("text")
     begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length(text) - reach, F.lit(1)).cast("long")).cast("int")
-    chosen = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id bigint")), "doc_id", "left_semi")
+    # an Arrow table becomes a local relation; a list would be dealt to Python workers of their own, which stay on the executors
+    wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(set(ids)), pa.int64())}))
+    chosen = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id", "left_semi")
     rows = chosen.select("doc_id", "lang", F.substr(text, begin + 1, F.lit(reach)).alias("part")).orderBy("doc_id", "lang", "part").limit(2 * len(ids)).collect()
     for r in rows:
         words = WORD.findall(r["part"].lower())
@@ -307,6 +310,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         m = sent.value
         for batch in batches:
             for a, b, words, lengths in _runs(batch.column(2).to_pylist()):
@@ -315,7 +319,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _runs(texts: list[str | None], most: int = 60_000) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+def _runs(texts: list[str | None], most: int = 20_000) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
     """Rows ``[a, b)`` with their words one after another: one text at least, and few words beyond ``most``."""
     a = 0
     while a < len(texts):
@@ -359,6 +363,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         m = sent.value
         for batch in batches:
             texts = batch.column(at).to_pylist()

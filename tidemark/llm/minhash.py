@@ -49,6 +49,8 @@ FIRST_BANDS = 2
 LEAST_BLOCK = 128
 #: ... and no more members, or shingles, than these.
 MOST_MEMBERS, MOST_SHINGLES = 8192, 1 << 22
+#: Bytes of text shingled together.
+TEXT_BLOCK = 1 << 18
 #: Pairs of signatures compared at once.
 PAIRS = 1 << 17
 _RNG = np.random.default_rng(7)
@@ -129,8 +131,9 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int, bits: int = B
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         for batch in batches:
-            for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
+            for a, b, raw, bounds in shared.text_blocks(batch.column(1), TEXT_BLOCK):
                 sets = shingle_sets(raw, bounds, words)
                 at = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
                 full = [s for s in sets if len(s)]
@@ -174,8 +177,9 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         for batch in batches:
-            for a, b, raw, bounds in shared.text_blocks(batch.column(1)):
+            for a, b, raw, bounds in shared.text_blocks(batch.column(1), TEXT_BLOCK):
                 sets = shingle_sets(raw, bounds, words)
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "items"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.full(max(n, 2 * BLOCK_BYTES), _BASE if kind == "up" else _INVERSE, np.uint64)
+            have = np.full(2 * n, _BASE if kind == "up" else _INVERSE, np.uint64)
             have[0] = 1
             have = np.multiply.accumulate(have)
         _powers[kind] = have
@@ -164,6 +164,23 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(fresh), np.flatnonzero(last) + 1
 
 
+#: How to drop what operators keep in a worker from one task to the next.
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(drop: Callable[[], None]) -> None:
+    """An operator that keeps tables or memos in its worker says here how they are dropped."""
+    _kept.append(drop)
+
+
+def let_go() -> None:
+    """Workers go from stage to stage, and Spark counts their memory in none: drop what other operators have left in this one."""
+    for drop in _kept:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class TwoGenerations:
     """A memo of bounded size: when the young half is full, the old half is forgotten."""
 
