@@ -46,3 +46,9 @@ def test_shingles_do_not_depend_on_the_block():
     by = {most: [s for _, _, raw, bounds in shared.text_blocks(texts, most) for s in minhash.shingle_sets(raw, bounds, 5)] for most in (1, 1000, minhash.TEXT_BLOCK, 1 << 20)}
     for sets in by.values():
         assert all(np.array_equal(a, b) for a, b in zip(sets, by[1 << 20], strict=True))
+
+
+def test_a_fresh_worker_may_see_empty_texts_first(monkeypatch):
+    monkeypatch.setattr(shared, "_powers", {})
+    for _, _, raw, bounds in shared.text_blocks(pa.array([None, ""], pa.string())):
+        assert [len(s) for s in minhash.shingle_sets(raw, bounds, 5)] == [0, 0]

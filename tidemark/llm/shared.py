@@ -128,7 +128,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.full(2 * n, _BASE if kind == "up" else _INVERSE, np.uint64)
+            have = np.full(max(1, 2 * n), _BASE if kind == "up" else _INVERSE, np.uint64)
             have[0] = 1
             have = np.multiply.accumulate(have)
         _powers[kind] = have
