@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = shared.materialise(stage(spark, docs, sf_dir), name)
+        shared.drop_held(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

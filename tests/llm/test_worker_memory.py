@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm import bpe, language_id, minhash, shared
+from tidemark.llm import bpe, decontam, language_id, minhash, shared
 
 
 def test_the_codec_of_another_stage_is_let_go():
@@ -48,6 +48,55 @@ def test_shingles_do_not_depend_on_the_block():
         assert all(np.array_equal(a, b) for a, b in zip(sets, by[1 << 20], strict=True))
 
 
+def test_rows_from_python_that_are_read_again_are_not_written_to_files(spark, monkeypatch):
+    """Each written file starts processes on the executor, whose memory counts twice meanwhile."""
+    written = []
+    whole = shared.materialise
+    monkeypatch.setattr(shared, "materialise", lambda df, name: written.append(name) or whole(df, name))
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words altogether in this one here"), (4, None)], "doc_id bigint, text string")
+    assert {tuple(r) for r in minhash.near_groups(docs).select("doc_id", "component_id", "kept").collect()} == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)}
+    items = spark.createDataFrame([(7, "word1 word2 word3 word4 word5 word6 word7")], "item_id bigint, text string")
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [3, 4]
+    assert not {"signatures", "shingle-sets", "document-windows"} & set(written)
+    shared.drop_held(spark)
+
+
+def test_a_held_table_is_of_its_own_time_and_is_given_up(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    shared.drop_held(spark)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def read(values):
+        pq.write_table(pa.table({"x": pa.array(values, pa.int64())}), f"{tmp_path}/t.parquet")
+        return shared.hold(spark.read.parquet(f"{tmp_path}/t.parquet"))
+
+    first = read([1, 2])
+    assert first.columns == ["x"] and sorted(r["x"] for r in first.collect()) == [1, 2]
+    second = read([3, 4, 5])
+    assert sorted(r["x"] for r in second.collect()) == [3, 4, 5]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 2
+    shared.drop_held(spark, first)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 1
+    shared.drop_held(spark)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_decontamination_lets_go_before_it_reads(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(shared, "let_go", lambda: calls.append(1))
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    caught = []
+    frame = type(docs)
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema, *a, **k: caught.append(run) or whole(self, run, schema, *a, **k))
+    decontam.window_table(docs, "doc_id", 5)
+    for run in caught:
+        list(run(iter([])))
+    assert len(caught) == len(calls) == 1
+
+
 def test_a_fresh_worker_may_see_empty_texts_first(monkeypatch):
     monkeypatch.setattr(shared, "_powers", {})
     for _, _, raw, bounds in shared.text_blocks(pa.array([None, ""], pa.string())):

@@ -191,7 +191,8 @@ def window_table(docs: DataFrame, id_column: str, words: int, bitmap: np.ndarray
     sent = spark.sparkContext.broadcast(bitmap)  # BITMAP / 8 bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _window_batches(batches, words, sent.value)
+        shared.let_go()
+        yield from _window_batches(batches, words, sent.value)
 
     rows = docs.where(F.col("text").isNotNull())
     if bitmap is None:
@@ -246,7 +247,7 @@ def _anchors(items: DataFrame, found: DataFrame, share: float) -> DataFrame:
 def _matched(docs: DataFrame, items: DataFrame, words: int, share: float) -> DataFrame:
     total = items.groupBy("id").agg(F.count_distinct("at").alias("n_windows")).withColumnRenamed("id", "item_id")
     found = window_table(docs, "doc_id", words, _bitmap(items)).select(F.col("id").alias("doc_id"), "digest", "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    found = shared.materialise(found, "document-windows")
+    found = shared.hold(found)
     candidates = found.select("doc_id", "digest", "window").distinct().join(_anchors(items, found, share), "window").select(F.col("doc_id").alias("d"), F.col("digest").alias("t"), "item_id").distinct()
     mine = items.select(F.col("id").alias("item_id"), "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t"))).drop("d", "t")

@@ -194,12 +194,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     side's set is met by a join that can be split.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    sets = shared.materialise(shingle_table(docs, ids, words), "shingle-sets")
+    sets = shared.hold(shingle_table(docs, ids, words))
     left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("both"))
     links = shared.materialise(met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), "links")
-    shared.drop_table(sets)
+    shared.drop_held(docs.sparkSession, sets)
     return links
 
 
@@ -345,12 +345,13 @@ def links_between(docs: DataFrame, canopies: DataFrame, words: int, percent: int
     members = shared.materialise(canopies, "canopy-members")
     dealt = _blocks(members).select("a", "i", "j", "side", "rep", "root", "n_shingles", "planes")
     open_ = shared.materialise(dealt.mapInArrow(lambda x: _open_members(x, percent, least), fields).distinct(), "open-members")
-    sets = shared.materialise(shingle_table(docs, open_.select("rep").distinct(), words), "shingle-sets")
+    sets = shared.hold(shingle_table(docs, open_.select("rep").distinct(), words))
     met = members.join(open_, ["a", "rep"], "left_semi").join(sets, "rep")
     dealt = _blocks(met).select("a", "i", "j", "side", "rep", "root", "n_shingles", "planes", "items")
     links = shared.materialise(dealt.mapInArrow(lambda x: _joining_links(x, percent, least), "a bigint, b bigint").distinct(), "links")
-    for table in (members, open_, sets):
+    for table in (members, open_):
         shared.drop_table(table)
+    shared.drop_held(docs.sparkSession, sets)
     return links
 
 
@@ -359,7 +360,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     rows, bands = band_shape(percent / 100)
     least = least_likeness(percent / 100)
-    signed = shared.materialise(signatures(docs, words, rows, bands), "signatures")
+    signed = shared.hold(signatures(docs, words, rows, bands))
     classes = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("planes").alias("planes"), F.first("n_shingles").alias("n_shingles"))
     classes = shared.materialise(classes, "classes")
     planes = classes.select("rep", "planes")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..session import importable
 
@@ -68,6 +69,31 @@ def drop_table(df: DataFrame | None) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_held: list[tuple[DataFrame, DataFrame]] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in blocks on the executors' disks; the blocks of a lost executor are computed anew.
+
+    For rows that come straight from Python workers and are read several times.  No files are written: each file makes
+    the executor start processes (in a local folder three runs of chmod), and while one starts, all memory of the JVM is
+    also counted as the new process's.
+    """
+    tag = free_name(df, "_held")
+    kept = df.withColumn(tag, F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY)  # no equal plan over older files is taken for this one
+    kept.count()
+    _held.append((kept.drop(tag), kept))
+    return _held[-1][0]
+
+
+def drop_held(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give up tables made by :func:`hold` that no later plan reads; all of the session's if none is named."""
+    for pair in list(_held):
+        if pair[1].sparkSession is spark and (not tables or any(pair[0] is t for t in tables)):
+            pair[1].unpersist()
+            _held.remove(pair)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of plans that nothing refers to any more."""
     gc.collect()
