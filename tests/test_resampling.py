@@ -10,7 +10,7 @@ import pytest
 
 from tests.test_goldens import plain_stream, plain_ticket
 from tidemark.functions import rng
-from tidemark.operators import permutation, resample
+from tidemark.operators import permutation, pool18, resample, walkforward
 from tidemark.plans.catalog import sql_swaps, sql_ticket
 
 
@@ -111,3 +111,37 @@ def test_permutation_by_pointers(spark, n, seed):
         j = int(next(s) * (i + 1))
         order[i], order[j] = order[j], order[i]
     assert got == list(enumerate(order)) and rng.permutation(n, seed).tolist() == order
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 99, 100, 101, 250])
+def test_arcs_share_their_pieces(n):
+    """Sums over arcs of a ring of 100 places, longer ones going round, against a walk; shares visit each covered place once."""
+    r = random.Random(n)
+    begins, worth = np.array([r.randrange(100) for _ in range(9)]), np.array([[r.randrange(50), 1] for _ in range(100)], float)
+    arcs = rng.Arcs(begins, n, 100)
+    each, visited = np.zeros((len(arcs.length), 2)), []
+    for part in range(7):
+        for piece, a, b in arcs.dealt(part, 7):
+            each[piece] += worth[a:b].sum(0)
+            visited += range(a, b)
+    assert sorted(visited) == sorted({(k + i) % 100 for k in begins for i in range(n)})
+    assert arcs.sums(each).tolist() == [worth[[(k + i) % 100 for i in range(n)]].sum(0).tolist() for k in begins.tolist()]
+
+
+def test_long_bootstraps_draw_one_period_at_most():
+    """10,000 repetitions of 9,000,000 places share the cycle; each value stands for the place it has in its own stream."""
+    arcs = resample._arcs(9_000_000, 645, 10_000)
+    assert 0 < arcs.length.sum() <= rng.PERIOD < 10_000 * 9_000_000
+    for k in (0, 9_999):
+        start = int(rng.unit_seeds(645, 10_000, 9_000_000, k, k + 1)[0])
+        first = int(rng.cycle_places(np.array([start], np.uint32))[0]) + 1
+        want = np.minimum((rng.stream(start, 70_000) * 9_000_000).astype(int), 8_999_999)
+        assert resample.drawn_places(9_000_000, first, first + 70_000).tolist() == want.tolist()
+        assert arcs.first[arcs.begin[k]] == first % rng.PERIOD
+
+
+def test_series_computes_its_matches_once(spark):
+    table = spark.range(200).selectExpr("id AS t", "lpad(id, 8, '0') AS id", "date'2020-01-01' AS date", "array(1, 2, 3, 4, 5, cast(6 + id % 39 AS int)) AS result")
+    for plan in (walkforward.series(table, 90, "COLD").select("strategy", "t", "k"), pool18.observations(table, 90, None).select("rule", "t", "k")):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("array_intersect") == (4 if "HOT18" in text else 3)

@@ -34,7 +34,9 @@ def observations(table: DataFrame, lookback: int = 90, seed: int | None = 645) -
         wide = wide.withColumn("RANDOM18", rng.pool_pick(seed, POOL)(F.col("t")))
         names.append("RANDOM18")
     each = F.array(*[F.struct(F.lit(n).alias("rule"), rules.matches(F.col(n), F.col("result")).alias("k")) for n in names])
-    return wide.select("t", "date", F.explode(each).alias("o")).select("t", "date", "o.rule", "o.k", (F.col("o.k") == 6).alias("hit6"))
+    # as in walkforward.series, places are exploded, so that nothing is computed twice
+    placed = wide.select("t", "date", each.alias("all"), F.explode(F.array(*map(F.lit, range(len(names))))).alias("_i"))
+    return placed.select("t", "date", F.get("all", "_i").alias("o")).select("t", "date", "o.rule", "o.k", (F.col("o.k") == 6).alias("hit6"))
 
 
 def leak_check(table: DataFrame, lookback: int = 90, seed: int = 645) -> DataFrame:

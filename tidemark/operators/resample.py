@@ -1,14 +1,15 @@
 """Seeded resampling: null distributions, sign flips, bootstraps.
 
 One seed is one stream, and its values are a function of the counter, so a task can start
-anywhere in it.  Work is dealt as (repetitions x block of rows): a task draws what its
-repetitions need for its block and hands on sums, which are added up.  The result is that of one
+anywhere in it.  Work is dealt as (repetitions x block of rows) or as parts of the cycle that all
+seeds share: a task draws its values and hands on sums, which are added up.  The result is that of one
 sequential loop, as far as one period of the stream reaches; beyond it each repetition has a
 seed of its own (``rng.unit_seeds``).
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +25,9 @@ from ..session import importable, settled
 #: Values that one task draws, and draws of one block of a simulation.
 WORK, DRAWS = 1 << 28, 1 << 20
 #: Differences of one block; numbers drawn together.
-BLOCK, CHUNK = 1 << 18, 1 << 19
-#: Up to so many blocks each draws all bootstrap places of its repetitions and keeps its own; beyond, places are sent to their blocks.
+BLOCK, CHUNK = 1 << 18, 1 << 15
+#: So many blocks in a row draw all bootstrap places together and keep their own.
 REDRAWN = 16
-#: Repetitions whose places are sent together.
-TOGETHER = 32
 
 
 def _ranges(spark: SparkSession, n: int, part: int) -> DataFrame:
@@ -113,35 +112,31 @@ def fairness(table: DataFrame, simulations: int = 2000, seed: int = 645) -> Data
 
 def flipped_sums(d: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The sums of the rows of ``d`` with signs drawn from each start on (``starts x rows``; all rows share the signs)."""
-    out = np.empty((len(starts), len(d)))
-    step, own = max(1, CHUNK // max(d.shape[1], 1)), rng.states(0, d.shape[1], 1)
-    for a in range(0, len(starts), step):
-        with np.errstate(over="ignore"):
-            low = rng._bits(starts[a : a + step, None] + own) < np.uint32(1 << 31)
-        out[a : a + step] = d.sum(1) - 2.0 * (low @ d.T)
+    out, own = np.zeros((len(starts), len(d))), rng.states(0, d.shape[1], 1)
+    wide, step = 4096, 16
+    for a in range(0, d.shape[1], wide):
+        some, at = np.ascontiguousarray(d[:, a : a + wide].T, np.float64), own[a : a + wide]
+        for k in range(0, len(starts), step):
+            with np.errstate(over="ignore"):
+                # 1 and -1 for values below and from one half on
+                out[k : k + step] -= rng.halves(starts[k : k + step, None] + at) @ some
     return out
 
 
-def drawn_places(n: int, starts: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
-    """Bootstrap places of values ``first`` .. ``last - 1`` of each start."""
-    own = rng.states(0, (n if last is None else last) - first, first + 1)
+def drawn_places(n: int, first: int, last: int) -> np.ndarray:
+    """Which of ``n`` places the values at ``first`` .. ``last - 1`` of the cycle stand for."""
     with np.errstate(over="ignore"):
-        u = rng._mixed(starts[:, None] + own)
-    return np.minimum((u * n).astype(np.int64), n - 1)
-
-
-def drawn_sums(d: np.ndarray, n: int, offset: int, starts: np.ndarray) -> np.ndarray:
-    """The sums over a bootstrap of ``n`` places of those that lie in the block at ``offset``, for each row of ``d`` (``starts x rows``)."""
-    out = np.zeros((len(starts), len(d)))
-    whole = offset == 0 and d.shape[1] == n
-    for k in range(len(starts)):
-        for a in range(0, n, CHUNK):
-            at = drawn_places(n, starts[k : k + 1], a, min(n, a + CHUNK))[0] - offset
-            if not whole:
-                at = at[(at >= 0) & (at < d.shape[1])]
-            # how often each place is drawn, and these numbers times the rows
-            out[k] += d @ np.bincount(at, minlength=d.shape[1])
-    return out
+        state = _steps(last - first) + rng.states(0, 1, first)
+    return (rng.mixed_bits(state) * (n / rng.PERIOD)).astype(np.int64)
+
+
+@functools.cache
+def _strides() -> np.ndarray:
+    return rng.states(0, CHUNK)
+
+
+def _steps(n: int) -> np.ndarray:
+    return _strides()[:n] if n <= CHUNK else rng.states(0, n)
 
 
 def sign_flip_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
@@ -149,7 +144,8 @@ def sign_flip_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterati
 
 
 def bootstrap_sums(deltas: np.ndarray, seed: int, first: int, last: int, iterations: int | None = None) -> np.ndarray:
-    return drawn_sums(deltas[None], len(deltas), 0, rng.unit_seeds(seed, iterations or last, len(deltas), first, last))[:, 0]
+    n = len(deltas)
+    return np.array([deltas[drawn_places(n, k + 1, k + 1 + n)].sum() for k in rng.cycle_places(rng.unit_seeds(seed, iterations or last, n, first, last))])
 
 
 def bounds(iterations: int) -> tuple[int, int]:
@@ -176,6 +172,7 @@ def bootstrap(deltas: np.ndarray, seed: int, iterations: int = 10_000) -> tuple[
 def in_series(deltas: DataFrame, key: str) -> DataFrame:
     """Blocks of at most ``BLOCK`` differences in the order of ``t`` (distinct in a key): ``key, blk, offset, n, total, d``."""
     blocks = deltas.groupBy(key, F.expr(f"t div {BLOCK}").alias("blk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: x["d"].cast("double")).alias("d"))
+    blocks = settled(blocks, "blocks")  # else the differences are computed once more for the sizes
     sizes = blocks.select(key, "blk", F.size("d").cast("long").alias("m"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("s"))
     # a row a block: a key's blocks are numbered by running sums
     before = Window.partitionBy(key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -184,83 +181,111 @@ def in_series(deltas: DataFrame, key: str) -> DataFrame:
     return blocks.join(placed, [key, "blk"]).select(key, "blk", "offset", "n", "total", "d")
 
 
-def _dealt(rows: DataFrame, values: Column, iterations: int, least: int = 1) -> DataFrame:
-    """Each row once for every range of repetitions (``first, last``), a range of ``WORK`` values, which ``values`` says how many a repetition draws."""
-    span = F.greatest(F.lit(least), F.least(F.lit(iterations), F.floor(F.lit(WORK) / values))).cast("long")
-    out = rows.withColumn("span", span).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"), F.col("span"))))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.withColumn("last", F.least(F.col("first") + F.col("span"), F.lit(iterations))).drop("span").repartition(4 * parts)
+def _shares(spark: SparkSession, values: Column, rows: int) -> tuple[Column, int]:
+    """In how many shares a row's work of ``values`` is dealt, and to how many partitions: ``WORK`` values each, but no more copies of rows than keep all cores busy."""
+    busy = 4 * spark.sparkContext.defaultParallelism
+    copies = max(1, -(-busy // max(1, rows)))
+    return F.least(F.greatest(F.lit(1), F.ceil(values / F.lit(float(WORK)))), F.lit(copies)).cast("long"), max(busy, min(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _shared(rows: DataFrame, shares: Column) -> DataFrame:
+    """Each row once for each of its ``shares`` (``share``: from 0)."""
+    return rows.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
 
 
 def paired(deltas: DataFrame, key: str, seed: int, iterations: int = 10_000) -> DataFrame:
     """Sign-flip test and bootstrap interval of ``d`` (in the order of ``t``) for each value of ``key``."""
     spark = deltas.sparkSession
     importable(spark)
-    kind = dict(deltas.dtypes)[key]
     series = settled(in_series(deltas, key), "series")
+    flip, boot = _flipped(series, key, seed, iterations), _drawn(series, key, seed, iterations)
+    sums = flip.select(key, "iteration", "flip", F.lit(None).cast("double").alias("boot")).unionByName(boot.select(key, "iteration", F.lit(None).cast("double").alias("flip"), "boot"))
+    means = sums.groupBy(key, "iteration").agg(F.sum("flip").alias("flip"), F.sum("boot").alias("boot")).join(series.groupBy(key).agg(F.first("n").alias("n"), F.first("total").alias("total")), key)
+    means = means.select(key, (F.col("total") / F.col("n")).alias("mean_delta"), (F.col("flip") / F.col("n")).alias("flip"), (F.col("boot") / F.col("n")).alias("boot"))
+    low, high = bounds(iterations)
+    sorted_flip, sorted_boot = F.sort_array(F.collect_list("flip")), F.sort_array(F.collect_list("boot"))  # as many as iterations
+    return means.groupBy(key).agg(
+        F.first("mean_delta").alias("mean_delta"), F.get(sorted_flip, F.lit(low)).alias("null_low"), F.get(sorted_flip, F.lit(high)).alias("null_high"),
+        F.least(F.lit(1.0), F.count_if(F.abs("flip") >= F.abs("mean_delta")) / F.lit(float(iterations))).alias("flip_p"),
+        F.get(sorted_boot, F.lit(low)).alias("boot_low"), F.get(sorted_boot, F.lit(high)).alias("boot_high"),
+    )
+
+
+def _flipped(series: DataFrame, key: str, seed: int, iterations: int) -> DataFrame:
+    """``key, iteration, flip``: sums under signs, each block by itself."""
+    spark, kind = series.sparkSession, dict(series.dtypes)[key]
     # keys with series alike draw the same values; they are drawn once
     alike = series.groupBy("n", "offset", F.size("d").alias("m")).agg(F.collect_list(F.struct(F.col(key).alias("key"), "d")).alias("rows"))  # as many as keys
-    near, far = alike.where(F.col("n") <= REDRAWN * BLOCK), alike.where(F.col("n") > REDRAWN * BLOCK)
+    shares, parts = _shares(spark, F.col("m") * F.lit(float(iterations)), series.select("n", "offset").distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for offset, n, rows, first, last in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), *(c.to_pylist() for c in batch.columns[3:])):
+            for offset, n, rows, share, of in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), *(c.to_pylist() for c in batch.columns[3:])):
+                first, last = (iterations * k // of for k in (share, share + 1))
                 starts, keys = rng.unit_seeds(seed, iterations, n, first, last), rows.values.field("key")
                 own = rows.values.field("d").flatten().to_numpy().reshape(len(keys), -1)
                 with np.errstate(over="ignore"):
                     flip = flipped_sums(own, starts + rng.STEP * np.uint32(offset % rng.PERIOD))
-                boot = drawn_sums(own, n, offset, starts) if n <= REDRAWN * BLOCK else np.zeros(flip.shape)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.tile(np.arange(len(keys)), len(starts)))), pa.array(np.repeat(np.arange(first, last), len(keys))), pa.array(flip.ravel()), pa.array(boot.ravel())], [key, "iteration", "flip", "boot"])
-
-    sums = f"{key} {kind}, iteration bigint, flip double, boot double"
-    parts = _dealt(near, F.col("m") + F.col("n"), iterations).unionByName(_dealt(far, F.col("m"), iterations))
-    done = parts.select("offset", "n", "rows", "first", "last").mapInArrow(run, sums)
-    if not far.isEmpty():
-        done = done.unionByName(_sent(series.where(F.col("n") > REDRAWN * BLOCK), key, kind, seed, iterations))
-    means = done.groupBy(key, "iteration").agg(F.sum("flip").alias("flip"), F.sum("boot").alias("boot")).join(series.groupBy(key).agg(F.first("n").alias("n"), F.first("total").alias("total")), key)
-    means = means.select(key, (F.col("total") / F.col("n")).alias("mean_delta"), (F.col("flip") / F.col("n")).alias("flip"), (F.col("boot") / F.col("n")).alias("boot"))
-    low, high = bounds(iterations)
-    sorted_flip, sorted_boot = F.sort_array(F.collect_list("flip")), F.sort_array(F.collect_list("boot"))  # as many as iterations
-    return means.groupBy(key).agg(
-        F.first("mean_delta").alias("mean_delta"), F.get(sorted_flip, F.lit(low)).alias("null_low"), F.get(sorted_flip, F.lit(high)).alias("null_high"),
-        F.least(F.lit(1.0), F.count_if(F.abs("flip") >= F.abs("mean_delta")) / F.lit(float(iterations))).alias("flip_p"),
-        F.get(sorted_boot, F.lit(low)).alias("boot_low"), F.get(sorted_boot, F.lit(high)).alias("boot_high"),
-    )
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.tile(np.arange(len(keys)), len(starts)))), pa.array(np.repeat(np.arange(first, last), len(keys))), pa.array(flip.ravel())], [key, "iteration", "flip"])
 
+    dealt = _shared(alike, shares).select("offset", "n", "rows", "share", "shares").repartition(parts)
+    return dealt.mapInArrow(run, f"{key} {kind}, iteration bigint, flip double")
 
-def _sent(series: DataFrame, key: str, kind: str, seed: int, iterations: int) -> DataFrame:
-    """Bootstrap sums of long series: each block of a repetition's values is drawn once, and its places go to the blocks they point to.
 
-    Blocks hold ``BLOCK`` differences here, except that a key's t may leave gaps; places are found by the blocks' offsets,
-    of which a task has those of one key.
-    """
-    bases = series.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("offset", "blk"))).alias("blocks"))  # a number a block
+def _arcs(n: int, seed: int, iterations: int) -> rng.Arcs:
+    """The values of all bootstraps of ``n`` places, on the cycle of all states."""
+    return rng.Arcs(rng.cycle_places(rng.unit_seeds(seed, iterations, n)) + 1, n, rng.PERIOD)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n, offset, m, blocks, first, last in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
-                begins, names = np.array([b["offset"] for b in blocks]), np.array([b["blk"] for b in blocks])
-                for it, start in enumerate(rng.unit_seeds(seed, iterations, n, first, last), first):
-                    at = np.sort(drawn_places(n, np.array([start], np.uint32), offset, offset + m)[0])
-                    of = np.searchsorted(begins, at, "right") - 1
-                    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(at))
-                    cuts = np.concatenate(([0], ends[:-1]))
-                    held = [(at[a:b] - begins[of[a]]).astype("<u4").tobytes() for a, b in zip(cuts, ends)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(held), batch.column(0).type), pa.array(names[of[cuts]]), pa.array([it] * len(held), pa.int64()), pa.array(held, pa.binary())], [key, "blk", "iteration", "places"])
-
-    drawn = _dealt(series.select(key, "n", "offset", F.size("d").alias("m")).join(bases, [key, "n"]), F.col("m"), iterations)
-    places = drawn.select(key, "n", "offset", "m", "blocks", "first", "last").mapInArrow(draw, f"{key} {kind}, blk bigint, iteration bigint, places binary")
-    places = places.withColumn("chunk", F.expr(f"iteration div {TOGETHER}"))
-    blocks = series.select(key, "blk", "d").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((iterations - 1) // TOGETHER).cast("long"))))
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        sums: dict[int, float] = {}
-        if right.num_rows:
-            d = right.column("d").combine_chunks().values.to_numpy()
-            for it, held in zip(left.column("iteration").to_pylist(), left.column("places")):
-                sums[it] = sums.get(it, 0.0) + float(d[np.frombuffer(held.as_py(), "<u4")].sum())
-        name = (left if left.num_rows else right).column(key)[0]
-        return pa.table({key: pa.array([name.as_py()] * len(sums), left.column(key).type), "iteration": pa.array(list(sums), pa.int64()), "flip": pa.array([0.0] * len(sums)), "boot": pa.array(list(sums.values()), pa.float64())})
-
-    met = places.groupBy(key, "blk", "chunk").cogroup(blocks.groupBy(key, "blk", "chunk"))
-    return met.applyInArrow(add, f"{key} {kind}, iteration bigint, flip double, boot double")
+
+def _drawn(series: DataFrame, key: str, seed: int, iterations: int) -> DataFrame:
+    """``key, iteration, boot``: sums over bootstraps.
+
+    Which place a value stands for depends on where the value lies on the cycle of all states and on ``n``
+    alone, so a repetition's sum is one over an arc of this cycle.  Places that arcs share are drawn
+    once, at most one period for all repetitions of any length.  ``REDRAWN`` blocks in a row draw them together,
+    and each such group keeps its own.
+    """
+    spark, kind = series.sparkSession, dict(series.dtypes)[key]
+    grouped = series.withColumn("together", F.expr(f"blk div {REDRAWN}"))
+    values = F.least(F.col("n") * F.lit(float(iterations)), F.lit(float(rng.PERIOD)))
+    shares, parts = _shares(spark, values, grouped.select("n", "together").distinct().count())
+
+    def draw(table: pa.Table) -> pa.Table:
+        n, share, of = (table.column(c)[0].as_py() for c in ("n", "share", "shares"))
+        names = table.column(key).combine_chunks().dictionary_encode()
+        offset, held = table.column("offset").to_numpy(), table.column("d").combine_chunks()
+        code, values, ends = names.indices.to_numpy(), held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())
+        lists = np.split(values, ends[:-1])
+        # the keys of each range of places, side by side
+        ranges: dict[tuple[int, int], list[int]] = {}
+        rows = [np.flatnonzero(code == k) for k in range(len(names.dictionary))]
+        rows = [r[np.argsort(offset[r])] for r in rows]
+        for k, r in enumerate(rows):
+            ranges.setdefault((int(offset[r[0]]), sum(len(lists[i]) for i in r)), []).append(k)
+        wide = [(low, m, keys, np.stack([np.concatenate([lists[i] for i in rows[k]]) for k in keys], 1)) for (low, m), keys in ranges.items()]
+        pieces, sums, found, one = [], [], [np.empty((CHUNK, len(keys))) for _, _, keys, _ in wide], np.ones(CHUNK)
+        for piece, first, last in _arcs(n, seed, iterations).dealt(share, of):
+            total = np.zeros(len(rows))
+            for a in range(first, last, CHUNK):
+                at = drawn_places(n, a, min(last, a + CHUNK))
+                for (low, m, keys, d), out in zip(wide, found):
+                    here = at if m == n else at - low
+                    here = here if m == n else here[here.view(np.uint64) < m]
+                    total[keys] += one[: len(here)] @ d.take(here, 0, out[: len(here)], "clip")
+            pieces.append(piece)
+            sums.append(total)
+        each = pa.array(np.tile(np.arange(len(rows)), len(pieces)))
+        return pa.table({key: names.dictionary.take(each), "n": pa.array(np.full(len(each), n)), "piece": pa.array(np.repeat(np.array(pieces, np.int64), len(rows))), "boot": pa.array(np.concatenate([np.zeros(0), *sums]))})
+
+    def spread(table: pa.Table) -> pa.Table:
+        arcs = _arcs(table.column("n")[0].as_py(), seed, iterations)
+        each = np.zeros((len(arcs.length), 1))
+        each[table.column("piece").to_numpy(), 0] = table.column("boot").to_numpy()
+        boot = arcs.sums(each)[:, 0]
+        return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(boot), table.column(key).type), "iteration": pa.array(np.arange(len(boot))), "boot": pa.array(boot)})
+
+    by = ["n", "together", "share"]
+    dealt = _shared(grouped, shares).select(*by, "shares", key, "offset", "d").repartition(2 * parts, *by)
+    pieces = dealt.groupBy(*by).applyInArrow(draw, f"{key} {kind}, n bigint, piece bigint, boot double")
+    summed = pieces.groupBy(key, "n", "piece").agg(F.sum("boot").alias("boot"))
+    return summed.groupBy(key, "n").applyInArrow(spread, f"{key} {kind}, iteration bigint, boot double")  # as many rows as twice the iterations

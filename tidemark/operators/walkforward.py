@@ -137,8 +137,11 @@ def series(table: DataFrame, lookback: int = 90, control: str = "RANDOM", keys:
     """LONG: ``t, date, strategy, k, hit3, payout, control_k, control_payout``; null payouts count 0."""
     wide = picks(table, lookback, keys=keys, carry=("id", "date"))
 
+    # matches in columns of their own, each computed once
+    wide = wide.withColumns({f"_k_{n}": rules.matches(F.col(n), F.col("result")) for n in RULES})
+
     def scored(name: str) -> Column:
-        k = rules.matches(F.col(name), F.col("result"))
+        k = F.col(f"_k_{name}")
         return F.struct(F.lit(name).alias("strategy"), k.cast("double").alias("k"), (k >= 3).cast("double").alias("hit3"), F.coalesce(rules.payout(k), F.lit(0)).cast("double").alias("payout"))
 
     each = [scored(n) for n in RULES]
@@ -147,7 +150,9 @@ def series(table: DataFrame, lookback: int = 90, control: str = "RANDOM", keys:
         each.append(F.struct(F.lit("RANDOM").alias("strategy"), F.col("_r.k").alias("k"), F.col("_r.hit3").alias("hit3"), F.col("_r.payout").alias("payout")))
     base = each[-1] if control == "RANDOM" else scored(control)
     wide = wide.select(*keys, "t", "date", F.array(*each).alias("all"), base.alias("base"))
-    long = wide.select(*keys, "t", "date", F.explode("all").alias("s"), "base")
+    # places of the array and not its values are exploded: Spark would check the array for being empty first, and for that compute all it holds once more
+    placed = wide.select(*keys, "t", "date", "all", "base", F.explode(F.array(*map(F.lit, range(len(each))))).alias("_i"))
+    long = placed.select(*keys, "t", "date", F.get("all", "_i").alias("s"), "base")
     return long.select(*keys, "t", "date", "s.strategy", "s.k", "s.hit3", "s.payout", F.col("base.k").alias("control_k"), F.col("base.payout").alias("control_payout"))
 
 
