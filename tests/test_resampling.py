@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.test_goldens import plain_stream, plain_ticket
-from tidemark.functions import rng
+from tidemark.functions import numeric, rng
 from tidemark.operators import permutation, pool18, resample, walkforward
 from tidemark.plans.catalog import sql_swaps, sql_ticket
 
@@ -160,3 +161,20 @@ def test_pools_with_a_leak_are_filled_together(monkeypatch):
     calls, places = [], rng.places
     monkeypatch.setattr(rng, "places", lambda *a: calls.append(1) or places(*a))
     assert rng.filled_pools(seeds, results).tolist() == want and len(calls) == 3
+
+
+@pytest.mark.parametrize("n, p", [(1, 0.3), (40, 0.5), (1471, 0.0022791728974372195), (3000, 0.999), (5000, 0.2)])
+def test_binomial_tail_against_the_sum_of_all_terms(n, p):
+    for x in sorted({0, 1, n // 3, int(n * p), int(n * p) + 1, int(n * p + 40 * (n * p) ** 0.5), n, n + 1}):
+        whole = min(1.0, math.fsum(numeric.binomial_pmf(n, k, p) for k in range(max(x, 0), n + 1)))
+        assert numeric.binomial_tail(n, x, p) == pytest.approx(1.0 if x <= 0 else whole, rel=1e-9, abs=1e-300)
+    assert [numeric.binomial_tail(n, x, q) for q in (0.0, 1.0) for x in (0, 1, n, n + 1)] == [1.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0]
+
+
+def test_binomial_tail_of_many_draws_takes_few_terms(monkeypatch):
+    """9,000,000 draws: one term by special functions, a few thousand by ratios; before, one after the other."""
+    calls, pmf = [], numeric.binomial_pmf
+    monkeypatch.setattr(numeric, "binomial_pmf", lambda *a: calls.append(a) or pmf(*a))
+    assert numeric.binomial_tail(9_000_000, 20_513, pool18.P0) == pytest.approx(0.5, abs=0.01) and len(calls) == 1
+    low, high = numeric.clopper_pearson(9_000_000, 20_513)
+    assert (low, high) == pytest.approx((20_513 / 9e6 - 1.96 * 143 / 9e6, 20_513 / 9e6 + 1.96 * 143 / 9e6), rel=1e-3)
