@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.test_goldens import plain_stream, plain_ticket
-from tidemark.functions import numeric, rng
+from tidemark.functions import hashing, numeric, rng
 from tidemark.operators import permutation, pool18, resample, walkforward
 from tidemark.plans.catalog import sql_swaps, sql_ticket
 
@@ -178,3 +179,20 @@ def test_binomial_tail_of_many_draws_takes_few_terms(monkeypatch):
     assert numeric.binomial_tail(9_000_000, 20_513, pool18.P0) == pytest.approx(0.5, abs=0.01) and len(calls) == 1
     low, high = numeric.clopper_pearson(9_000_000, 20_513)
     assert (low, high) == pytest.approx((20_513 / 9e6 - 1.96 * 143 / 9e6, 20_513 / 9e6 + 1.96 * 143 / 9e6), rel=1e-3)
+
+
+def test_dataset_hash_streams_pieces(spark, monkeypatch):
+    """Lines in any order, far apart and below zero, against one loop; pieces and not lines come to the driver; a null line is an error."""
+    monkeypatch.setattr(hashing, "LINES", 60)
+    r = random.Random(6)
+    at = r.sample(range(-10**12, 10**12), 250) + list(range(250))
+    rows = [(t, f"{t} é\U0001f600 " * r.randrange(4)) for t in at]
+    r.shuffle(rows)
+    frame, came = spark.createDataFrame(rows, "t bigint, line string").repartition(3), []
+    kind, local = type(frame), type(frame).toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, **k: (came.append(x) or x for x in local(self, **k)))
+    want = hashlib.sha256("".join(line + "\n" for _, line in sorted(rows)).encode()).hexdigest()
+    assert hashing.dataset_hash(frame) == want and 0 < len(came) < 50
+    assert hashing.dataset_hash(frame.limit(0)) == hashlib.sha256().hexdigest()
+    with pytest.raises(Exception, match="a line is null"):
+        hashing.dataset_hash(spark.createDataFrame([(1, None)], "t bigint, line string"))

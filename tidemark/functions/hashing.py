@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 
 def canonical_json(value) -> str:
     """Sorted keys, no blanks, raw UTF-8; whole floats are written without a fraction."""
@@ -61,13 +67,38 @@ def draw_json(date: Column, draw_id: Column, result: Column, process_time: Colum
     return F.concat(*parts, F.lit("}"))
 
 
+#: Lines of one partition that is sent to the driver.
+LINES = 200_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a batch, each with its newline, as one piece."""
+    for batch in batches:
+        lines = batch.column(0)
+        if lines.null_count:
+            raise ValueError("a line is null")
+        ended = pc.binary_join_element_wise(lines.cast(pa.string()), "", "\n")
+        yield pa.RecordBatch.from_arrays([pa.array([ended.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(ended)).as_py() or 0]], pa.binary())], ["piece"])
+
+
 def dataset_hash(lines: DataFrame) -> str:
     """SHA-256 over all lines in order, each with its newline; ``lines`` has ``t, line``.
 
-    A single SHA-256 is sequential, so the lines stream through the driver one partition at a
-    time; nothing but the current partition is held.
+    A single SHA-256 is sequential.  Tasks put ranges of ``t`` in order and join their lines to pieces, which are held on the
+    executors' disks and stream through the driver, one partition at a time.
     """
+    spark = lines.sparkSession
+    importable(spark)
+    n, low, high = lines.agg(F.count(F.lit(1)), F.coalesce(F.min("t"), F.lit(0)), F.coalesce(F.max("t"), F.lit(0))).first()
+    parts = max(1, -(-n // LINES))
+    width = (high - low) // parts + 1
+    at = F.coalesce(F.expr(f"(t - {low}L) div {width}L"), F.lit(0)).cast("int")
+    pieces = lines.repartitionById(parts, at).sortWithinPartitions("t").select("line").mapInArrow(_joined, "piece binary").persist(StorageLevel.DISK_ONLY)
     h = hashlib.sha256()
-    for row in lines.orderBy("t").select("line").toLocalIterator(prefetchPartitions=True):
-        h.update(row["line"].encode() + b"\n")
+    try:
+        pieces.count()  # all partitions side by side; else each is only computed when the driver asks for it
+        for row in pieces.toLocalIterator(prefetchPartitions=True):
+            h.update(row["piece"])
+    finally:
+        pieces.unpersist()
     return h.hexdigest()
