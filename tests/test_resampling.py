@@ -181,6 +181,32 @@ def test_binomial_tail_of_many_draws_takes_few_terms(monkeypatch):
     assert (low, high) == pytest.approx((20_513 / 9e6 - 1.96 * 143 / 9e6, 20_513 / 9e6 + 1.96 * 143 / 9e6), rel=1e-3)
 
 
+def test_simulations_of_many_draws_share_their_tickets():
+    """2,000 simulations of 54,000,000 draws: at most all tickets of the cycle, and each as in its own stream."""
+    rings = resample._rings(54_000_000, 2000, 645)
+    assert sum(int(arcs.length.sum()) for _, arcs in rings.values()) <= rng.PERIOD < 2000 * 54_000_000
+    assert sorted(k for own, _ in rings.values() for k in own.tolist()) == list(range(2000))
+    for r, (own, arcs) in rings.items():
+        at = int(arcs.first[arcs.begin[0]])
+        start = int(rng.unit_seeds(645, 2000, 54_000_000 * 44, int(own[0]), int(own[0]) + 1)[0])
+        assert rng.fair_tickets(int(rng.states(0, 1, r)[0]), 5, at).tolist() == rng.fair_tickets(start, 5).tolist()
+
+
+def test_simulations_that_overlap(spark, monkeypatch):
+    """Streams that start inside each other (seeds as for more than one period), and longer than a ring."""
+    def lap(draws, sims, seed):
+        begins = np.array([7, 3, 3, 90, 40])
+        return {2: (np.arange(5), rng.Arcs(begins, draws, 100))}
+
+    monkeypatch.setattr(resample, "_rings", lap)
+    monkeypatch.setattr(resample, "DRAWS", 13)
+    for draws in (0, 20, 230):
+        got = {r["sim"]: [r[n] for n in resample.NUMBERS] for r in resample.null_counts(spark, draws, 5).collect()}
+        each = rng.fair_tickets(int(rng.states(0, 1, 2)[0]), 100)
+        for sim, begin in enumerate((7, 3, 3, 90, 40)):
+            assert got[sim] == np.bincount(each[(begin + np.arange(draws)) % 100].ravel(), minlength=46)[1:].tolist()
+
+
 def test_dataset_hash_streams_pieces(spark, monkeypatch):
     """Lines in any order, far apart and below zero, against one loop; pieces and not lines come to the driver; a null line is an error."""
     monkeypatch.setattr(hashing, "LINES", 60)

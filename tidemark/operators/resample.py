@@ -10,6 +10,7 @@ seed of its own (``rng.unit_seeds``).
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql.functions import udtf
 from ..functions import rng, rules
 from ..session import importable, settled
 
-#: Values that one task draws, and draws of one block of a simulation.
-WORK, DRAWS = 1 << 28, 1 << 20
+#: Values of flips or bootstraps, and simulated draws, of one task.
+WORK, DRAWS = 1 << 28, 1 << 22
 #: Differences of one block; numbers drawn together.
 BLOCK, CHUNK = 1 << 18, 1 << 15
 #: So many blocks in a row draw all bootstrap places together and keep their own.
@@ -52,24 +53,48 @@ def null_distribution(spark: SparkSession, draws: int, statistic: Callable[[np.n
 NUMBERS = [f"n{i}" for i in range(1, rules.POOL + 1)]
 
 
+def _rings(draws: int, simulations: int, seed: int) -> dict[int, tuple[np.ndarray, rng.Arcs]]:
+    """Simulations and their tickets as arcs, for each ring of tickets.
+
+    Tickets of one stream lie ``per`` values apart on the cycle of all states, which makes a ring for each remainder
+    by the greatest common divisor of ``per`` and the period; all tickets that any seed can give lie on these.
+    """
+    per = rules.POOL - 1
+    apart = math.gcd(per, rng.PERIOD)
+    ring = rng.PERIOD // apart
+    at = rng.cycle_places(rng.unit_seeds(seed, simulations, draws * per))
+    nth = at // apart * pow(per // apart, -1, ring) % ring
+    return {r: (own, rng.Arcs(nth[own], draws, ring)) for r in range(apart) if len(own := np.flatnonzero(at % apart == r))}
+
+
 def null_counts(spark: SparkSession, draws: int, simulations: int = 2000, seed: int = 645) -> DataFrame:
-    """``sim, n1 .. n45``: how often each number is drawn in each simulated data set."""
+    """``sim, n1 .. n45``: how often each number is drawn in each simulated data set.
+
+    Tickets that several simulations share are drawn once, at most 2^32 for simulations of any number and length.
+    """
     importable(spark)
-    per = rules.POOL - 1
-    blocks = max(1, -(-draws // DRAWS))
-    sims = max(1, WORK // (per * max(1, min(draws, DRAWS))))
-    parts = -(-simulations // sims)
-    dealt = spark.range(0, parts * blocks, 1, max(1, parts * blocks)).select((F.expr(f"id div {blocks}") * sims).alias("first"), (F.col("id") % blocks * DRAWS).alias("a"))
+    dealt = [(r, k, of) for r, (_, arcs) in _rings(draws, simulations, seed).items() for of in [-(-int(arcs.length.sum()) // DRAWS)] for k in range(of)]
+    columns = ", ".join(f"{n} bigint" for n in NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rings = _rings(draws, simulations, seed)
         for batch in batches:
-            for first, a in zip(*(c.to_pylist() for c in batch.columns)):
-                last, m = min(first + sims, simulations), min(DRAWS, draws - a)
-                counts = np.array([rng.fair_counts(start, m, a) for start in rng.unit_seeds(seed, simulations, draws * per, first, last)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), *map(pa.array, counts.T)], ["sim", *NUMBERS])
+            for i in batch.column(0).to_pylist():
+                r, k, of = dealt[i]
+                met = list(rings[r][1].dealt(k, of))
+                counts = np.array([rng.fair_counts(int(rng.states(0, 1, r)[0]), b - a, a) for _, a, b in met])
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(met), pa.int64()), pa.array([piece for piece, _, _ in met]), *map(pa.array, counts.T)], ["ring", "piece", *NUMBERS])
 
-    partial = dealt.mapInArrow(run, "sim bigint, " + ", ".join(f"{n} bigint" for n in NUMBERS))
-    return partial.groupBy("sim").agg(*[F.sum(n).alias(n) for n in NUMBERS])
+    def spread(table: pa.Table) -> pa.Table:
+        own, arcs = _rings(draws, simulations, seed)[table.column("ring")[0].as_py()]
+        each = np.zeros((len(arcs.length), rules.POOL), np.int64)
+        each[table.column("piece").to_numpy()] = np.stack([table.column(n).to_numpy() for n in NUMBERS], 1)
+        return pa.table({"sim": pa.array(own), **dict(zip(NUMBERS, map(pa.array, arcs.sums(each).T)))})
+
+    partial = spark.range(0, len(dealt), 1, max(1, len(dealt))).mapInArrow(run, f"ring bigint, piece bigint, {columns}")
+    pieces = partial.groupBy("ring", "piece").agg(*[F.sum(n).alias(n) for n in NUMBERS])
+    found = pieces.groupBy("ring").applyInArrow(spread, f"sim bigint, {columns}")  # twice as many pieces as simulations
+    return spark.range(simulations).select(F.col("id").alias("sim")).join(found, "sim", "left").na.fill(0, NUMBERS)
 
 
 def _squares() -> Column:
