@@ -128,7 +128,7 @@ def fairness(table: DataFrame, simulations: int = 2000, seed: int = 645) -> Data
     from .draws import chi_square, frequency
 
     spark = table.sparkSession
-    seen = frequency(table)
+    seen = settled(frequency(table), "frequency")  # 45 rows, else counted twice
     facts = seen.agg(F.sum(F.col("count") * F.col("count")).cast("long").alias("own"), (F.sum("count") / rules.PICKS).cast("long").alias("draws")).first()  # one row
     null = null_chi_square(spark, facts["draws"], simulations, seed)
     p = null.agg(((F.count_if(F.col("squares") >= facts["own"]) + 1) / (simulations + 1)).alias("p_value"), F.count(F.lit(1)).alias("simulations"))
